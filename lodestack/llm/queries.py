@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import language, simhash, substrings, toxicity
+from lodestack.llm import bpe, language, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.query,
+        "op2_bpe": bpe.query,
         "op8_language": language.query,
         "op9_simhash": simhash.query,
         "op10_substrings": substrings.query,
