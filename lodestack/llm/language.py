@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.textkit import arrow_map, blocks, held_out, lower_letters, mix, table, utf8
 
 ORDERS = (2, 3, 4)
-#: Bound of the training sample, in rows per language.
+#: Bound of the training sample, in rows per language (in expectation).
 TRAIN_ROWS = 4000
 UNDETERMINED = "und"
 
@@ -58,14 +58,13 @@ def _within(off: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, text): at most `rows` training rows per language, those with the smallest hash of id and text; held-out rows,
-    null languages and null texts never count."""
-    able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    keyed = able.withColumn("at", F.xxhash64("doc_id", F.substring("text", 1, 200)))
-    # two levels: the first ranks within 64 parts of a language, so no task ever holds all rows of one
-    part = keyed.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(64)))
-    near = part.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "part").orderBy("at"))).filter(F.col("rn") <= -(-rows // 64)).drop("rn", "part")
-    return near.select("lang", "text")
+    """(lang, text): all training rows of a language that has up to `rows`, and of another one those whose hash falls in the
+    fraction that makes up `rows` in expectation. Held-out rows, null languages and null texts never count."""
+    able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    counts = able.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows / r["n"])))) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return able.filter(draw < share[F.col("lang")]).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = 2e-5, slots_log2: int = 20, hashes: int = 2, orders: tuple[int, ...] = ORDERS) -> Model:
@@ -79,12 +78,13 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = 2e-5, slots_
             for i, j in blocks(off):
                 o = off[i : j + 1] - off[i]
                 low = lower_letters(data[off[i] : off[j]])
-                own = np.array([hash_of(x) for x in langs[i:j]])
+                names = sorted(set(langs[i:j]))
+                own = np.array([names.index(x) for x in langs[i:j]])
                 for n in orders:
                     h, ok = _grams(low, n)
                     row = _within(o, n, len(low))
                     ok &= row >= 0
-                    for k in np.unique(own):
+                    for k in range(len(names)):
                         mine = h[ok & (own[np.maximum(row, 0)] == k)] if len(h) else h
                         keys, counts = np.unique(mine, return_counts=True)
                         into = seen.setdefault((names[k], n), {})
@@ -93,13 +93,6 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = 2e-5, slots_
         for (lang, n), grams in seen.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams)), "n": pa.array([n] * len(grams), pa.int32()), "gram": pa.array(np.fromiter(grams.keys(), np.uint64, len(grams)).view(np.int64)), "count": pa.array(list(grams.values()), pa.int64())})
 
-    names: list[str] = []
-
-    def hash_of(lang: str) -> int:
-        if lang not in names:
-            names.append(lang)
-        return names.index(lang)
-
     counts = sample(docs, rows).mapInArrow(count, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     total = Window.partitionBy("lang", "n")
     kept = counts.withColumn("all", F.sum("count").over(total)).filter(F.col("count") >= F.col("all") * min_share)
