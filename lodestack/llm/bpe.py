@@ -105,7 +105,7 @@ class Memo(dict):
         super().__init__()
         self.size, self.old = size, {}
 
-    def keep(self, key: str, value: bytes) -> bytes:
+    def keep(self, key, value):
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -118,12 +118,22 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], memo: int = 150_000):
         self.ranks = ranks
-        self.words, self.led, self.first = Memo(memo), Memo(memo), Memo(memo // 4)
+        self.words, self.led, self.first, self.sizes = Memo(memo), Memo(memo), Memo(memo // 4), Memo(memo)
 
     def word(self, piece: str) -> bytes:
         got = self.words.get(piece) or self.words.old.get(piece)
         return got or self.words.keep(piece, np.array(merge(piece.encode(), self.ranks), "<u4").tobytes())
 
+    def count(self, pieces: list[str]) -> list[int]:
+        """Tokens of each pre-token."""
+        got = list(map(self.sizes.get, pieces))
+        if None in got:
+            for k, x in enumerate(got):
+                if x is None:
+                    p = pieces[k]
+                    got[k] = self.sizes.get(p) or self.sizes.keep(p, self.sizes.old.get(p) or len(self.word(p)) // 4)
+        return got
+
     def chunk(self, text: str) -> bytes:
         return b"".join(map(self.word, pre_tokens(text)))
 

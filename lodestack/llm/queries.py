@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import bpe, language, simhash, substrings, toxicity
+from lodestack.llm import bpe, editcounts, gif, language, packing, quality, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.query,
         "op2_bpe": bpe.query,
+        "op3_quality": quality.query,
+        "op4_gif": gif.query,
+        "op5_packing": packing.query,
+        "op6_editcounts": editcounts.query,
+        "op7_sharding": sharding.query,
         "op8_language": language.query,
         "op9_simhash": simhash.query,
         "op10_substrings": substrings.query,
