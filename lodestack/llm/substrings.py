@@ -369,15 +369,16 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     joined = join_hot(keyed, spans.withColumnRenamed("n", count), [f"k1_{tag}", f"k2_{tag}"], count, total)
     copy = (F.coalesce("doc_id", F.lit(NONE)) > F.col(f"rank_{tag}")) & (F.octet_length("text") >= length)
     marked = joined.withColumn(f"copy_{tag}", F.coalesce(copy, F.lit(False))).select(*docs.columns, f"spans_{tag}", f"copy_{tag}")
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = columns.index("text")
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for t, s, c in zip(b.column("text").to_pylist(), b.column(f"spans_{tag}").to_pylist(), b.column(f"copy_{tag}").to_pylist(), strict=True):
             out.append(t if t is None or not (s or c) else "" if c else cut(t.encode(), s)[0].decode(errors="ignore"))
-        cols = list(b.columns)[: len(docs.columns)]
+        cols = list(b.columns)[: len(columns)]
         cols[at] = pa.array(out, pa.string())
-        return pa.RecordBatch.from_arrays(cols, docs.columns)
+        return pa.RecordBatch.from_arrays(cols, columns)
 
     done = arrow_map(marked, each, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
