@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from lodestack.plans import links, scores, texts  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
