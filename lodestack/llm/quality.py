@@ -146,7 +146,7 @@ def report(docs: DataFrame) -> DataFrame:
     A null, empty or white-space text has no words and fails the base rules. A null or unlisted lang is compared with all documents
     of that kind. Repeated rows give repeated results; an empty table gives none; only doc_id, text and lang are read, so other
     columns may have any name; a text exactly at a threshold is kept."""
-    return judged(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_jsd", "word_jsd")
+    return judged(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_jsd", 6).alias("class_jsd"), F.round("word_jsd", 6).alias("word_jsd"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

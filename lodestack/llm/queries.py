@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import bpe, editcounts, gif, language, packing, quality, sharding, simhash, substrings, toxicity
+from lodestack.llm import bpe, editcounts, gif, language, oracles, packing, quality, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality": oracles.OP3, "op10_substrings": oracles.OP10}
