@@ -108,8 +108,10 @@ def tag_alternatives(entities: DataFrame, id: str, category: str, tags: str, lea
     sets = base.select(category, "t").distinct().withColumn("h", F.xxhash64(category, F.concat_ws("\x01", "t")))
     by_tag = sets.select(category, "h", F.size("t").alias("size"), F.explode("t").alias("tag"))
     a, b = by_tag.alias("a"), by_tag.alias("b")
-    shared = a.join(b, [category, "tag"]).groupBy(F.col("a.h").alias("h"), F.col("b.h").alias("g")).agg(F.count("*").alias("both"), F.first("a.size").alias("m"), F.first("b.size").alias("k"))
-    alike = shared.withColumn("j", F.col("both") / (F.col("m") + F.col("k") - F.col("both"))).filter(F.col("j") >= least).withColumn("sim", F.floor(F.col("j") * 100 + 0.5).cast("int")).select("h", "g", "sim")
+    # each pair of sets once, both ways afterwards, and every set with itself
+    shared = a.join(b, (F.col(f"a.{category}") == F.col(f"b.{category}")) & (F.col("a.tag") == F.col("b.tag")) & (F.col("a.h") < F.col("b.h"))).groupBy(F.col("a.h").alias("h"), F.col("b.h").alias("g")).agg(F.count("*").alias("both"), F.first("a.size").alias("m"), F.first("b.size").alias("k"))
+    alike = shared.withColumn("j", F.col("both") / (F.col("m") + F.col("k") - F.col("both"))).filter(F.col("j") >= least).withColumn("sim", F.floor(F.col("j") * 100 + 0.5).cast("int"))
+    alike = alike.select(F.explode(F.array(F.struct("h", "g"), F.struct(F.col("g").alias("h"), F.col("h").alias("g")))).alias("p"), "sim").select("p.h", "p.g", "sim").unionByName(sets.select("h", F.col("h").alias("g"), F.lit(100).alias("sim")))
     keyed = base.select(id, F.xxhash64(category, F.concat_ws("\x01", "t")).alias("h"))
     # of any set only its n + 1 first entities can be among the best n of another
     few = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(id))).filter(F.col("rn") <= n + 1).select(F.col("h").alias("g"), F.col(id).alias("other"))
