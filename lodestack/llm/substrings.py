@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.textkit import arrow_map, blocks, join_hot, materialise, mix, table, utf8
+from lodestack.llm.textkit import arrow_map, blocks, join_hot, materialise, mix, table
 
 LENGTH = 50
 Q = 20
@@ -123,11 +124,31 @@ def radix_groups(text: np.ndarray, at: np.ndarray, length: int, seed: np.ndarray
     return alive, group
 
 
+_LEVEL = 3
+#: What is sent of the snippets of a block and bucket, a column each, bytes of equal weight together: that compresses best.
+_PARTS = {"hashes": "<u8", "ids": "<i8", "ranks": "<i8", "which": "<u4", "starts": "<i8", "lead": "u1", "sizes": "<u2", "bytes": "u1"}
+
+
+def _packed(column: pa.Array) -> pa.Array:
+    """Each text compressed: texts move between tasks in this form only."""
+    squeeze = zstandard.ZstdCompressor(level=_LEVEL).compress
+    return pa.array([squeeze((t or "").encode()) for t in column.to_pylist()], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(z) for z in column.to_pylist()]
+
+
+def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+
+
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(digests of all rows, the first row of each distinct text, the number of rows).
 
-    Digests: doc_id, rank (the id; a null one after all others), k1, k2 (128 bits of the text), n_bytes. Firsts: k1, k2, rank, id,
-    text, n. Copies of a text that has a thousandth of all rows are dropped before the texts shuffle."""
+    Digests: doc_id, rank (the id; a null one after all others), k1, k2 (128 bits of the text), n_bytes. Firsts: id, k1, k2, rank, n,
+    z (the text, compressed). Copies of a text that has a thousandth of all rows are dropped before the texts shuffle."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("rank"), F.xxhash64("text").alias("k1"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("k2"), "text")
     digests = materialise(keyed.select("doc_id", "rank", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
@@ -135,24 +156,29 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     least = digests.groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
     hot = F.broadcast(least.filter(F.col("n") * 1000 >= total).select("k1", "k2", F.col("rank").alias("hot_rank")))  # 1000 rows at most
     some = keyed.join(hot, ["k1", "k2"], "left").filter(F.col("hot_rank").isNull() | (F.col("rank") == F.col("hot_rank")))
-    first = some.drop("hot_rank").join(least, ["k1", "k2", "rank"]).select("k1", "k2", "rank", "n", "text")
-    unique = materialise(first, "distinct")
-    if not unique.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter(F.col("c") > 1).isEmpty():  # rows that repeat an id and a text
-        unique = materialise(unique.dropDuplicates(["k1", "k2"]), "distinct")
-    return digests, materialise(unique.withColumn("id", F.monotonically_increasing_id()), "texts"), total
+
+    def squeeze(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("rank"), _packed(b.column("text"))], ["k1", "k2", "rank", "z"])
+
+    small = arrow_map(some.select("k1", "k2", "rank", "text"), squeeze, "k1 long, k2 long, rank long, z binary")
+    first = small.join(least.hint("shuffle_hash"), ["k1", "k2", "rank"]).select("k1", "k2", "rank", "n", "z")
+    texts = materialise(first.withColumn("id", F.monotonically_increasing_id()), "texts")
+    if not texts.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter(F.col("c") > 1).isEmpty():  # rows that repeat an id and a text
+        texts = materialise(texts.dropDuplicates(["k1", "k2"]), "texts")
+    return digests, texts, total
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """(id, spans): for texts(id, rank, text) that have any, the maximal runs of bytes covered by a window of `length` bytes that also
+    """(id, spans): for texts(id, rank, z) that have any, the maximal runs of bytes covered by a window of `length` bytes that also
     starts in a text of smaller rank, as little-endian pairs of longs (start, end) in order.
 
-    A null text counts as empty; texts shorter than `length` have no window. Texts of equal rank don't count for each other."""
+    z is the compressed text; texts shorter than `length` have no window. Texts of equal rank don't count for each other."""
     spark = texts.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def offer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """The anchors of a batch by bucket: six bytes of the hash and the index of the text for each."""
-        data, off = utf8(b.column("text"))
+        data, off = _flat(_unpacked(b.column("z")))
         ids = b.column("id").to_numpy()
         rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for row, _, h, _, _ in _anchored(data, off, length, q):
@@ -205,15 +231,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
             e = min(s + 5000, len(own))
             yield pa.RecordBatch.from_arrays([pa.array(own[s:e]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(s, e)], pa.binary())], ["id", "anchors"])
 
-    offered = arrow_map(texts.select("id", "text"), offer, "bucket int, ids binary, which binary, hashes binary")
+    offered = arrow_map(texts.select("id", "z"), offer, "bucket int, ids binary, which binary, hashes binary")
     found = materialise(offered.repartitionById(shuffles, F.col("bucket")).mapInArrow(shared, "id long, anchors binary"), "anchors")
     by_text = found.groupBy("id").agg(F.collect_list("anchors").alias("anchors"))
-    candidates = texts.select("id", "rank", "text").join(by_text.hint("shuffle_hash"), "id")
+    candidates = texts.select("id", "rank", "z").join(by_text.hint("shuffle_hash"), "id")
 
     def snippets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """For each occurrence of a shared anchor the bytes of all its windows, by bucket."""
-        data, off = utf8(b.column("text"))
+        data, off = _flat(_unpacked(b.column("z")))
         ids, ranks = b.column("id").to_numpy(), b.column("rank").to_numpy()
+        squeeze = zstandard.ZstdCompressor(level=_LEVEL).compress
         lists = b.column("anchors").to_pylist()
         for row, pos, h, first, last in _anchored(data, off, length, q):
             if not len(row):
@@ -228,28 +255,32 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
             chosen = np.flatnonzero(keep)
             chosen = chosen[np.argsort(buckets[chosen], kind="stable")]
             cuts = np.searchsorted(buckets[chosen], np.arange(shuffles + 1))
-            out = {k: [] for k in ("bucket", "hashes", "ids", "ranks", "starts", "lead", "sizes", "bytes")}
+            out = {k: [] for k in ("bucket", *_PARTS)}
             for k in np.flatnonzero(np.diff(cuts)):
                 c = chosen[cuts[k] : cuts[k + 1]]
                 size = last[c] - first[c] + length
                 total = np.concatenate([[0], np.cumsum(size)])
                 index = np.arange(total[-1]) + np.repeat(first[c] - total[:-1], size)
+                used, which = np.unique(row[c], return_inverse=True)
+                start = first[c] - off[row[c]]
+                part = {"hashes": h[c], "ids": ids[used], "ranks": ranks[used], "which": which.astype("<u4"), "starts": start.astype("<i8"), "lead": (pos[c] - first[c]).astype(np.uint8), "sizes": size.astype("<u2"), "bytes": data[index]}
                 out["bucket"].append(int(k))
-                out["hashes"].append(h[c].tobytes())
-                out["ids"].append(ids[row[c]].tobytes())
-                out["ranks"].append(ranks[row[c]].tobytes())
-                out["starts"].append((first[c] - off[row[c]]).astype("<i8").tobytes())
-                out["lead"].append((pos[c] - first[c]).astype(np.uint8).tobytes())
-                out["sizes"].append(size.astype(np.uint8 if length + length < 256 else "<u2").tobytes())
-                out["bytes"].append(data[index].tobytes())
+                for name, values in part.items():
+                    out[name].append(squeeze(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items() if k != "bucket"}})
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("hashes", "ids", "ranks", "starts", "lead", "sizes", "bytes")}
-        kinds = {"hashes": np.uint64, "ids": np.int64, "ranks": np.int64, "starts": np.int64, "lead": np.uint8, "sizes": np.uint8 if length + length < 256 else np.uint16, "bytes": np.uint8}
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in _PARTS}
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for k, v in parts.items():
-                v += [np.frombuffer(x, kinds[k]) for x in b.column(k).to_pylist()]
+            for k in range(b.num_rows):
+                one = {}
+                for name, kind in _PARTS.items():
+                    raw = np.frombuffer(expand(b.column(name)[k].as_py()), np.uint8)
+                    one[name] = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+                one["ids"], one["ranks"] = one["ids"][one["which"]], one["ranks"][one["which"]]
+                for name, values in one.items():
+                    parts[name].append(values)
         if not parts["ids"]:
             return
         p = {k: np.concatenate(v) for k, v in parts.items()}
@@ -291,7 +322,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
         i = p["ids"][s]
         yield from _runs(i, start, start + length)
 
-    sent = arrow_map(candidates, snippets, "bucket int, hashes binary, ids binary, ranks binary, starts binary, lead binary, sizes binary, bytes binary")
+    sent = arrow_map(candidates, snippets, "bucket int, " + ", ".join(f"{k} binary" for k in _PARTS))
     spans = sent.repartitionById(shuffles, F.col("bucket")).mapInArrow(sort, "id long, spans binary")
     gathered = materialise(spans, "spans").groupBy("id").agg(F.collect_list("spans").alias("spans"))
 
@@ -346,10 +377,10 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame
     spans = repeated_spans(texts, length, q)
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        done = [cut((t or "").encode(), s) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+        done = [cut(t, s) for t, s in zip(_unpacked(b.column("z")), b.column("spans").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("rank"), b.column("n"), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in done])], ["k1", "k2", "first_rank", "n", "cut_bytes", "cut_runs", "sha"])
 
-    whole = texts.select("id", "k1", "k2", "rank", "n", "text").join(spans.hint("shuffle_hash"), "id", "left")
+    whole = texts.select("id", "k1", "k2", "rank", "n", "z").join(spans.hint("shuffle_hash"), "id", "left")
     firsts = materialise(arrow_map(whole, each, "k1 long, k2 long, first_rank long, n long, cut_bytes long, cut_runs long, sha string"), "firsts")
     joined = join_hot(digests, firsts, ["k1", "k2"], "n", total)
     copy = (F.col("rank") > F.col("first_rank")) & (F.col("n_bytes") >= length)
