@@ -103,11 +103,11 @@ def join_overlay(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).join(a, "k", "left").select("id", F.coalesce("total", "score").alias("score"))
 
 
-@register("join_candidate_keys", given("w AS (SELECT p_partkey AS req, 'part-' || p_partkey AS q1, lower(replace(p_brand, '#', '')) || '--' || replace(p_name, ' ', '-') AS q2 FROM part WHERE p_partkey % 10 = 0), h AS (SELECT slug, min(id) AS id FROM ent WHERE type = 'model' GROUP BY slug) SELECT w.req, h.id FROM w LEFT JOIN h ON h.slug = w.q2", ENT))
+@register("join_candidate_keys", given("w AS (SELECT p_partkey AS req, 'part-' || p_partkey AS q1, lower(replace(p_brand, '#', '')) || '--' || replace(p_name, ' ', '-') AS q2 FROM part), h AS (SELECT slug, min(id) AS id FROM ent WHERE type = 'model' GROUP BY slug) SELECT w.req, h.id FROM w LEFT JOIN h ON h.slug = w.q2", ENT))
 def join_candidate_keys(spark: SparkSession, d: str) -> DataFrame:
     """Candidate keys in order of preference, the first hit wins."""
     e = entities(spark, d)
-    wanted = e.filter("k % 10 = 0").select(F.col("k").alias("req"), F.array(F.concat(F.lit("part-"), F.col("k")), F.col("slug")).alias("keys"))
+    wanted = e.select(F.col("k").alias("req"), F.array(F.concat(F.lit("part-"), F.col("k")), F.col("slug")).alias("keys"))
     return Q.first_hit(wanted, "req", "keys", e.filter("type = 'model'").groupBy("slug").agg(F.min("id").alias("id")), "slug", "id")
 
 
@@ -176,7 +176,7 @@ def join_audit(spark: SparkSession, d: str) -> DataFrame:
     return e.join(b, "k").groupBy("type").agg(F.round(F.count("license") * 100 / F.count("*"), 4).alias("left_percent"), F.round(F.count("other") * 100 / F.count("*"), 4).alias("right_percent"))
 
 
-@register("join_match_cascade", given("r AS (SELECT k AS req, slug AS want, lower(p) AS p FROM (SELECT k, slug, name AS p FROM ent WHERE k % 9 = 0)), m AS (SELECT slug, min(id) AS id FROM ent WHERE type = 'model' GROUP BY slug), n AS (SELECT split_part(lower(name), ' ', 1) AS w, min(id) AS id FROM ent WHERE type = 'model' GROUP BY 1) SELECT r.req, coalesce(m.id, n.id) AS id, CASE WHEN m.id IS NOT NULL THEN 1.0E0 WHEN n.id IS NOT NULL THEN 0.8E0 END AS conf FROM r LEFT JOIN m ON m.slug = r.want LEFT JOIN n ON n.w = split_part(r.p, ' ', 1)", ENT))
+@register("join_match_cascade", given("r AS (SELECT k AS req, slug AS want, lower(p) AS p FROM (SELECT k, slug, name AS p FROM ent)), m AS (SELECT slug, min(id) AS id FROM ent WHERE type = 'model' GROUP BY slug), n AS (SELECT split_part(lower(name), ' ', 1) AS w, min(id) AS id FROM ent WHERE type = 'model' GROUP BY 1) SELECT r.req, coalesce(m.id, n.id) AS id, CASE WHEN m.id IS NOT NULL THEN 1.0E0 WHEN n.id IS NOT NULL THEN 0.8E0 END AS conf FROM r LEFT JOIN m ON m.slug = r.want LEFT JOIN n ON n.w = split_part(r.p, ' ', 1)", ENT))
 def join_match_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Exact match first, then by first word, with confidence."""
     e = entities(spark, d)
@@ -184,7 +184,7 @@ def join_match_cascade(spark: SparkSession, d: str) -> DataFrame:
     exact = models.groupBy("slug").agg(F.min("id").alias("a"))
     word = F.split_part(F.lower("name"), F.lit(" "), F.lit(1))
     loose = models.groupBy(word.alias("w")).agg(F.min("id").alias("b"))
-    r = e.filter("k % 9 = 0").select(F.col("k").alias("req"), "slug", word.alias("w")).join(exact, "slug", "left").join(loose, "w", "left")
+    r = e.select(F.col("k").alias("req"), "slug", word.alias("w")).join(exact, "slug", "left").join(loose, "w", "left")
     return r.select("req", F.coalesce("a", "b").alias("id"), F.when(F.col("a").isNotNull(), 1.0).when(F.col("b").isNotNull(), 0.8).alias("conf"))
 
 
@@ -242,11 +242,11 @@ def id_normalise(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).select("id", normal_id(F.concat("source", F.lit("/"), "slug"), F.col("source"), F.col("type")).alias("canonical"))
 
 
-@register("id_resolve", given("q AS (SELECT DISTINCT slug AS req FROM ent WHERE k % 4 = 0) SELECT req, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'AMBIGUOUS' END AS status, min(id) AS first_id, count(*) AS candidates FROM q JOIN ent ON ent.slug = q.req GROUP BY req", ENT))
+@register("id_resolve", given("q AS (SELECT DISTINCT slug AS req FROM ent) SELECT req, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'AMBIGUOUS' END AS status, min(id) AS first_id, count(*) AS candidates FROM q JOIN ent ON ent.slug = q.req GROUP BY req", ENT))
 def id_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Requests to one entity, or a list of candidates' size."""
     e = entities(spark, d)
-    q = e.filter("k % 4 = 0").select(F.col("slug").alias("req")).distinct()
+    q = e.select(F.col("slug").alias("req")).distinct()
     return q.join(e.select(F.col("slug").alias("req"), "id"), "req").groupBy("req").agg(F.when(F.count("*") == 1, "OK").otherwise("AMBIGUOUS").alias("status"), F.min("id").alias("first_id"), F.count("*").alias("candidates"))
 
 
@@ -349,11 +349,12 @@ def graph_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return G.tag_alternatives(e, "id", "category", "tags")
 
 
-@register("match_score", given("""a AS (SELECT * FROM ent WHERE type = 'model' AND k % 20 = 0), p AS (SELECT x.id AS a, y.id AS b, 0.5E0 * (1 - levenshtein(x.slug, y.slug) / CAST(greatest(length(x.slug), length(y.slug)) AS DOUBLE)) + 0.2E0 * CASE WHEN coalesce(x.author, '') = coalesce(y.author, '') THEN 1 WHEN x.author IS NULL OR y.author IS NULL THEN 0.5E0 WHEN contains(x.author, y.author) OR contains(y.author, x.author) THEN 0.5E0 ELSE 0 END + 0.15E0 * CASE WHEN x.params_billions > 0 AND y.params_billions > 0 THEN CASE WHEN least(x.params_billions, y.params_billions) / greatest(x.params_billions, y.params_billions) >= 0.8E0 THEN 1 WHEN least(x.params_billions, y.params_billions) / greatest(x.params_billions, y.params_billions) >= 0.5E0 THEN 0.5E0 ELSE 0 END ELSE 0 END + 0.05E0 * CASE WHEN lower(coalesce(x.license, '')) = lower(coalesce(y.license, '')) THEN 1 ELSE 0 END AS s FROM a x JOIN a y ON x.primary_category = y.primary_category AND x.k < y.k) SELECT a, b, round(least(s, 1), 6) AS score FROM p WHERE s >= 0.5E0""", ENT))
+@register("match_score", given("""a AS (SELECT *, split_part(lower(name), ' ', 1) AS base FROM ent WHERE type = 'model'), p AS (SELECT x.id AS a, y.id AS b, 0.5E0 * (1 - levenshtein(x.slug, y.slug) / CAST(greatest(length(x.slug), length(y.slug)) AS DOUBLE)) + 0.2E0 * CASE WHEN coalesce(x.author, '') = coalesce(y.author, '') THEN 1 WHEN x.author IS NULL OR y.author IS NULL THEN 0.5E0 WHEN contains(x.author, y.author) OR contains(y.author, x.author) THEN 0.5E0 ELSE 0 END + 0.15E0 * CASE WHEN x.params_billions > 0 AND y.params_billions > 0 THEN CASE WHEN least(x.params_billions, y.params_billions) / greatest(x.params_billions, y.params_billions) >= 0.8E0 THEN 1 WHEN least(x.params_billions, y.params_billions) / greatest(x.params_billions, y.params_billions) >= 0.5E0 THEN 0.5E0 ELSE 0 END ELSE 0 END + 0.05E0 * CASE WHEN lower(coalesce(x.license, '')) = lower(coalesce(y.license, '')) THEN 1 ELSE 0 END AS s FROM a x JOIN a y ON x.primary_category = y.primary_category AND x.base = y.base AND x.k < y.k) SELECT a, b, round(least(s, 1), 6) AS score FROM p WHERE s >= 0.5E0""", ENT))
 def match_score(spark: SparkSession, d: str) -> DataFrame:
     """Weighted match of two records within a block."""
     from lodestack.operators.matching import match_score as score
 
-    e = entities(spark, d).filter("type = 'model' AND k % 20 = 0")
-    pairs = e.alias("x").join(e.alias("y"), (F.col("x.primary_category") == F.col("y.primary_category")) & (F.col("x.k") < F.col("y.k")))
+    e = entities(spark, d).filter("type = 'model'").withColumn("base", F.split_part(F.lower("name"), F.lit(" "), F.lit(1)))
+    block = (F.col("x.primary_category") == F.col("y.primary_category")) & (F.col("x.base") == F.col("y.base"))
+    pairs = e.alias("x").join(e.alias("y"), block & (F.col("x.k") < F.col("y.k")))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(score("x", "y"), 6).alias("score"), score("x", "y").alias("s")).filter("s >= 0.5").drop("s")

@@ -76,10 +76,10 @@ def filter_rules(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = "list_filter(string_split_regex(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) BETWEEN 2 AND 40 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "], w))"
 
 
-@register("text_words", f"SELECT doc_id, len({_WORDS}) AS n, len(list_distinct({_WORDS})) AS n_distinct FROM documents WHERE lang <> 'es'")
+@register("text_words", f"SELECT doc_id, len({_WORDS}) AS n, len(list_distinct({_WORDS})) AS n_distinct FROM documents")
 def text_words(spark: SparkSession, d: str) -> DataFrame:
     """The words of a text before stemming."""
-    return read(spark, d, "documents").filter("lang <> 'es'").select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+    return read(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @register("text_terms")
@@ -94,10 +94,10 @@ def text_main_content(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", X.main_content(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"), X.section_count(F.col("t")).alias("sections"), X.content_class(F.col("t")).alias("class"))
 
 
-@register("text_abstracts", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#*`\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), 300) AS abstract FROM documents WHERE NOT contains(text, '---') AND NOT contains(text, '```')")
+@register("text_abstracts", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^---[\\s\\S]*?---\\s*', '', 'g'), '```[\\s\\S]*?```', '', 'g'), '<[^>]+>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#*`\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), 300) AS abstract FROM documents")
 def text_abstracts(spark: SparkSession, d: str) -> DataFrame:
     """Short plain text."""
-    return read(spark, d, "documents").filter(~F.contains("text", F.lit("---")) & ~F.contains("text", F.lit("```"))).select("doc_id", X.clean_abstract(F.col("text"), 300).alias("abstract"))
+    return read(spark, d, "documents").select("doc_id", X.clean_abstract(F.col("text"), 300).alias("abstract"))
 
 
 @register("text_slugs", given("SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS name_slug FROM ent", ENT))
