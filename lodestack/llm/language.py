@@ -120,12 +120,14 @@ def score_batch(model: Model, column: pa.Array, orders: tuple[int, ...] = ORDERS
     data, off = utf8(column)
     n_rows, n_langs = len(off) - 1, len(model.langs)
     slots_log2 = int(np.log2(model.cells.shape[1]))
-    known, seen = np.zeros((n_rows, n_langs)), np.zeros(n_rows)
+    known, seen, ascii_letter = np.zeros((n_rows, n_langs)), np.zeros(n_rows), np.zeros(n_rows, bool)
     few = model.cells.dtype == np.uint8
     bits = (np.arange(256)[:, None] >> np.arange(n_langs)[None, :]) & 1 if few else None
     for i, j in blocks(off):
         o, rows = off[i : j + 1] - off[i], j - i
         low = lower_letters(data[off[i] : off[j]])
+        letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122), dtype=np.int32)])
+        ascii_letter[i:j] = letters[o[1:]] > letters[o[:-1]]
         for n in orders:
             h, ok = _grams(low, n)
             row = _within(o, n, len(low))
@@ -153,29 +155,12 @@ def score_batch(model: Model, column: pa.Array, orders: tuple[int, ...] = ORDERS
     top = np.minimum(share[np.arange(n_rows), best], 1.0)
     second = share[np.arange(n_rows), order[:, 1]] if n_langs > 1 else np.zeros(n_rows)
     out: list[str] = [model.langs[k] for k in best]
-    texts = None
-    for r in np.flatnonzero(seen < 12):  # hardly any n-gram: look for a letter; a longer text has one unless it is all other signs
-        texts = column if texts is None else texts
-        if not any(c.isalpha() for c in texts[int(r)].as_py() or ""):
-            out[r], top[r], second[r] = UNDETERMINED, 0.0, 0.0
-    ascii_only = _has_letter(data, off)
-    for r in np.flatnonzero(~ascii_only & (seen >= 12)):
-        if not any(c.isalpha() for c in column[int(r)].as_py()):
+    for r in np.flatnonzero(~ascii_letter):  # hardly any text: look for a letter of another script
+        if not any(c.isalpha() for c in column[int(r)].as_py() or ""):
             out[r], top[r], second[r] = UNDETERMINED, 0.0, 0.0
     return out, top, np.clip(top - second, 0, 1)
 
 
-def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Whether a row has an ASCII letter."""
-    letter = (_lower(data) >= 97) & (_lower(data) <= 122)
-    total = np.concatenate([[0], np.cumsum(letter)])
-    return total[off[1:]] > total[off[:-1]]
-
-
-def _lower(data: np.ndarray) -> np.ndarray:
-    return data | np.uint8(32)
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lead for every row of docs(doc_id, text).
 

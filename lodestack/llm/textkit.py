@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever the Arrow batch holds.
 BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch that are worked on at a time.
+SLICE_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,17 +88,18 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """mapInArrow with one call per batch; setup() runs once per task before the first."""
+    """mapInArrow with one call per slice of a batch; setup() runs once per task before the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup is not None:
             setup()
-        for b in batches:
-            out = each(b)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        for whole in batches:
+            for s in range(0, whole.num_rows, SLICE_ROWS):
+                out = each(whole.slice(s, SLICE_ROWS))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 
