@@ -11,18 +11,22 @@ documents of its bins that are not well filled migrate to a last round, in which
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lodestack.llm.bpe import _LOOSE_SPACE, Memo
+from lodestack.llm.bpe import _LOOSE_SPACE, load_ranks
 from lodestack.llm.textkit import arrow_map, materialise, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,65 +40,48 @@ POPULATION = 4
 #: A bin of at least this share of the room is well filled.
 WELL_FILLED = 0.995
 
+#: Entries a generation, in each worker.
+REMEMBERED = 300_000
+
 _STATE: dict = {}
 
 
 def _tokenizer(name: str):
-    """The worker's tokenizer and the ids of text between spaces that it has seen, in two generations of bounded size."""
+    """The worker's tokenizer for whole texts, a faster one of the same vocabulary for short ones, and the ids of texts between spaces
+    that it has seen: two generations of bounded size."""
     if name not in _STATE:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         tok = Tokenizer.from_file(public_tokenizers.path(name))
         tok.encode_special_tokens = True
-        _STATE[name] = (tok, Memo(200_000))
+        ranks = load_ranks(name.replace(".json", ".tiktoken"))
+        assert tok.get_vocab_size(with_added_tokens=False) >= len(ranks)
+        short = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _STATE[name] = (tok, short, {}, {})
     return _STATE[name]
 
 
 def encode_texts(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     """The ids of each text as bytes of little-endian unsigned 32-bit numbers, as the tokenizer encodes it without special tokens.
 
-    Pre-tokens of byte-level BPE never reach over a space that leads a word, so what lies between such spaces is encoded once
-    and looked up afterwards; other texts are encoded whole."""
-    tok, memo = _tokenizer(name)
+    Pre-tokens of byte-level BPE never reach over a space that leads a word. So what lies between such spaces, with its space, is
+    looked up as a whole; what is new is encoded together. Other texts are encoded whole."""
+    tok, short, seen, old = _tokenizer(name)
+    if len(seen) > REMEMBERED:
+        old.clear()
+        old.update(seen)
+        seen.clear()
     plain = [bool(t) and not _LOOSE_SPACE.search(t) for t in texts]
-    parts = [[head] + [" " + x for x in rest] if ok else [] for ok, t in zip(plain, texts, strict=True) for head, *rest in [t.split(" ") if ok else [""]]]
-    new: dict[str, bytes] = {}
-    for p in parts:
-        for c in p:
-            if c not in memo and c not in new:
-                old = memo.old.get(c)
-                if old is None:
-                    new[c] = b""
-                else:
-                    memo.keep(c, old)
-    if new:
-        fresh = list(new)
-        got = tok.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        cuts = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(fresh) + 1))
-        for k, c in enumerate(fresh):
-            new[c] = ids[cuts[k] : cuts[k + 1]].tobytes()
-    get = memo.get
-    old = memo.old
-    out = []
-    for ok, t, p in zip(plain, texts, parts, strict=True):
-        if not ok:
-            out.append(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
-            continue
-        got = list(map(get, p))
-        if None in got:
-            got = [x if x is not None else new[c] if c in new else old[c] if c in old else encode_whole(tok, c) for x, c in zip(got, p, strict=True)]
-        out.append(b"".join(got))
-    for c, x in new.items():
-        memo.keep(c, x)
-    return out
-
-
-def encode_whole(tok, text: str) -> bytes:
-    return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    # a line end keeps the first part, which has no space before it, apart from all others
+    parts = [("\n" + t).split(" ") if ok else [] for ok, t in zip(plain, texts, strict=True)]
+    new = set().union(*parts) - seen.keys()
+    for c in new & old.keys():
+        seen[c] = old[c]
+    for c in new:
+        if c not in seen:
+            seen[c] = array("I", short(c[1:] if c[:1] == "\n" else " " + c)).tobytes()
+    get = seen.__getitem__
+    whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b""
+    return [b"".join(map(get, p)) if ok else whole(t) for ok, t, p in zip(plain, texts, parts, strict=True)]
 
 
 def pieces(docs: DataFrame, name: str = TOKENIZER, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
