@@ -45,40 +45,35 @@ def load_ranks(name: str = RANKS) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
+    get = ranks.get
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
-    end, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n  # of the token that starts at a byte
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the token that starts at a byte
+    waits = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    waits.append(-1)
     buckets: dict[int, list[int]] = {}
     leaves: dict[int, int] = {}
     summary = 0
-
-    def queue(i: int) -> None:
-        nonlocal summary
-        j = end[i]
-        rank = ranks.get(piece[i : end[j]], -1) if j < n else -1
-        waits[i] = rank
+    for i, rank in enumerate(waits):
         if rank >= 0:
             if rank in buckets:
-                heappush(buckets[rank], i)
+                buckets[rank].append(i)  # positions ascend, which is a heap already
             else:
                 buckets[rank] = [i]
                 leaf = rank >> 8
                 leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
                 summary |= 1 << leaf
-
-    for i in range(n - 1):
-        queue(i)
     while summary:
         leaf = (summary & -summary).bit_length() - 1
         bits = leaves[leaf]
         rank = leaf << 8 | (bits & -bits).bit_length() - 1
         bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
+        i = bucket[0] if len(bucket) == 1 else heappop(bucket)
+        if len(bucket) == 1 and bucket[0] == i:
             del buckets[rank]
-            leaves[leaf] = bits = bits & (bits - 1)
+            bits &= bits - 1
+            leaves[leaf] = bits
             if not bits:
                 summary &= summary - 1
         if waits[i] != rank:
@@ -86,11 +81,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         j = end[i]
         k = end[i] = end[j]
         waits[j] = -1
-        if k < n:
-            before[k] = i
-        queue(i)
-        if before[i] >= 0:
-            queue(before[i])
+        before[k] = i
+        for at in (before[i], i):  # the pairs that the new token is part of
+            if at < 0:
+                continue
+            middle = end[at]
+            fresh = get(piece[at : end[middle]], -1) if middle < n else -1
+            waits[at] = fresh
+            if fresh >= 0:
+                if fresh in buckets:
+                    heappush(buckets[fresh], at)
+                else:
+                    buckets[fresh] = [at]
+                    leaf = fresh >> 8
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (fresh & 255)
+                    summary |= 1 << leaf
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -116,13 +121,13 @@ class Memo(dict):
 class Encoder:
     """Texts to ids as bytes of little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, ranks: dict[bytes, int], memo: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], memo: int = 500_000):
         self.ranks = ranks
-        self.words, self.led, self.first, self.sizes = Memo(memo), Memo(memo), Memo(memo // 4), Memo(memo)
+        self.words, self.led, self.first, self.sizes = Memo(memo), Memo(memo // 2), Memo(memo // 10), Memo(memo // 2)
 
     def word(self, piece: str) -> bytes:
-        got = self.words.get(piece) or self.words.old.get(piece)
-        return got or self.words.keep(piece, np.array(merge(piece.encode(), self.ranks), "<u4").tobytes())
+        got = self.words.get(piece)
+        return got or self.words.keep(piece, self.words.old.get(piece) or np.array(merge(piece.encode(), self.ranks), "<u4").tobytes())
 
     def count(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token."""
