@@ -351,10 +351,10 @@ def graph_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 @register("match_score", given("""a AS (SELECT *, split_part(lower(name), ' ', 1) AS base FROM ent WHERE type = 'model'), p AS (SELECT x.id AS a, y.id AS b, 0.5E0 * (1 - levenshtein(x.slug, y.slug) / CAST(greatest(length(x.slug), length(y.slug)) AS DOUBLE)) + 0.2E0 * CASE WHEN coalesce(x.author, '') = coalesce(y.author, '') THEN 1 WHEN x.author IS NULL OR y.author IS NULL THEN 0.5E0 WHEN contains(x.author, y.author) OR contains(y.author, x.author) THEN 0.5E0 ELSE 0 END + 0.15E0 * CASE WHEN x.params_billions > 0 AND y.params_billions > 0 THEN CASE WHEN least(x.params_billions, y.params_billions) / greatest(x.params_billions, y.params_billions) >= 0.8E0 THEN 1 WHEN least(x.params_billions, y.params_billions) / greatest(x.params_billions, y.params_billions) >= 0.5E0 THEN 0.5E0 ELSE 0 END ELSE 0 END + 0.05E0 * CASE WHEN lower(coalesce(x.license, '')) = lower(coalesce(y.license, '')) THEN 1 ELSE 0 END AS s FROM a x JOIN a y ON x.primary_category = y.primary_category AND x.base = y.base AND x.k < y.k) SELECT a, b, round(least(s, 1), 6) AS score FROM p WHERE s >= 0.5E0""", ENT))
 def match_score(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted match of two records within a block."""
+    """Weighted match of two records of one category, the block; every pair of a category is scored."""
     from lodestack.operators.matching import match_score as score
+    from lodestack.operators.matching import meet
 
-    e = entities(spark, d).filter("type = 'model'").withColumn("base", F.split_part(F.lower("name"), F.lit(" "), F.lit(1)))
-    block = (F.col("x.primary_category") == F.col("y.primary_category")) & (F.col("x.base") == F.col("y.base"))
-    pairs = e.alias("x").join(e.alias("y"), block & (F.col("x.k") < F.col("y.k")))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(score("x", "y"), 6).alias("score"), score("x", "y").alias("s")).filter("s >= 0.5").drop("s")
+    e = entities(spark, d).filter("type = 'model'").select("k", "id", "slug", "author", "params_billions", "license", "primary_category")
+    pairs = meet(e, e, "primary_category", "k", "k").filter(F.col("x.k") < F.col("y.k"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score("x", "y").alias("s")).filter("s >= 0.5").select("a", "b", F.round("s", 6).alias("score"))
