@@ -138,12 +138,18 @@ def join_top_citing(spark: SparkSession, d: str) -> DataFrame:
  s AS (SELECT x.id, y.id AS other, round(10 + CASE WHEN x.base = y.base THEN 50 ELSE 0 END + CASE WHEN x.p = y.p THEN 30 ELSE 0 END + least(30, 5 * len(list_intersect(x.tags, y.tags))) + y.score / 10, 6) AS sim FROM b x JOIN b y ON x.c = y.c AND x.base = y.base AND x.id <> y.id)
  SELECT id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s WHERE sim > 15) WHERE rn <= 5""", ENT))
 def join_rule_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Like entities by rules, within category and base name: at fifty points of a hundred, a shared base decides."""
-    b = entities(spark, d).filter("primary_category IS NOT NULL AND type = 'model'").select("id", F.col("primary_category").alias("c"), F.split_part(F.lower("name"), F.lit(" "), F.lit(1)).alias("base"), F.col("params_billions").alias("p"), "tags", "score")
-    x, y = b.alias("x"), b.alias("y")
-    sim = 10 + 50 + F.when(F.col("x.p") == F.col("y.p"), 30).otherwise(0) + F.least(F.lit(30), 5 * F.size(F.array_intersect("x.tags", "y.tags"))) + F.col("y.score") / 10
-    pairs = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.base") == F.col("y.base")) & (F.col("x.id") != F.col("y.id"))).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), F.round(sim, 6).alias("sim")).filter("sim > 15")
-    return R.top_n(pairs, ["id"], [F.desc("sim"), F.asc("other")], 5).select("id", "other", "sim")
+    """The five likest entities of the category by rules. Rows that the rules can't tell apart are one candidate until the end."""
+    from lodestack.operators.matching import meet
+
+    b = entities(spark, d).filter("primary_category IS NOT NULL AND type = 'model'").select("id", F.col("primary_category").alias("c"), F.split_part(F.lower("name"), F.lit(" "), F.lit(1)).alias("base"), F.col("params_billions").alias("p"), F.array_sort(F.array_distinct("tags")).alias("t"), (F.col("score") / 10).alias("boost"))
+    alike = ["c", "base", "p", "t"]
+    b = b.withColumn("h", F.md5(F.to_json(F.struct(*alike))))
+    # of any such class only its six best entities can be among the five best of another
+    few = R.top_n(b, ["h"], [F.desc(F.round("boost", 6)), F.asc("id")], 6)
+    sim = 10 + F.when(F.col("x.base") == F.col("y.base"), 50).otherwise(0) + F.when(F.col("x.p") == F.col("y.p"), 30).otherwise(0) + F.least(F.lit(30), 5 * F.size(F.array_intersect("x.t", "y.t"))) + F.col("y.boost")
+    pairs = meet(b.select("h", *alike).dropDuplicates(["h"]), few.select("h", *alike, "id", "boost"), "c", "h", "id").select(F.col("x.h").alias("h"), F.col("y.id").alias("other"), F.round(sim, 6).alias("sim")).filter("sim > 15")
+    best = R.top_n(pairs, ["h"], [F.desc("sim"), F.asc("other")], 6).select("h", "other", "sim")
+    return R.top_n(b.select("id", "h").join(best, "h").filter("id <> other"), ["id"], [F.desc("sim"), F.asc("other")], 5).select("id", "other", "sim")
 
 
 @register("join_recommend", given("""t AS (SELECT * FROM ent WHERE k = 40) SELECT e.id, round(0.4E0 * len(list_intersect(e.tags, t.tags)) / len(list_distinct(list_concat(e.tags, t.tags))) + 0.25E0 * CASE WHEN e.pipeline_tag = t.pipeline_tag THEN 1 ELSE 0 END + 0.15E0 * CASE WHEN e.author = t.author THEN 1 ELSE 0 END, 6) AS similarity FROM ent e, t WHERE e.k <> t.k ORDER BY similarity DESC, e.id LIMIT 6""", ENT))

@@ -24,3 +24,10 @@ def same_rows(spark, duck, name, *cuts):  # noqa: F811
 def test_match_score_compares_all_of_a_category(spark, duck, monkeypatch, rows):  # noqa: F811
     monkeypatch.setattr(matching, "PIECE_ROWS", rows)
     same_rows(spark, duck, "match_score", (" AND x.base = y.base", ""))
+
+
+@here
+@pytest.mark.parametrize("rows", [matching.PIECE_ROWS, 3])
+def test_rule_similarity_scores_all_of_a_category(spark, duck, monkeypatch, rows):  # noqa: F811
+    monkeypatch.setattr(matching, "PIECE_ROWS", rows)
+    same_rows(spark, duck, "join_rule_similarity", (" AND x.base = y.base", ""))
