@@ -249,8 +249,8 @@ def trend_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @register("trend_last_90", given("SELECT id, day, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day DESC) AS rn FROM hist) WHERE rn <= 10", HIST))
 def trend_last_90(spark: SparkSession, d: str) -> DataFrame:
-    """The last points of each id."""
-    return R.last_points(history(spark, d), "id", "day", 10).select("id", "day", F.round("score", 6).alias("score"))
+    """The last ninety points of each id."""
+    return R.last_points(history(spark, d), "id", "day", 90).select("id", "day", F.round("score", 6).alias("score"))
 
 
 @register("trend_follows", given("d AS (SELECT DISTINCT day FROM hist) SELECT day, lead(day) OVER (ORDER BY day DESC) AS follows FROM d", HIST))

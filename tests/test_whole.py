@@ -31,3 +31,8 @@ def test_match_score_compares_all_of_a_category(spark, duck, monkeypatch, rows):
 def test_rule_similarity_scores_all_of_a_category(spark, duck, monkeypatch, rows):  # noqa: F811
     monkeypatch.setattr(matching, "PIECE_ROWS", rows)
     same_rows(spark, duck, "join_rule_similarity", (" AND x.base = y.base", ""))
+
+
+@here
+def test_ninety_points_are_kept(spark, duck):  # noqa: F811
+    same_rows(spark, duck, "trend_last_90", ("rn <= 10", "rn <= 90"))
