@@ -128,10 +128,10 @@ def join_membership(spark: SparkSession, d: str) -> DataFrame:
 
 @register("join_top_citing", given("c AS (SELECT dst AS paper, src AS model, max(conf) AS conf FROM rel WHERE verb = 'CITES' GROUP BY 1, 2), p AS (SELECT paper, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, paper) AS pr FROM c GROUP BY paper) SELECT paper, n, model, mr FROM (SELECT c.paper, p.n, c.model, row_number() OVER (PARTITION BY c.paper ORDER BY c.conf DESC, c.model) AS mr FROM c JOIN p ON p.paper = c.paper AND p.pr <= 50) WHERE mr <= 5", REL))
 def join_top_citing(spark: SparkSession, d: str) -> DataFrame:
-    """The most cited papers, with their strongest citing entities."""
+    """The 500 most cited papers, with their twenty strongest citing entities."""
     c = relations(spark, d).filter("verb = 'CITES'").groupBy(F.col("dst").alias("paper"), F.col("src").alias("model")).agg(F.max("conf").alias("conf"))
-    top = c.groupBy("paper").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "paper").limit(50)
-    return R.top_n(c.join(F.broadcast(top), "paper"), ["paper"], [F.desc("conf"), F.asc("model")], 5, "mr").select("paper", "n", "model", "mr")
+    top = c.groupBy("paper").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "paper").limit(500)
+    return R.top_n(c.join(F.broadcast(top), "paper"), ["paper"], [F.desc("conf"), F.asc("model")], 20, "mr").select("paper", "n", "model", "mr")
 
 
 @register("join_rule_similarity", given("""b AS (SELECT id, primary_category AS c, split_part(lower(name), ' ', 1) AS base, params_billions AS p, tags, score FROM ent WHERE primary_category IS NOT NULL AND type = 'model'),

@@ -36,3 +36,8 @@ def test_rule_similarity_scores_all_of_a_category(spark, duck, monkeypatch, rows
 @here
 def test_ninety_points_are_kept(spark, duck):  # noqa: F811
     same_rows(spark, duck, "trend_last_90", ("rn <= 10", "rn <= 90"))
+
+
+@here
+def test_top_citing_keeps_500_by_20(spark, duck):  # noqa: F811
+    same_rows(spark, duck, "join_top_citing", ("p.pr <= 50)", "p.pr <= 500)"), ("mr <= 5", "mr <= 20"))
