@@ -154,11 +154,18 @@ def join_rule_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @register("join_recommend", given("""t AS (SELECT * FROM ent WHERE k = 40) SELECT e.id, round(0.4E0 * len(list_intersect(e.tags, t.tags)) / len(list_distinct(list_concat(e.tags, t.tags))) + 0.25E0 * CASE WHEN e.pipeline_tag = t.pipeline_tag THEN 1 ELSE 0 END + 0.15E0 * CASE WHEN e.author = t.author THEN 1 ELSE 0 END, 6) AS similarity FROM ent e, t WHERE e.k <> t.k ORDER BY similarity DESC, e.id LIMIT 6""", ENT))
 def join_recommend(spark: SparkSession, d: str) -> DataFrame:
-    """Entities like one entity, by a weighted sum."""
-    e = entities(spark, d)
-    t = e.filter("k = 40").select(F.col("k").alias("tk"), F.col("tags").alias("tt"), F.col("pipeline_tag").alias("tp"), F.col("author").alias("ta"))
-    sim = 0.4 * jaccard(F.col("tags"), F.col("tt")) + 0.25 * F.when(F.col("pipeline_tag") == F.col("tp"), 1).otherwise(0) + 0.15 * F.when(F.col("author") == F.col("ta"), 1).otherwise(0)
-    return e.crossJoin(F.broadcast(t)).filter("k <> tk").select("id", F.round(sim, 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(6)  # one row on the right
+    """The six entities most like each entity whose number is divisible by 50, by a weighted sum over 0.2; last_modified stands
+    for the date of creation."""
+    from lodestack.plans.scores import days_since
+
+    e = entities(spark, d).withColumn("days", days_since("last_modified")).withColumn("likes", F.coalesce("likes", F.lit(0)))
+    t = e.filter("k % 50 = 0").select(F.col("k").alias("tk"), F.col("id").alias("target"), F.col("tags").alias("tt"), F.col("pipeline_tag").alias("tp"), F.col("author").alias("ta"), F.col("likes").alias("tl"))
+    most = F.greatest("likes", "tl")
+    popularity = F.when(most == 0, 0.5).otherwise(F.least("likes", "tl") / F.when(most > 0, most))
+    age = F.when(F.col("days") < 30, 1.0).when(F.col("days") < 90, 0.8).when(F.col("days") < 180, 0.6).when(F.col("days") < 365, 0.4).when(F.col("days").isNotNull(), 0.3).otherwise(0.5)
+    sim = 0.4 * jaccard(F.col("tags"), F.col("tt")) + 0.25 * F.when(F.col("pipeline_tag") == F.col("tp"), 1).otherwise(0) + 0.15 * F.when(F.col("author") == F.col("ta"), 1).otherwise(0) + 0.1 * popularity + 0.1 * age
+    pairs = e.crossJoin(t).filter("k <> tk").select("target", "id", sim.alias("s")).filter("s > 0.2").select("target", "id", F.round("s", 6).alias("similarity"))
+    return R.top_n(pairs, ["target"], [F.desc("similarity"), F.asc("id")], 6).drop("rn")
 
 
 @register("join_one_per_bundle", "SELECT l_suppkey AS bundle, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey)) AS rn FROM lineitem) WHERE rn = 1")

@@ -1,10 +1,13 @@
 """Queries that do the whole job, where the registered SQL has a cut: the same SQL without that cut, or brute force."""
 
+from collections import defaultdict
+
 import pytest
 from test_oracle import DATA, TABLES, duck, table  # noqa: F401  duck is a fixture
 
 from lodestack.operators import matching
 from lodestack.plans import registry
+from lodestack.plans.duck import ENT
 
 here = pytest.mark.skipif(not TABLES, reason="no tables here")
 
@@ -41,3 +44,26 @@ def test_ninety_points_are_kept(spark, duck):  # noqa: F811
 @here
 def test_top_citing_keeps_500_by_20(spark, duck):  # noqa: F811
     same_rows(spark, duck, "join_top_citing", ("p.pr <= 50)", "p.pr <= 500)"), ("mr <= 5", "mr <= 20"))
+
+
+@here
+def test_recommend_has_all_terms_and_targets(spark, duck):  # noqa: F811
+    ents = duck.sql(f"WITH {ENT} SELECT k, id, tags, pipeline_tag, author, coalesce(likes, 0), date_diff('day', last_modified, DATE '2024-02-01') FROM ent").fetchall()
+    want = {}
+    for k, target, tags, tag, author, likes, _ in ents:
+        if k % 50:
+            continue
+        found = []
+        for j, id, tags2, tag2, author2, likes2, days in ents:
+            most = max(likes, likes2)
+            ratio = min(likes, likes2) / most if most else 0.5
+            age = 0.5 if days is None else next((s for limit, s in ((30, 1.0), (90, 0.8), (180, 0.6), (365, 0.4)) if days < limit), 0.3)
+            s = 0.4 * len({*tags} & {*tags2}) / len({*tags} | {*tags2}) + 0.25 * (tag is not None and tag == tag2) + 0.15 * (author is not None and author == author2) + 0.1 * ratio + 0.1 * age
+            if j != k and s > 0.2:
+                found.append((-s, id))
+        want[target] = [-s for s, _ in sorted(found)[:6]]
+    got = defaultdict(list)
+    for r in registry.queries()["join_recommend"](spark, DATA).collect():
+        got[r["target"]].append(r["similarity"])
+    assert len(want) > 1 and got.keys() == {t for t in want if want[t]}
+    assert all(sorted(got[t], reverse=True) == pytest.approx(want[t], abs=2e-6) for t in got)
