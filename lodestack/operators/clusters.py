@@ -6,56 +6,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.vectors import squared_l2
+from lodestack.operators.search import best_of_blocks
+
+#: Rounds end once no centroid moves as far.
+SHIFT = 0.001
+
 
 def kmeans(vectors: DataFrame, id: str, vector: str, k: int, rounds: int, seed: int = 42) -> DataFrame:
-    """(cluster, centroid) after Lloyd rounds from k rows with the smallest seeded hash. A task sums its rows by cluster in one matrix
-    product; a cluster that loses all rows keeps its centroid."""
-    first = vectors.orderBy(F.xxhash64(F.lit(seed), id)).limit(k).select(vector).collect()
-    cents = np.array([r[0] for r in first], float)
-    for _ in range(rounds):
-        cents = _step(vectors, vector, cents)
+    """(cluster, centroid) after Lloyd rounds from k rows with the smallest seeded hash, which end early once no centroid moves by SHIFT.
+    A task sums its rows by cluster in one matrix product; a cluster that loses all rows keeps its centroid."""
+    cents = _train(vectors, id, vector, 1, k, rounds, seed)[0]
     return vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(cents)], "cluster int, centroid array<double>")
 
 
+def _train(vectors: DataFrame, id: str, vector: str, parts: int, k: int, rounds: int, seed: int = 42) -> np.ndarray:
+    """(parts, k, dim / parts): centroids of each slice of the vectors, a job per round for all slices; k is bounded by the rows."""
+    x = np.array([r[0] for r in vectors.orderBy(F.xxhash64(F.lit(seed), id), id).limit(k).select(vector).collect()], float)
+    cents = np.stack(np.split(x, parts, axis=1))
+    for _ in range(rounds):
+        before, cents = cents, _step(vectors, vector, cents)
+        if np.sqrt(((cents - before) ** 2).sum(axis=2)).max() < SHIFT:
+            break
+    return cents
+
+
 def nearest(x: np.ndarray, cents: np.ndarray) -> np.ndarray:
     """The centroid of smallest squared distance for each row, the lowest number of equals."""
     return ((cents**2).sum(1)[None, :] - 2 * x @ cents.T).argmin(1)
 
 
 def _step(vectors: DataFrame, vector: str, cents: np.ndarray) -> np.ndarray:
-    k, dim = cents.shape
+    parts, k, width = cents.shape
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((k, dim)), np.zeros(k)
+        total, n = np.zeros((parts, k, width)), np.zeros((parts, k), np.int64)
         for b in batches:
             if len(b):
                 x = np.stack(b[vector].to_numpy()).astype(float)
-                at = nearest(x, cents)
-                np.add.at(total, at, x)
-                n += np.bincount(at, minlength=k)
-        yield pd.DataFrame({"cluster": np.arange(k), "n": n.astype(np.int64), "total": list(total)})
-
-    parts = vectors.select(vector).mapInPandas(sums, "cluster int, n long, total array<double>")
-    summed = parts.select("cluster", "n", F.posexplode("total").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
-    out = cents.copy()
-    for c, pos, x, n in zip(summed["cluster"], summed["pos"], summed["x"], summed["n"], strict=True):
-        if n:
-            out[c, pos] = x / n
-    return out
-
-
-def pq_train(vectors: DataFrame, id: str, vector: str, parts: int, codes: int, rounds: int = 5) -> np.ndarray:
-    """Code books (parts, codes, dim / parts): k-means of each slice of the vectors."""
-    dim = len(vectors.select(vector).first()[0])
-    width = dim // parts
-    books = []
-    for m in range(parts):
-        c = kmeans(vectors.select(id, F.slice(vector, m * width + 1, width).alias("s")), id, "s", codes, rounds).orderBy("cluster").collect()
-        books.append([r["centroid"] for r in c])
-    return np.array(books)
+                for m in range(parts):
+                    own = x[:, m * width : (m + 1) * width]
+                    at = nearest(own, cents[m])
+                    np.add.at(total[m], at, own)
+                    n[m] += np.bincount(at, minlength=k)
+        yield pd.DataFrame({"cluster": np.arange(parts * k), "n": n.reshape(-1), "total": list(total.reshape(-1, width))})
+
+    each = vectors.select(vector).mapInPandas(sums, "cluster int, n long, total array<double>")
+    summed = each.select("cluster", "n", F.posexplode("total").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).filter("n > 0").toPandas()
+    out = cents.copy().reshape(parts * k, width)
+    out[summed["cluster"], summed["pos"]] = summed["x"] / summed["n"]
+    return out.reshape(parts, k, width)
+
+
+def pq_train(vectors: DataFrame, id: str, vector: str, parts: int, codes: int = 256, rounds: int = 20) -> np.ndarray:
+    """Code books (parts, codes, dim / parts): k-means of each slice of the vectors; codes is bounded by the rows."""
+    return _train(vectors, id, vector, parts, codes, rounds)
 
 
 def pq_encode(vectors: DataFrame, id: str, vector: str, books: np.ndarray) -> DataFrame:
@@ -72,11 +80,15 @@ def pq_encode(vectors: DataFrame, id: str, vector: str, books: np.ndarray) -> Da
     return vectors.select(id, vector).mapInPandas(encode, f"{id} long, codes array<int>")
 
 
-def pq_search(codes: DataFrame, id: str, books: np.ndarray, query: list[float], k: int) -> DataFrame:
-    """The k rows of smallest asymmetric distance: a table of the query's distance to each code, looked up slice by slice."""
+def pq_search(codes: DataFrame, id: str, books: np.ndarray, queries: DataFrame, k: int, vectors: DataFrame, vector: str, candidates: int = 1000) -> DataFrame:
+    """(query, id, distance): for each row of queries(query, vector) the k rows of smallest squared distance among its candidates, which
+    are the rows of smallest asymmetric distance: tables of the query's distance to each code, looked up slice by slice."""
     m, _, width = books.shape
-    q = np.array(query, float)
-    look = np.stack([((books[p] - q[p * width : (p + 1) * width]) ** 2).sum(1) for p in range(m)])
-    tables = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in look))
-    distance = F.aggregate(F.zip_with("codes", tables, lambda c, t: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
-    return codes.select(id, F.round(distance, 6).alias("distance")).orderBy("distance", id).limit(k)
+
+    def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        look = [((q[:, None, p * width : (p + 1) * width] - books[p][None]) ** 2).sum(axis=2) for p in range(m)]
+        return sum(look[p][:, rows[:, p]] for p in range(m))
+
+    found = best_of_blocks(codes, id, "codes", queries, vector, distances, candidates)
+    exact = found.join(vectors.select(id, F.col(vector).alias("v")), id).join(queries.select("query", F.col(vector).alias("q")), "query").select("query", id, F.round(squared_l2(F.col("v"), F.col("q")), 6).alias("distance"))
+    return exact.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("distance", id))).filter(F.col("rn") <= k).drop("rn")

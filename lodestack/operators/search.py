@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,9 @@ from lodestack.functions.scoring import bm25
 from lodestack.functions.text import stem, terms
 from lodestack.functions.vectors import cosine, squared_l2
 
+#: Query vectors that are compared with all rows at a time.
+QUERIES = 1024
+
 
 def inverted_index(df: DataFrame, id: str, text, score: str) -> DataFrame:
     """(term, id, score): a posting for each distinct stem of a row."""
@@ -39,10 +47,52 @@ def search(postings: DataFrame, id: str, score: str, wanted: list[str], k: int =
     return ranked.orderBy(F.desc("relevance"), id).limit(k).select(id, "relevance", "hits")
 
 
-def nearest(vectors: DataFrame, id: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """The k rows most alike to one vector, by cosine over all rows."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select(id, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), id).limit(k)
+def best_of_blocks(rows: DataFrame, id: str, column: str, queries: DataFrame, vector: str, distances: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """(query, id, distance): the k rows of smallest distances(rows, query vectors), rounded to six decimals, for each row of
+    queries(query, vector). All rows are read for each QUERIES queries; a task returns its own best."""
+    out, block = [], []
+
+    def search(block: list) -> DataFrame:
+        asked, q = np.array([r["query"] for r in block]), np.array([r[vector] for r in block], float)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for b in batches:
+                if not len(b):
+                    continue
+                d = np.round(distances(np.stack(b[column].to_numpy()), q), 6)
+                n = min(k, d.shape[1]) - 1
+                # all that tie with the k-th stay until ids decide
+                i, j = np.nonzero(d <= np.partition(d, n, axis=1)[:, [n]])
+                at, ids, best = np.concatenate([at, i]), np.concatenate([ids, b[id].to_numpy()[j]]), np.concatenate([best, d[i, j]])
+                order = np.lexsort((ids, best, at))
+                at, ids, best = at[order], ids[order], best[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, ids, best = at[first], ids[first], best[first]
+            yield pd.DataFrame({"query": asked[at], id: ids, "distance": best})
+
+        return rows.select(id, column).mapInPandas(run, f"query long, {id} long, distance double")
+
+    for row in queries.select("query", vector).toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES:
+            out.append(search(block))
+            block = []
+    if block or not out:
+        out.append(search(block) if block else rows.sparkSession.createDataFrame([], f"query long, {id} long, distance double"))
+    every = reduce(DataFrame.unionByName, out)
+    return every.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("distance", id))).filter(F.col("rn") <= k).drop("rn")
+
+
+def nearest(vectors: DataFrame, id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, similarity): the k rows most alike to each of queries(query, vector), by cosine over all rows; 0 where either has no length."""
+
+    def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        rows = rows.astype(float)
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
+        return -np.divide(q @ rows.T, norms, out=np.zeros_like(norms), where=norms > 0)
+
+    return best_of_blocks(vectors, id, vector, queries, vector, distances, k).select("query", id, (-F.col("distance")).alias("similarity"))
 
 
 def centroids(vectors: DataFrame, vector: str, cluster: str) -> DataFrame:
@@ -58,9 +108,9 @@ def assign(vectors: DataFrame, id: str, vector: str, cents: DataFrame, cluster:
     return best.select(id, F.col(f"m.{cluster}").alias(cluster), F.col("m.distance").alias("distance"))
 
 
-def cluster_candidates(members: DataFrame, id: str, cluster: str, cents: DataFrame, query: list[float], order: str, clusters: int = 3, each: int = 200) -> DataFrame:
-    """Members of the clusters nearest a query vector, the best of each."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    near = cents.select(cluster, cosine(F.col("centroid"), q).alias("sim")).orderBy(F.desc("sim"), cluster).limit(clusters)
-    w = Window.partitionBy(cluster).orderBy(F.desc(order), id)
-    return members.join(F.broadcast(near), cluster).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= each).drop("rn")
+def cluster_candidates(members: DataFrame, id: str, cluster: str, cents: DataFrame, queries: DataFrame, vector: str, order: str, clusters: int = 3, each: int = 200) -> DataFrame:
+    """Members of the clusters nearest each of queries(query, vector), the best of each cluster."""
+    sims = queries.crossJoin(F.broadcast(cents)).select("query", cluster, cosine(F.col("centroid"), F.col(vector)).alias("sim"))  # a row per cluster on the right
+    near = sims.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), cluster))).filter(F.col("rn") <= clusters).drop("rn")
+    best = members.withColumn("rn", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(order), id))).filter(F.col("rn") <= each).drop("rn")
+    return near.join(best, cluster)

@@ -166,13 +166,16 @@ def search_postings(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("k", F.round("relevance", 4).alias("relevance"), "hits").orderBy(F.desc("relevance"), "k").limit(200)
 
 
+def _vector_queries(e: DataFrame) -> DataFrame:
+    """The vectors that are searched for."""
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
 @register("vector_nearest", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x))), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 20")
 def vector_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Brute-force nearest vectors."""
     e = read(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select("embedding").first()
-    hits = S.nearest(e, "vec_id", "embedding", list(q[0]), 20)
-    return hits.select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return S.nearest(e, "vec_id", "embedding", _vector_queries(e), 20)
 
 
 @register("vector_quantised", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(greatest(-128, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS INT)), ',') AS bytes FROM embeddings")
@@ -201,28 +204,25 @@ def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
     from lodestack.operators.clusters import kmeans
 
     e = read(spark, d, "embeddings")
-    return S.assign(e, "vec_id", "embedding", kmeans(e, "vec_id", "embedding", 8, 5), "cluster").select("vec_id", "cluster", F.round("distance", 4).alias("distance"))
+    return S.assign(e, "vec_id", "embedding", kmeans(e, "vec_id", "embedding", 128, 20), "cluster").select("vec_id", "cluster", F.round("distance", 4).alias("distance"))
 
 
 @register("vector_product_codes")
 def vector_product_codes(spark: SparkSession, d: str) -> DataFrame:
-    """V4, V5: product-quantised codes and asymmetric distances."""
+    """V4, V5: product-quantised codes, candidates by asymmetric distances, the best of them by exact ones."""
     from lodestack.operators.clusters import pq_encode, pq_search, pq_train
 
     e = read(spark, d, "embeddings")
-    books = pq_train(e, "vec_id", "embedding", 8, 16)
-    codes = pq_encode(e, "vec_id", "embedding", books)
-    query = e.filter("vec_id = 0").first()["embedding"]
-    return pq_search(codes, "vec_id", books, list(query), 20)
+    books = pq_train(e, "vec_id", "embedding", 8)
+    return pq_search(pq_encode(e, "vec_id", "embedding", books), "vec_id", books, _vector_queries(e), 20, e, "embedding")
 
 
 @register("vector_rerank")
 def vector_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """V6, V7: members of the clusters nearest a query."""
+    """V6, V7: members of the clusters nearest each query."""
     e = read(spark, d, "embeddings")
-    q = list(e.filter("vec_id = 3").first()["embedding"])
     c = S.centroids(e, "embedding", "label")
-    return S.cluster_candidates(e.select("vec_id", "label"), "vec_id", "label", c, q, "vec_id").select("vec_id", "label", F.round(F.least(F.lit(99.9), F.col("sim") * 100), 4).alias("s"))
+    return S.cluster_candidates(e.select("vec_id", "label"), "vec_id", "label", c, _vector_queries(e), "embedding", "vec_id").select("query", "vec_id", "label", F.round(F.least(F.lit(99.9), F.col("sim") * 100), 4).alias("s"))
 
 
 # Verbs, sinks, streams ------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from test_oracle import DATA, TABLES, duck, table  # noqa: F401  duck is a fixture
 
@@ -67,3 +68,53 @@ def test_recommend_has_all_terms_and_targets(spark, duck):  # noqa: F811
         got[r["target"]].append(r["similarity"])
     assert len(want) > 1 and got.keys() == {t for t in want if want[t]}
     assert all(sorted(got[t], reverse=True) == pytest.approx(want[t], abs=2e-6) for t in got)
+
+
+def vectors(duck):  # noqa: F811
+    rows = duck.sql("SELECT vec_id, label, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+
+
+@here
+def test_nearest_of_all_queries(spark, duck):  # noqa: F811
+    ids, _, x = vectors(duck)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = defaultdict(list)
+    for r in registry.queries()["vector_nearest"](spark, DATA).collect():
+        got[r["query"]].append(r["similarity"])
+    assert sorted(got) == sorted(ids[ids % 50 == 0].tolist())
+    for q, found in got.items():
+        want = sorted(unit @ unit[ids == q][0], reverse=True)[:20]
+        assert sorted(found, reverse=True) == pytest.approx(want, abs=2e-6)
+
+
+@here
+def test_product_codes_recall(spark, duck):  # noqa: F811
+    ids, _, x = vectors(duck)
+    got = defaultdict(dict)
+    for r in registry.queries()["vector_product_codes"](spark, DATA).collect():
+        got[r["query"]][r["vec_id"]] = r["distance"]
+    assert sorted(got) == sorted(ids[ids % 50 == 0].tolist())
+    recall = []
+    for q, found in got.items():
+        exact = ((x - x[ids == q]) ** 2).sum(axis=1)
+        assert len(found) == 20 and all(d == pytest.approx(exact[ids == v][0], abs=1e-5) for v, d in found.items())
+        recall.append(len({*ids[np.lexsort((ids, exact))[:20]].tolist()} & {*found}) / 20)
+    print("recall", np.mean(recall))
+    assert np.mean(recall) >= 0.9
+
+
+@here
+def test_rerank_and_clusters_take_all(spark, duck):  # noqa: F811
+    ids, labels, x = vectors(duck)
+    got = defaultdict(set)
+    for r in registry.queries()["vector_rerank"](spark, DATA).collect():
+        got[r["query"]].add((r["vec_id"], r["label"]))
+    assert sorted(got) == sorted(ids[ids % 50 == 0].tolist())
+    cents = {c: x[labels == c].mean(axis=0) for c in set(labels.tolist())}
+    for q, found in got.items():
+        v = x[ids == q][0]
+        near = sorted(cents, key=lambda c: (-(cents[c] @ v) / np.linalg.norm(cents[c]) / np.linalg.norm(v), c))[:3]
+        assert found == {(i, c) for c in near for i in sorted(ids[labels == c].tolist(), reverse=True)[:200]}
+    clusters = registry.queries()["vector_clusters"](spark, DATA).collect()
+    assert len(clusters) == len(ids) and len({r["cluster"] for r in clusters}) > 64
