@@ -88,7 +88,7 @@ def terms(text: Column) -> Column:
 
 def main_content(html: Column) -> Column:
     """The text of a page: no scripts, styles, navigation, headers or footers; headings as #; paragraphs apart; entities resolved."""
-    out = F.substring(html, 1, 2_000_000)
+    out = html
     for tag in ("script", "style", "nav", "header", "footer"):
         out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     for level in range(1, 7):

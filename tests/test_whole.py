@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import DATA, TABLES, duck, table  # noqa: F401  duck is a fixture
 
+from lodestack.functions import text as X
 from lodestack.operators import matching
 from lodestack.plans import registry
 from lodestack.plans.duck import ENT
@@ -118,3 +120,10 @@ def test_rerank_and_clusters_take_all(spark, duck):  # noqa: F811
         assert found == {(i, c) for c in near for i in sorted(ids[labels == c].tolist(), reverse=True)[:200]}
     clusters = registry.queries()["vector_clusters"](spark, DATA).collect()
     assert len(clusters) == len(ids) and len({r["cluster"] for r in clusters}) > 64
+
+
+def test_main_content_reads_whole_pages(spark):
+    html = "<p>" + "word " * 401_000 + "</p><p>last</p>"
+    assert len(html) > 2_000_000
+    got = spark.createDataFrame([(html,)], "html string").select(X.main_content(F.col("html")).alias("t")).first()["t"]
+    assert got.endswith("last")
