@@ -5,26 +5,27 @@ sorted most significant digit first, eight bytes a pass, and a suffix leaves the
 
 Not all suffixes of the corpus have to meet for that. Each window of `length` bytes is given an anchor, the q-gram of smallest
 hash in it (the leftmost of equals), which depends on the window's bytes alone; so equal windows have equal anchors, at equal
-distances. A first pass finds the anchors that occur in two or more texts, a second one sends only the windows of those
-anchors, as snippets that cover all windows of one occurrence, to the task that sorts the anchor's windows. Hashes choose
-what meets; equality is always decided on the bytes.
+distances. Texts are stored in pages of some megabytes. A first pass finds the anchors that occur in two or more pages, a second
+one sends only the windows of those and of the anchors that a page has in two documents, as snippets that cover all windows of one
+occurrence, to the task that sorts the anchor's windows. Hashes choose what meets; equality is always decided on the bytes.
 
-Texts that are equal as a whole are merged before this: all windows of a copy start in the first one, too.
+A page sends each snippet once, for the document of smallest id that has it; for its others in the page the answer is known. So
+neither copies of whole texts nor a line that is in every document fill a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.textkit import arrow_map, blocks, join_hot, materialise, mix, table
+from lodestack.llm.textkit import arrow_map, blocks, materialise, mix, release, slices, table, utf8
 
 LENGTH = 50
 Q = 20
@@ -125,246 +126,337 @@ def radix_groups(text: np.ndarray, at: np.ndarray, length: int, seed: np.ndarray
 
 
 _LEVEL = 3
-#: What is sent of the snippets of a block and bucket, a column each, bytes of equal weight together: that compresses best.
-_PARTS = {"hashes": "<u8", "ids": "<i8", "ranks": "<i8", "which": "<u4", "starts": "<i8", "lead": "u1", "sizes": "<u2", "bytes": "u1"}
+#: Bytes of text of a page, its unit of work, about; a longer text is a page by itself.
+PAGE_BYTES = 4 << 20
+#: What is sent of the snippets of a page and bucket, a column each, bytes of equal weight together: that compresses best.
+_PARTS = {"hashes": "<u8", "ranks": "<i8", "lead": "u1", "sizes": "<u2", "bytes": "u1", "owners": "<u4", "rows": "<u4", "starts": "<i8"}
 
 
-def _packed(column: pa.Array) -> pa.Array:
-    """Each text compressed: texts move between tasks in this form only."""
-    squeeze = zstandard.ZstdCompressor(level=_LEVEL).compress
-    return pa.array([squeeze((t or "").encode()) for t in column.to_pylist()], pa.binary())
+def _squeezed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
-def _unpacked(column: pa.Array) -> list[bytes]:
-    expand = zstandard.ZstdDecompressor().decompress
-    return [expand(z) for z in column.to_pylist()]
+def _expanded(blob: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+def _stored(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", _LEVEL))) as out:
+        out.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(digests of all rows, the first row of each distinct text, the number of rows).
+def _loaded(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
 
-    Digests: doc_id, rank (the id; a null one after all others), k1, k2 (128 bits of the text), n_bytes. Firsts: id, k1, k2, rank, n,
-    z (the text, compressed). Copies of a text that has a thousandth of all rows are dropped before the texts shuffle."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("rank"), F.xxhash64("text").alias("k1"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("k2"), "text")
-    digests = materialise(keyed.select("doc_id", "rank", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    total = digests.count()
-    least = digests.groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
-    hot = F.broadcast(least.filter(F.col("n") * 1000 >= total).select("k1", "k2", F.col("rank").alias("hot_rank")))  # 1000 rows at most
-    some = keyed.join(hot, ["k1", "k2"], "left").filter(F.col("hot_rank").isNull() | (F.col("rank") == F.col("hot_rank")))
 
-    def squeeze(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("rank"), _packed(b.column("text"))], ["k1", "k2", "rank", "z"])
+def pages(docs: DataFrame) -> DataFrame:
+    """(page, z): the rows of docs, all columns, some megabytes a page, written once; z is a compressed Arrow stream."""
 
-    small = arrow_map(some.select("k1", "k2", "rank", "text"), squeeze, "k1 long, k2 long, rank long, z binary")
-    first = small.join(least.hint("shuffle_hash"), ["k1", "k2", "rank"]).select("k1", "k2", "rank", "n", "z")
-    texts = materialise(first.withColumn("id", F.monotonically_increasing_id()), "texts")
-    if not texts.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter(F.col("c") > 1).isEmpty():  # rows that repeat an id and a text
-        texts = materialise(texts.dropDuplicates(["k1", "k2"]), "texts")
-    return digests, texts, total
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, PAGE_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array([_stored(part)], pa.binary())], ["z"])
 
+    return materialise(docs.mapInArrow(run, "z binary").select(F.monotonically_increasing_id().alias("page"), "z"), "pages")
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """(id, spans): for texts(id, rank, z) that have any, the maximal runs of bytes covered by a window of `length` bytes that also
-    starts in a text of smaller rank, as little-endian pairs of longs (start, end) in order.
 
-    z is the compressed text; texts shorter than `length` have no window. Texts of equal rank don't count for each other."""
-    spark = texts.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _occurrences(data: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+    """(row, position, hash, first window, last window) of all anchors of a page."""
+    found = list(zip(*_anchored(data, off, length, q), strict=True))
+    return tuple(map(np.concatenate, found)) if found else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64))
 
-    def offer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The anchors of a batch by bucket: six bytes of the hash and the index of the text for each."""
-        data, off = _flat(_unpacked(b.column("z")))
-        ids = b.column("id").to_numpy()
-        rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for row, _, h, _, _ in _anchored(data, off, length, q):
-            rows.append(row)
-            hashes.append(h)
-        row, h = np.concatenate(rows), np.concatenate(hashes)
-        order = np.lexsort((row, h))
-        row, h = row[order], h[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-        row, h = row[new], h[new]
-        buckets = _bucket(h, shuffles)
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions first[k] to first[k] + size[k] - 1 of all k, one after another."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(first - before, size)
+
+
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size[k] bytes from a[k] and from b[k] differ, for all k."""
+    out = np.zeros(len(a), bool)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+        part = slice(at, stop)
+        unlike = data[_ranges(a[part], size[part])] != data[_ranges(b[part], size[part])]
+        out[part] = np.add.reduceat(unlike, np.cumsum(size[part]) - size[part]) > 0
+        at = stop
+    return out
+
+
+def _combined(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, ...]:
+    """Occurrences of a page by equal snippets: (the occurrence of least rank of each, for every occurrence its snippet's number, and
+    whether its rank is larger than the least). Keys choose what is compared; equality is decided on the bytes."""
+    row, pos, h, first, last = found
+    size, lead = last - first + length, pos - first
+    with np.errstate(over="ignore"):
+        key = mix(h + mix((lead * 65_599 + size).astype(np.uint64)))
+    order = np.lexsort((ranks[row], key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order  # of each place in the order
+    other = np.flatnonzero(~new)
+    same = (size[order[other]] == size[head[other]]) & (lead[order[other]] == lead[head[other]]) & (h[order[other]] == h[head[other]])
+    pair = other[same]
+    same[same] = ~_differ(data, first[order[pair]], first[head[pair]], size[order[pair]])
+    alone = new.copy()
+    alone[other[~same]] = True  # its key is that of another snippet
+    heads = order[alone]
+    number = np.zeros(len(order), np.int64)
+    at = np.cumsum(alone) - 1
+    at[other[same]] = (np.cumsum(alone) - 1)[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[other[same]]]
+    number[order] = at
+    return heads, number, ranks[row] > ranks[row][heads][number]
+
+
+def _home(page: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(mix(page.astype(np.uint64)), n)
+
+
+def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """(page, spans): for those of pages() that have any, the maximal runs of bytes covered by a window of `length` bytes that also
+    starts in a document of smaller rank, as squeezed triples of longs (row of the page, start, end) in order.
+
+    Rank is doc_id, a null one after all others; rows of equal rank don't count for each other. What tasks exchange are packed blocks,
+    one for each page and bucket of anchors at most. A page sends an equal snippet once, for the least of its ranks; its other
+    occurrences are known to be repeats at once, so a passage that is everywhere costs a snippet a page, not one a document."""
+    shuffles = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        b = _loaded(z)
+        data, off = utf8(b.column("text"))
+        ranks = pc.fill_null(b.column("doc_id").cast(pa.int64()), NONE).to_numpy()
+        return data, off, ranks, _occurrences(data, off, length, q)
+
+    def by_bucket(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes by bucket, and where each bucket begins."""
+        own = np.unique(h)
+        buckets = _bucket(own, shuffles)
         order = np.argsort(buckets, kind="stable")
-        row, h, buckets = row[order], h[order], buckets[order]
-        cuts = np.searchsorted(buckets, np.arange(shuffles + 1))
-        out = {"bucket": [], "ids": [], "which": [], "hashes": []}
-        for k in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[k], cuts[k + 1])
-            used, which = np.unique(row[part], return_inverse=True)
-            out["bucket"].append(int(k))
-            out["ids"].append(ids[used].astype("<i8").tobytes())
-            out["which"].append(which.astype("<u2" if len(used) < 65536 else "<u4").tobytes())
-            out["hashes"].append(np.ascontiguousarray((h[part] // np.uint64(shuffles)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("ids", "which", "hashes")}})
+        return own, order, np.searchsorted(buckets[order], np.arange(shuffles + 1))
+
+    def offer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The anchors of a page by bucket, six bytes of the hash of each."""
+        for page, z in zip(b.column("page").to_pylist(), b.column("z").to_pylist(), strict=True):
+            own, order, cuts = by_bucket(read(z)[3][2])
+            buckets = np.flatnonzero(np.diff(cuts))
+            short = (own[order] // np.uint64(shuffles)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            blobs = [zstandard.ZstdCompressor(level=_LEVEL).compress(np.ascontiguousarray(short[cuts[k] : cuts[k + 1]].T).tobytes()) for k in buckets]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([page] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "page", "hashes"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The anchors that two or more texts offer, for each of these."""
-        ids, hashes = [], []
+        """A flag for each anchor of the partition: whether another page has it. Blocks are addressed to the homes of pages."""
+        expand = zstandard.ZstdDecompressor().decompress
+        bucket, page, hashes = [], [], []
         for b in batches:
-            for bucket, i, w, h in zip(*(b.column(k).to_pylist() for k in ("bucket", "ids", "which", "hashes")), strict=True):
-                raw = np.zeros((len(h) // 6, 8), np.uint8)
-                raw[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
-                hashes.append((raw.view("<u8").ravel() << np.uint64(12)) | np.uint64(bucket % 4096))
-                own = np.frombuffer(i, "<i8")
-                ids.append(own[np.frombuffer(w, "<u2" if len(own) < 65536 else "<u4")])
-        if not ids:
+            for k, p, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "page", "hashes")), strict=True):
+                part = np.frombuffer(expand(blob), np.uint8).reshape(6, -1)
+                raw = np.zeros((part.shape[1], 8), np.uint8)
+                raw[:, :6] = part.T
+                bucket.append(k)
+                page.append(p)
+                hashes.append((raw.view("<u8").ravel() << np.uint64(12)) | np.uint64(k % 4096))
+        if not page:
             return
-        i, h = np.concatenate(ids), np.concatenate(hashes)
-        ids.clear()
+        sizes = np.array(list(map(len, hashes)))
+        h = np.concatenate(hashes)
         hashes.clear()
         order = np.argsort(h)
-        h = h[order]
-        same = h[1:] == h[:-1]
-        twice = np.concatenate([[False], same]) | np.append(same, False)
-        i, h = i[order[twice]], h[twice]
-        order = np.argsort(i, kind="stable")
-        i, h = i[order], h[order]
-        own, at = np.unique(i, return_index=True)
-        at = np.append(at, len(i))
-        for s in range(0, len(own), 5000):
-            e = min(s + 5000, len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(own[s:e]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(s, e)], pa.binary())], ["id", "anchors"])
-
-    offered = arrow_map(texts.select("id", "z"), offer, "bucket int, ids binary, which binary, hashes binary")
-    found = materialise(offered.repartitionById(shuffles, F.col("bucket")).mapInArrow(shared, "id long, anchors binary"), "anchors")
-    by_text = found.groupBy("id").agg(F.collect_list("anchors").alias("anchors"))
-    candidates = texts.select("id", "rank", "z").join(by_text.hint("shuffle_hash"), "id")
+        same = h[order][1:] == h[order][:-1]
+        flags = np.zeros(len(h), np.uint8)
+        flags[order] = np.concatenate([[False], same]) | np.append(same, False)
+        stops = np.cumsum(sizes)
+        home = _home(np.array(page), shuffles)
+        out = {"home": [], "pages": [], "buckets": [], "sizes": [], "flags": []}
+        for to in np.unique(home).tolist():
+            own = np.flatnonzero(home == to)
+            out["home"].append(to)
+            out["pages"].append(_squeezed(np.array(page, "<i8")[own]))
+            out["buckets"].append(_squeezed(np.array(bucket, "<i4")[own]))
+            out["sizes"].append(_squeezed(sizes[own].astype("<i8")))
+            out["flags"].append(_squeezed(flags[_ranges(stops[own] - sizes[own], sizes[own])]))
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "home" else pa.binary()) for k, v in out.items()})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The flags of each page, by bucket and hash."""
+        got: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for b in batches:
+            for p, k, n, f in zip(*(b.column(c).to_pylist() for c in ("pages", "buckets", "sizes", "flags")), strict=True):
+                flags, at = _expanded(f, "u1"), 0
+                for page, bucket, size in zip(_expanded(p, "<i8").tolist(), _expanded(k, "<i4").tolist(), _expanded(n, "<i8").tolist(), strict=True):
+                    got.setdefault(page, []).append((bucket, flags[at : at + size]))
+                    at += size
+        for page, parts in got.items():
+            parts.sort(key=lambda x: x[0])
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([_squeezed(np.concatenate([x[1] for x in parts]))], pa.binary())], ["page", "flags"])
+
+    offered = stored.mapInArrow(lambda batches: (x for b in batches for x in offer(b)), "bucket int, page long, hashes binary")
+    answers = offered.repartitionById(shuffles, F.col("bucket")).mapInArrow(shared, "home int, " + ", ".join(f"{k} binary" for k in ("pages", "buckets", "sizes", "flags")))
+    found = materialise(answers.repartitionById(shuffles, F.col("home")).mapInArrow(told, "page long, flags binary"), "anchors")
+    kinds = {"bucket": pa.int32(), "page": pa.int64(), **{k: pa.binary() for k in (*_PARTS, "spans")}}
 
     def snippets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """For each occurrence of a shared anchor the bytes of all its windows, by bucket."""
-        data, off = _flat(_unpacked(b.column("z")))
-        ids, ranks = b.column("id").to_numpy(), b.column("rank").to_numpy()
-        squeeze = zstandard.ZstdCompressor(level=_LEVEL).compress
-        lists = b.column("anchors").to_pylist()
-        for row, pos, h, first, last in _anchored(data, off, length, q):
-            if not len(row):
+        """For each snippet around an anchor that has company its bytes, by bucket; and the spans that the page knows by itself."""
+        for page, z, known in zip(*(b.column(c).to_pylist() for c in ("page", "z", "flags")), strict=True):
+            data, off, ranks, (row, pos, h, first, last) = read(z)
+            own, order, _ = by_bucket(h)
+            wanted = np.zeros(len(own), bool)
+            wanted[order] = _expanded(known, "u1") > 0
+            which = np.searchsorted(own, h)
+            least, most = np.full(len(own), len(off)), np.full(len(own), -1)
+            np.minimum.at(least, which, row)
+            np.maximum.at(most, which, row)
+            c = np.flatnonzero((wanted | (least < most))[which])
+            if not len(c):
                 continue
-            buckets = _bucket(h, shuffles)
-            short = ((h // np.uint64(shuffles)) & np.uint64((1 << 48) - 1)) << np.uint64(12) | (buckets % 4096).astype(np.uint64)
-            keep = np.zeros(len(row), bool)
-            starts = np.searchsorted(row, np.arange(row[0], row[-1] + 2))
-            for k in range(row[0], row[-1] + 1):
-                s, e = starts[k - row[0]], starts[k - row[0] + 1]
-                keep[s:e] = np.isin(short[s:e], np.frombuffer(b"".join(lists[k]), np.uint64))
-            chosen = np.flatnonzero(keep)
-            chosen = chosen[np.argsort(buckets[chosen], kind="stable")]
-            cuts = np.searchsorted(buckets[chosen], np.arange(shuffles + 1))
-            out = {k: [] for k in ("bucket", *_PARTS)}
+            row, pos, h, first, last = (x[c] for x in (row, pos, h, first, last))
+            heads, number, later = _combined(data, off, ranks, (row, pos, h, first, last), length)
+            start, size = first - off[row], last - first + length
+            out: dict[str, list] = {k: [] for k in kinds}
+            if later.any():
+                out["bucket"].append(int(_home(np.array([page]), shuffles)[0]))
+                out["spans"].append(_squeezed(np.stack(_union(row[later], start[later], (start + size)[later]), axis=1).astype("<i8").ravel()))
+            mine = np.flatnonzero(~later)
+            mine = mine[np.argsort(number[mine], kind="stable")]  # owners by snippet
+            owners = np.bincount(number[mine], minlength=len(heads))
+            begins = np.cumsum(owners) - owners
+            buckets = _bucket(h[heads], shuffles)
+            by = np.argsort(buckets, kind="stable")
+            cuts = np.searchsorted(buckets[by], np.arange(shuffles + 1))
             for k in np.flatnonzero(np.diff(cuts)):
-                c = chosen[cuts[k] : cuts[k + 1]]
-                size = last[c] - first[c] + length
-                total = np.concatenate([[0], np.cumsum(size)])
-                index = np.arange(total[-1]) + np.repeat(first[c] - total[:-1], size)
-                used, which = np.unique(row[c], return_inverse=True)
-                start = first[c] - off[row[c]]
-                part = {"hashes": h[c], "ids": ids[used], "ranks": ranks[used], "which": which.astype("<u4"), "starts": start.astype("<i8"), "lead": (pos[c] - first[c]).astype(np.uint8), "sizes": size.astype("<u2"), "bytes": data[index]}
+                s = by[cuts[k] : cuts[k + 1]]
+                o, x = heads[s], mine[_ranges(begins[s], owners[s])]
+                part = {"hashes": h[o], "ranks": ranks[row[o]], "lead": pos[o] - first[o], "sizes": size[o], "bytes": data[_ranges(first[o], size[o])], "owners": owners[s], "rows": row[x], "starts": start[x]}
                 out["bucket"].append(int(k))
-                for name, values in part.items():
-                    out[name].append(squeeze(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items() if k != "bucket"}})
+                out["spans"].append(None)
+                for name, kind in _PARTS.items():
+                    out[name].append(_squeezed(part[name].astype(kind)))
+            for name in _PARTS:
+                out[name] = [None] * (len(out["bucket"]) - len(out[name])) + out[name]
+            out["page"] = [page] * len(out["bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The spans of the partition's snippets, a block for each home of pages."""
         parts: dict[str, list[np.ndarray]] = {k: [] for k in _PARTS}
-        expand = zstandard.ZstdDecompressor().decompress
+        at_page, spans = [], []
         for b in batches:
             for k in range(b.num_rows):
-                one = {}
+                page = b.column("page")[k].as_py()
+                if (ready := b.column("spans")[k].as_py()) is not None:
+                    triples = _expanded(ready, "<i8").reshape(-1, 3)
+                    spans.append(np.column_stack([np.full(len(triples), page), triples]))
+                    continue
                 for name, kind in _PARTS.items():
-                    raw = np.frombuffer(expand(b.column(name)[k].as_py()), np.uint8)
-                    one[name] = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-                one["ids"], one["ranks"] = one["ids"][one["which"]], one["ranks"][one["which"]]
-                for name, values in one.items():
-                    parts[name].append(values)
-        if not parts["ids"]:
+                    parts[name].append(_expanded(b.column(name)[k].as_py(), kind))
+                at_page.append(np.full(len(parts["hashes"][-1]), page))
+        if at_page:
+            p = {k: np.concatenate(v) for k, v in parts.items()} | {"pages": np.concatenate(at_page)}
+            parts.clear()
+            s, a, e = _later(p, length)
+            owners = p["owners"].astype(np.int64)
+            x = _ranges((np.cumsum(owners) - owners)[s], owners[s])
+            who = np.repeat(np.arange(len(s)), owners[s])
+            spans.append(np.stack([p["pages"][s[who]], p["rows"][x].astype(np.int64), p["starts"][x] + a[who], p["starts"][x] + e[who]], axis=1))
+        if not sum(map(len, spans)):
             return
-        p = {k: np.concatenate(v) for k, v in parts.items()}
-        parts.clear()
-        n = len(p["ids"])
-        size = p["sizes"].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(size)])
-        order = np.argsort(p["hashes"], kind="stable")
-        marks = np.searchsorted(p["hashes"][order], np.unique(p["hashes"]))
-        hit_snippet, hit_at = [], []
-        # whole anchors at a time, in runs of about two million windows
-        counts = np.cumsum(size[order] - length + 1)
-        edges = [0]
-        for m in [*marks[1:], n]:
-            if counts[m - 1] - (counts[edges[-1] - 1] if edges[-1] else 0) > 2_000_000 or m == n:
-                edges.append(int(m))
-        for a, e in zip(edges[:-1], edges[1:], strict=True):
-            own = order[a:e]
-            windows = size[own] - length + 1
-            snippet = np.repeat(own, windows)
-            base = np.concatenate([[0], np.cumsum(windows)])
-            rel = np.arange(base[-1]) - np.repeat(base[:-1], windows)
-            # equal windows have their anchor at the same distance from their start
-            distance = p["lead"][snippet].astype(np.int64) - rel
-            seed = mix(p["hashes"][snippet] + distance.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            alive, group = radix_groups(p["bytes"], total[snippet] + rel, length, seed)
-            if not len(alive):
-                continue
-            rank = p["ranks"][snippet[alive]]
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(group))))
-            later = alive[rank > least]
-            hit_snippet.append(snippet[later])
-            hit_at.append(rel[later])
-        if not hit_snippet or not sum(map(len, hit_snippet)):
+        both = np.concatenate(spans)
+        home = _home(both[:, 0], shuffles)
+        order = np.argsort(home, kind="stable")
+        both, home = both[order], home[order]
+        to = np.unique(home)
+        cuts = np.searchsorted(home, np.append(to, shuffles))
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([_squeezed(both[i:j].astype("<i8").ravel()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["home", "spans"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_expanded(x, "<i8").reshape(-1, 4) for b in batches for x in b.column("spans").to_pylist()]
+        if not got:
             return
-        s, r = np.concatenate(hit_snippet), np.concatenate(hit_at)
-        start = p["starts"][s] + r
-        i = p["ids"][s]
-        yield from _runs(i, start, start + length)
-
-    sent = arrow_map(candidates, snippets, "bucket int, " + ", ".join(f"{k} binary" for k in _PARTS))
-    spans = sent.repartitionById(shuffles, F.col("bucket")).mapInArrow(sort, "id long, spans binary")
-    gathered = materialise(spans, "spans").groupBy("id").agg(F.collect_list("spans").alias("spans"))
-
-    def merge(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = b.column("id").to_numpy()
-        lists = [np.frombuffer(b"".join(x), "<i8").reshape(-1, 2) for x in b.column("spans").to_pylist()]
-        if lists:
-            both = np.concatenate(lists)
-            yield from _runs(np.repeat(ids, [len(x) for x in lists]), both[:, 0], both[:, 1])
-
-    return arrow_map(gathered, merge, "id long, spans binary")
-
-
-def _runs(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, spans): for each id the union of its ranges as maximal runs."""
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], end[order]
-    own, group = np.unique(ids, return_inverse=True)
-    # ranges of one id reach neither the next id's nor one that lies beyond their running maximum
+        both = np.concatenate(got)
+        page, at = np.unique(both[:, 0], return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(len(page) + 1))
+        for k, one in enumerate(page.tolist()):
+            mine = both[order[cuts[k] : cuts[k + 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([_squeezed(np.stack(_union(mine[:, 1], mine[:, 2], mine[:, 3]), axis=1).astype("<i8").ravel())], pa.binary())], ["page", "spans"])
+
+    candidates = stored.join(found.hint("shuffle_hash"), "page")
+    sent = candidates.select("page", "z", "flags").mapInArrow(lambda batches: (x for b in batches for x in snippets(b)), "bucket int, page long, " + ", ".join(f"{k} binary" for k in (*_PARTS, "spans")))
+    sorted_ = sent.repartitionById(shuffles, F.col("bucket")).mapInArrow(sort, "home int, spans binary")
+    spans = materialise(sorted_.repartitionById(shuffles, F.col("home")).mapInArrow(merge, "page long, spans binary"), "spans")
+    release(found)
+    return spans
+
+
+def _later(p: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(snippet, start, end): the runs of each snippet that windows cover which a snippet of smaller rank has, too."""
+    size = p["sizes"].astype(np.int64)
+    total = np.cumsum(size) - size
+    order = np.argsort(p["hashes"], kind="stable")
+    marks = np.flatnonzero(np.concatenate([[True], p["hashes"][order][1:] != p["hashes"][order][:-1]]))
+    # whole anchors at a time, in runs of about two million windows
+    counts = np.cumsum(size[order] - length + 1)
+    edges = [0]
+    for m in [*marks[1:].tolist(), len(order)]:
+        if counts[m - 1] - (counts[edges[-1] - 1] if edges[-1] else 0) > 2_000_000 or m == len(order):
+            edges.append(m)
+    hits, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, e in zip(edges[:-1], edges[1:], strict=True):
+        own = order[a:e]
+        windows = size[own] - length + 1
+        snippet = np.repeat(own, windows)
+        rel = _ranges(np.zeros(len(own), np.int64), windows)
+        # equal windows have their anchor at the same distance from their start
+        distance = p["lead"][snippet].astype(np.int64) - rel
+        with np.errstate(over="ignore"):
+            seed = mix(p["hashes"][snippet] + distance.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        alive, group = radix_groups(p["bytes"], total[snippet] + rel, length, seed)
+        if not len(alive):
+            continue
+        rank = p["ranks"][snippet[alive]]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(group))))
+        later = alive[rank > least]
+        hits.append(snippet[later])
+        at.append(rel[later])
+    s, r = np.concatenate(hits), np.concatenate(at)
+    return _union(s, r, r + length)
+
+
+def _union(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end): for each owner the union of its ranges as maximal runs, in order."""
+    if not len(own):
+        return own, start, end
+    order = np.lexsort((start, own))
+    own, start, end = own[order], start[order], end[order]
+    group = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]))
+    # ranges of one owner reach neither the next one's nor one that lies beyond their running maximum
     far = np.int64(end.max() + 1)
     reach = np.maximum.accumulate(end + group * far) - group * far
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > reach[:-1])])
-    at = np.flatnonzero(new)
-    stop = reach[np.append(at[1:], len(ids)) - 1]
-    cuts = np.searchsorted(group[at], np.arange(len(own) + 1))
-    pairs = np.stack([start[at], stop], axis=1).astype("<i8")
-    for s in range(0, len(own), 5000):
-        e = min(s + 5000, len(own))
-        yield pa.RecordBatch.from_arrays([pa.array(own[s:e]), pa.array([pairs[cuts[k] : cuts[k + 1]].tobytes() for k in range(s, e)], pa.binary())], ["id", "spans"])
-
-
-def cut(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
-    """The bytes that remain, and the bytes and runs removed."""
-    if not spans:
-        return text, 0, 0
-    pairs = np.frombuffer(spans, "<i8").reshape(-1, 2).tolist()
+    new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > reach[:-1])]))
+    return own[new], start[new], reach[np.append(new[1:], len(own)) - 1]
+
+
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside the spans, which are in order and apart."""
     kept, at = [], 0
-    for a, b in pairs:
+    for a, b in spans:
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return b"".join(kept), sum(b - a for a, b in pairs), len(pairs)
+    return b"".join(kept)
+
+
+def _spans_of(blob: bytes | None, n: int) -> list[list[tuple[int, int]]]:
+    """The spans of each of the n rows of a page."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for row, a, b in _expanded(blob, "<i8").reshape(-1, 3).tolist() if blob else ():
+        out[row].append((a, b))
+    return out
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -373,45 +465,38 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame
     A null or empty text has no bytes. A row with a null id comes after all others and never makes another one lose bytes; rows of
     one id don't count for each other. An empty table gives no rows; only doc_id and text are read, so other columns may have any
     name. Overlapping windows count once; all are judged on the input."""
-    digests, texts, total = distinct_texts(docs)
-    spans = repeated_spans(texts, length, q)
+    stored = pages(docs.select("doc_id", "text"))
+    spans = repeated_spans(stored, length, q)
 
-    def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        done = [cut(t, s) for t, s in zip(_unpacked(b.column("z")), b.column("spans").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("rank"), b.column("n"), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in done])], ["k1", "k2", "first_rank", "n", "cut_bytes", "cut_runs", "sha"])
+    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for z, blob in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            page = _loaded(z)
+            texts = [(t or "").encode() for t in page.column("text").to_pylist()]
+            cuts = _spans_of(blob, len(texts))
+            shas = [hashlib.sha256(cut(t, s)).hexdigest() for t, s in zip(texts, cuts, strict=True)]
+            longs = [list(map(len, texts)), [sum(y - x for x, y in s) for s in cuts], list(map(len, cuts))]
+            yield pa.RecordBatch.from_arrays([page.column("doc_id"), *(pa.array(x, pa.int64()) for x in longs), pa.array(shas, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole = texts.select("id", "k1", "k2", "rank", "n", "z").join(spans.hint("shuffle_hash"), "id", "left")
-    firsts = materialise(arrow_map(whole, each, "k1 long, k2 long, first_rank long, n long, cut_bytes long, cut_runs long, sha string"), "firsts")
-    joined = join_hot(digests, firsts, ["k1", "k2"], "n", total)
-    copy = (F.col("rank") > F.col("first_rank")) & (F.col("n_bytes") >= length)
-    return joined.select("doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("cut_bytes")).alias("n_removed"), F.when(copy, F.lit(1)).otherwise(F.col("cut_runs")).cast("long").alias("n_spans"), F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"))
+    return arrow_map(stored.join(spans.hint("shuffle_hash"), "page", "left").select("z", "spans"), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """docs, all rows and columns, with the repeated bytes taken out of text; n_chars, if there, is counted anew.
 
     Bytes left of a character that was cut in two are dropped. Null texts stay null; otherwise as dedup_report."""
-    tag = uuid.uuid4().hex[:8]
-    _, texts, total = distinct_texts(docs)
-    spans = texts.select("id", "k1", "k2", "rank", "n").join(repeated_spans(texts, length, q), "id", "left").select(*(F.col(c).alias(f"{c}_{tag}") for c in ("k1", "k2", "rank", "spans")), F.col("n"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({f"k1_{tag}": F.xxhash64(text), f"k2_{tag}": F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")})
-    count = f"n_{tag}"
-    joined = join_hot(keyed, spans.withColumnRenamed("n", count), [f"k1_{tag}", f"k2_{tag}"], count, total)
-    copy = (F.coalesce("doc_id", F.lit(NONE)) > F.col(f"rank_{tag}")) & (F.octet_length("text") >= length)
-    marked = joined.withColumn(f"copy_{tag}", F.coalesce(copy, F.lit(False))).select(*docs.columns, f"spans_{tag}", f"copy_{tag}")
-    columns = docs.columns
-    at = columns.index("text")
-
-    def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t, s, c in zip(b.column("text").to_pylist(), b.column(f"spans_{tag}").to_pylist(), b.column(f"copy_{tag}").to_pylist(), strict=True):
-            out.append(t if t is None or not (s or c) else "" if c else cut(t.encode(), s)[0].decode(errors="ignore"))
-        cols = list(b.columns)[: len(columns)]
-        cols[at] = pa.array(out, pa.string())
-        return pa.RecordBatch.from_arrays(cols, columns)
-
-    done = arrow_map(marked, each, docs.schema)
+    stored = pages(docs)
+    spans = repeated_spans(stored, length, q)
+    at = docs.columns.index("text")
+
+    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for z, blob in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            page = _loaded(z)
+            texts = page.column(at).to_pylist()
+            columns = list(page.columns)
+            columns[at] = pa.array([cut(t.encode(), s).decode(errors="ignore") if s else t for t, s in zip(texts, _spans_of(blob, len(texts)), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema=page.schema)
+
+    done = arrow_map(stored.join(spans.hint("shuffle_hash"), "page", "left").select("z", "spans"), each, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,11 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever the Arrow batch holds.
 BLOCK_BYTES = 1 << 18
-#: Rows of an Arrow batch that are worked on at a time.
+#: Rows, and bytes of texts, of an Arrow batch that are worked on at a time.
 SLICE_ROWS = 2000
+SLICE_BYTES = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,24 +26,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a
+    temporary one in local mode, in which all share one machine; on a cluster that would lose data, so it raises."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
-    return jsc.getCheckpointDir().get()
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+#: The folders of the tables that this process wrote and has not deleted, and those that a DataFrame of materialise() reads.
+_LIVE: set[str] = set()
+_FOLDER: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, computes df a single time.
 
-    Afterwards the JVM is asked to collect garbage, so that the shuffle files of the finished step leave the disks."""
+    The shuffle files of the write leave the disks as it ends. release() deletes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    _LIVE.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDER[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _LIVE.discard(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialise() returned, once nothing reads them any more."""
+    for t in tables:
+        if path := _FOLDER.pop(t, None):
+            _delete(t.sparkSession, path)
+
+
+def live() -> frozenset[str]:
+    """The tables of materialise() that are still there."""
+    return frozenset(_LIVE)
+
+
+def sweep(docs: DataFrame, paths: Iterable[str]) -> None:
+    """Delete those tables among `paths` that docs doesn't read."""
+    paths = [p for p in paths if p in _LIVE]
+    if paths:
+        read = docs.inputFiles()
+        for p in paths:
+            if not any(p.rpartition("/")[2] in f for f in read):
+                _delete(docs.sparkSession, p)
 
 
 def held_out() -> F.Column:
@@ -87,15 +134,24 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """mapInArrow with one call per slice of a batch; setup() runs once per task before the first."""
+def slices(b: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE_ROWS rows and `limit` bytes of strings and binaries, one row at least."""
+    size = np.full(b.num_rows, 16, np.int64)
+    for column in b.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    for i, j in blocks(np.concatenate([[0], np.cumsum(size)]), limit):
+        for s in range(i, j, SLICE_ROWS):
+            yield b.slice(s, min(SLICE_ROWS, j - s))
+
+
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """mapInArrow with one call per slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if setup is not None:
-            setup()
         for whole in batches:
-            for s in range(0, whole.num_rows, SLICE_ROWS):
-                out = each(whole.slice(s, SLICE_ROWS))
+            for part in slices(whole):
+                out = each(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:

@@ -387,6 +387,23 @@ def test_substrings_are_brute_force(docs, length, q):
     assert Counter(map(tuple, substrings.dedup_report(docs, length, q).collect())) == want
 
 
+@pytest.mark.parametrize("partitions", ["3", "60"])
+def test_a_line_in_every_text(spark, monkeypatch, partitions):
+    """Small pages and many partitions change neither the rows nor, beyond a row for each task, what tasks exchange."""
+    monkeypatch.setattr(substrings, "PAGE_BYTES", 3000)
+    rng = random.Random(8)
+    line = "This line, which is longer than fifty bytes, stands in every single text of the table."
+    rows = [(i if i % 9 else None, f"{prose(rng, 12)}\n{line}\n{prose(rng, 12)}") for i in range(120)] + [(200 + i, line) for i in range(30)]
+    want = Counter((d, int(m.sum())) for d, _, m in brute_cut(rows, 50))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = substrings.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 50).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) == want
+
+
 def test_texts_without_repeats(docs):
     want = Counter((d, np.frombuffer(b, np.uint8)[~m].tobytes().decode(errors="ignore")) for d, b, m in brute_cut([(r["doc_id"], r["text"]) for r in docs.collect()], 50))
     got = substrings.dedup_texts(clashing(docs))
