@@ -176,12 +176,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.2) -> DataFrame:
-    """The rows of docs, all columns, whose language is known: not `und`, and at least min_score of the n-grams belong to it."""
+    """The rows of docs, all columns, whose language is known: not `und`, and at least min_score of the n-grams belong to it. A string
+    column `lang`, if there, holds the language found from then on."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         lang, score, _ = score_batch(shared.value, b.column("text"))
-        return b.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()) if not min_score else pa.array((np.array(lang, object) != UNDETERMINED) & (score >= min_score)))
+        columns = list(b.columns)
+        if at is not None:
+            columns[at] = pa.array(lang, pa.string())
+        known = (np.array(lang, object) != UNDETERMINED) & (score >= min_score)
+        return pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array(known.astype(bool)))
 
     return arrow_map(docs, each, docs.schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestack.llm.bpe import _LOOSE_SPACE, load_ranks
-from lodestack.llm.textkit import arrow_map, materialise, table
+from lodestack.llm.textkit import arrow_map, materialise, release, scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -221,8 +221,8 @@ def _pack_groups(rows: DataFrame, room: int, islands: int, epochs: int) -> DataF
 
     state = ids
     for epoch in range(epochs):
-        state = state.groupBy("grp", "island").applyInPandas(run(epoch), schema)
-        state = materialise(state, f"epoch{epoch}")
+        before, state = state, materialise(state.groupBy("grp", "island").applyInPandas(run(epoch), schema), f"epoch{epoch}")
+        release(before)
     best = state.groupBy("grp", "island").agg(F.max("bin").alias("bins")).groupBy("grp").agg(F.min_by("island", F.struct("bins", "island")).alias("island"))
     chosen = state.join(best, ["grp", "island"])
     free = chosen.groupBy("grp", "bin").agg((F.lit(room) - F.sum("length")).alias("free"))
@@ -234,18 +234,18 @@ def pack(docs: DataFrame, name: str = TOKENIZER, room: int = ROOM, end_id: int =
 
     A null or empty text is one piece of one token, the end id. Repeated rows are packed as often as they come; an empty table
     gives no rows; only doc_id and text are read, so other columns may have any name."""
-    cut = materialise(pieces(docs, name, room, end_id).withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    full = cut.filter(F.col("length") == room)
-    part = cut.filter(F.col("length") < room)
-    groups = max(1, round(part.count() / group_pieces))
-    first = _pack_groups(part.withColumn("grp", F.pmod(F.xxhash64("rid"), F.lit(groups))), room, islands, epochs)
-    first = materialise(first, "first")
-    well = F.col("free") <= (1 - WELL_FILLED) * room
-    done = first.filter(well)
-    left = first.filter(~well)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    again = max(1, round(left.count() / group_pieces))
-    second = materialise(_pack_groups(left.withColumn("grp", F.pmod(F.xxhash64("grp", "bin"), F.lit(again))), room, islands, epochs), "second")
+    with scratch(docs.sparkSession) as keep:
+        cut = keep(materialise(pieces(docs, name, room, end_id).withColumn("rid", F.monotonically_increasing_id()), "pieces"))
+        full = cut.filter(F.col("length") == room)
+        part = cut.filter(F.col("length") < room)
+        groups = max(1, round(part.count() / group_pieces))
+        first = keep(materialise(_pack_groups(part.withColumn("grp", F.pmod(F.xxhash64("rid"), F.lit(groups))), room, islands, epochs), "first"))
+        well = F.col("free") <= (1 - WELL_FILLED) * room
+        done = first.filter(well)
+        left = first.filter(~well)
+        again = max(1, round(left.count() / group_pieces))
+        second = keep(materialise(_pack_groups(left.withColumn("grp", F.pmod(F.xxhash64("grp", "bin"), F.lit(again))), room, islands, epochs), "second"))
     wide = 1 << 16  # a group has fewer bins: they are no more than its pieces
     packed = done.select(*columns, ((F.col("grp") * wide + F.col("bin")) * 4 + 1).alias("sequence_id")).unionByName(second.select(*columns, ((F.col("grp") * wide + F.col("bin")) * 4 + 2).alias("sequence_id")))
     # a sequence holds at most `room` pieces, so the window stays small

@@ -10,8 +10,6 @@ the row, so no text and no word is ever shuffled.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,11 +148,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are kept; each row is judged by itself."""
-    row = f"row_{uuid.uuid4().hex[:8]}"
-    whole = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    good = judged(whole.select("text", *(["lang"] if "lang" in docs.columns else []), F.col(row).alias("row_number")), ["row_number"]).filter("kept").select(F.col("row_number").alias(row))
-    return whole.join(good, row, "left_semi").select(*docs.columns)
+    """The rows of docs, all columns, that are kept; each row is judged by itself, and travels with its figures, so nothing is joined back."""
+    whole = docs.select("text", *(["lang"] if "lang" in docs.columns else []), F.struct("*").alias("whole"))
+    return judged(whole, ["whole"]).filter("kept").select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

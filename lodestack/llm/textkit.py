@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: The folders of the tables that this process wrote and has not deleted, and those that a DataFrame of materialise() reads.
 _LIVE: set[str] = set()
 _FOLDER: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: What the innermost scratch() has to clear.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -57,6 +61,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(_TIDY, before)
     _LIVE.add(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDER[out] = path
     return out
@@ -75,6 +81,31 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialised within are deleted at its end, but for those given to the function that it yields."""
+    mine: list[str] = []
+    kept: set[str] = set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.add(_FOLDER[t])
+        return t
+
+    token, well = _SCOPE.set(mine), False
+    try:
+        yield keep
+        well = True
+    finally:
+        _SCOPE.reset(token)
+        outer = _SCOPE.get()
+        for path in mine:
+            if well and path in kept:
+                if outer is not None:
+                    outer.append(path)
+            elif path in _LIVE:
+                _delete(spark, path)
+
+
 def live() -> frozenset[str]:
     """The tables of materialise() that are still there."""
     return frozenset(_LIVE)
