@@ -5,7 +5,7 @@ summary bitmap above it, finds the lowest rank that waits by find-first-set; its
 the pairs on either side anew. Entries that no longer hold are skipped when they come up. Each merge costs the same however
 long the pre-token is, so a pre-token of n bytes takes n queue steps, not n scans.
 
-Pre-tokens repeat, so workers keep the ids of those they have seen, in two generations of bounded size.
+Pre-tokens repeat, so workers keep the ids of short ones that they have seen, in two generations of bounded bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 from heapq import heappop, heappush
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -104,26 +105,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo(dict):
-    """What is kept of up to `size` keys, and of the last `size` before these."""
+    """What is kept of keys up to `size` bytes with their values, and of the last `size` bytes before these."""
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.old = size, {}
-
-    def keep(self, key, value):
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        self.size, self.used, self.old = size, 0, {}
+
+    def keep(self, key: str, value):
+        """A key of over LONGEST characters is not kept: it hardly comes again, and a text without spaces is a single one."""
+        if len(key) <= LONGEST:
+            self.used += getsizeof(key) + getsizeof(value) + _ENTRY
+            if self.used > self.size:
+                self.old, self.used = dict(self), 0
+                self.clear()
+            self[key] = value
         return value
 
 
+LONGEST = 64
+_ENTRY = 100  # bytes of a dictionary's slot, about
+
+
 class Encoder:
-    """Texts to ids as bytes of little-endian unsigned 32-bit numbers."""
+    """Texts to ids as bytes of little-endian unsigned 32-bit numbers; `memo` bounds the bytes of each of two generations."""
 
-    def __init__(self, ranks: dict[bytes, int], memo: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], memo: int = 100 << 20):
         self.ranks = ranks
-        self.words, self.led, self.first, self.sizes = Memo(memo), Memo(memo // 2), Memo(memo // 10), Memo(memo // 2)
+        self.words, self.led, self.first, self.sizes = Memo(memo * 2 // 5), Memo(memo * 2 // 5), Memo(memo // 20), Memo(memo * 3 // 20)
 
     def word(self, piece: str) -> bytes:
         got = self.words.get(piece)
