@@ -15,29 +15,45 @@ from lodestack.operators import search as I
 
 MAX_RESULTS = 50
 MAX_IDS = 25
+#: What each sort orders by, largest first; the rest of the order is the same for all.
+_REST = ("score", "raw_pop")
+SORTS = {
+    "relevance": ("relevance", *_REST), "score": _REST, "likes": ("likes", *_REST), "downloads": ("downloads", *_REST), "last_updated": ("last_modified", *_REST),
+    **{f: (f"f_{f}", *_REST) for f in "sapqr"},
+}
 
 
 class Catalogue:
     """entities needs id, slug, name, type, score; verbs use further columns where they are there. Each verb returns a DataFrame
     and leaves the plan to Spark; pages and limits are checked before anything runs."""
 
-    def __init__(self, entities: DataFrame, history: DataFrame | None = None):
-        self.entities, self.history = entities, history
+    def __init__(self, entities: DataFrame, history: DataFrame | None = None, index: str | None = None):
+        self.entities, self.history, self.index = entities, history, index
+
+    def build_index(self, path: str) -> None:
+        """Store the words of all entities under path; search() then reads only the parts that a query needs."""
+        text = F.concat_ws(" ", *(c for c in ("name", "slug", "author", "description") if c in self.entities.columns))
+        I.write_index(self.entities, "id", text, "score", path)
+        self.index = path
+
+    def _hits(self, rows: DataFrame, wanted: list[str]) -> DataFrame:
+        if self.index:
+            return I.search_index(rows.sparkSession, self.index, "id", "score", wanted)
+        text = F.concat_ws(" ", *(c for c in ("name", "slug", "author", "description") if c in rows.columns))
+        return I.search(I.inverted_index(rows, "id", text, "score"), "id", "score", wanted)
 
     def search(self, query: str, type: str | None = None, sort: str = "relevance", limit: int = 20, page: int = 1) -> DataFrame:
-        """The best entities for the words of a query; without one that counts, all of them by score."""
+        """The best entities for the words of a query; without one that counts, or where none hits, all of them by score."""
         if not 1 <= limit <= MAX_RESULTS or page < 1:
             raise ValueError(f"limit must be 1 to {MAX_RESULTS}, page 1 or more")
-        wanted = I.query_terms(query)
+        wanted = I.query_terms(self.entities.sparkSession, query)
         rows = self.entities if type is None else self.entities.filter(F.col("type") == type)
         if wanted:
-            text = F.concat_ws(" ", *(c for c in ("name", "slug", "author", "description") if c in rows.columns))
-            hits = I.search(I.inverted_index(rows, "id", text, "score"), "id", "score", wanted)
-            rows = rows.join(hits, "id")
+            rows = rows.join(self._hits(rows, wanted), "id")
         else:
             rows = rows.withColumns({"relevance": F.col("score"), "hits": F.lit(0)})
-        order = {"relevance": "relevance", "score": "score", "likes": "likes", "last_updated": "last_modified"}[sort]
-        return rows.orderBy(F.desc_nulls_last(order), F.desc("score"), "id").offset((page - 1) * limit).limit(limit)
+        columns = SORTS[sort]
+        return rows.orderBy(*(F.desc_nulls_last(c) for c in columns if c in rows.columns), "id").offset((page - 1) * limit).limit(limit)
 
     def rank(self, task: str, query: str = "", limit: int = 20) -> DataFrame:
         return self.search(f"{task} {query}", limit=limit)

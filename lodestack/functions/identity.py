@@ -1,12 +1,9 @@
-"""Canonical ids. Peeling prefixes depends on what was peeled before, so this is a pandas UDF over distinct values of a batch."""
+"""Canonical ids, as column expressions over tables of prefixes."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The prefix of each source and type.
 PREFIXES = {
@@ -26,45 +23,44 @@ PREFIXES = {
 # Prefixes that tell a source or a type only.
 PARTIAL = {"hf--": ("hf", None), "gh--": ("gh", None), "replicate--": ("replicate", None), "civitai--": ("civitai", None), "kaggle--": ("kaggle", None), "ollama--": ("ollama", None), "dataset--": (None, "dataset"), "space--": (None, "space"), "agent--": (None, "agent"), "tool--": (None, "tool"), "paper--": (None, "paper"), "prompt--": (None, "prompt")}
 ALIASES = {"huggingface": "hf", "hf_hub": "hf", "github": "gh", "gh_repo": "gh", "mcp_registry": "mcp", "langchain_hub": "langchain"}
-_KNOWN = sorted([*((p, s, t) for s, by in PREFIXES.items() for t, p in by.items()), *((p, s, t) for p, (s, t) in PARTIAL.items())], key=lambda x: -len(x[0]))
+# File endings that are no part of an id, each taken off once in this order.
+ENDS = [r"\.meta\.json", r"\.meta", r"\.md", r"\.json"]
+#: Where an id comes from, if nothing else tells.
+SITES = {"github.com": "gh", "huggingface.co": "hf", "arxiv.org": "arxiv"}
+DEFAULT_SOURCE = "hf"
+DEFAULT_TYPE = {"arxiv": "paper", "gh": "agent", "langchain": "prompt"}
 
+_WHOLE = {p: (s, t) for s, by in PREFIXES.items() for t, p in by.items()}
+_ANY_WHOLE, _ANY_PART = (f"(?:{'|'.join(x)})" for x in (_WHOLE, PARTIAL))
 
-def canonical(id: str | None, source: str | None = None, type: str | None = None) -> str | None:
-    """The id with the prefix of its source and type; null for an empty one.
 
-    Up to five known prefixes are peeled, longest first; one that tells only half ends the peeling, as what follows may be a name."""
-    if not id:
-        return None
-    name = id.lower()
-    for end in (".meta.json", ".meta", ".md", ".json"):
-        name = name.removesuffix(end)
-    name = re.sub("[/:]", "--", name).strip()
-    if re.search(r"\d{4}\.\d{4,5}v\d+$", name):
-        name = re.sub(r"v\d+$", "", name)
-    of_source = of_type = None
-    for _ in range(5):
-        known = next((k for k in _KNOWN if name.startswith(k[0])), None)
-        if known is None:
-            break
-        prefix, s, t = known
-        name, of_source, of_type = name[len(prefix) :], s or of_source, t or of_type
-        if not (s and t):
-            break
-    s = (source or of_source or "").lower()
-    s = ALIASES.get(s, s) or next((v for k, v in (("github.com", "gh"), ("huggingface.co", "hf"), ("arxiv.org", "arxiv")) if k in id), "hf")
-    t = (type or of_type or "").lower()
-    if not t:
-        tool = any(w in id.lower() for w in ("tool", "mcp", "plugin"))
-        t = {"arxiv": "paper", "langchain": "prompt", "gh": "tool" if tool else "agent"}.get(s, "model")
-    return PREFIXES.get(s, {}).get(t, "") + name
+def _look_up(table: dict[str, str | None], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() if v is not None for x in (k, v))), key)
+
 
+def _given(column: Column) -> Column:
+    return F.nullif(F.lower(column), F.lit(""))
+
+
+def canonical(id: Column, source: Column, type: Column) -> Column:
+    """The id with the prefix of its source and type; null for an empty one.
 
-@F.pandas_udf(T.StringType())
-def normal_id(id: pd.Series, source: pd.Series, type: pd.Series) -> pd.Series:
-    seen: dict[tuple, str | None] = {}
-    out = []
-    for key in zip(id, source, type, strict=True):
-        if key not in seen:
-            seen[key] = canonical(*(None if pd.isna(x) else x for x in key))
-        out.append(seen[key])
-    return pd.Series(out, dtype=object)
+    What leads an id are up to five known prefixes; one that tells only a source or a type is the last of them, as what follows may
+    be a name. A source or type that isn't given is that of the last prefix which tells it, or else a usual one."""
+    plain = F.lower(id)
+    for end in ENDS:
+        plain = F.regexp_replace(plain, end + r"\z", "")
+    plain = F.trim(F.regexp_replace(plain, "[/:]", "--"))
+    plain = F.regexp_replace(plain, r"(\d{4}\.\d{4,5})v\d+\z", "$1")
+    lead = F.regexp_extract(plain, f"^((?:{_ANY_WHOLE}){{0,4}}(?:{_ANY_WHOLE}|{_ANY_PART})?)", 1)
+    last = F.regexp_extract(lead, f"({_ANY_WHOLE}|{_ANY_PART})$", 1)
+    whole = F.regexp_extract(lead, f"({_ANY_WHOLE})(?:{_ANY_PART})?$", 1)
+    tells = lambda k: F.coalesce(_look_up({p: x[k] for p, x in (_WHOLE | PARTIAL).items()}, last), _look_up({p: x[k] for p, x in _WHOLE.items()}, whole))
+    named = F.coalesce(_given(source), tells(0))
+    by_site = F.coalesce(*(F.when(id.contains(site), s) for site, s in SITES.items()), F.lit(DEFAULT_SOURCE))
+    of_source = F.coalesce(_look_up(ALIASES, named), named, by_site)
+    tool = (of_source == "gh") & F.lower(id).rlike("tool|mcp|plugin")
+    usual = F.when(tool, "tool").otherwise(F.coalesce(_look_up(DEFAULT_TYPE, of_source), F.lit("model")))
+    of_type = F.coalesce(_given(type), tells(1), usual)
+    prefix = _look_up({f"{s} {t}": p for p, (s, t) in _WHOLE.items()}, F.concat_ws(" ", of_source, of_type))
+    return F.when(id != "", F.concat(F.coalesce(prefix, F.lit("")), F.substring(plain, F.length(lead) + 1, F.length(plain))))

@@ -132,3 +132,18 @@ def bibtex(id: Column, title: Column, author: Column, year: Column, url: Column)
     poor = title.isNull() | (F.trim(title) == "") | title.rlike("^[0-9a-f]{16,}$") | title.contains("--") | F.lower(title).isin("untitled", "unknown")
     entry = F.concat(F.lit("@misc{"), F.regexp_replace(id, "[^A-Za-z0-9]+", "_"), F.lit(", title={"), title, F.lit("}, author={"), F.coalesce(author, F.lit("Unknown")), F.lit("}, year={"), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit("}, url={"), F.coalesce(url, F.lit("")), F.lit("}}"))
     return F.when(~poor, entry)
+
+
+def status_class(status: Column) -> Column:
+    return F.when(status < 400, "ok").when(status < 500, "client_error").otherwise("server_error")
+
+
+def referer_class(url: Column) -> Column:
+    """Where a request came from, by the host of its referer."""
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    return F.when(host == "", "direct").when(host.rlike(r"(^|\.)(google|bing|duckduckgo)\."), "search").when(host.rlike(r"(^|\.)(github\.com|huggingface\.co)$"), "developer").otherwise("other")
+
+
+def audience(agent: Column) -> Column:
+    """Whether a client says that it is a program."""
+    return F.when(F.lower(F.coalesce(agent, F.lit(""))).rlike("bot|crawler|spider|gpt|curl|python"), "agent").otherwise("human")

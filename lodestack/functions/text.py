@@ -2,59 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Words that are no terms.
 STOP_WORDS = (
     "a an the and or but in on at to for of is it by with as be was are been from has had have that this not no will can all its "
     "than into also may such when which where who how what would could should about over between through after before during under above"
 ).split()
-# Suffixes and what replaces them; the first of a list that fits is the one used.
-STEM_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
-STEM_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-#: Suffix and the length a word must exceed to lose it.
-STEM_4 = {"ement": 6, "ment": 5, "ent": 4, "ant": 4, "ence": 5, "ance": 5, "ible": 5, "able": 5}
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
+# The endings of a word, by step. Of a step's endings the longest that fits goes; what its groups hold, or what stands
+# beside it, stays.
+PLURAL = "^(?:(..+i)es|(.*ss)es|(..+[^s])s)$"
+TENSE = "^(?:(..+ee)d|(?!.*eed$)(.*[aeiou].*)ed|(.*[aeiou].*)ing)$"
+LAST_Y = "(?<=.[^aeiou])y$"
+DERIVED = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "alli": "al", "entli": "ent", "eli": "e",
+    "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful",
+    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
+FORMED = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+SUFFIX = "^(?:(..+?)(?:ement|ment|ent|ant|ence|ance|ible|able|er|ou)|(.+[st])ion)$"
+DOUBLE_L = "(?<=..l)l$"
 
-def stem(w: str) -> str:
-    """A word without its usual English endings."""
-    vowel = lambda x: any(c in "aeiou" for c in x)
-    if len(w) < 3:
-        return w
-    if w.endswith("ies") and len(w) > 4:
-        w = w[:-2]
-    elif w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss") and len(w) > 3:
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if len(w) > 4 else w
-    elif w.endswith("ed") and vowel(w[:-2]):
-        w = w[:-2]
-    elif w.endswith("ing") and vowel(w[:-3]):
-        w = w[:-3]
-    if w.endswith("y") and len(w) > 2 and not vowel(w[-2]):
-        w = w[:-1] + "i"
-    for rules in (STEM_2, STEM_3):
-        end = next((e for e in rules if w.endswith(e)), None)
-        w = w[: -len(end)] + rules[end] if end else w
-    for end, least in STEM_4.items():
-        if w.endswith(end) and len(w) > least:
-            w = w[: -len(end)]
-            break
-    else:
-        if w.endswith("ion") and len(w) > 4 and w[-4] in "st":
-            w = w[:-3]
-        elif w.endswith("er") and len(w) > 3 or w.endswith("ou") and len(w) > 3:
-            w = w[:-2]
-    return w[:-1] if w.endswith("ll") and len(w) > 3 else w
+
+def _swapped(words: Column, table: dict[str, str]) -> Column:
+    """Words with their endings, if the table has them, replaced."""
+    new = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+
+    def one(word: Column) -> Column:
+        ending = F.regexp_extract(word, f"({'|'.join(table)})$", 1)
+        return F.when(ending == "", word).otherwise(F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(ending)), F.try_element_at(new, ending)))
+
+    return F.transform(words, one)
+
+
+def stems(words: Column) -> Column:
+    """Distinct stems of 2 to 40 characters of an array of words, in order of first use. A pass over the array for each step whose
+    result is looked at more than once."""
+    out = F.transform(F.array_distinct(words), lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, PLURAL, "$1$2$3"), TENSE, "$1$2$3"), LAST_Y, "i"))
+    out = _swapped(_swapped(out, DERIVED), FORMED)
+    out = F.transform(out, lambda w: F.regexp_replace(F.regexp_replace(w, SUFFIX, "$1$2"), DOUBLE_L, ""))
+    return F.array_distinct(F.filter(out, lambda w: F.length(w).between(2, 40)))
 
 
 def words(text: Column) -> Column:
@@ -63,39 +58,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda t: F.length(t).between(2, 40) & ~t.isin(STOP_WORDS))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(lists: pd.Series) -> pd.Series:
-    """Distinct stems of 2 to 40 characters of each list, in order of first use. The rules depend on one another, which keeps them
-    out of column expressions; words repeat, so each is stemmed once a batch."""
-    known: dict[str, str] = {}
+def terms(text: Column) -> Column:
+    return stems(words(text))
 
-    def one(ws) -> list[str]:
-        out: dict[str, None] = {}
-        for w in ws if ws is not None else ():
-            s = known.get(w)
-            if s is None:
-                s = known[w] = stem(w)
-            if 2 <= len(s) <= 40:
-                out[s] = None
-        return list(out)
 
-    return lists.map(one)
+def replaced(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """A text after the replacements of all rules, one after another."""
+    return reduce(lambda out, rule: F.regexp_replace(out, *rule), rules, text)
 
 
-def terms(text: Column) -> Column:
-    return stems(words(text))
+# Parts of a page that are no content, then what becomes of headings and paragraphs, in this order, and entities.
+DROPPED_TAGS = ["script", "style", "nav", "header", "footer"]
+CONTENT = [
+    (r"(?is)<(?:h[1-6]|span|div)[^>]*class=[^>]*ltx_title[^>]*>\s*(.*?)\s*</(?:h[1-6]|span|div)>", "\n## $1\n"),
+    *((rf"(?is)<h{n}[^>]*>\s*(.*?)\s*</h[1-6]>", "\n" + "#" * n + " $1\n") for n in range(1, 7)),
+    (r"(?is)<(?:p|div)[^>]*class=[^>]*ltx_p[^>]*>\s*(.*?)\s*</(?:p|div)>", "$1\n\n"),
+    (r"(?is)<p(?:\s[^>]*)?>\s*(.*?)\s*</p>", "$1\n\n"),
+    ("<[^>]+>", " "),
+]
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
 
 
 def main_content(html: Column) -> Column:
-    """The text of a page: no scripts, styles, navigation, headers or footers; headings as #; paragraphs apart; entities resolved."""
-    out = html
-    for tag in ("script", "style", "nav", "header", "footer"):
-        out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, f"(?is)<h{level}[^>]*>\\s*(.*?)\\s*</h{level}>", "\n" + "#" * level + " $1\n")
-    out = F.regexp_replace(out, r"(?is)<p(?:\s[^>]*)?>\s*(.*?)\s*</p>", "$1\n\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+    """The text of a page: no scripts, styles, navigation, headers or footers; headings as #, titles of papers as ##; paragraphs apart;
+    entities resolved. Pages are read whole."""
+    out = replaced(html, [*((f"(?is)<{tag}.*?</{tag}>", "") for tag in DROPPED_TAGS), *CONTENT])
+    for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.btrim(F.regexp_replace(out, "\n{3,}", "\n\n"), F.lit(" \t\n\r"))
 
@@ -110,13 +98,23 @@ def content_class(text: Column) -> Column:
     return F.when((n >= 1000) & (section_count(text) >= 2), "SUCCESS").when(n >= 200, "PARTIAL").otherwise("SKIP")
 
 
+#: The first block between two lines of dashes, with what follows it.
+FRONT_MATTER = r"(?ms)^---.*?---\s*(.*)\z"
+# What an abstract loses, in this order, and what stands in its place.
+MARKUP = [
+    ("```[\\s\\S]*?```", ""),  # code
+    ("<[^>]+>", " "),  # tags
+    (r"!\[[^\]]*\]\([^)]+\)", ""),  # images
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),  # links
+    (r"[#*`\[\]]", ""),  # signs
+    (r"\s+", " "),
+]
+
+
 def clean_abstract(body: Column, size: int = 500) -> Column:
-    out = F.coalesce(body, F.lit(""))
-    for pattern, by in ((r"(?m)^---[\s\S]*?---\s*", ""),):
-        out = F.regexp_replace(out, pattern, by)
-    for pattern, by in ((r"```[\s\S]*?```", ""), (r"<[^>]+>", " "), (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[#*`\[\]]", ""), (r"\s+", " ")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.substring(F.trim(out), 1, size)
+    """The first `size` characters of a text without its front matter and markup; later blocks between dashes stay."""
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), FRONT_MATTER, "$1")
+    return F.substring(F.trim(replaced(text, MARKUP)), 1, size)
 
 
 def slug(text: Column) -> Column:
@@ -140,6 +138,45 @@ def front_matter(text: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, "^[^:]*:", "")))))
 
 
+def sections(text: Column) -> Column:
+    """The parts below `## ` headings, by heading."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n##\s+"), 2, 1000)
+    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "\n", 1)), F.btrim(F.regexp_replace(x, r"^[^\n]*\n?", ""), F.lit(" \t\r\n")))))
+
+
+def richer(a: Column, b: Column) -> Column:
+    """The text with more bytes, the second one of equals."""
+    return F.when(F.octet_length(a) > F.octet_length(b), a).otherwise(b)
+
+
+# What citations and descriptions lose, in this order, and what stands in its place.
+CITATION_NOISE = [(r"(?i)\[f2ai-[^\]]*\]", ""), (r"\{\s*,", "{"), (r"\s+", " ")]
+DESCRIPTION_NOISE = [(r"^\s*---\s*[\s\S]*?---\s*", ""), ("<[^>]*>?", ""), (r"!\[.*?\]\(.*?\)", ""), (r"\[(.*?)\]\(.*?\)", "$1"), (r"https?://[^\s]{30,}", ""), ("(?i)!GitHub repo size|!Harbor Ko-fi", ""), (r"\s+", " ")]
+
+
+def clean_citation(text: Column) -> Column:
+    return F.trim(replaced(text, CITATION_NOISE))
+
+
+def clean_description(text: Column) -> Column:
+    return F.trim(replaced(text, DESCRIPTION_NOISE))
+
+
+def dataset_refs(text: Column) -> Column:
+    """Data sets that a text names: the first of a `datasets:` list and those of addresses, each once."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"datasets:\s*([A-Za-z0-9_.-]+)"), 1), F.regexp_extract_all(text, F.lit(r"huggingface\.co/datasets/([A-Za-z0-9_./-]*[A-Za-z0-9])"), 1)))
+
+
+def base_model_ref(text: Column) -> Column:
+    return F.regexp_extract(text, r"base_model:\s*([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)", 1)
+
+
+def xml_escaped(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
 def short_id(id: Column) -> Column:
     """Sixteen hex digits of the id's SHA-256."""
     return F.substring(F.sha2(id, 256), 1, 16)

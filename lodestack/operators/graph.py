@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import occurrences
@@ -61,11 +61,16 @@ def reverse_edges(edges: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def topic_links(entities: DataFrame, id: str, text) -> DataFrame:
-    """(id, topic, conf): percent of 0.5 and a tenth for each occurrence of a word, 1 at most; the most confident word of a topic."""
-    low = F.lower(text)
-    words = F.array(*(F.struct(F.lit(t).alias("topic"), occurrences(low, w).alias("n")) for w, t in TOPICS.items()))
-    found = entities.select(id, F.explode(F.filter(words, lambda x: x["n"] > 0)).alias("x"))
-    return found.groupBy(id, F.col("x.topic").alias("topic")).agg(F.max(F.floor(F.least(F.lit(1.0), 0.5 + F.col("x.n") * 0.1) * 100 + 0.5).cast("int")).alias("conf"))
+    """(id, topic, conf): percent of 0.5 and a tenth for each occurrence of a word, 1 at most; the most confident word of a topic. All
+    topics of a row are found in the row."""
+    by_topic: dict[str, list[Column]] = {}
+    for word, topic in TOPICS.items():
+        by_topic.setdefault(topic, []).append(occurrences(F.col("low"), word))
+    most = lambda counts: F.greatest(*counts) if len(counts) > 1 else counts[0]
+    conf = lambda n: F.when(n > 0, F.floor(F.least(F.lit(1.0), 0.5 + n * 0.1) * 100 + 0.5).cast("int"))
+    found = F.array(*(F.struct(F.lit(t).alias("topic"), conf(most(counts)).alias("conf")) for t, counts in by_topic.items()))
+    rows = entities.select(id, F.lower(text).alias("low")).select(id, F.explode(F.filter(found, lambda x: x["conf"].isNotNull())).alias("x"))
+    return rows.select(id, "x.topic", "x.conf")
 
 
 def same_source_pairs(df: DataFrame, id: str, key: str) -> DataFrame:
@@ -102,15 +107,24 @@ def _keeper(df: DataFrame):
 def tag_alternatives(entities: DataFrame, id: str, category: str, tags: str, least: float = 0.3, n: int = 10) -> DataFrame:
     """(id, other, sim): within a category, the n entities whose tag sets are most alike (Jaccard, in percent).
 
-    Entities of equal category and tags are one candidate until the end, so a category is compared by its different tag sets,
-    through the tags they share."""
+    Entities of equal category and tags are one candidate until the end. Different sets meet over their rarest tags only: two sets
+    that reach `least` share one of the first size - ceil(least * size) + 1 tags of the larger and of the first
+    size - ceil(2 * least / (1 + least) * size) + 1 of the smaller, in one order of all tags. So a tag that most sets have makes no pairs."""
     base = entities.select(id, category, F.array_sort(F.array_distinct(tags)).alias("t")).filter(F.size("t") > 0)
     sets = base.select(category, "t").distinct().withColumn("h", F.xxhash64(category, F.concat_ws("\x01", "t")))
-    by_tag = sets.select(category, "h", F.size("t").alias("size"), F.explode("t").alias("tag"))
-    a, b = by_tag.alias("a"), by_tag.alias("b")
-    # each pair of sets once, both ways afterwards, and every set with itself
-    shared = a.join(b, (F.col(f"a.{category}") == F.col(f"b.{category}")) & (F.col("a.tag") == F.col("b.tag")) & (F.col("a.h") < F.col("b.h"))).groupBy(F.col("a.h").alias("h"), F.col("b.h").alias("g")).agg(F.count("*").alias("both"), F.first("a.size").alias("m"), F.first("b.size").alias("k"))
-    alike = shared.withColumn("j", F.col("both") / (F.col("m") + F.col("k") - F.col("both"))).filter(F.col("j") >= least).withColumn("sim", F.floor(F.col("j") * 100 + 0.5).cast("int"))
+    by_tag = sets.select(category, "h", F.explode("t").alias("tag"))
+    rarity = by_tag.groupBy(category, "tag").agg(F.count("*").alias("sets"))
+    tag_order = F.transform(F.array_sort(F.collect_list(F.struct("sets", "tag"))), lambda x: x["tag"])
+    ordered = by_tag.join(rarity, [category, "tag"]).groupBy(category, "h").agg(tag_order.alias("o")).withColumn("k", F.size("o"))
+    first = lambda share: F.expr(f"slice(o, 1, k - cast(ceil({share} * k - 1e-9) as int) + 1)")
+    small = ordered.withColumn("p", first(2 * least / (1 + least))).withColumn("tag", F.explode("p")).alias("a")
+    large = ordered.withColumn("p", first(least)).withColumn("tag", F.explode("p")).alias("b")
+    smaller = (F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")))
+    meets = small.join(large, (F.col(f"a.{category}") == F.col(f"b.{category}")) & (F.col("a.tag") == F.col("b.tag")) & smaller)
+    # each pair once, under the first tag that both prefixes have
+    once = meets.filter(F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.tag"))
+    shared = once.select(F.col("a.h").alias("h"), F.col("b.h").alias("g"), F.size(F.array_intersect("a.o", "b.o")).alias("both"), (F.col("a.k") + F.col("b.k")).alias("all"))
+    alike = shared.withColumn("j", F.col("both") / (F.col("all") - F.col("both"))).filter(F.col("j") >= least).withColumn("sim", F.floor(F.col("j") * 100 + 0.5).cast("int"))
     alike = alike.select(F.explode(F.array(F.struct("h", "g"), F.struct(F.col("g").alias("h"), F.col("h").alias("g")))).alias("p"), "sim").select("p.h", "p.g", "sim").unionByName(sets.select("h", F.col("h").alias("g"), F.lit(100).alias("sim")))
     keyed = base.select(id, F.xxhash64(category, F.concat_ws("\x01", "t")).alias("h"))
     # of any set only its n + 1 first entities can be among the best n of another

@@ -7,15 +7,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.scoring import bm25
-from lodestack.functions.text import stem, terms
-from lodestack.functions.vectors import cosine, squared_l2
+from lodestack.functions.text import terms
+from lodestack.functions.vectors import cosine
 
 #: Query vectors that are compared with all rows at a time.
 QUERIES = 1024
+#: Clusters that are sent to the tasks at most.
+MOST_CLUSTERS = 65_536
 
 
 def inverted_index(df: DataFrame, id: str, text, score: str) -> DataFrame:
@@ -28,17 +30,41 @@ def index_statistics(postings: DataFrame, id: str) -> tuple[DataFrame, DataFrame
     return postings.groupBy("term").agg(F.count("*").alias("df")), postings.groupBy(id).agg(F.count("*").alias("n")).agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_len"))
 
 
-def query_terms(query: str) -> list[str]:
-    import re
+def bucket_of(term: Column) -> Column:
+    """The first two characters of a term, which name its part of a stored index."""
+    return F.substring(term, 1, 2)
 
-    found = dict.fromkeys(stem(w) for w in re.split(r"[^a-z0-9]+", query.lower()) if 2 <= len(w) <= 40)
-    return list(found)
 
+def write_index(df: DataFrame, id: str, text, score: str, path: str) -> None:
+    """An index of df under path: postings by bucket, those of a term together and the best first, and the statistics of all of them.
 
-def search(postings: DataFrame, id: str, score: str, wanted: list[str], k: int = 200) -> DataFrame:
+    A bucket of many postings is dealt to several files by id, so a common prefix fills no task."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = inverted_index(df, id, text, score).withColumn("bucket", bucket_of(F.col("term")))
+    few = F.pmod(F.xxhash64(id), F.lit(4))
+    dealt.repartition(parts, "bucket", few).sortWithinPartitions("bucket", "term", F.desc(score), id).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    found = spark.read.parquet(f"{path}/postings")
+    df_, totals = index_statistics(found, id)
+    df_.write.mode("overwrite").parquet(f"{path}/terms")
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The distinct stems of a query; its stop words don't count."""
+    return list(spark.range(1).select(terms(F.lit(query)).alias("t")).first()["t"])
+
+
+def search_index(spark: SparkSession, path: str, id: str, score: str, wanted: list[str], k: int = 200) -> DataFrame:
+    """search() over a stored index, of which only the buckets of the terms are read."""
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin([w[:2] for w in wanted])).drop("bucket")
+    return search(postings, id, score, wanted, k, (spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")))
+
+
+def search(postings: DataFrame, id: str, score: str, wanted: list[str], k: int = 200, statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, relevance, hits): the k best rows for the terms. A term adds 0.6 of the row's own score and 16 times its BM25, two
     decimals; the sum is scaled by the share of the terms that hit."""
-    df, totals = index_statistics(postings, id)
+    df, totals = statistics or index_statistics(postings, id)
     chosen = df.filter(F.col("term").isin(wanted)).crossJoin(totals).withColumn("weight", bm25(F.col("df"), F.col("total_docs"), F.col("avg_len")))  # a row per term
     per_term = postings.filter(F.col("term").isin(wanted)).join(F.broadcast(chosen.select("term", "weight")), "term")
     blended = F.floor((F.floor(F.col(score) + 0.5) * 0.6 + F.col("weight") * 40 * 0.4) * 100 + 0.5) / 100
@@ -102,10 +128,25 @@ def centroids(vectors: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def assign(vectors: DataFrame, id: str, vector: str, cents: DataFrame, cluster: str) -> DataFrame:
-    """(id, cluster, distance): the nearest centroid by squared distance, the lowest number of equals; cents is a row per cluster."""
-    pairs = vectors.select(id, vector).crossJoin(F.broadcast(cents)).select(id, cluster, squared_l2(F.col(vector), F.col("centroid")).alias("distance"))
-    best = pairs.groupBy(id).agg(F.min(F.struct("distance", cluster)).alias("m"))
-    return best.select(id, F.col(f"m.{cluster}").alias(cluster), F.col("m.distance").alias("distance"))
+    """(id, cluster, distance): the nearest centroid by squared distance, the lowest number of equals; cents is a row per cluster, MOST_CLUSTERS
+    at most, which are sent to the tasks. Each row is decided where it is read."""
+    few = cents.select(cluster, "centroid").orderBy(cluster).limit(MOST_CLUSTERS + 1).toPandas()
+    if len(few) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    names, points = few[cluster].to_numpy(), np.array(few["centroid"].tolist(), float).reshape(len(few), -1)
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *cents.schema)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.array(b[vector].tolist(), float).reshape(len(b), -1)
+            best, at = np.full(len(b), np.inf), np.zeros(len(b), np.int64)
+            for k, c in enumerate(points):
+                d = ((x - c) ** 2).sum(axis=1)
+                nearer = d < best
+                best[nearer], at[nearer] = d[nearer], k
+            yield pd.DataFrame({id: b[id], cluster: names[at], "distance": best})
+
+    return vectors.select(id, vector).mapInPandas(run, f"{id} {kinds[id]}, {cluster} {kinds[cluster]}, distance double")
 
 
 def cluster_candidates(members: DataFrame, id: str, cluster: str, cents: DataFrame, queries: DataFrame, vector: str, order: str, clusters: int = 3, each: int = 200) -> DataFrame:

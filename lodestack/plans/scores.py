@@ -247,9 +247,9 @@ def trend_summary(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("trend", F.when(F.col("rising") > F.col("falling"), "rising").when(F.col("rising") < F.col("falling"), "falling").otherwise("stable"))
 
 
-@register("trend_last_90", given("SELECT id, day, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day DESC) AS rn FROM hist) WHERE rn <= 10", HIST))
+@register("trend_last_90", given("SELECT id, day, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day DESC) AS rn FROM hist) WHERE rn <= 90", HIST))
 def trend_last_90(spark: SparkSession, d: str) -> DataFrame:
-    """The last ninety points of each id."""
+    """The last ninety points of each id."""
     return R.last_points(history(spark, d), "id", "day", 90).select("id", "day", F.round("score", 6).alias("score"))
 
 

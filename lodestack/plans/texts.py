@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from lodestack.functions import text as X
 from lodestack.functions import vectors as V
 from lodestack.operators import filters as Q
 from lodestack.operators import search as S
-from lodestack.plans.duck import ENT, given
+from lodestack.plans.duck import ENT, given, stems, words
 from lodestack.plans.registry import register
 from lodestack.sources import sinks
 from lodestack.sources.catalogue import entities, read
@@ -73,7 +75,7 @@ def filter_rules(spark: SparkSession, d: str) -> DataFrame:
 # Text --------------------------------------------------------------------------------------------------------------------------
 
 
-_WORDS = "list_filter(string_split_regex(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) BETWEEN 2 AND 40 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "], w))"
+_WORDS = words("text")
 
 
 @register("text_words", f"SELECT doc_id, len({_WORDS}) AS n, len(list_distinct({_WORDS})) AS n_distinct FROM documents")
@@ -82,45 +84,61 @@ def text_words(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-@register("text_terms")
+@register("text_terms", f"SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {stems(_WORDS)} AS t FROM documents)")
 def text_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct stems; their rules build on each other, so they are tested in Python."""
-    return read(spark, d, "documents").select("doc_id", X.terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+    """Distinct stems."""
+    return read(spark, d, "documents").select("doc_id", X.terms(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
+
+
+def _content_sql() -> str:
+    out = "html"
+    for tag in X.DROPPED_TAGS:
+        out = f"regexp_replace({out}, '(?is)<{tag}.*?</{tag}>', '', 'g')"
+    for pattern, by in X.CONTENT:
+        pattern, by = pattern.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", by).replace("\n", "' || chr(10) || '")
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    for entity, char in X.ENTITIES.items():
+        out = f"replace({out}, '{entity}', {char!r})" if char != "'" else f"replace({out}, '{entity}', chr(39))"
+    return f"trim(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
 
 
-@register("text_main_content")
+@register("text_main_content", f"t AS (SELECT page_id, {_content_sql()} AS t FROM pages), s AS (SELECT page_id, t, len(regexp_extract_all(t, '(?m)^#{{2,3}}\\s+\\S')) AS sections, octet_length(encode(t)) AS b FROM t) SELECT page_id, length(t) AS n, md5(t) AS digest, sections, CASE WHEN b >= 1000 AND sections >= 2 THEN 'SUCCESS' WHEN b >= 200 THEN 'PARTIAL' ELSE 'SKIP' END AS class FROM s".replace("t AS (", "WITH t AS (", 1))
 def text_main_content(spark: SparkSession, d: str) -> DataFrame:
-    """Page to text with its class."""
+    """Page to text with its class; whole pages, however long."""
     return read(spark, d, "pages").select("page_id", X.main_content(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"), X.section_count(F.col("t")).alias("sections"), X.content_class(F.col("t")).alias("class"))
 
 
-@register("text_abstracts", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^---[\\s\\S]*?---\\s*', '', 'g'), '```[\\s\\S]*?```', '', 'g'), '<[^>]+>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#*`\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), 300) AS abstract FROM documents")
+_NOTE = "CASE doc_id % 3 WHEN 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) WHEN 1 THEN 'intro' || chr(10) || '---' || chr(10) || 'one' || chr(10) || '---' || chr(10) || 'mid' || chr(10) || '---' || chr(10) || 'two' || chr(10) || '---' || chr(10) ELSE '' END || text"
+
+
+@register("text_abstracts", f"""t AS (SELECT doc_id, {_NOTE} AS text FROM documents), p AS (SELECT doc_id, regexp_replace(text, '(?m)^---[\\s\\S]*?---\\s*', '') AS t FROM t)
+ SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '```[\\s\\S]*?```', '', 'g'), '<[^>]+>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#*`\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), 300) AS abstract FROM p""".replace("t AS (", "WITH t AS (", 1))
 def text_abstracts(spark: SparkSession, d: str) -> DataFrame:
-    """Short plain text."""
-    return read(spark, d, "documents").select("doc_id", X.clean_abstract(F.col("text"), 300).alias("abstract"))
+    """Short plain text; only the first block between dashes is front matter."""
+    return read(spark, d, "documents").selectExpr("doc_id", f"{_NOTE.replace('chr(10)', 'char(10)')} AS text").select("doc_id", X.clean_abstract(F.col("text"), 300).alias("abstract"))
 
 
 @register("text_slugs", given("SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS name_slug FROM ent", ENT))
 def text_slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs."""
+    """Slugs."""
     return entities(spark, d).select("id", X.slug(F.col("name")).alias("name_slug"))
 
 
 @register("text_sections", "SELECT page_id, len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS headings, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages")
 def text_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Structure of a page."""
+    """Structure of a page."""
     return read(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<h[1-6][^>]*>")).cast("long").alias("headings"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"))
 
 
 @register("text_links", "SELECT page_id, string_agg(DISTINCT u, ' ' ORDER BY u) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS u FROM pages) GROUP BY page_id")
 def text_links(spark: SparkSession, d: str) -> DataFrame:
-    """References in a text, each once."""
+    """Addresses in a page, each once."""
     return read(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))), " ").alias("links")).filter("links <> ''")
 
 
 @register("text_hosts", "SELECT regexp_extract(url, '^https?://([^/?:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
 def text_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """Hosts of addresses."""
+    """Hosts of addresses, counted."""
     return read(spark, d, "pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n"))
 
 
@@ -132,7 +150,7 @@ def text_json_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @register("text_citations", given("SELECT id, '@misc{' || regexp_replace(id, '[^A-Za-z0-9]+', '_', 'g') || ', title={' || name || '}, author={' || coalesce(author, 'Unknown') || '}, year={' || coalesce(CAST(year(last_modified) AS VARCHAR), 'n.d.') || '}, url={' || coalesce(source_url, '') || '}}' AS citation FROM ent WHERE type = 'paper'", ENT))
 def text_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Citations."""
+    """Citations."""
     return entities(spark, d).filter("type = 'paper'").select("id", M.bibtex(F.col("id"), F.col("name"), F.col("author"), F.year("last_modified"), F.col("source_url")).alias("citation"))
 
 
@@ -147,14 +165,40 @@ def text_source_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @register("search_document_frequency", given("SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(string_split(lower(name), ' ')) AS term FROM ent) GROUP BY term", ENT))
 def search_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each word."""
+    """Rows of each word of a name; search_index has those of all texts."""
     return entities(spark, d).select(F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@register("search_ranked")
+_ASKED = "small rings for vision"
+_POSTINGS = f"p AS (SELECT id, score, unnest({stems(words("concat_ws(' ', name, slug, author, description)"))}) AS term FROM ent), tot AS (SELECT count(DISTINCT id) AS n, count(*) / CAST(count(DISTINCT id) AS DOUBLE) AS avg_len FROM p), df AS (SELECT term, count(*) AS df FROM p GROUP BY term)"
+_HITS = "h AS (SELECT p.id, sum(x) * count(*) / (SELECT len(w) FROM q) AS relevance, count(*) AS hits FROM (SELECT p.id, floor((floor(score + 0.5) * 0.6E0 + ln((n - df + 0.5E0) / (df + 0.5E0) + 1) * 2.2E0 / (1 + 1.2E0 * (0.25E0 + 0.75E0 / avg_len)) * 16) * 100 + 0.5) / 100 AS x FROM p JOIN df USING (term), tot, q WHERE list_contains(w, p.term)) p GROUP BY p.id)"
+
+
+@register("search_ranked", given(f"{_POSTINGS}, q AS (SELECT {stems(words(repr(_ASKED)))} AS w), {_HITS}, best AS (SELECT * FROM h ORDER BY round(relevance, 9) DESC, id LIMIT 200) SELECT id, round(relevance, 6) AS relevance, hits, score FROM best JOIN ent USING (id) ORDER BY round(best.relevance, 9) DESC, score DESC, id LIMIT 50", ENT))
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """The best entities for a query, with their rows; stems make it a Python check."""
-    return api.Catalogue(entities(spark, d)).search("small rings for vision", limit=50).select("id", "relevance", "hits", "score")
+    """R2, J18, J19, search: the best entities for a query, with their rows."""
+    return api.Catalogue(entities(spark, d)).search(_ASKED, limit=50).select("id", F.round("relevance", 6).alias("relevance"), "hits", "score")
+
+
+@register("search_index", given(f"{_POSTINGS} SELECT df.term, left(df.term, 2) AS bucket, df, first(p.id ORDER BY p.score DESC, p.id) AS best FROM df JOIN p ON p.term = df.term GROUP BY ALL", ENT))
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index: terms by bucket, with their postings, the best of each term first."""
+    cat = api.Catalogue(entities(spark, d))
+    path = sinks.scratch(spark, "index")
+    cat.build_index(path)
+    postings = spark.read.parquet(f"{path}/postings")
+    best = postings.groupBy("term", "bucket").agg(F.max_by("id", F.struct("score", F.lit(0))).alias("one"), F.max("score").alias("top"))
+    first = postings.join(best.select("term", F.col("top").alias("score")), ["term", "score"]).groupBy("term", "bucket").agg(F.min("id").alias("best"))
+    return first.join(spark.read.parquet(f"{path}/terms"), "term").select("term", "bucket", "df", "best")
+
+
+@register("search_stored", given(f"{_POSTINGS}, q AS (SELECT {stems(words(repr('blue rods with retrieval')))} AS w), {_HITS}, best AS (SELECT * FROM h ORDER BY round(relevance, 9) DESC, id LIMIT 200) SELECT id, round(relevance, 6) AS relevance, hits, score FROM best JOIN ent USING (id) WHERE type = 'model' ORDER BY round(best.relevance, 9) DESC, score DESC, id LIMIT 10 OFFSET 10", ENT))
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A query answered from the stored index, of which it reads the buckets of its terms: candidates, rows, type, page."""
+    path = sinks.scratch(spark, "index")
+    cat = api.Catalogue(entities(spark, d))
+    cat.build_index(path)
+    return cat.search("blue rods with retrieval", type="model", limit=10, page=2).select("id", F.round("relevance", 6).alias("relevance"), "hits", "score")
 
 
 @register("search_postings", given("""p AS (SELECT DISTINCT k, CAST(floor(score + 0.5) AS INT) AS fs, unnest(string_split(lower(p_t), ' ')) AS term FROM (SELECT k, score, name || ' ' || type AS p_t FROM ent)), t AS (SELECT count(DISTINCT k) AS n, count(*) / CAST(count(DISTINCT k) AS DOUBLE) AS avg_len FROM p), q AS (SELECT term, count(*) AS df FROM p WHERE term IN ('ring', 'model', 'small') GROUP BY term),
@@ -171,7 +215,10 @@ def _vector_queries(e: DataFrame) -> DataFrame:
     return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
 
 
-@register("vector_nearest", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x))), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 20")
+_COSINE = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v), c AS (SELECT q.vec_id AS query, r.vec_id, CASE WHEN q.n * r.n > 0 THEN round(list_dot_product(q.e, r.e) / (q.n * r.n), 6) ELSE 0 END AS similarity FROM n q JOIN n r ON q.vec_id % 50 = 0)"
+
+
+@register("vector_nearest", f"{_COSINE} SELECT query, vec_id, similarity FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) <= 20")
 def vector_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Brute-force nearest vectors."""
     e = read(spark, d, "embeddings")
@@ -217,7 +264,10 @@ def vector_product_codes(spark: SparkSession, d: str) -> DataFrame:
     return pq_search(pq_encode(e, "vec_id", "embedding", books), "vec_id", books, _vector_queries(e), 20, e, "embedding")
 
 
-@register("vector_rerank")
+_CENTRES = "x AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY label, pos), cen AS (SELECT label, list(x ORDER BY pos) AS e FROM m GROUP BY label), sim AS (SELECT q.vec_id AS query, cen.label, list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), cen.e) / (sqrt(list_sum(list_transform(cen.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS sim FROM embeddings q, cen WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, label) <= 3)"
+
+
+@register("vector_rerank", f"WITH {_CENTRES}, best AS (SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 200) SELECT query, vec_id, label, round(least(99.9E0, sim * 100), 4) AS s FROM near JOIN best USING (label)")
 def vector_rerank(spark: SparkSession, d: str) -> DataFrame:
     """V6, V7: members of the clusters nearest each query."""
     e = read(spark, d, "embeddings")
@@ -225,6 +275,16 @@ def vector_rerank(spark: SparkSession, d: str) -> DataFrame:
     return S.cluster_candidates(e.select("vec_id", "label"), "vec_id", "label", c, _vector_queries(e), "embedding", "vec_id").select("query", "vec_id", "label", F.round(F.least(F.lit(99.9), F.col("sim") * 100), 4).alias("s"))
 
 
+@register("vector_byte_rerank", f"WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(-128, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT query, vec_id, round(CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN list_dot_product(e, v) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))) ELSE -1 END, 6) AS similarity FROM q JOIN b ON b.vec_id % 10 = q.query // 50 % 10")
+def vector_byte_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """V9: candidates of each query scored by their vectors of signed bytes, which are stored as base64 text."""
+    e = read(spark, d, "embeddings")
+    stored = e.select("vec_id", V.packed_bytes(F.col("embedding")).alias("text"))
+    asked = _vector_queries(e).withColumn("tail", F.expr("query div 50 % 10"))
+    pairs = stored.withColumn("tail", F.col("vec_id") % 10).join(asked, "tail")
+    return pairs.select("query", "vec_id", F.round(V.byte_cosine(F.col("embedding"), F.col("text")), 6).alias("similarity"))
+
+
 # Verbs, sinks, streams ------------------------------------------------------------------------------------------------------------
 
 

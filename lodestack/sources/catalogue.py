@@ -33,7 +33,7 @@ ENTITY_COLUMNS: dict[str, str] = {
     "mesh_points": "(p_partkey * 53) % 400",
     "semantic_score": "CASE WHEN p_partkey % 3 = 0 THEN (p_partkey * 71) % 110 * 1.0E0 END",
     "description": "'A ' || p_name || ' for chat and vision with ' || CASE p_partkey % 4 WHEN 0 THEN 'LoRA and qlora adapters' WHEN 1 THEN 'gguf int4 int8 quants' WHEN 2 THEN 'retrieval, rag and embedding vectors' ELSE 'a transformer attention mechanism' END",
-    "source_url": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'https://host' || CAST(p_partkey % 3 AS VARCHAR(20)) || '.example.org/' || CAST(p_partkey % 700 AS VARCHAR(20)) END",
+    "source_url": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'https://host' || CAST((p_partkey - p_partkey % 4) % 3 AS VARCHAR(20)) || '.example.org/' || CAST(p_partkey - p_partkey % 4 AS VARCHAR(20)) END",
     "has_ollama": "p_partkey % 4 = 0",
     "has_gguf": "p_partkey % 6 = 0",
     "velocity": "p_size / 50.0E0",
@@ -41,6 +41,51 @@ ENTITY_COLUMNS: dict[str, str] = {
 #: The elements of `tags`.
 TAGS = ["substr(p_name, 1, instr(p_name, ' ') - 1)", "substr(p_name, instr(p_name, ' ') + 1)", "lower(p_type)", "'size-' || CAST(p_size % 10 AS VARCHAR(20))", "CASE p_partkey % 6 WHEN 0 THEN 'llama3' WHEN 1 THEN 'qwen2-7b' WHEN 2 THEN 'bert' WHEN 3 THEN 'mixtral-moe' ELSE 'other' END"]
 
+#: Records as sources give them, over the entity columns: each fact under one of several names, or only in a JSON text.
+RAW_COLUMNS: dict[str, str] = {
+    "k": "k",
+    "id": "id",
+    "umid": "CASE WHEN k % 3 = 0 THEN 'u' || CAST(k AS VARCHAR(20)) END",
+    "slug": "slug",
+    "name": "CASE WHEN k % 3 = 0 THEN name END",
+    "title": "CASE WHEN k % 3 = 1 THEN name END",
+    "display_name": "CASE WHEN k % 3 = 2 THEN upper(name) END",
+    "type": "CASE WHEN k % 4 > 0 THEN type END",
+    "entity_type": "CASE WHEN k % 8 = 0 THEN type END",
+    "author": "CASE WHEN k % 2 = 0 THEN author END",
+    "creator": "CASE WHEN k % 5 = 1 THEN author END",
+    "organization": "CASE WHEN k % 7 = 1 THEN 'org' || CAST(k % 4 AS VARCHAR(20)) END",
+    "description": "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'abc' ELSE description END",
+    "summary": "CASE WHEN k % 10 = 0 THEN 'Summary of ' || name END",
+    "readme": "CASE WHEN k % 4 < 2 THEN '# ' || name || ' <b class=\"x\">' || slug || '</b>  *fast*   `run`  and <i>small</i> ' || description END",
+    "body_content": "CASE WHEN k % 3 = 1 THEN description || ' ' || description || ' ' || description || ' ' || name END",
+    "stars": "CASE WHEN k % 4 = 3 THEN stars END",
+    "github_stars": "CASE WHEN k % 8 = 1 THEN k % 77 END",
+    "likes": "likes",
+    "downloads": "downloads",
+    "citations": "citations",
+    "fni_score": "CASE WHEN k % 3 > 0 THEN score END",
+    "fni": "CASE WHEN k % 6 = 0 THEN score / 2 END",
+    "fni_a": "CASE WHEN k % 2 = 0 THEN mesh_points / 5.0E0 END",
+    "params_billions": "params_billions",
+    "context_length": "CASE WHEN k % 2 = 0 THEN context_length END",
+    "license": "CASE WHEN k % 2 = 0 THEN license END",
+    "license_spdx": "CASE WHEN k % 3 = 1 THEN 'MIT' END",
+    "last_modified": "CASE WHEN k % 2 = 0 THEN CAST(last_modified AS VARCHAR(20)) END",
+    "last_updated": "CASE WHEN k % 3 = 0 THEN CAST(last_seen AS VARCHAR(20)) END",
+    "source": "CASE WHEN k % 3 > 0 THEN source END",
+    "source_platform": "CASE WHEN k % 3 = 0 THEN upper(source) END",
+    "source_url": "source_url",
+    "pipeline_tag": "pipeline_tag",
+    "primary_category": "primary_category",
+    "has_ollama": "has_ollama",
+    "has_gguf": "has_gguf",
+    "velocity": "velocity",
+    "model_type": "CASE k % 8 WHEN 0 THEN 'Qwen3NextForCausalLM' WHEN 1 THEN 'GlmMoeDsaForCausalLM' WHEN 2 THEN 'gpt-neox' WHEN 3 THEN 'BertModel' WHEN 4 THEN 'LlamaForCausalLM' WHEN 5 THEN 'gemma4_text' WHEN 6 THEN 'Stable-Diffusion' END",
+    "meta": "CASE k % 4 WHEN 0 THEN '{\"stars\":' || CAST(k % 90 AS VARCHAR(20)) || ',\"language\":[\"en\",\"de\"],\"config\":{\"n_embd\":' || CAST(64 * (1 + k % 12) AS VARCHAR(20)) || ',\"n_layer\":' || CAST(2 + k % 30 AS VARCHAR(20)) || ',\"num_local_experts\":8}}' WHEN 1 THEN '{\"hidden_size\":' || CAST(128 * (1 + k % 9) AS VARCHAR(20)) || ',\"language\":\"fr\",\"rows_count\":' || CAST(k * 10 AS VARCHAR(20)) || ',\"runtime\":{\"stage\":\"RUNNING\"},\"categories\":[\"cs.CL\",\"cs.LG\"],\"published_date\":\"20' || CAST(10 + k % 15 AS VARCHAR(20)) || '-05-01\",\"pdf_url\":\"p\",\"authors\":[\"a\",\"b\",\"c\"]}' WHEN 2 THEN '{}' END",
+    "files": "CASE WHEN k % 3 = 0 THEN slug || '-Q4_K_M.gguf,' || slug || '-f16.gguf,README.md,' || slug || '_q8_0.GGUF,' || slug || '-Q9_X.gguf,' || slug || '-Q4_K_M.gguf' WHEN k % 3 = 1 THEN 'model.safetensors' END",
+}
+
 #: Relation columns over `lineitem`: an entity number on either side.
 VERBS = ["CITES", "BASED_ON", "USES", "TRAINED_ON", "EVALUATED_ON", "IMPLEMENTS", "DEP"]
 RELATION_COLUMNS: dict[str, str] = {
@@ -62,6 +107,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(*cols, f"array({', '.join(TAGS)}) AS tags")
 
 
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).selectExpr(*(f"{e} AS {c}" for c, e in RAW_COLUMNS.items()), "tags")
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {c}" for c, e in RELATION_COLUMNS.items()))
 

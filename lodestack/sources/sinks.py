@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,8 +12,15 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder where driver and executors both write: the checkpoint folder, or a temporary one if the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-")
+    """A new folder where driver and executors both write: the checkpoint folder of the session or its context, or a temporary one in
+    local mode; on a cluster without either it raises."""
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (None if folder.isEmpty() else folder.get())
+    if base is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lodestack-")
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
@@ -35,7 +43,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _epochs(fs, root) -> list:
-    return sorted((s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("epoch=")), key=lambda p: p.getName())
+    """The folders of epochs, the oldest first: by the numbers in their names, then by name."""
+    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("epoch=")]
+    return sorted(found, key=lambda p: ([int(n) for n in re.findall(r"\d+", p.getName())], p.getName()))
 
 
 def write_slots(df: DataFrame, path: str, digest: Column, slots: int) -> None:

@@ -11,7 +11,7 @@ from lodestack.functions import identity, scoring
 from lodestack.functions import metadata as M
 from lodestack.functions import text as X
 from lodestack.functions import vectors as V
-from lodestack.operators import clusters, filters, graph, merge, rank
+from lodestack.operators import clusters, filters, graph, matching, merge, rank
 from lodestack.sources import readers, sinks
 
 
@@ -51,12 +51,39 @@ def test_undated_entities_get_a_year(spark):
         (None, None, None, None),
     ],
 )
-def test_canonical_ids(id, source, type, want):
-    assert identity.canonical(id, source, type) == want
+def test_canonical_ids(spark, id, source, type, want):
+    assert one(spark, identity.canonical(*(F.lit(x).cast("string") for x in (id, source, type)))) == want
 
 
-def test_stems():
-    assert [X.stem(w) for w in ["relational", "models", "running", "ponies", "is", "happiness", "training", "agreed"]] == ["relate", "model", "runn", "poni", "is", "happi", "train", "agree"]
+def test_stems(spark):
+    words = ["relational", "models", "running", "ponies", "is", "happiness", "training", "agreed", "feed", "cement", "dies", "controller", "nation", "sky", "will"]
+    want = ["relate", "model", "runn", "poni", "is", "happi", "train", "agree", "feed", "ce", "die", "control", "nate", "sky", "wil"]
+    assert one(spark, X.stems(F.array(*map(F.lit, words)))) == want
+
+
+def test_only_the_first_block_is_front_matter(spark):
+    text = "intro\n---\nbody one\n---\nmid\n---\nbody two\n---\nend"
+    assert one(spark, X.clean_abstract(F.lit(text))) == "intro mid --- body two --- end"
+
+
+def test_titles_of_papers_are_headings(spark):
+    html = '<div class="ltx_title x">A <b>bold</b> title</div><h3> Sub <i>part</i></h3><div class="ltx_p">One</div><p>Two</p>'
+    assert one(spark, X.main_content(F.lit(html))).split() == ["##", "A", "bold", "title", "###", "Sub", "part", "One", "Two"]
+
+
+def test_epochs_are_ordered_by_number(spark, tmp_path):
+    path = str(tmp_path / "many")
+    for k in range(8, 12):
+        sinks.write_epoch(spark.range(k), path, f"e{k}", keep=2)
+    assert sinks.read_latest(spark, path).count() == 11
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == ["epoch=e10", "epoch=e11"]
+
+
+def test_match_score_of_equals_is_one(spark):
+    row = ("abc", "Me", 7.0, "MIT", "x", None)
+    df = spark.createDataFrame([row], "slug string, author string, params_billions double, license string, pipeline_tag string, architecture string")
+    other = spark.createDataFrame([("abc", " me ", 7.0, "mit", "X", None)], df.schema)
+    assert df.alias("x").crossJoin(other.alias("y")).select(matching.match_score("x", "y").alias("s")).first()["s"] == pytest.approx(1.0)
 
 
 def test_licence_order(spark):
