@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import occurrences
+from lodestack.functions.identity import canonical
+from lodestack.functions.metadata import arxiv_ids
+from lodestack.functions.text import dataset_refs, occurrences
 
 # The verb of an edge read from its other end.
 REVERSED = {"CITES": "CITED_BY", "EVALUATED_ON": "EVALUATED_BY", "USES": "USED_BY", "BASED_ON": "BASIS_OF", "TRAINED_ON": "TRAINING_SOURCE_OF", "IMPLEMENTS": "IMPLEMENTED_BY", "DEP": "DEPENDED_ON_BY", "STACK": "IN_STACK_OF", "DEMO_OF": "HAS_DEMO", "FEATURES": "FEATURED_IN"}
@@ -25,13 +27,141 @@ TOPICS = {
 }
 
 
-def extract_relations(entities: DataFrame, fields: dict[str, tuple[str, str, float]]) -> DataFrame:
-    """(src, dst, verb, dst_type, conf): an edge for each reference of more than two characters; fields: column -> verb, type, confidence."""
-    out = None
-    for column, (verb, kind, conf) in fields.items():
-        part = entities.select(F.col("id").alias("src"), F.explode(column).alias("dst"), F.lit(verb).alias("verb"), F.lit(kind).alias("dst_type"), F.lit(conf).alias("conf")).filter(F.length("dst") > 2)
-        out = part if out is None else out.unionByName(part)
-    return out
+# Words in a model's texts and the tool, or topic, that they speak of.
+TOOLS = {
+    "vllm": "gh-tool--vllm--vllm", "ollama": "gh-tool--ollama--ollama", "llama.cpp": "gh-tool--ggerganov--llama.cpp",
+    "tgi": "hf-tool--huggingface--text-generation-inference", "transformers": "hf-tool--huggingface--transformers",
+    "langchain": "gh-tool--langchain-ai--langchain", "llamaindex": "gh-tool--run-llama--llama_index",
+    "gguf": "gh-tool--ggerganov--llama.cpp", "exl2": "gh-tool--turboderp--exllamav2", "awq": "gh-tool--casper-hansen--autoawq",
+    "gptq": "gh-tool--autogptq--autogptq", "moe": "knowledge--what-is-moe", "rag": "knowledge--what-is-rag",
+    "quantization": "knowledge--what-is-quantization", "agentic": "knowledge--agentic-ai",
+}
+# Columns of references, the type of what they refer to, the verb and its confidence.
+REFERENCES = {
+    "base_model": ("model", "BASED_ON", 1.0), "datasets": ("dataset", "TRAINED_ON", 1.0), "arxiv_refs": ("paper", "CITES", 1.0),
+    "models_used": ("model", "USES", 1.0), "benchmarks": ("benchmark", "EVALUATED_ON", 1.0), "implementations": ("model", "IMPLEMENTS", 1.0),
+    "dependencies": ("tool", "DEP", 1.0), "features": ("concept", "FEATURES", 0.9), "knowledge_tags": ("concept", "EXPLAIN", 1.0),
+}
+# Of which types a column is read; of others by all.
+READ_OF = {"benchmarks": ["model"], "implementations": ["paper"], "dependencies": ["agent", "tool"]}
+NOT_BENCHMARKS = ["average", "name"]
+DEMO_SDKS = ["gradio", "streamlit"]
+# The type of a node by how its id begins.
+NODE_TYPES = {
+    "model": "hf-model gh-model civitai-model replicate-model ollama-model kaggle-model huggingface kb-model model", "paper": "arxiv-paper s2-paper hf-paper arxiv paper",
+    "dataset": "hf-dataset kaggle-dataset dataset", "space": "hf-space gh-space space",
+    "agent": "hf-agent gh-agent replicate-agent langchain-agent mcp-server agent", "tool": "gh-tool hf-tool gh-repo mcp-tool tool",
+    "prompt": "langchain-prompt hf-prompt prompt", "benchmark": "benchmark", "knowledge": "knowledge k kb", "report": "report",
+}
+
+
+def node_type(id: Column) -> Column:
+    """The type that the prefix of an id tells, or unknown."""
+    return F.coalesce(*(F.when(id.rlike(f"^(?:{kinds.replace(' ', '|')})--"), kind) for kind, kinds in NODE_TYPES.items()), F.lit("unknown"))
+
+
+def source_of(id: Column, type: Column) -> Column:
+    """The source whose ids an entity of a type has, where its id tells none."""
+    low = F.lower(id)
+    fixed = F.coalesce(*(F.when(type == t, s) for t, s in (("paper", "arxiv"), ("prompt", "langchain"), ("benchmark", "openllm"), ("dataset", "hf"), ("space", "hf"))))
+    code = F.when(low.rlike("^(?:hf-|huggingface--)"), "hf").when(low.startswith("mcp-") | F.contains(low, F.lit("mcp-server")), "mcp").when(low.startswith("langchain-"), "langchain").otherwise("gh")
+    model = F.when(low.rlike("^(?:gh-model--|github--)"), "gh").otherwise(F.coalesce(F.nullif(F.regexp_extract(low, "^(civitai|replicate|kaggle|ollama)", 1), F.lit("")), F.lit("hf")))
+    return F.coalesce(fixed, F.when(type.isin("agent", "tool"), code).when(type == "model", model))
+
+
+def extract_relations(entities: DataFrame) -> DataFrame:
+    """(src, src_type, dst, dst_type, verb, conf): an edge for each reference of an entity, both ends with canonical ids.
+
+    entities has id, type, tags, name, description and any columns of REFERENCES (arrays), sdk and model_id, velocity. All verbs are
+    found in one pass over a row. References of up to two characters are no ids; targets of STACK stay as they are listed."""
+    has, own = set(entities.columns), F.col("type")
+    edge = lambda dst, kind, verb, conf: F.struct(dst.alias("dst"), F.lit(kind).alias("dst_type"), verb.alias("verb"), F.lit(conf).alias("conf"))
+    parts = []
+    for column, (kind, verb, conf) in REFERENCES.items():
+        if column not in has:
+            continue
+        able = own.isin(READ_OF[column]) if column in READ_OF else F.lit(True)
+        named = F.when((own == "benchmark") & F.lit(column == "datasets"), "USES").otherwise(verb)
+        values = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        if column == "benchmarks":
+            values = F.transform(F.filter(values, lambda x: ~x.isin(NOT_BENCHMARKS)), lambda x: F.concat(F.lit("benchmark--openllm--"), x))
+        parts.append(F.when(able, F.transform(F.filter(values, lambda x: F.length(x) > 2), _edges(kind, named, conf))))
+    if {"sdk", "model_id"} <= has:
+        demo = F.col("sdk").isin(DEMO_SDKS) & (F.length("model_id") > 2)
+        parts.append(F.when(demo, F.array(edge(F.col("model_id"), "model", F.lit("DEMO_OF"), 0.9))))
+    if "velocity" in has:
+        parts.append(F.when(F.col("velocity") > 0.5, F.array(edge(F.lit("concept--trending-now"), "concept", F.lit("TRENDING"), 0.8))))
+    text = F.lower(F.concat_ws(" ", F.array_join("tags", " "), "description", "name"))
+    stack = F.array(*(F.when(F.contains(F.col("_text"), F.lit(word)), edge(F.lit(tool), "tool", F.lit("STACK"), 0.8)) for word, tool in TOOLS.items()))
+    parts.append(F.when(own == "model", F.array_compact(stack)))
+    none = F.array().cast("array<struct<dst:string,dst_type:string,verb:string,conf:double>>")
+    rows = entities.withColumn("_text", text).select("id", "type", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("e"))
+    target = F.when(F.col("e.verb") == "STACK", F.col("e.dst")).otherwise(canonical(F.col("e.dst"), source_of(F.col("e.dst"), F.col("e.dst_type")), F.col("e.dst_type")))
+    return rows.select(canonical(F.col("id"), source_of(F.col("id"), own), own).alias("src"), own.alias("src_type"), target.alias("dst"), "e.dst_type", "e.verb", "e.conf")
+
+
+def _edges(kind: str, verb: Column, conf: float):
+    return lambda x: F.struct(x.alias("dst"), F.lit(kind).alias("dst_type"), verb.alias("verb"), F.lit(conf).alias("conf"))
+
+
+def discover_relations(entities: DataFrame, text: Column) -> DataFrame:
+    """(src, dst, kind, conf): papers 0.9, base models 0.7 and data sets 0.6 that a text or name speaks of, and from an entity that is
+    itself called like a base model to all its variants 0.8."""
+    name = F.lower("name")
+    base = F.nullif(F.regexp_extract(name, r"^(.+?)[ -]v\d+$", 1), F.lit(""))
+    found = F.concat(
+        F.transform(arxiv_ids(text), lambda x: F.struct(F.concat(F.lit("arxiv-paper--"), x).alias("dst"), F.lit("paper_id").alias("kind"), F.lit(0.9).alias("conf"))),
+        F.array_compact(F.array(F.when(base.isNotNull(), F.struct(F.concat(F.lit("base:"), base).alias("dst"), F.lit("base_model").alias("kind"), F.lit(0.7).alias("conf"))))),
+        F.transform(dataset_refs(text), lambda x: F.struct(F.concat(F.lit("hf-dataset--"), F.replace(x, F.lit("/"), F.lit("--"))).alias("dst"), F.lit("dataset_id").alias("kind"), F.lit(0.6).alias("conf"))),
+    )
+    direct = entities.select(F.col("id").alias("src"), F.explode(found).alias("e")).select("src", "e.*")
+    variants = direct.filter("kind = 'base_model'").select(F.substring("dst", 6, 1000).alias("base"), F.col("src").alias("dst"))
+    several = variants.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1")
+    bases = entities.select(name.alias("base"), "id").groupBy("base").agg(F.min("id").alias("src")).join(several, "base")
+    back = variants.join(bases, "base").select("src", "dst", F.lit("variant").alias("kind"), F.lit(0.8).alias("conf"))
+    return direct.unionByName(back)
+
+
+def urn_edges(entities: DataFrame) -> DataFrame:
+    """(source, target, type): authors, tags, repositories of entities as URNs, each edge once."""
+    urn = lambda kind, c: F.concat(F.lit(f"urn:{kind}:"), c)
+    me = urn("model", F.col("id"))
+    edge = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"))
+    author, repo = urn("author", F.col("author")), urn("repo", F.col("source_url"))
+    some = F.array(
+        F.when(F.col("author").isNotNull(), edge(me, author, "authored_by")),
+        F.when(F.col("author").isNotNull(), edge(author, me, "authored_model")),
+        F.when(F.contains("source_url", F.lit("github.com")), edge(me, repo, "code_for")),
+        F.when(F.contains("source_url", F.lit("github.com")), edge(repo, me, "implements_model")),
+    )
+    tags = F.transform(F.array_compact(F.concat("tags", F.array("pipeline_tag"))), lambda t: edge(me, urn("tag", t), "has_tag"))
+    return entities.select(F.explode(F.concat(F.array_compact(some), tags)).alias("e")).select("e.*").distinct()
+
+
+def baked_profiles(edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
+    """(src, n, relations): for each entity its resolved targets with name, type and address, the most confident first; edges whose
+    target isn't a node are dropped. nodes has id, name, type, source_url; at most `limit` stay in a row, n counts all."""
+    named = edges.join(nodes.select(F.col("id").alias("dst"), "name", "type", "source_url"), "dst")
+    w = Window.partitionBy("src")
+    ranked = named.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("conf"), "dst", "verb")), "n": F.count("*").over(w)}).filter(F.col("rn") <= limit)
+    one = F.struct("rn", "dst", "verb", "name", "type", "source_url")
+    return ranked.groupBy("src").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(one)).alias("relations"))
+
+
+def checked_trails(edges: DataFrame, elements: DataFrame) -> DataFrame:
+    """(edge, reason): whether each edge's references (array refs) all lead to elements(ref, method, producer, field) that are complete; the
+    first fault by place, or an empty reason."""
+    refs = edges.select("edge", F.posexplode_outer("refs").alias("at", "ref"))
+    joined = refs.join(elements, "ref", "left")
+    fault = (
+        F.when(F.col("ref").isNull(), "no-refs")
+        .when(F.col("method").isNull() & F.col("producer").isNull() & F.col("field").isNull(), F.concat(F.lit("unresolvable-ref:"), "ref"))
+        .when(F.coalesce("method", F.lit("")) == "", F.concat(F.lit("bad-method:"), "ref"))
+        .when(F.coalesce("producer", F.lit("")) == "", F.concat(F.lit("bad-producer:"), "ref"))
+        .when(F.coalesce("field", F.lit("")) == "", F.concat(F.lit("empty-source_field:"), "ref"))
+    )
+    marked = joined.select("edge", F.when(fault.isNotNull(), F.struct(F.coalesce("at", F.lit(0)).alias("at"), fault.alias("fault"))).alias("f"))
+    return marked.groupBy("edge").agg(F.coalesce(F.min("f")["fault"], F.lit("")).alias("reason"))
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
@@ -42,10 +172,9 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(src, n, out): neighbours in order; with a limit, the most confident ones, which bounds a row's size."""
     if limit is not None:
-        w = Window.partitionBy("src").orderBy(F.desc("conf"), "dst", "verb")
-        ranked = edges.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
-        n = edges.groupBy("src").agg(F.count("*").alias("n"))
-        return ranked.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "dst", "verb", "conf"))), lambda x: F.struct(x["dst"], x["verb"], x["conf"])).alias("out")).join(n, "src")
+        w = Window.partitionBy("src")
+        ranked = edges.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("conf"), "dst", "verb")), "n": F.count("*").over(w)}).filter(F.col("rn") <= limit)
+        return ranked.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "dst", "verb", "conf"))), lambda x: F.struct(x["dst"], x["verb"], x["conf"])).alias("out"), F.max("n").alias("n"))
     return edges.groupBy("src").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("dst", "verb", "conf"))).alias("out"))
 
 

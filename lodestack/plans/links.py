@@ -317,14 +317,6 @@ def id_resolve(spark: SparkSession, d: str) -> DataFrame:
     return q.join(e.select(F.col("slug").alias("req"), "id"), "req").groupBy("req").agg(F.when(F.count("*") == 1, "OK").otherwise("AMBIGUOUS").alias("status"), F.min("id").alias("first_id"), F.count("*").alias("candidates"))
 
 
-@register("graph_extract", given("""x AS (SELECT id AS src, unnest(CASE WHEN type = 'model' THEN tags[1:2] ELSE [] END) AS dst, 'BASED_ON' AS verb, 'model' AS dst_type, 1.0E0 AS conf FROM ent UNION ALL SELECT id, unnest(CASE WHEN type = 'paper' THEN tags[3:4] ELSE [] END), 'CITES', 'paper', 1.0E0 FROM ent UNION ALL SELECT id, unnest(CASE WHEN type = 'space' THEN tags[1:1] ELSE [] END), 'DEMO_OF', 'model', 0.9E0 FROM ent) SELECT * FROM x WHERE length(dst) > 2""", ENT))
-def graph_extract(spark: SparkSession, d: str) -> DataFrame:
-    """G1: relations from reference columns; graph_relations has all verbs."""
-    none = F.array().cast("array<string>")
-    e = entities(spark, d).select("id", F.when(F.col("type") == "model", F.slice("tags", 1, 2)).otherwise(none).alias("base"), F.when(F.col("type") == "paper", F.slice("tags", 3, 2)).otherwise(none).alias("refs"), F.when(F.col("type") == "space", F.slice("tags", 1, 1)).otherwise(none).alias("demo"))
-    return G.extract_relations(e, {"base": ("BASED_ON", "model", 1.0), "refs": ("CITES", "paper", 1.0), "demo": ("DEMO_OF", "model", 0.9)})
-
-
 @register("graph_dedupe", given("SELECT src, dst, verb, max(conf) AS conf, substr(sha256(CAST(src AS VARCHAR) || chr(0) || verb || chr(0) || CAST(dst AS VARCHAR)), 1, 16) AS edge_id FROM rel GROUP BY src, dst, verb", REL))
 def graph_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """One edge of each kind, with its id."""
