@@ -74,3 +74,58 @@ def rss_items(df: DataFrame, title: str, link: str, stamp: str) -> DataFrame:
     """One item of a feed for each row, as text."""
     escape = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return df.select(F.concat(F.lit("<item><title>"), escape(title), F.lit("</title><link>"), escape(link), F.lit("</link><pubDate>"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate></item>")).alias("item"))
+
+
+def content_digest(df: DataFrame) -> str:
+    """A digest of the rows of a table whatever their order: the number of rows and two sums of row hashes."""
+    cols = [F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in df.columns]
+    h = F.xxhash64(*cols).cast("decimal(38,0)")
+    g = F.xxhash64(F.lit(7), *cols).cast("decimal(38,0)")
+    r = df.agg(F.count("*").alias("n"), F.sum(h).alias("h"), F.sum(g).alias("g")).first()
+    return f"{r['n']}-{r['h'] or 0}-{r['g'] or 0}-{','.join(df.columns)}"
+
+
+def write_if_changed(df: DataFrame, path: str, keep: int = 3) -> bool:
+    """Write a version of a table under path unless its rows are those of the last one; the newest `keep` versions stay.
+
+    Versions are numbered folders, so a reader of one is never disturbed; the digest of the last one is kept beside them."""
+    spark = df.sparkSession
+    fs, root = _fs(spark, path)
+    digest = content_digest(df)
+    found = _epochs(fs, root) if fs.exists(root) else []
+    last = int(found[-1].getName().split("=e")[1]) if found else 0
+    marks = spark.read.text(f"{path}/_digests").collect() if found else []  # a line of each kept version
+    known = dict(r["value"].split(" ", 1) for r in marks)
+    if known.get(str(last)) == digest:
+        return False
+    write_epoch(df, path, f"e{last + 1}", keep)
+    kept = {k: v for k, v in known.items() if int(k) > last + 1 - keep} | {str(last + 1): digest}
+    spark.createDataFrame([(f"{k} {v}",) for k, v in kept.items()], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_digests")
+    return True
+
+
+def numbered(df: DataFrame, by: Sequence[Column], out: str = "row") -> DataFrame:
+    """df with the numbers of its rows, from 0, in an order; no task sees more than a range of it.
+
+    The rows are sorted by ranges and written once, so their numbers within a range are fixed; where a range starts follows from the
+    counts of those before it, a row each."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the last key splits rows that are equal in all others, however many
+    order = [*by, F.col("_tie")]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_tie")
+    path = scratch(spark, "numbered")
+    ranged.withColumn("_local", F.monotonically_increasing_id()).write.parquet(path)
+    local = spark.read.parquet(path).withColumn("_part", F.shiftright("_local", 33))
+    starts, total = [], 0
+    for r in local.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        starts.append((r["_part"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(starts, "_part long, _start long")
+    return local.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_start") + F.col("_local").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_local")
+
+
+def write_in_files(df: DataFrame, path: str, rows: int) -> DataFrame:
+    """Write rows as text in files of at most `rows` lines, with an index: (file, rows) of each, in order of name."""
+    df.write.option("maxRecordsPerFile", rows).mode("overwrite").text(path)
+    return df.sparkSession.read.text(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count("*").alias("rows"))
