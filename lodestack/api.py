@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import metadata as M
@@ -12,6 +12,7 @@ from lodestack.functions import scoring as S
 from lodestack.operators import filters as Q
 from lodestack.operators import rank as R
 from lodestack.operators import search as I
+from lodestack.sources import sinks
 
 MAX_RESULTS = 50
 MAX_IDS = 25
@@ -48,8 +49,9 @@ class Catalogue:
             raise ValueError(f"limit must be 1 to {MAX_RESULTS}, page 1 or more")
         wanted = I.query_terms(self.entities.sparkSession, query)
         rows = self.entities if type is None else self.entities.filter(F.col("type") == type)
-        if wanted:
-            rows = rows.join(self._hits(rows, wanted), "id")
+        hits = self._hits(rows, wanted) if wanted else None
+        if hits is not None and not hits.isEmpty():
+            rows = rows.join(hits, "id")
         else:
             rows = rows.withColumns({"relevance": F.col("score"), "hits": F.lit(0)})
         columns = SORTS[sort]
@@ -85,6 +87,14 @@ class Catalogue:
     def entity(self, id: str) -> DataFrame:
         return self.entities.filter((F.col("id") == id) | (F.col("slug") == id)).orderBy((F.col("id") == id).desc(), "type", "id").limit(MAX_IDS)
 
+    def lookup(self, request: str) -> DataFrame:
+        """One row (req, status, id): 200 for the id itself or the only entity of a slug, 409 for a slug of several, 404 for none."""
+        found = self.entities.filter((F.col("id") == request) | (F.col("slug") == request))
+        n, own = F.countDistinct("id").alias("n"), F.max(F.when(F.col("id") == request, F.col("id"))).alias("own")
+        row = found.agg(n, own, F.min("id").alias("first"))
+        status = F.when(F.col("n") == 0, 404).when(F.col("own").isNotNull() | (F.col("n") == 1), 200).otherwise(409)
+        return row.select(F.lit(request).alias("req"), status.alias("status"), F.when(status == 200, F.coalesce("own", "first")).alias("id"))
+
     def trends(self, ids: Sequence[object]) -> DataFrame:
         """Trend rows of up to 25 ids; ids without two points have nulls."""
         if self.history is None or len(ids) > MAX_IDS:
@@ -103,3 +113,12 @@ class Catalogue:
 
     def health(self) -> DataFrame:
         return self.entities.agg(F.count("*").alias("entities"), F.countDistinct("type").alias("types"), F.max("last_modified").alias("latest"))
+
+
+def datasets(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """(name, rows) of the latest epoch of each export under path."""
+    out = None
+    for name in names:
+        one = sinks.read_latest(spark, f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out

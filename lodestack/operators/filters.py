@@ -109,3 +109,13 @@ def content_status(text: Column, blocked: Sequence[str], doubtful: Sequence[str]
     pattern = lambda ws: r"\b(?:" + "|".join(map(re.escape, ws)) + r")\b"
     low = F.lower(text)
     return F.when(low.rlike(pattern(blocked)), "blocked").when(low.rlike(pattern(doubtful)), "pending").otherwise("approved")
+
+
+def harvested(url: str, derived: str) -> Column:
+    """An address that a source gave: of eight characters at least, and not the one that follows from the id."""
+    return (F.length(url) >= 8) & ~F.coalesce(F.col(url) == F.col(derived), F.lit(False))
+
+
+def concept_stub(id: str) -> Column:
+    """Ids of concepts and articles, which stand for no entity."""
+    return F.col(id).rlike("^(?:knowledge|concept|kb|k)--")

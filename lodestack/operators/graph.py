@@ -202,6 +202,19 @@ def topic_links(entities: DataFrame, id: str, text) -> DataFrame:
     return rows.select(id, "x.topic", "x.conf")
 
 
+def term_links(entities: DataFrame, id: str, text: Column, terms: dict[str, list[str]], least: float = 0.4, most: int = 20) -> DataFrame:
+    """(id, term, alias, score): the terms of which a text holds a word, the first of its list, by the share of the text's words that hold
+    it times the rarity of the term, from `least` on; the `most` best of each row."""
+    low = entities.select(id, F.lower(text).alias("low")).withColumn("words", F.split("low", r"\s+"))
+    alias = lambda words: F.coalesce(*(F.when(F.contains(F.col("low"), F.lit(w)), F.lit(w)) for w in words))
+    found = low.select(id, "words", F.explode(F.filter(F.array(*(F.struct(F.lit(t).alias("term"), alias(ws).alias("alias")) for t, ws in terms.items())), lambda x: x["alias"].isNotNull())).alias("t"))
+    share = found.select(id, "t.term", "t.alias", (F.size(F.filter("words", lambda w: F.contains(w, F.col("t.alias")))) / F.greatest(F.size("words"), F.lit(1))).alias("share"))
+    rare = share.groupBy("term").agg(F.count("*").alias("df")).crossJoin(low.agg(F.count("*").alias("n")))  # a row per term
+    scored = share.join(F.broadcast(rare), "term").withColumn("score", F.col("share") * F.log(F.col("n") / F.greatest("df", F.lit(1)))).filter(F.col("score") >= least)
+    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("score"), "term"))).filter(F.col("rn") <= most)
+    return best.select(id, "term", "alias", F.round("score", 3).alias("score"))
+
+
 def same_source_pairs(df: DataFrame, id: str, key: str) -> DataFrame:
     """(a, b): rows of one key as a star about its smallest id. That connects what all pairs would connect, in linear size."""
     least = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(id).alias("a"))

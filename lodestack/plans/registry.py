@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lodestack.plans import labels, links, mesh, projections, scores, stores, texts  # noqa: F401  they register on import
+    from lodestack.plans import labels, links, lookups, mesh, projections, scores, stores, texts  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
