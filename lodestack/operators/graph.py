@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.identity import canonical
 from lodestack.functions.metadata import arxiv_ids
 from lodestack.functions.text import dataset_refs, occurrences
+from lodestack.sources.sinks import scratch
 
 # The verb of an edge read from its other end.
 REVERSED = {"CITES": "CITED_BY", "EVALUATED_ON": "EVALUATED_BY", "USES": "USED_BY", "BASED_ON": "BASIS_OF", "TRAINED_ON": "TRAINING_SOURCE_OF", "IMPLEMENTS": "IMPLEMENTED_BY", "DEP": "DEPENDED_ON_BY", "STACK": "IN_STACK_OF", "DEMO_OF": "HAS_DEMO", "FEATURES": "FEATURED_IN"}
@@ -223,7 +226,7 @@ def same_source_pairs(df: DataFrame, id: str, key: str) -> DataFrame:
 
 def identity_clusters(pairs: DataFrame, max_passes: int = 40) -> DataFrame:
     """(id, cluster): the smallest id that can be reached over pairs(a, b). Labels spread and are then looked up in each other, which
-    doubles their reach a pass; raises after max_passes. State is checkpointed if the session has a folder for that."""
+    doubles their reach a pass; raises after max_passes. Each pass is written to the shared folder."""
     edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).filter("x <> y")
     edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     labels = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label"))
@@ -241,9 +244,15 @@ def identity_clusters(pairs: DataFrame, max_passes: int = 40) -> DataFrame:
 
 
 def _keeper(df: DataFrame):
-    spark = df.sparkSession
-    has = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    return (lambda x: x.checkpoint()) if has else (lambda x: x.cache())
+    """Writes a table to the shared folder and reads it back, so that a pass neither repeats the last ones nor is lost with an executor."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "labels")
+
+    def keep(x: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        x.write.parquet(path)
+        return spark.read.schema(x.schema).parquet(path)
+
+    return keep
 
 
 def tag_alternatives(entities: DataFrame, id: str, category: str, tags: str, least: float = 0.3, n: int = 10) -> DataFrame:

@@ -7,6 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.sources.sinks import scratch
+
+
+#: Different scores up to which one task adds them up; more of them are added up by ranges.
+ONE_TASK = 100_000
+
+
+def running_sum(df: DataFrame, order: Column, n: str, out: str) -> DataFrame:
+    """df with the sum of `n` over all rows before each one in an order without ties; no task sees more than a range of it."""
+    if df.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return df.withColumn(out, F.coalesce(F.sum(n).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    starts, total = [], 0
+    for r in ranged.groupBy("_part").agg(F.sum(n).alias("n")).orderBy("_part").collect():  # a row for each partition
+        starts.append((r["_part"], total))
+        total += r["n"]
+    within = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_within", within).join(F.broadcast(spark.createDataFrame(starts, "_part int, _start long")), "_part").withColumn(out, F.col("_start") + F.col("_within")).drop("_part", "_within", "_start")
+
 
 def score_table(df: DataFrame, score: str) -> DataFrame:
     """(score, _ties, _above, _n): a row for each score that occurs, with the rows that have it, those that have a higher one, and all.
@@ -14,8 +36,8 @@ def score_table(df: DataFrame, score: str) -> DataFrame:
     Ranks of all rows follow from this table, which is as long as there are different scores; so the rows themselves are never
     sorted in one task. Scores of one decimal make at most a thousand."""
     counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_ties"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_above", F.coalesce(F.sum("_ties").over(w), F.lit(0))).withColumn("_n", F.sum("_ties").over(Window.partitionBy()))
+    total = counts.agg(F.coalesce(F.sum("_ties"), F.lit(0)).alias("_n"))
+    return running_sum(counts, F.desc(score), "_ties", "_above").crossJoin(F.broadcast(total))  # one row
 
 
 def midrank_percentile(df: DataFrame, score: str, out: str = "percentile") -> DataFrame:
@@ -79,8 +101,8 @@ def trends(history: DataFrame, id: str, day: str, score: str, keep: int = 90) ->
 
 def order_statistics(df: DataFrame, score: str, shares: dict[str, float]) -> DataFrame:
     """One row: for each name the score at index floor(n * share) of the ascending order, and max, zero share and n."""
-    table = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("ties"))
-    w = Window.orderBy(score)
-    table = table.withColumn("upto", F.sum("ties").over(w)).withColumn("n", F.sum("ties").over(Window.partitionBy()))
+    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("ties"))
+    total = counts.agg(F.sum("ties").alias("n"))
+    table = running_sum(counts, F.asc(score), "ties", "before").withColumn("upto", F.col("before") + F.col("ties")).crossJoin(F.broadcast(total))  # one row
     at = {k: F.least(F.floor(F.col("n") * q), F.col("n") - 1) for k, q in shares.items()}
     return table.agg(*(F.max(F.when((at[k] < F.col("upto")) & (at[k] >= F.col("upto") - F.col("ties")), F.col(score))).alias(k) for k in shares), F.max(score).alias("max"), (F.sum(F.when(F.col(score) == 0, F.col("ties")).otherwise(0)) / F.sum("ties")).alias("zero_share"), F.sum("ties").alias("n"))

@@ -181,3 +181,17 @@ def test_compare_keeps_order_and_marks(spark):
     assert got == [("t", "OK", "c"), ("none", "NOT_FOUND", None), ("s", "AMBIGUOUS", "a"), ("a", "OK", "a")]
     with pytest.raises(ValueError):
         Catalogue(df).compare(["a"])
+
+
+def test_sums_by_ranges_are_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.integers(0, 60, 300))], "i int, s double").repartition(5)
+    want = sorted(map(tuple, rank.midrank_percentile(df, "s").collect()))
+    monkeypatch.setattr(rank, "ONE_TASK", 7)
+    assert sorted(map(tuple, rank.midrank_percentile(df, "s").collect())) == want
+    assert sinks.numbered(df, [F.desc("s"), F.asc("i")]).filter("row = 0").first()["s"] == 59.0
+
+
+def test_unchanged_tables_are_not_written(spark, tmp_path):
+    path, df = str(tmp_path / "v"), spark.range(10)
+    assert [sinks.write_if_changed(x, path) for x in (df, df.orderBy(F.desc("id")), df.limit(9), df)] == [True, False, True, True]
