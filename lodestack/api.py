@@ -71,7 +71,9 @@ class Catalogue:
         """The factors of each entity's score and the one that adds most; semantic similarity is neutral outside a search."""
         c = F.col
         pop = S.raw_popularity(c("id"), c("likes"), c("downloads"), c("stars"), c("forks"), c("citations"))
-        parts = S.factors(c("id"), c("type"), pop, c("mesh_points"), c(days) if days else F.lit(None).cast("int"), F.lit(50), F.lit(50))
+        complete = S.completeness(c("type"), F.lit(0), c("source_url").isNotNull(), c("citations"), c("params_billions").isNotNull(), F.size("tags") > 0, c("author"))
+        useful = S.utility(c("has_ollama") | c("has_gguf") | c("pipeline_tag").isNotNull(), F.lit(False))
+        parts = S.factors(c("id"), c("type"), pop, c("mesh_points"), c(days) if days else F.lit(None).cast("int"), complete, useful)
         return self.entities.select("id", *(v.alias(k) for k, v in parts.items()), S.dominant_factor(parts).alias("dominant"), S.composite(parts).alias("total"))
 
     def compare(self, requests: Sequence[str]) -> DataFrame:

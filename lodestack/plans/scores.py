@@ -291,3 +291,12 @@ def label_badges(spark: SparkSession, d: str) -> DataFrame:
 def label_compact_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers as 1.5K or 2.0M."""
     return entities(spark, d).select("id", F.replace(M.compact_number(F.col("downloads")), F.lit(","), F.lit("")).alias("downloads_text"))
+
+
+@register("verb_explain", given(f"{FACTORS}, e AS (SELECT * REPLACE (50E0 AS f_s) FROM fac), b AS (SELECT *, 0.35E0 * f_s AS w_s, 0.25E0 * f_a AS w_a, 0.15E0 * f_p AS w_p, 0.15E0 * f_r AS w_r, 0.1E0 * f_q AS w_q FROM e) SELECT id, {', '.join(f'round(f_{k}, 4) AS {k}' for k in 'sapr')}, round(f_q, 4) AS q, round({_TOTAL}, 4) AS total FROM b", ENT))
+def verb_explain(spark: SparkSession, d: str) -> DataFrame:
+    """explain, X8: the factors of every entity's score and what they make together."""
+    from lodestack.api import Catalogue
+
+    e = entities(spark, d).withColumn("days", days_since("last_modified"))
+    return Catalogue(e).explain(days="days").select("id", *(F.round(k, 4).alias(k) for k in "saprq"), F.round("total", 4).alias("total"))

@@ -295,13 +295,6 @@ def verb_compare(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("pos").cast("long").alias("pos"), "req", "status", "id")
 
 
-@register("verb_explain", given("SELECT id, round(0.35E0 * 50 + 0.25E0 * least(99.9E0, 99.9E0 * (1 - pow(10E0, -(log10(mesh_points + 1) / 4)))), 4) AS s_and_a FROM ent WHERE k = 10", ENT))
-def verb_explain(spark: SparkSession, d: str) -> DataFrame:
-    """explain: the parts of one entity's score."""
-    row = api.Catalogue(entities(spark, d).filter("k = 10")).explain()
-    return row.select("id", F.round(0.35 * F.lit(50.0) + 0.25 * F.col("a"), 4).alias("s_and_a"))
-
-
 @register("sink_mirror", given("SELECT id, type, left(description, 300) AS abstract, round(score, 1) AS score FROM ent", ENT))
 def sink_mirror(spark: SparkSession, d: str) -> DataFrame:
     """The mirror written by epoch and read back."""
@@ -357,7 +350,7 @@ def stream_registry(spark: SparkSession, d: str) -> DataFrame:
     return flows.registry(spark, d)
 
 
-@register("stream_last_scores")
+@register("stream_last_scores", "SELECT user_id, least(count(*), 90) AS points, arg_max(value, event_id) AS latest FROM events GROUP BY user_id")
 def stream_last_scores(spark: SparkSession, d: str) -> DataFrame:
     """2.14, W10: keyed state that keeps the last points of each id."""
     return flows.last_scores(spark, d)

@@ -56,14 +56,15 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_scores(spark: SparkSession, sf_dir: str, keep: int = 90) -> DataFrame:
-    """(user_id, points, latest): keyed state of the last `keep` scores of each id, in the order they come."""
+    """(user_id, points, latest): keyed state of the last `keep` scores of each id, those of a trigger in the order of their events."""
     path = scratch(spark, "state")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        points = list(state.get[0]) if state.exists else []
+        # of a trigger only the last `keep` events can stay, so no more are held
+        fresh = pd.DataFrame({"event_id": [], "value": []})
         for b in batches:
-            points += b.sort_values("event_id")["value"].tolist()
-        points = points[-keep:]
+            fresh = pd.concat([fresh, b[["event_id", "value"]]]).nlargest(keep, "event_id")
+        points = ((list(state.get[0]) if state.exists else []) + fresh.sort_values("event_id")["value"].tolist())[-keep:]
         state.update((points,))
         yield pd.DataFrame({"user_id": [key[0]], "points": [len(points)], "latest": [points[-1]]})
 
