@@ -9,8 +9,8 @@ distances. Texts are stored in pages of some megabytes. A first pass finds the a
 one sends only the windows of those and of the anchors that a page has in two documents, as snippets that cover all windows of one
 occurrence, to the task that sorts the anchor's windows. Hashes choose what meets; equality is always decided on the bytes.
 
-A page sends each snippet once, for the document of smallest id that has it; for its others in the page the answer is known. So
-neither copies of whole texts nor a line that is in every document fill a task.
+A task gathers the snippets of some pages and sends each once, for the document of smallest id that has it; for its others the answer
+is known. So neither copies of whole texts nor a line that is in every document fill a task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.textkit import arrow_map, blocks, materialise, mix, release, slices, table, utf8
+from lodestack.llm.textkit import arrow_map, blocks, load_page, materialise, mix, pages, release, table, utf8
 
 LENGTH = 50
 Q = 20
@@ -126,10 +126,10 @@ def radix_groups(text: np.ndarray, at: np.ndarray, length: int, seed: np.ndarray
 
 
 _LEVEL = 3
-#: Bytes of text of a page, its unit of work, about; a longer text is a page by itself.
-PAGE_BYTES = 4 << 20
-#: What is sent of the snippets of a page and bucket, a column each, bytes of equal weight together: that compresses best.
-_PARTS = {"hashes": "<u8", "ranks": "<i8", "lead": "u1", "sizes": "<u2", "bytes": "u1", "owners": "<u4", "rows": "<u4", "starts": "<i8"}
+#: What is sent of the snippets of some pages and a bucket, a column each, bytes of equal weight together: that compresses best.
+_PARTS = {"hashes": "<u8", "ranks": "<i8", "lead": "u1", "sizes": "<u2", "bytes": "u1", "owners": "<u4", "pages": "<i8", "rows": "<u4", "starts": "<i8"}
+#: Anchors, and a quarter of the bytes of snippets, that a task gathers over its pages before it sends them.
+_FLUSH = 1 << 20
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -141,28 +141,6 @@ def _expanded(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _stored(b: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", _LEVEL))) as out:
-        out.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
-def _loaded(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(blob).read_next_batch()
-
-
-def pages(docs: DataFrame) -> DataFrame:
-    """(page, z): the rows of docs, all columns, some megabytes a page, written once; z is a compressed Arrow stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, PAGE_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array([_stored(part)], pa.binary())], ["z"])
-
-    return materialise(docs.mapInArrow(run, "z binary").select(F.monotonically_increasing_id().alias("page"), "z"), "pages")
-
-
 def _occurrences(data: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
     """(row, position, hash, first window, last window) of all anchors of a page."""
     found = list(zip(*_anchored(data, off, length, q), strict=True))
@@ -189,14 +167,12 @@ def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def _combined(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, ...]:
-    """Occurrences of a page by equal snippets: (the occurrence of least rank of each, for every occurrence its snippet's number, and
-    whether its rank is larger than the least). Keys choose what is compared; equality is decided on the bytes."""
-    row, pos, h, first, last = found
-    size, lead = last - first + length, pos - first
+def _combined(data: np.ndarray, ranks: np.ndarray, h: np.ndarray, first: np.ndarray, lead: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal snippets: (the one of least rank of each kind, for every snippet the number of its kind, and whether its rank is larger
+    than the least). Keys choose what is compared; equality is decided on the bytes."""
     with np.errstate(over="ignore"):
         key = mix(h + mix((lead * 65_599 + size).astype(np.uint64)))
-    order = np.lexsort((ranks[row], key))
+    order = np.lexsort((ranks, key))
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order  # of each place in the order
     other = np.flatnonzero(~new)
@@ -210,7 +186,7 @@ def _combined(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, found: tuple
     at = np.cumsum(alone) - 1
     at[other[same]] = (np.cumsum(alone) - 1)[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[other[same]]]
     number[order] = at
-    return heads, number, ranks[row] > ranks[row][heads][number]
+    return heads, number, ranks > ranks[heads][number]
 
 
 def _home(page: np.ndarray, n: int) -> np.ndarray:
@@ -222,12 +198,12 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
     starts in a document of smaller rank, as squeezed triples of longs (row of the page, start, end) in order.
 
     Rank is doc_id, a null one after all others; rows of equal rank don't count for each other. What tasks exchange are packed blocks,
-    one for each page and bucket of anchors at most. A page sends an equal snippet once, for the least of its ranks; its other
-    occurrences are known to be repeats at once, so a passage that is everywhere costs a snippet a page, not one a document."""
+    one for each bucket of some pages at most. Of equal snippets in these pages one is sent, for the least of their ranks; the others
+    are known to be repeats at once. So a passage that is everywhere costs a snippet in some megabytes, not one a document."""
     shuffles = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-        b = _loaded(z)
+        b = load_page(z)
         data, off = utf8(b.column("text"))
         ranks = pc.fill_null(b.column("doc_id").cast(pa.int64()), NONE).to_numpy()
         return data, off, ranks, _occurrences(data, off, length, q)
@@ -239,30 +215,54 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
         order = np.argsort(buckets, kind="stable")
         return own, order, np.searchsorted(buckets[order], np.arange(shuffles + 1))
 
-    def offer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The anchors of a page by bucket, six bytes of the hash of each."""
-        for page, z in zip(b.column("page").to_pylist(), b.column("z").to_pylist(), strict=True):
-            own, order, cuts = by_bucket(read(z)[3][2])
-            buckets = np.flatnonzero(np.diff(cuts))
-            short = (own[order] // np.uint64(shuffles)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            blobs = [zstandard.ZstdCompressor(level=_LEVEL).compress(np.ascontiguousarray(short[cuts[k] : cuts[k + 1]].T).tobytes()) for k in buckets]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([page] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "page", "hashes"])
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The anchors of some pages by bucket: for each page six bytes of the hash of each."""
+        kept: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(h) for _, h, _ in kept]
+            which = np.repeat(np.arange(len(kept)), sizes)
+            buckets = np.concatenate([k for _, _, k in kept])
+            order = np.argsort(buckets, kind="stable")  # pages and hashes stay in order within a bucket
+            short = (np.concatenate([h for _, h, _ in kept])[order] // np.uint64(shuffles)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            buckets, which = buckets[order], which[order]
+            used = np.unique(buckets)
+            cuts = np.append(np.searchsorted(buckets, used), len(buckets))
+            ids = np.array([page for page, _, _ in kept], "<i8")
+            out: dict[str, list[bytes]] = {"pages": [], "sizes": [], "hashes": []}
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own, counts = np.unique(which[i:j], return_counts=True)
+                out["pages"].append(_squeezed(ids[own]))
+                out["sizes"].append(_squeezed(counts.astype("<i8")))
+                out["hashes"].append(zstandard.ZstdCompressor(level=_LEVEL).compress(np.ascontiguousarray(short[i:j].T).tobytes()))
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(out[k], pa.binary()) for k in out)], ["bucket", *out])
+
+        for b in batches:
+            for page, z in zip(b.column("page").to_pylist(), b.column("z").to_pylist(), strict=True):
+                own, order, _ = by_bucket(read(z)[3][2])
+                kept.append((page, own[order], _bucket(own[order], shuffles)))
+                if sum(len(h) for _, h, _ in kept) >= _FLUSH:
+                    yield flush()
+        if kept:
+            yield flush()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A flag for each anchor of the partition: whether another page has it. Blocks are addressed to the homes of pages."""
         expand = zstandard.ZstdDecompressor().decompress
-        bucket, page, hashes = [], [], []
+        bucket, page, sizes, hashes = [], [], [], []
         for b in batches:
-            for k, p, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "page", "hashes")), strict=True):
+            for k, p, n, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "pages", "sizes", "hashes")), strict=True):
                 part = np.frombuffer(expand(blob), np.uint8).reshape(6, -1)
                 raw = np.zeros((part.shape[1], 8), np.uint8)
                 raw[:, :6] = part.T
-                bucket.append(k)
-                page.append(p)
+                page.append(_expanded(p, "<i8"))
+                sizes.append(_expanded(n, "<i8"))
+                bucket.append(np.full(len(page[-1]), k))
                 hashes.append((raw.view("<u8").ravel() << np.uint64(12)) | np.uint64(k % 4096))
         if not page:
             return
-        sizes = np.array(list(map(len, hashes)))
+        bucket, page, sizes = map(np.concatenate, (bucket, page, sizes))
         h = np.concatenate(hashes)
         hashes.clear()
         order = np.argsort(h)
@@ -270,14 +270,14 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
         flags = np.zeros(len(h), np.uint8)
         flags[order] = np.concatenate([[False], same]) | np.append(same, False)
         stops = np.cumsum(sizes)
-        home = _home(np.array(page), shuffles)
+        home = _home(page, shuffles)
         out = {"home": [], "pages": [], "buckets": [], "sizes": [], "flags": []}
         for to in np.unique(home).tolist():
             own = np.flatnonzero(home == to)
             out["home"].append(to)
-            out["pages"].append(_squeezed(np.array(page, "<i8")[own]))
-            out["buckets"].append(_squeezed(np.array(bucket, "<i4")[own]))
-            out["sizes"].append(_squeezed(sizes[own].astype("<i8")))
+            out["pages"].append(_squeezed(page[own]))
+            out["buckets"].append(_squeezed(bucket[own].astype("<i4")))
+            out["sizes"].append(_squeezed(sizes[own]))
             out["flags"].append(_squeezed(flags[_ranges(stops[own] - sizes[own], sizes[own])]))
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "home" else pa.binary()) for k, v in out.items()})
 
@@ -294,74 +294,92 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
             parts.sort(key=lambda x: x[0])
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([_squeezed(np.concatenate([x[1] for x in parts]))], pa.binary())], ["page", "flags"])
 
-    offered = stored.mapInArrow(lambda batches: (x for b in batches for x in offer(b)), "bucket int, page long, hashes binary")
+    offered = stored.mapInArrow(offer, "bucket int, pages binary, sizes binary, hashes binary")
     answers = offered.repartitionById(shuffles, F.col("bucket")).mapInArrow(shared, "home int, " + ", ".join(f"{k} binary" for k in ("pages", "buckets", "sizes", "flags")))
     found = materialise(answers.repartitionById(shuffles, F.col("home")).mapInArrow(told, "page long, flags binary"), "anchors")
-    kinds = {"bucket": pa.int32(), "page": pa.int64(), **{k: pa.binary() for k in (*_PARTS, "spans")}}
-
-    def snippets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """For each snippet around an anchor that has company its bytes, by bucket; and the spans that the page knows by itself."""
-        for page, z, known in zip(*(b.column(c).to_pylist() for c in ("page", "z", "flags")), strict=True):
-            data, off, ranks, (row, pos, h, first, last) = read(z)
-            own, order, _ = by_bucket(h)
-            wanted = np.zeros(len(own), bool)
-            wanted[order] = _expanded(known, "u1") > 0
-            which = np.searchsorted(own, h)
-            least, most = np.full(len(own), len(off)), np.full(len(own), -1)
-            np.minimum.at(least, which, row)
-            np.maximum.at(most, which, row)
-            c = np.flatnonzero((wanted | (least < most))[which])
-            if not len(c):
-                continue
-            row, pos, h, first, last = (x[c] for x in (row, pos, h, first, last))
-            heads, number, later = _combined(data, off, ranks, (row, pos, h, first, last), length)
-            start, size = first - off[row], last - first + length
+    kinds = {"bucket": pa.int32(), **{k: pa.binary() for k in (*_PARTS, "spans")}}
+
+    def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each snippet around an anchor that has company its bytes, by bucket; and the spans that are known without the others."""
+        kept: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, ranks, lead, size, text, page, row, start = map(np.concatenate, zip(*kept, strict=True))
+            kept.clear()
+            first = np.cumsum(size) - size
+            heads, number, later = _combined(text, ranks, h, first, lead, size)
             out: dict[str, list] = {k: [] for k in kinds}
             if later.any():
-                out["bucket"].append(int(_home(np.array([page]), shuffles)[0]))
-                out["spans"].append(_squeezed(np.stack(_union(row[later], start[later], (start + size)[later]), axis=1).astype("<i8").ravel()))
+                ids, at = np.unique(page, return_inverse=True)
+                own, a, e = _union((at[later] << 32) | row[later], start[later], (start + size)[later])
+                known = np.stack([ids[own >> 32], own & 0xFFFFFFFF, a, e], axis=1)
+                home = _home(known[:, 0], shuffles)
+                for to in np.unique(home).tolist():
+                    out["bucket"].append(to)
+                    out["spans"].append(_squeezed(known[home == to].astype("<i8").ravel()))
             mine = np.flatnonzero(~later)
             mine = mine[np.argsort(number[mine], kind="stable")]  # owners by snippet
             owners = np.bincount(number[mine], minlength=len(heads))
             begins = np.cumsum(owners) - owners
             buckets = _bucket(h[heads], shuffles)
             by = np.argsort(buckets, kind="stable")
-            cuts = np.searchsorted(buckets[by], np.arange(shuffles + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                s = by[cuts[k] : cuts[k + 1]]
+            used = np.unique(buckets)
+            cuts = np.append(np.searchsorted(buckets[by], used), len(by))
+            for k, i, j in zip(used.tolist(), cuts[:-1], cuts[1:], strict=True):
+                s = by[i:j]
                 o, x = heads[s], mine[_ranges(begins[s], owners[s])]
-                part = {"hashes": h[o], "ranks": ranks[row[o]], "lead": pos[o] - first[o], "sizes": size[o], "bytes": data[_ranges(first[o], size[o])], "owners": owners[s], "rows": row[x], "starts": start[x]}
-                out["bucket"].append(int(k))
+                part = {"hashes": h[o], "ranks": ranks[o], "lead": lead[o], "sizes": size[o], "bytes": text[_ranges(first[o], size[o])], "owners": owners[s], "pages": page[x], "rows": row[x], "starts": start[x]}
+                out["bucket"].append(k)
                 out["spans"].append(None)
                 for name, kind in _PARTS.items():
                     out[name].append(_squeezed(part[name].astype(kind)))
             for name in _PARTS:
                 out[name] = [None] * (len(out["bucket"]) - len(out[name])) + out[name]
-            out["page"] = [page] * len(out["bucket"])
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
+            return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
+
+        held = 0
+        for b in batches:
+            for page, z, known in zip(*(b.column(c).to_pylist() for c in ("page", "z", "flags")), strict=True):
+                data, off, ranks, (row, pos, h, first, last) = read(z)
+                own, order, _ = by_bucket(h)
+                wanted = np.zeros(len(own), bool)
+                wanted[order] = _expanded(known, "u1") > 0
+                which = np.searchsorted(own, h)
+                least, most = np.full(len(own), len(off)), np.full(len(own), -1)
+                np.minimum.at(least, which, row)
+                np.maximum.at(most, which, row)
+                c = np.flatnonzero((wanted | (least < most))[which])
+                if not len(c):
+                    continue
+                row, pos, h, first, last = (x[c] for x in (row, pos, h, first, last))
+                size = last - first + length
+                kept.append((h, ranks[row], pos - first, size, data[_ranges(first, size)], np.full(len(row), page), row, first - off[row]))
+                held += len(kept[-1][4])
+                if held >= 4 * _FLUSH:
+                    held = 0
+                    yield flush()
+        if kept:
+            yield flush()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The spans of the partition's snippets, a block for each home of pages."""
         parts: dict[str, list[np.ndarray]] = {k: [] for k in _PARTS}
-        at_page, spans = [], []
+        spans = []
         for b in batches:
             for k in range(b.num_rows):
-                page = b.column("page")[k].as_py()
                 if (ready := b.column("spans")[k].as_py()) is not None:
-                    triples = _expanded(ready, "<i8").reshape(-1, 3)
-                    spans.append(np.column_stack([np.full(len(triples), page), triples]))
+                    spans.append(_expanded(ready, "<i8").reshape(-1, 4))
                     continue
                 for name, kind in _PARTS.items():
                     parts[name].append(_expanded(b.column(name)[k].as_py(), kind))
-                at_page.append(np.full(len(parts["hashes"][-1]), page))
-        if at_page:
-            p = {k: np.concatenate(v) for k, v in parts.items()} | {"pages": np.concatenate(at_page)}
+        if parts["hashes"]:
+            p = {k: np.concatenate(v) for k, v in parts.items()}
             parts.clear()
             s, a, e = _later(p, length)
             owners = p["owners"].astype(np.int64)
             x = _ranges((np.cumsum(owners) - owners)[s], owners[s])
             who = np.repeat(np.arange(len(s)), owners[s])
-            spans.append(np.stack([p["pages"][s[who]], p["rows"][x].astype(np.int64), p["starts"][x] + a[who], p["starts"][x] + e[who]], axis=1))
+            spans.append(np.stack([p["pages"][x], p["rows"][x].astype(np.int64), p["starts"][x] + a[who], p["starts"][x] + e[who]], axis=1))
         if not sum(map(len, spans)):
             return
         both = np.concatenate(spans)
@@ -385,7 +403,7 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([_squeezed(np.stack(_union(mine[:, 1], mine[:, 2], mine[:, 3]), axis=1).astype("<i8").ravel())], pa.binary())], ["page", "spans"])
 
     candidates = stored.join(found.hint("shuffle_hash"), "page")
-    sent = candidates.select("page", "z", "flags").mapInArrow(lambda batches: (x for b in batches for x in snippets(b)), "bucket int, page long, " + ", ".join(f"{k} binary" for k in (*_PARTS, "spans")))
+    sent = candidates.select("page", "z", "flags").mapInArrow(snippets, "bucket int, " + ", ".join(f"{k} binary" for k in (*_PARTS, "spans")))
     sorted_ = sent.repartitionById(shuffles, F.col("bucket")).mapInArrow(sort, "home int, spans binary")
     spans = materialise(sorted_.repartitionById(shuffles, F.col("home")).mapInArrow(merge, "page long, spans binary"), "spans")
     release(found)
@@ -393,16 +411,22 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
 
 
 def _later(p: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(snippet, start, end): the runs of each snippet that windows cover which a snippet of smaller rank has, too."""
+    """(snippet, start, end): the runs of each snippet that windows cover which a snippet of smaller rank has, too.
+
+    Of equal snippets those of a larger rank are covered whole, and one of the least rank is compared with others for all of these."""
     size = p["sizes"].astype(np.int64)
     total = np.cumsum(size) - size
-    order = np.argsort(p["hashes"], kind="stable")
-    marks = np.flatnonzero(np.concatenate([[True], p["hashes"][order][1:] != p["hashes"][order][:-1]]))
+    heads, number, later = _combined(p["bytes"], p["ranks"], p["hashes"], total, p["lead"].astype(np.int64), size)
+    order = heads[np.argsort(p["hashes"][heads], kind="stable")]
+    new = np.concatenate([[True], p["hashes"][order][1:] != p["hashes"][order][:-1]])
+    single = new & np.append(new[1:], True)  # nothing else has its anchor
+    order, new = order[~single], new[~single]
+    marks = np.flatnonzero(new)
     # whole anchors at a time, in runs of about two million windows
     counts = np.cumsum(size[order] - length + 1)
     edges = [0]
     for m in [*marks[1:].tolist(), len(order)]:
-        if counts[m - 1] - (counts[edges[-1] - 1] if edges[-1] else 0) > 2_000_000 or m == len(order):
+        if m and (counts[m - 1] - (counts[edges[-1] - 1] if edges[-1] else 0) > 2_000_000 or m == len(order)):
             edges.append(m)
     hits, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, e in zip(edges[:-1], edges[1:], strict=True):
@@ -420,11 +444,19 @@ def _later(p: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarra
         rank = p["ranks"][snippet[alive]]
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(group))))
-        later = alive[rank > least]
-        hits.append(snippet[later])
-        at.append(rel[later])
+        hit = alive[rank > least]
+        hits.append(snippet[hit])
+        at.append(rel[hit])
     s, r = np.concatenate(hits), np.concatenate(at)
-    return _union(s, r, r + length)
+    s, a, e = _union(s, r, r + length)
+    # what holds for one of the least rank holds for its equals of that rank
+    equal = np.flatnonzero(~later)
+    equal = equal[np.argsort(number[equal], kind="stable")]
+    members = np.bincount(number[equal], minlength=len(heads))
+    kind = number[s]
+    who = equal[_ranges((np.cumsum(members) - members)[kind], members[kind])]
+    whole = np.flatnonzero(later)
+    return np.concatenate([who, whole]), np.concatenate([np.repeat(a, members[kind]), np.zeros(len(whole), np.int64)]), np.concatenate([np.repeat(e, members[kind]), size[whole]])
 
 
 def _union(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -470,7 +502,7 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame
 
     def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for z, blob in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            page = _loaded(z)
+            page = load_page(z)
             texts = [(t or "").encode() for t in page.column("text").to_pylist()]
             cuts = _spans_of(blob, len(texts))
             shas = [hashlib.sha256(cut(t, s)).hexdigest() for t, s in zip(texts, cuts, strict=True)]
@@ -490,7 +522,7 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
 
     def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for z, blob in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            page = _loaded(z)
+            page = load_page(z)
             texts = page.column(at).to_pylist()
             columns = list(page.columns)
             columns[at] = pa.array([cut(t.encode(), s).decode(errors="ignore") if s else t for t, s in zip(texts, _spans_of(blob, len(texts)), strict=True)], pa.string())

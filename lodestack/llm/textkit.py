@@ -191,6 +191,30 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text of a page, about; a longer text is a page by itself.
+PAGE_BYTES = 1 << 20
+
+
+def pages(docs: DataFrame) -> DataFrame:
+    """(page, z): the rows of docs, all columns, some megabytes a page, written once; z is a compressed Arrow stream.
+
+    Where rows are judged in several steps, the steps exchange keys of page and row, and texts move by page, compressed, if at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, PAGE_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["z"])
+
+    return materialise(docs.mapInArrow(run, "z binary").select(F.monotonically_increasing_id().alias("page"), "z"), "pages")
+
+
+def load_page(z: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(z).read_next_batch()
+
+
 def lower_letters(data: np.ndarray) -> np.ndarray:
     """UTF-8 bytes with A-Z and À-Þ lowered; every ASCII byte that is no letter becomes a space. Bytes over 127 stay."""
     out = _LUT[data]

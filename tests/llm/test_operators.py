@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, components, editcounts, gif, language, packing, quality, sharding, simhash, substrings, toxicity
+from lodestack.llm import bpe, components, editcounts, gif, language, packing, quality, sharding, simhash, substrings, textkit, toxicity
 
 WORDS = "the and of to in is that it for was on with as this are ring stone river light cloud paper house green small open".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -388,7 +388,7 @@ def test_substrings_are_brute_force(docs, length, q):
 @pytest.mark.parametrize("partitions", ["3", "60"])
 def test_a_line_in_every_text(spark, monkeypatch, partitions):
     """Small pages and many partitions change neither the rows nor, beyond a row for each task, what tasks exchange."""
-    monkeypatch.setattr(substrings, "PAGE_BYTES", 3000)
+    monkeypatch.setattr(textkit, "PAGE_BYTES", 3000)
     rng = random.Random(8)
     line = "This line, which is longer than fifty bytes, stands in every single text of the table."
     rows = [(i if i % 9 else None, f"{prose(rng, 12)}\n{line}\n{prose(rng, 12)}") for i in range(120)] + [(200 + i, line) for i in range(30)]
@@ -416,3 +416,81 @@ def test_pieces_of_a_very_long_text(monkeypatch):
     for _, _, _, first, last in substrings._anchored(data, np.array([0, 3000]), 50, 20):
         windows += [w for a, b in zip(first, last, strict=True) for w in range(a, b + 1)]
     assert sorted(windows) == list(range(2951))
+
+
+@pytest.mark.parametrize("cut", [5, 10, 100, 422, 800])
+def test_damaged_gif(spark, cut):
+    whole = gif.write(bytes(range(192)) * 70)
+    with pytest.raises(ValueError):
+        gif.read(whole[:cut])
+    huge = b"GIF89a" + b"\xff\xff\xff\xff" + whole[10:]
+    rows = [(1, whole), (2, whole[:cut]), (3, None), (4, b""), (5, huge), (1, whole)]
+    got = gif.frames_column(spark.createDataFrame(rows, "doc_id long, media binary").withColumn("frame", F.lit(1))).collect()
+    assert [r["doc_id"] for r in got].count(1) == 4 and {r["doc_id"] for r in got if r["error"]} == {2, 5}
+    assert not gif.frames_column(spark.createDataFrame([], "doc_id long, media binary")).collect()
+
+
+def test_ftrl_is_the_textbook_loop():
+    """Dictionaries and loops instead of vectors."""
+    rng = random.Random(3)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(1, 8)))), rng.randint(0, 1)) for _ in range(60)]
+    alpha, beta, l1, l2, bits, epochs = 0.5, 1.0, 0.7, 0.5, 6, 3
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << bits
+
+    def weight(i):
+        penalty = 0.0 if i == bias else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        sign = float(np.sign(z[i]))
+        return -(z[i] - sign * penalty) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            at, y = [*rows[k][0].tolist(), bias], rows[k][1]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got, intercept = toxicity.ftrl(rows, bits, alpha, beta, l1, l2, epochs)
+    assert got.tolist() == pytest.approx([weight(i) for i in range(1 << bits)], abs=1e-6) and intercept == pytest.approx(weight(bias))
+    assert 0 < np.count_nonzero(got) < 40
+
+
+def test_scores_of_toxicity_are_sums_of_distinct_features(spark, docs):
+    model = toxicity.fit(docs, labels_for(docs), l1=0.1)
+    once = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("n")).filter("n = 1")
+    for r in once.join(toxicity.score(docs, model).select("doc_id", "score"), "doc_id").collect():
+        raw = (r["text"] or "").encode()
+        _, feats = toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.BITS)
+        total = model.bias + sum(model.w[f] for f in set(feats.tolist()))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-min(60.0, max(-60.0, float(total))))), abs=1e-5)
+
+
+def test_language_by_sets_of_n_grams(spark):
+    """Sets instead of Bloom filters: shares differ by false answers only, which are corrected in expectation."""
+    rng = random.Random(12)
+    own = {"aa": "kalo miri tesu ponda rika".split(), "bb": "straft drong quilm vext brisk".split(), "cc": "öße üfte äng ßul".split()}
+    rows = [(i, " ".join(rng.choice(own[lang]) for _ in range(40)), lang, "s", 0) for i in range(120) for lang in [sorted(own)[i % 3]]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(df, min_share=0.0)
+    low = lambda t: language.lower_letters(np.frombuffer(t.encode(), np.uint8)).tobytes()
+    grams = lambda t: [low(t)[i : i + n] for n in language.ORDERS for i in range(len(low(t)) - n + 1) if b"  " not in low(t)[i : i + n]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = {lang: {g for i, t, x, _, _ in rows if x == lang and not held(i) for g in grams(t)} for lang in own}
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    for i, t, _, _, _ in rows:
+        shares = {lang: sum(g in known[lang] for g in grams(t)) / len(grams(t)) for lang in own}
+        assert got[i]["lang_pred"] == max(sorted(shares), key=shares.get)
+        assert got[i]["score"] == pytest.approx(max(shares.values()), abs=0.02)
+
+
+def test_texts_without_spaces_are_not_remembered():
+    enc, encoder = encoding(), bpe.Encoder(bpe.load_ranks(), memo=1 << 20)
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("0123456789abcdefXYZ中文字") for _ in range(3000))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+    for memo in (encoder.words, encoder.led, encoder.first):
+        assert memo.used <= memo.size and all(len(k) <= bpe.LONGEST for k in [*memo, *memo.old])
