@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import random
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -40,48 +39,29 @@ POPULATION = 4
 #: A bin of at least this share of the room is well filled.
 WELL_FILLED = 0.995
 
-#: Entries a generation, in each worker.
-REMEMBERED = 300_000
-
 _STATE: dict = {}
 
 
 def _tokenizer(name: str):
-    """The worker's tokenizer for whole texts, a faster one of the same vocabulary for short ones, and the ids of texts between spaces
-    that it has seen: two generations of bounded size."""
+    """The worker's tokenizer, and a faster one of the same vocabulary for most texts."""
     if name not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(public_tokenizers.path(name))
         tok.encode_special_tokens = True
         ranks = load_ranks(name.replace(".json", ".tiktoken"))
         assert tok.get_vocab_size(with_added_tokens=False) >= len(ranks)
-        short = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _STATE[name] = (tok, short, {}, {})
+        _STATE[name] = (tok, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
     return _STATE[name]
 
 
 def encode_texts(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     """The ids of each text as bytes of little-endian unsigned 32-bit numbers, as the tokenizer encodes it without special tokens.
 
-    Pre-tokens of byte-level BPE never reach over a space that leads a word. So what lies between such spaces, with its space, is
-    looked up as a whole; what is new is encoded together. Other texts are encoded whole."""
-    tok, short, seen, old = _tokenizer(name)
-    if len(seen) > REMEMBERED:
-        old.clear()
-        old.update(seen)
-        seen.clear()
-    plain = [bool(t) and not _LOOSE_SPACE.search(t) for t in texts]
-    # a line end keeps the first part, which has no space before it, apart from all others
-    parts = [("\n" + t).split(" ") if ok else [] for ok, t in zip(plain, texts, strict=True)]
-    new = set().union(*parts) - seen.keys()
-    for c in new & old.keys():
-        seen[c] = old[c]
-    for c in new:
-        if c not in seen:
-            seen[c] = array("I", short(c[1:] if c[:1] == "\n" else " " + c)).tobytes()
-    get = seen.__getitem__
-    whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b""
-    return [b"".join(map(get, p)) if ok else whole(t) for ok, t, p in zip(plain, texts, parts, strict=True)]
+    Texts in which each space leads a word are split alike by both tokenizers, so the faster one encodes them; the others go to the
+    tokenizer itself. Nothing is remembered from one text to the next."""
+    tok, fast = _tokenizer(name)
+    slow = lambda t: tok.encode(t, add_special_tokens=False).ids if t else []
+    return [np.array(slow(t) if _LOOSE_SPACE.search(t) else fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
 def pieces(docs: DataFrame, name: str = TOKENIZER, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
