@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm.textkit import arrow_map, table
+from lodestack.llm.textkit import arrow_map, materialise, table
 
 WIDTH = 192
 #: Rows of a frame that write() fills before it starts the next one.
@@ -126,11 +126,27 @@ class Frame:
     rgb: np.ndarray  # the whole canvas as it shows, rows by columns by 3
 
 
+#: Pixels of a canvas, and of all frames of a medium, beyond which it isn't read.
+MOST_PIXELS = 1 << 24
+
+
 def read(data: bytes) -> list[Frame]:
-    """The frames of a GIF as stored and as shown. Disposal 2 clears a frame's area to black, disposal 3 restores what was there."""
+    """The frames of a GIF as stored and as shown. Disposal 2 clears a frame's area to black, disposal 3 restores what was there.
+
+    Raises ValueError for what is no GIF, breaks off, or is larger than MOST_PIXELS on its canvas or times its frames."""
+    try:
+        return _frames(data)
+    except IndexError:
+        raise ValueError("the file breaks off") from None
+
+
+def _frames(data: bytes) -> list[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
+    left_over = 64 * MOST_PIXELS // max(1, width * height)  # frames that may follow
     flags, at = data[10], 13
 
     def palette(flag: int) -> np.ndarray | None:
@@ -138,6 +154,8 @@ def read(data: bytes) -> list[Frame]:
         if not flag & 0x80:
             return None
         n = 3 << (flag & 7) + 1
+        if at + n > len(data):
+            raise ValueError("the file breaks off")
         colours = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
         return colours
@@ -148,6 +166,8 @@ def read(data: bytes) -> list[Frame]:
         while n := data[at]:
             parts.append(data[at + 1 : at + 1 + n])
             at += 1 + n
+            if at > len(data):
+                raise ValueError("the file breaks off")
         at += 1
         return b"".join(parts)
 
@@ -156,7 +176,7 @@ def read(data: bytes) -> list[Frame]:
     frames: list[Frame] = []
     delay = disposal = 0
     transparent: int | None = None
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         kind = data[at]
         at += 1
         if kind == 0x21:
@@ -172,10 +192,14 @@ def read(data: bytes) -> list[Frame]:
         left, top, w, h = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (0, 2, 4, 6))
         flag = data[at + 8]
         at += 9
+        if w * h > MOST_PIXELS or len(frames) >= left_over:
+            raise ValueError(f"frame {len(frames)} of {w} x {h} is too much")
         colours = palette(flag)
         colours = shared if colours is None else colours
         least = data[at]
         at += 1
+        if not 1 <= least <= 8:
+            raise ValueError(f"codes of {least} bits")
         samples = np.frombuffer(lzw_decode(joined(), least)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if flag & 0x40:  # interlaced: four passes over the rows
             order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
@@ -197,13 +221,15 @@ def read(data: bytes) -> list[Frame]:
     return frames
 
 
-_GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_N = np.arange(256)
+#: The palette of a payload: samples as they are, spread, and reversed, so that the channels tell different things.
+_COLOURS = np.stack([_N, _N * 7 % 256, 255 - _N], axis=1).astype(np.uint8).tobytes()
 
 
 def write(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = 100) -> bytes:
-    """Whole rows of 8-bit samples as an animation of grey frames of up to `rows` rows each."""
+    """Whole rows of 8-bit samples as an animation of frames of up to `rows` rows each, in the colours of one palette."""
     n = len(samples) // width
-    parts = [b"GIF89a", width.to_bytes(2, "little"), min(n, rows).to_bytes(2, "little"), b"\xf7\0\0", _GREYS]
+    parts = [b"GIF89a", width.to_bytes(2, "little"), min(n, rows).to_bytes(2, "little"), b"\xf7\0\0", _COLOURS]
     for top in range(0, n, rows):
         part = samples[top * width : (top + rows) * width]
         parts.append(b"\x21\xf9\x04\x04" + (delay_ms // 10).to_bytes(2, "little") + b"\0\0\x2c\0\0\0\0" + width.to_bytes(2, "little") + (len(part) // width).to_bytes(2, "little") + b"\0\x08")
@@ -223,23 +249,29 @@ def histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
     return np.stack([np.bincount((area[:, :, c].ravel().astype(np.int64) * bins) >> 8, minlength=bins) for c in range(3)])
 
 
+_FRAME = "doc_id long, frame int, delay_ms int, disposal int, left int, top int, width int, height int, red array<long>, green array<long>, blue array<long>, error string"
+
+
 def frames_column(media: DataFrame, bins: int = BINS) -> DataFrame:
-    """doc_id, frame, delay_ms, disposal, left, top, width, height, red, green, blue (histograms): the frames of media(doc_id, media).
-    A null medium, or one that is not a GIF, has none."""
+    """doc_id, frame, delay_ms, disposal, left, top, width, height, red, green, blue (histograms), error: the frames of media(doc_id, media).
+
+    A null or empty medium has none. One that can't be read, for it is no GIF, breaks off or is too large, has a row of nulls with the
+    error. Repeated rows give repeated frames, an empty table none; only doc_id and media are read, so other columns may have any name."""
+    names = [f.split()[0] for f in _FRAME.split(", ")]
+    kinds = [pa.int64(), *[pa.int32()] * 7, *[pa.list_(pa.int64())] * 3, pa.string()]
 
     def each(b: pa.RecordBatch):
         for doc, data in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-            if not data or data[:3] != b"GIF":
+            if not data:
                 continue
-            rows = []
-            for k, f in enumerate(read(data)):
-                h = histogram(f, bins)
-                rows.append((doc, k, f.delay_ms, f.disposal, f.left, f.top, f.index.shape[1], f.index.shape[0], *h.tolist()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
-            kinds = [pa.int64(), *[pa.int32()] * 7, *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "frame", "delay_ms", "disposal", "left", "top", "width", "height", "red", "green", "blue"])
+            try:
+                rows = [(doc, k, f.delay_ms, f.disposal, f.left, f.top, f.index.shape[1], f.index.shape[0], *histogram(f, bins).tolist(), None) for k, f in enumerate(read(data))]
+            except ValueError as e:
+                rows = [(doc, *[None] * 10, str(e))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return arrow_map(media.select("doc_id", "media"), each, "doc_id long, frame int, delay_ms int, disposal int, left int, top int, width int, height int, red array<long>, green array<long>, blue array<long>")
+    return arrow_map(media.select("doc_id", "media"), each, _FRAME)
 
 
 def payload(text: str | None, unit: int = WIDTH) -> tuple[bytes, int]:
@@ -259,27 +291,31 @@ def media_column(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n_bytes long, media binary")
 
 
+_TRIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long"
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for every row of docs(doc_id, text).
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, duration_ms for every row
+    of docs(doc_id, text).
 
-    The payload is what is read back from the stored GIF, the feature the grey histogram of its frames. A null or empty text is a
-    payload of one row of spaces. Equal texts have equal results; an empty table gives no rows; only doc_id and text are read, so
-    other columns may have any name."""
+    The media are written as a table and read back from it. The payload is what their frames hold, the feature the histogram of each
+    channel as shown, over all frames. A null or empty text is a payload of one row of spaces. Equal texts have equal results; an
+    empty table gives no rows; only doc_id and text are read, so other columns may have any name."""
+    names = [f.split()[0] for f in _TRIP.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for k in range(b.num_rows):
-            data, n = payload(b.column("text")[k].as_py())
-            media = write(data)
+        for n, media in zip(b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
             frames = read(media)
             back = b"".join(f.index.tobytes() for f in frames)
-            colours = sum(histogram(f)[0] for f in frames)
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, colours.tolist()))))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            colours = sum(histogram(f) for f in frames)
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, colours.ravel().tolist())), len(frames), sum(f.delay_ms for f in frames)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    stored = materialise(media_column(docs), "media")
+    return arrow_map(stored, each, _TRIP)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
