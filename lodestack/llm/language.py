@@ -1,4 +1,4 @@
-"""Operator 8, language ID: bit-sliced Bloom filters of character n-grams.
+"""Operator 8, language ID: bit-sliced Bloom filters of n-grams of UTF-8 bytes.
 
 One table of 2**slots_log2 cells holds a bitmask of languages per cell, so column l of the table is the Bloom filter of
 language l and one look-up (the AND of `hashes` cells) returns all languages that contain an n-gram. For each text the bits
@@ -6,7 +6,11 @@ are summed by language; a filter whose slice is filled to phi answers falsely wi
 off: (count - n f) / (1 - f). The language with the largest corrected share wins.
 
 The filter of a language holds each n-gram that makes up at least `min_share` of the n-grams of its order in that language's
-training rows: at most 1 / min_share per language and order, whatever the corpus, which bounds what is collected and sent.
+training rows: at most 1 / min_share per language and order, whatever the corpus, which bounds what is collected and sent. With a
+min_share of 0 it holds all of them, as many as the sample has.
+
+n-grams are taken of bytes, so the orders 2 to 4 span one to four letters: the letters of a script of its own tell a language by
+themselves, and Latin letters tell one by their sequence.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.textkit import arrow_map, blocks, held_out, lower_letters, mix, table, utf8
+from lodestack.llm.textkit import arrow_map, blocks, held_out, lower_letters, mix, slices, table, utf8
 
 ORDERS = (2, 3, 4)
 #: Bound of the training sample, in rows per language (in expectation).
 TRAIN_ROWS = 4000
 UNDETERMINED = "und"
+#: n-grams that a task counts before it hands their counts on.
+MOST_COUNTS = 200_000
 
 
 @dataclass
@@ -70,9 +76,16 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = 2e-5, slots_log2: int = 20, hashes: int = 2, orders: tuple[int, ...] = ORDERS) -> Model:
     """Learn the filters from text and lang of the rows that are not held out."""
 
+    def partial(seen):
+        for (lang, n), grams in seen.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams)), "n": pa.array([n] * len(grams), pa.int32()), "gram": pa.array(np.fromiter(grams.keys(), np.uint64, len(grams)).view(np.int64)), "count": pa.array(list(grams.values()), pa.int64())})
+
     def count(batches):
         seen: dict[tuple[str, int], dict[int, int]] = {}
         for b in batches:
+            if sum(map(len, seen.values())) > MOST_COUNTS:
+                yield from partial(seen)
+                seen = {}
             data, off = utf8(b.column("text"))
             langs = b.column("lang").to_pylist()
             for i, j in blocks(off):
@@ -90,10 +103,9 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = 2e-5, slots_
                         into = seen.setdefault((names[k], n), {})
                         for g, c in zip(keys.tolist(), counts.tolist(), strict=True):
                             into[g] = into.get(g, 0) + c
-        for (lang, n), grams in seen.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams)), "n": pa.array([n] * len(grams), pa.int32()), "gram": pa.array(np.fromiter(grams.keys(), np.uint64, len(grams)).view(np.int64)), "count": pa.array(list(grams.values()), pa.int64())})
+        yield from partial(seen)
 
-    counts = sample(docs, rows).mapInArrow(count, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    counts = sample(docs, rows).mapInArrow(lambda batches: count(x for b in batches for x in slices(b)), "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     total = Window.partitionBy("lang", "n")
     kept = counts.withColumn("all", F.sum("count").over(total)).filter(F.col("count") >= F.col("all") * min_share)
     got = kept.select("lang", "gram").toPandas()
