@@ -296,7 +296,7 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
 
     offered = stored.mapInArrow(offer, "bucket int, pages binary, sizes binary, hashes binary")
     answers = offered.repartitionById(shuffles, F.col("bucket")).mapInArrow(shared, "home int, " + ", ".join(f"{k} binary" for k in ("pages", "buckets", "sizes", "flags")))
-    found = materialise(answers.repartitionById(shuffles, F.col("home")).mapInArrow(told, "page long, flags binary"), "anchors")
+    found = materialise(answers.repartitionById(shuffles, F.col("home")).mapInArrow(told, "page long, flags binary"), "anchors", light=True)
     kinds = {"bucket": pa.int32(), **{k: pa.binary() for k in (*_PARTS, "spans")}}
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +405,7 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH, q: int = Q) -> DataF
     candidates = stored.join(found.hint("shuffle_hash"), "page")
     sent = candidates.select("page", "z", "flags").mapInArrow(snippets, "bucket int, " + ", ".join(f"{k} binary" for k in (*_PARTS, "spans")))
     sorted_ = sent.repartitionById(shuffles, F.col("bucket")).mapInArrow(sort, "home int, spans binary")
-    spans = materialise(sorted_.repartitionById(shuffles, F.col("home")).mapInArrow(merge, "page long, spans binary"), "spans")
+    spans = materialise(sorted_.repartitionById(shuffles, F.col("home")).mapInArrow(merge, "page long, spans binary"), "spans", light=True)
     release(found)
     return spans
 

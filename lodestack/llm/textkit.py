@@ -48,11 +48,14 @@ _SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, light: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, computes df a single time.
 
-    The shuffle files of the write leave the disks as it ends. release() deletes the table."""
+    The shuffle files of the write leave the disks as it ends. release() deletes the table. A light table, of keys that a shuffle has
+    dealt out, is written by an eighth of the tasks: many of its files would hold a few rows each."""
     spark = df.sparkSession
+    if light:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_TIDY)
     spark.conf.set(_TIDY, "true")
