@@ -151,10 +151,10 @@ def label_defaults(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).select("id", F.coalesce(F.nullif("params_billions", F.lit(0.0)), named, F.lit(L.DEFAULT_PARAMS)).alias("params"), F.coalesce("context_length", F.lit(L.DEFAULT_CONTEXT)).alias("context"), L.family(F.array_join("tags", " ")).alias("family"))
 
 
-@register("label_velocity", given(f"a AS (SELECT id, coalesce(likes, 0) AS l, coalesce(downloads, 0) AS w, greatest(coalesce(date_diff('day', last_modified, DATE '{TODAY}'), 1), 1) AS age FROM ent) SELECT id, round(l / CAST(age AS DOUBLE) + w / CAST(age AS DOUBLE) / 10, 6) AS velocity, round(l * 2 + w * 0.1E0, 6) AS popularity FROM a", ENT))
+@register("label_velocity", given(f"a AS (SELECT id, coalesce(likes, 0) AS l, coalesce(downloads, 0) AS w, greatest(coalesce(date_diff('day', last_modified, DATE '{TODAY}'), 1), 1) AS age FROM ent) SELECT id, floor((l / CAST(age AS DOUBLE) + w / CAST(age AS DOUBLE) / 10) * 1000 + 0.5) / 1000 AS velocity, round(l * 2 + w * 0.1E0, 6) AS popularity FROM a", ENT))
 def label_velocity(spark: SparkSession, d: str) -> DataFrame:
     """Velocity and popularity."""
-    return entities(spark, d).select("id", F.round(L.velocity(F.col("likes"), F.col("downloads"), F.coalesce(days_since("last_modified"), F.lit(1))), 6).alias("velocity"), F.round(L.popularity(F.col("likes"), F.col("downloads")), 6).alias("popularity"))
+    return entities(spark, d).select("id", (F.floor(L.velocity(F.col("likes"), F.col("downloads"), F.coalesce(days_since("last_modified"), F.lit(1))) * 1000 + 0.5) / 1000).alias("velocity"), F.round(L.popularity(F.col("likes"), F.col("downloads")), 6).alias("popularity"))
 
 
 @register("label_weeks", "SELECT DISTINCT day, CAST(isoyear(day) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(day) AS VARCHAR), 2, '0') AS iso, CAST(year(day) AS VARCHAR) || '-W' || lpad(CAST(CAST(ceil((date_diff('day', date_trunc('year', day), day) + dayofweek(CAST(date_trunc('year', day) AS DATE)) + 1) / 7E0) AS INT) AS VARCHAR), 2, '0') AS plain FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders)")

@@ -173,7 +173,7 @@ def join_recommend(spark: SparkSession, d: str) -> DataFrame:
     return R.top_n(pairs, ["target"], [F.desc("similarity"), F.asc("id")], 6).drop("rn")
 
 
-@register("join_shared_tags", given("""t AS (SELECT k, id, unnest(tags) AS tag FROM ent), c AS (SELECT x.k, y.id AS other, count(*) AS shared FROM t x JOIN t y ON x.tag = y.tag AND x.k <> y.k WHERE x.k % 50 = 0 GROUP BY 1, 2)
+@register("join_shared_tags", given("""t AS (SELECT k, id, unnest(list_distinct(tags)) AS tag FROM ent), c AS (SELECT x.k, y.id AS other, count(*) AS shared FROM t x JOIN t y ON x.tag = y.tag AND x.k <> y.k WHERE x.k % 50 = 0 GROUP BY 1, 2)
  SELECT k, other, shared FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY shared DESC, other) <= 5""", ENT))
 def join_shared_tags(spark: SparkSession, d: str) -> DataFrame:
     """The five entities that share most tags with each entity whose number is divisible by 50."""
@@ -185,7 +185,7 @@ def join_shared_tags(spark: SparkSession, d: str) -> DataFrame:
     return R.top_n(shared, ["k"], [F.desc("shared"), F.asc("other")], 5).drop("rn")
 
 
-@register("join_related", given("""s AS (SELECT t.k, e.id AS other, CASE WHEN len(list_intersect(e.tags, t.tags)) > 0 THEN 50E0 * len(list_intersect(e.tags, t.tags)) / len(t.tags) ELSE 0 END + CASE WHEN split_part(lower(e.name), '-', 1) = split_part(lower(t.name), '-', 1) THEN 20 ELSE 0 END + greatest(0, 30 - abs(e.score - t.score)) + 2 * log10(coalesce(e.downloads, 0) + 1) AS s FROM ent e, ent t WHERE t.k % 50 = 0 AND e.k <> t.k AND e.type = t.type)
+@register("join_related", given("""s AS (SELECT t.k, e.id AS other, CASE WHEN len(list_intersect(e.tags, t.tags)) > 0 THEN 50E0 * len(list_intersect(e.tags, t.tags)) / len(list_distinct(t.tags)) ELSE 0 END + CASE WHEN split_part(lower(e.name), '-', 1) = split_part(lower(t.name), '-', 1) THEN 20 ELSE 0 END + greatest(0, 30 - abs(e.score - t.score)) + 2 * log10(coalesce(e.downloads, 0) + 1) AS s FROM ent e, ent t WHERE t.k % 50 = 0 AND e.k <> t.k AND e.type = t.type)
  SELECT k, other, round(s, 6) AS points FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(s, 6) DESC, other) <= 3""", ENT))
 def join_related(spark: SparkSession, d: str) -> DataFrame:
     """The three entities of the type most related to each whose number is divisible by 50: tags 50, base 20, nearness of score 30,
