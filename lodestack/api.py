@@ -49,9 +49,9 @@ class Catalogue:
             raise ValueError(f"limit must be 1 to {MAX_RESULTS}, page 1 or more")
         wanted = I.query_terms(self.entities.sparkSession, query)
         rows = self.entities if type is None else self.entities.filter(F.col("type") == type)
-        hits = self._hits(rows, wanted) if wanted else None
-        if hits is not None and not hits.isEmpty():
-            rows = rows.join(hits, "id")
+        found = self._hits(rows, wanted).collect() if wanted else []  # 200 rows at most
+        if found:
+            rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, f"id {rows.schema['id'].dataType.simpleString()}, relevance double, hits long")), "id")
         else:
             rows = rows.withColumns({"relevance": F.col("score"), "hits": F.lit(0)})
         columns = SORTS[sort]
