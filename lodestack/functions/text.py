@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -32,6 +32,11 @@ SUFFIX = "^(?:(..+?)(?:ement|ment|ent|ant|ence|ance|ible|able|er|ou)|(.+[st])ion
 DOUBLE_L = "(?<=..l)l$"
 
 
+def _step(words: Column, able: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """Words, those changed whose last letters allow it; most words end a step with that."""
+    return F.transform(words, lambda w: F.when(able(w), change(w)).otherwise(w))
+
+
 def _swapped(words: Column, table: dict[str, str]) -> Column:
     """Words with their endings, if the table has them, replaced."""
     new = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
@@ -40,15 +45,18 @@ def _swapped(words: Column, table: dict[str, str]) -> Column:
         ending = F.regexp_extract(word, f"({'|'.join(table)})$", 1)
         return F.when(ending == "", word).otherwise(F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(ending)), F.try_element_at(new, ending)))
 
-    return F.transform(words, one)
+    return _step(words, lambda w: F.substring(w, -2, 2).isin(sorted({e[-2:] for e in table})), one)
 
 
 def stems(words: Column) -> Column:
-    """Distinct stems of 2 to 40 characters of an array of words, in order of first use. A pass over the array for each step whose
-    result is looked at more than once."""
-    out = F.transform(F.array_distinct(words), lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, PLURAL, "$1$2$3"), TENSE, "$1$2$3"), LAST_Y, "i"))
+    """Distinct stems of 2 to 40 characters of an array of words, in order of first use; a pass over the array for each step."""
+    ends = lambda letters: lambda w: F.substring(w, -1, 1).isin(list(letters))
+    out = _step(F.array_distinct(words), ends("s"), lambda w: F.regexp_replace(w, PLURAL, "$1$2$3"))
+    out = _step(out, ends("dg"), lambda w: F.regexp_replace(w, TENSE, "$1$2$3"))
+    out = _step(out, ends("y"), lambda w: F.regexp_replace(w, LAST_Y, "i"))
     out = _swapped(_swapped(out, DERIVED), FORMED)
-    out = F.transform(out, lambda w: F.regexp_replace(F.regexp_replace(w, SUFFIX, "$1$2"), DOUBLE_L, ""))
+    out = _step(out, ends("terun"), lambda w: F.regexp_replace(w, SUFFIX, "$1$2"))
+    out = _step(out, ends("l"), lambda w: F.regexp_replace(w, DOUBLE_L, ""))
     return F.array_distinct(F.filter(out, lambda w: F.length(w).between(2, 40)))
 
 

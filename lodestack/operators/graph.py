@@ -264,22 +264,25 @@ def tag_alternatives(entities: DataFrame, id: str, category: str, tags: str, lea
     base = entities.select(id, category, F.array_sort(F.array_distinct(tags)).alias("t")).filter(F.size("t") > 0)
     sets = base.select(category, "t").distinct().withColumn("h", F.xxhash64(category, F.concat_ws("\x01", "t")))
     by_tag = sets.select(category, "h", F.explode("t").alias("tag"))
+    # tags by number, the rarest of a category first
     rarity = by_tag.groupBy(category, "tag").agg(F.count("*").alias("sets"))
-    tag_order = F.transform(F.array_sort(F.collect_list(F.struct("sets", "tag"))), lambda x: x["tag"])
-    ordered = by_tag.join(rarity, [category, "tag"]).groupBy(category, "h").agg(tag_order.alias("o")).withColumn("k", F.size("o"))
+    numbers = rarity.select(category, "tag", F.row_number().over(Window.partitionBy(category).orderBy("sets", "tag")).alias("code"))
+    ordered = by_tag.join(numbers, [category, "tag"]).groupBy(category, "h").agg(F.sort_array(F.collect_list("code")).alias("o")).withColumn("k", F.size("o"))
     first = lambda share: F.expr(f"slice(o, 1, k - cast(ceil({share} * k - 1e-9) as int) + 1)")
-    small = ordered.withColumn("p", first(2 * least / (1 + least))).withColumn("tag", F.explode("p")).alias("a")
-    large = ordered.withColumn("p", first(least)).withColumn("tag", F.explode("p")).alias("b")
+    small = ordered.withColumn("p", first(2 * least / (1 + least))).withColumn("code", F.explode("p")).alias("a")
+    large = ordered.withColumn("p", first(least)).withColumn("code", F.explode("p")).alias("b")
     smaller = (F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")))
-    meets = small.join(large, (F.col(f"a.{category}") == F.col(f"b.{category}")) & (F.col("a.tag") == F.col("b.tag")) & smaller)
+    meets = small.join(large, (F.col(f"a.{category}") == F.col(f"b.{category}")) & (F.col("a.code") == F.col("b.code")) & smaller)
     # each pair once, under the first tag that both prefixes have
-    once = meets.filter(F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.tag"))
+    once = meets.filter(F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.code"))
     shared = once.select(F.col("a.h").alias("h"), F.col("b.h").alias("g"), F.size(F.array_intersect("a.o", "b.o")).alias("both"), (F.col("a.k") + F.col("b.k")).alias("all"))
     alike = shared.withColumn("j", F.col("both") / (F.col("all") - F.col("both"))).filter(F.col("j") >= least).withColumn("sim", F.floor(F.col("j") * 100 + 0.5).cast("int"))
     alike = alike.select(F.explode(F.array(F.struct("h", "g"), F.struct(F.col("g").alias("h"), F.col("h").alias("g")))).alias("p"), "sim").select("p.h", "p.g", "sim").unionByName(sets.select("h", F.col("h").alias("g"), F.lit(100).alias("sim")))
     keyed = base.select(id, F.xxhash64(category, F.concat_ws("\x01", "t")).alias("h"))
-    # of any set only its n + 1 first entities can be among the best n of another
+    # the best n + 1 of a set are among its n + 1 best sets by similarity and first id, and of these among the n + 1 first ids of each
+    leading = keyed.groupBy(F.col("h").alias("g")).agg(F.min(id).alias("lead"))
+    near = alike.join(leading, "g").withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "lead"))).filter(F.col("rn") <= n + 1).select("h", "g", "sim")
     few = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(id))).filter(F.col("rn") <= n + 1).select(F.col("h").alias("g"), F.col(id).alias("other"))
-    best = alike.join(few, "g").withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "other"))).filter(F.col("rn") <= n + 1).select("h", "other", "sim")
+    best = near.join(few, "g").withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "other"))).filter(F.col("rn") <= n + 1).select("h", "other", "sim")
     rows = keyed.join(best, "h").filter(F.col(id) != F.col("other"))
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("sim"), "other"))).filter(F.col("rn") <= n).select(id, "other", "sim")
