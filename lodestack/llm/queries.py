@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import bpe, editcounts, gif, language, minhash, oracles, packing, quality, sharding, simhash, substrings, toxicity, whitening
+from lodestack.llm import bpe, editcounts, gif, language, minhash, oracles, packing, quality, sharding, simhash, substrings, toxicity, turns, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substrings": substrings.query,
         "op11_minhash": minhash.query,
         "op12_whitening": whitening.query,
+        "op13_turns": turns.query,
     }
 
 
