@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -43,25 +44,28 @@ _STATE: dict = {}
 
 
 def _tokenizer(name: str):
-    """The worker's tokenizer, and a faster one of the same vocabulary for most texts."""
+    """The worker's tokenizer, a faster one of the same vocabulary for most texts, and a pattern of the texts it isn't for."""
     if name not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(public_tokenizers.path(name))
-        tok.encode_special_tokens = True
         ranks = load_ranks(name.replace(".json", ".tiktoken"))
         assert tok.get_vocab_size(with_added_tokens=False) >= len(ranks)
-        _STATE[name] = (tok, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+        # texts that the two may split otherwise: those with the string of a special token, or a space that leads no word
+        special = "|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values())
+        other = re.compile(f"{special}|{_LOOSE_SPACE.pattern}" if special else _LOOSE_SPACE.pattern, _LOOSE_SPACE.flags)
+        _STATE[name] = (tok, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), other)
     return _STATE[name]
 
 
 def encode_texts(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
-    """The ids of each text as bytes of little-endian unsigned 32-bit numbers, as the tokenizer encodes it without special tokens.
+    """The ids of each text as bytes of little-endian unsigned 32-bit numbers, as the tokenizer encodes it with add_special_tokens=False
+    and all its other settings as they are; so the string of a special token within a text becomes its id.
 
-    Texts in which each space leads a word are split alike by both tokenizers, so the faster one encodes them; the others go to the
+    Other texts in which each space leads a word are split alike by both tokenizers, so the faster one encodes them; the rest go to the
     tokenizer itself. Nothing is remembered from one text to the next."""
-    tok, fast = _tokenizer(name)
+    tok, fast, other = _tokenizer(name)
     slow = lambda t: tok.encode(t, add_special_tokens=False).ids if t else []
-    return [np.array(slow(t) if _LOOSE_SPACE.search(t) else fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    return [np.array(slow(t) if other.search(t) else fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
 def pieces(docs: DataFrame, name: str = TOKENIZER, room: int = ROOM, end_id: int = END_ID) -> DataFrame:

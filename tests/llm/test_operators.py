@@ -176,7 +176,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = packing.pack(docs, group_pieces=10).collect()
     by_seq = defaultdict(list)
     for r in got:
@@ -194,6 +193,22 @@ def test_packing(docs):
     assert len(by_seq) <= 1.2 * -(-sum(r["length"] for r in got) // 1024) + 1
 
 
+def test_packing_is_tight(spark):
+    rng = random.Random(11)
+    texts = [prose(rng, max(1, int(rng.gammavariate(1.2, 250)))) for _ in range(3000)]
+    got = packing.pack(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert len({r["sequence_id"] for r in got}) <= 1.01 * -(-sum(r["length"] for r in got) // 1024)
+
+
+def test_special_strings_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext", "plain words", "", "two  spaces", "<|endoftext|><|endoftext|>\n"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
 def test_crossover_keeps_every_item():
     rng = random.Random(2)
     sizes = [rng.randint(1, 1023) for _ in range(300)]
