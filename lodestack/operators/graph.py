@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.identity import canonical
 from lodestack.functions.metadata import arxiv_ids
-from lodestack.functions.text import dataset_refs, occurrences
-from lodestack.sources.sinks import scratch
+from lodestack.functions.patterns import MOST_TERMS, occurrences
+from lodestack.functions.text import dataset_refs
+from lodestack.sources.sinks import numbered, scratch
 
 # The verb of an edge read from its other end.
 REVERSED = {"CITES": "CITED_BY", "EVALUATED_ON": "EVALUATED_BY", "USES": "USED_BY", "BASED_ON": "BASIS_OF", "TRAINED_ON": "TRAINING_SOURCE_OF", "IMPLEMENTS": "IMPLEMENTED_BY", "DEP": "DEPENDED_ON_BY", "STACK": "IN_STACK_OF", "DEMO_OF": "HAS_DEMO", "FEATURES": "FEATURED_IN"}
 # Words in a text and the topic they speak of.
 TOPICS = {
+    "fni": "fni-score", "fni_score": "fni-score", "fni-score": "fni-score",
     "humaneval": "humaneval-benchmark", "mmlu": "mmlu-benchmark", "gsm8k": "gsm8k-benchmark", "hellaswag": "commonsense-reasoning",
     "transformer": "transformer-architecture", "attention": "attention-mechanism", "moe": "mixture-of-experts",
     "mixture of experts": "mixture-of-experts", "context length": "context-length", "context window": "context-length",
@@ -51,16 +54,38 @@ NOT_BENCHMARKS = ["average", "name"]
 DEMO_SDKS = ["gradio", "streamlit"]
 # The type of a node by how its id begins.
 NODE_TYPES = {
-    "model": "hf-model gh-model civitai-model replicate-model ollama-model kaggle-model huggingface kb-model model", "paper": "arxiv-paper s2-paper hf-paper arxiv paper",
-    "dataset": "hf-dataset kaggle-dataset dataset", "space": "hf-space gh-space space",
-    "agent": "hf-agent gh-agent replicate-agent langchain-agent mcp-server agent", "tool": "gh-tool hf-tool gh-repo mcp-tool tool",
-    "prompt": "langchain-prompt hf-prompt prompt", "benchmark": "benchmark", "knowledge": "knowledge k kb", "report": "report",
-}
+    "model": ["hf-model", "gh-model", "civitai-model", "replicate-model", "ollama-model", "kaggle-model", "huggingface", "kb-model", "model"],
+    "paper": ["arxiv-paper", "s2-paper", "hf-paper", "arxiv", "paper"],
+    "dataset": ["hf-dataset", "kaggle-dataset", "dataset"],
+    "space": ["hf-space", "gh-space", "space"],
+    "agent": ["hf-agent", "gh-agent", "replicate-agent", "langchain-agent", "mcp-server", "agent"],
+    "tool": ["gh-tool", "hf-tool", "gh-repo", "mcp-tool", "tool"],
+    "prompt": ["langchain-prompt", "hf-prompt", "prompt"],
+    "benchmark": ["benchmark"],
+    "knowledge": ["knowledge", "k", "kb"],
+    "report": ["report"],
+}
+# Terms and the words for them.
+TERMS = {
+    "mixture-of-experts": ["MoE", "moe", "mixture of experts", "sparse moe"],
+    "retrieval-augmented-generation": ["RAG", "rag", "retrieval augmented"],
+    "reinforcement-learning-human-feedback": ["RLHF", "rlhf"],
+    "direct-preference-optimization": ["DPO", "dpo"],
+    "quantization": ["GPTQ", "gptq", "AWQ", "awq", "INT4", "INT8", "GGUF", "gguf"],
+    "transformer": ["transformer", "attention mechanism", "self-attention"],
+    "fine-tuning": ["finetuning", "fine-tuned", "LoRA", "lora", "QLoRA", "qlora", "PEFT"],
+    "long-context": ["long context", "context window", "128k", "1m context"],
+    "multimodal": ["vision-language", "VLM", "vlm", "image-text", "audio-text"],
+    "code-generation": ["code gen", "code completion", "copilot", "codegen"],
+    "embedding": ["embeddings", "vector embedding", "sentence embedding"],
+    "inference-optimization": ["vLLM", "TGI", "speculative decoding", "KV cache"],
+    "agentic": ["agent", "agentic workflow", "tool use", "function calling"],
+}
 
 
 def node_type(id: Column) -> Column:
     """The type that the prefix of an id tells, or unknown."""
-    return F.coalesce(*(F.when(id.rlike(f"^(?:{kinds.replace(' ', '|')})--"), kind) for kind, kinds in NODE_TYPES.items()), F.lit("unknown"))
+    return F.coalesce(*(F.when(id.rlike(f"^(?:{'|'.join(kinds)})--"), kind) for kind, kinds in NODE_TYPES.items()), F.lit("unknown"))
 
 
 def source_of(id: Column, type: Column) -> Column:
@@ -95,10 +120,11 @@ def extract_relations(entities: DataFrame) -> DataFrame:
     if "velocity" in has:
         parts.append(F.when(F.col("velocity") > 0.5, F.array(edge(F.lit("concept--trending-now"), "concept", F.lit("TRENDING"), 0.8))))
     text = F.lower(F.concat_ws(" ", F.array_join("tags", " "), "description", "name"))
-    stack = F.array(*(F.when(F.contains(F.col("_text"), F.lit(word)), edge(F.lit(tool), "tool", F.lit("STACK"), 0.8)) for word, tool in TOOLS.items()))
-    parts.append(F.when(own == "model", F.array_compact(stack)))
+    tools = F.array(*map(F.lit, TOOLS.values()))
+    parts.append(F.transform("_tools", lambda x: edge(F.get(tools, x["term"]), "tool", F.lit("STACK"), 0.8)))
     none = F.array().cast("array<struct<dst:string,dst_type:string,verb:string,conf:double>>")
-    rows = entities.withColumn("_text", text).select("id", "type", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("e"))
+    spoken = occurrences(entities.sparkSession, list(TOOLS))(F.when(own == "model", text))
+    rows = entities.withColumn("_tools", spoken).select("id", "type", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("e"))
     target = F.when(F.col("e.verb") == "STACK", F.col("e.dst")).otherwise(canonical(F.col("e.dst"), source_of(F.col("e.dst"), F.col("e.dst_type")), F.col("e.dst_type")))
     return rows.select(canonical(F.col("id"), source_of(F.col("id"), own), own).alias("src"), own.alias("src_type"), target.alias("dst"), "e.dst_type", "e.verb", "e.conf")
 
@@ -141,14 +167,46 @@ def urn_edges(entities: DataFrame) -> DataFrame:
     return entities.select(F.explode(F.concat(F.array_compact(some), tags)).alias("e")).select("e.*").distinct()
 
 
-def baked_profiles(edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """(src, n, relations): for each entity its resolved targets with name, type and address, the most confident first; edges whose
-    target isn't a node are dropped. nodes has id, name, type, source_url; at most `limit` stay in a row, n counts all."""
+#: Neighbours of a chunk, and those beyond which a node is a hub, whose neighbours no single task sorts.
+CHUNK = 1000
+HUB = 100_000
+
+
+def listed(rows: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], chunk: int = CHUNK, hub: int = HUB) -> DataFrame:
+    """(key, chunk, n, items): all rows of each key in an order, as arrays of at most `chunk`; n counts all of them.
+
+    A key of more than `hub` rows is numbered by ranges of all such rows, so that it is spread over tasks; the others are sorted within their row."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession, "counts")
+    counts.write.parquet(folder)
+    counts = spark.read.parquet(folder)
+    large = counts.filter(F.col("n") > hub)
+    item = F.struct(*fields)
+    few = rows.select(key, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), item.alias("item")).alias("x"))
+    if has_large := not large.isEmpty():
+        few = few.join(large, key, "left_anti")
+    inner = few.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"), F.count("*").alias("n"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int")), lambda c: F.struct(c.alias("chunk"), F.transform(F.slice("x", c * chunk + 1, F.lit(chunk)), lambda v: v["item"]).alias("items")))
+    out = inner.select(key, "n", F.explode(cut).alias("c")).select(key, "c.chunk", "n", "c.items")
+    if has_large:
+        many = numbered(rows.join(large.select(key), key, "left_semi"), [F.col(key), *order], "_row")
+        starts = many.groupBy(key).agg(F.min("_row").alias("_start"), F.count("*").alias("n"))
+        placed = many.join(starts, key).withColumn("_at", F.col("_row") - F.col("_start"))
+        chunks = placed.groupBy(key, F.floor(F.col("_at") / chunk).cast("int").alias("chunk"), "n").agg(F.array_sort(F.collect_list(F.struct("_at", item.alias("item")))).alias("x"))
+        out = out.unionByName(chunks.select(key, "chunk", "n", F.transform("x", lambda v: v["item"]).alias("items")))
+    return out
+
+
+def _sure() -> list[Column]:
+    """The most confident first. Confidences are negated, as arrays sort upward."""
+    return [-F.col("conf"), F.col("dst"), F.col("verb")]
+
+
+def baked_profiles(edges: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(src, chunk, n, relations): for each entity its resolved targets with name, type and address, the most confident first; edges
+    whose target isn't a node are dropped. nodes has id, name, type, source_url; n counts all relations of an entity."""
     named = edges.join(nodes.select(F.col("id").alias("dst"), "name", "type", "source_url"), "dst")
-    w = Window.partitionBy("src")
-    ranked = named.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("conf"), "dst", "verb")), "n": F.count("*").over(w)}).filter(F.col("rn") <= limit)
-    one = F.struct("rn", "dst", "verb", "name", "type", "source_url")
-    return ranked.groupBy("src").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(one)).alias("relations"))
+    return listed(named, "src", _sure(), ["dst", "verb", "name", "type", "source_url"], chunk).withColumnRenamed("items", "relations")
 
 
 def checked_trails(edges: DataFrame, elements: DataFrame) -> DataFrame:
@@ -172,13 +230,9 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "verb").agg(F.max("conf").alias("conf"))
 
 
-def adjacency(edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """(src, n, out): neighbours in order; with a limit, the most confident ones, which bounds a row's size."""
-    if limit is not None:
-        w = Window.partitionBy("src")
-        ranked = edges.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("conf"), "dst", "verb")), "n": F.count("*").over(w)}).filter(F.col("rn") <= limit)
-        return ranked.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "dst", "verb", "conf"))), lambda x: F.struct(x["dst"], x["verb"], x["conf"])).alias("out"), F.max("n").alias("n"))
-    return edges.groupBy("src").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("dst", "verb", "conf"))).alias("out"))
+def adjacency(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(src, chunk, n, out): all neighbours of each node, the most confident first, in arrays of at most `chunk`."""
+    return listed(edges, "src", _sure(), ["dst", "verb", "conf"], chunk).withColumnRenamed("items", "out")
 
 
 def reverse_edges(edges: DataFrame, types: DataFrame) -> DataFrame:
@@ -194,28 +248,34 @@ def reverse_edges(edges: DataFrame, types: DataFrame) -> DataFrame:
 
 def topic_links(entities: DataFrame, id: str, text) -> DataFrame:
     """(id, topic, conf): percent of 0.5 and a tenth for each occurrence of a word, 1 at most; the most confident word of a topic. All
-    topics of a row are found in the row."""
-    by_topic: dict[str, list[Column]] = {}
-    for word, topic in TOPICS.items():
-        by_topic.setdefault(topic, []).append(occurrences(F.col("low"), word))
-    most = lambda counts: F.greatest(*counts) if len(counts) > 1 else counts[0]
-    conf = lambda n: F.when(n > 0, F.floor(F.least(F.lit(1.0), 0.5 + n * 0.1) * 100 + 0.5).cast("int"))
-    found = F.array(*(F.struct(F.lit(t).alias("topic"), conf(most(counts)).alias("conf")) for t, counts in by_topic.items()))
-    rows = entities.select(id, F.lower(text).alias("low")).select(id, F.explode(F.filter(found, lambda x: x["conf"].isNotNull())).alias("x"))
-    return rows.select(id, "x.topic", "x.conf")
-
-
-def term_links(entities: DataFrame, id: str, text: Column, terms: dict[str, list[str]], least: float = 0.4, most: int = 20) -> DataFrame:
-    """(id, term, alias, score): the terms of which a text holds a word, the first of its list, by the share of the text's words that hold
-    it times the rarity of the term, from `least` on; the `most` best of each row."""
-    low = entities.select(id, F.lower(text).alias("low")).withColumn("words", F.split("low", r"\s+"))
-    alias = lambda words: F.coalesce(*(F.when(F.contains(F.col("low"), F.lit(w)), F.lit(w)) for w in words))
-    found = low.select(id, "words", F.explode(F.filter(F.array(*(F.struct(F.lit(t).alias("term"), alias(ws).alias("alias")) for t, ws in terms.items())), lambda x: x["alias"].isNotNull())).alias("t"))
-    share = found.select(id, "t.term", "t.alias", (F.size(F.filter("words", lambda w: F.contains(w, F.col("t.alias")))) / F.greatest(F.size("words"), F.lit(1))).alias("share"))
-    rare = share.groupBy("term").agg(F.count("*").alias("df")).crossJoin(low.agg(F.count("*").alias("n")))  # a row per term
-    scored = share.join(F.broadcast(rare), "term").withColumn("score", F.col("share") * F.log(F.col("n") / F.greatest("df", F.lit(1)))).filter(F.col("score") >= least)
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("score"), "term"))).filter(F.col("rn") <= most)
-    return best.select(id, "term", "alias", F.round("score", 3).alias("score"))
+    words are found in one pass over the text, and all topics of a row in the row."""
+    topics = F.array(*map(F.lit, TOPICS.values()))
+    found = entities.select(id, occurrences(entities.sparkSession, list(TOPICS))(F.lower(text)).alias("found"))
+    conf = lambda n: F.floor(F.least(F.lit(1.0), 0.5 + n * 0.1) * 100 + 0.5).cast("int")
+    each = found.select(id, F.transform("found", lambda x: F.struct(F.get(topics, x["term"]).alias("topic"), conf(x["n"]).alias("conf"))).alias("each"))
+    best = F.transform(F.array_distinct(F.transform("each", lambda x: x["topic"])), lambda t: F.struct(t.alias("topic"), F.array_max(F.transform(F.filter("each", lambda x: x["topic"] == t), lambda x: x["conf"])).alias("conf")))
+    return each.select(id, F.explode(best).alias("x")).select(id, "x.topic", "x.conf")
+
+
+def term_links(entities: DataFrame, id: str, text: Column, terms: DataFrame, least: float = 0.4, most: int = 20) -> DataFrame:
+    """(id, term, alias, score): the terms of which a text holds a word, whatever its case, the first of the term's list, by the share of
+    the text's words that hold it times the rarity of the term, from `least` on; of a row the first `most` terms.
+
+    terms(at, term, aliases): a registry in the order of `at`, at most patterns.MOST_TERMS words; one automaton finds all of them."""
+    listed_terms = sorted((tuple(r) for r in terms.select("at", "term", "aliases").limit(MOST_TERMS + 1).collect()), key=lambda r: (r[0], r[1]))
+    words = sorted({a.lower() for _, _, aliases in listed_terms for a in aliases})
+    place = {w: k for k, w in enumerate(words)}
+    spark = entities.sparkSession
+    rows = [(place[a.lower()], at, term, n, a) for at, term, aliases in listed_terms for n, a in enumerate(aliases)]
+    means = spark.createDataFrame(rows, f"word int, at {terms.schema['at'].dataType.simpleString()}, term string, nth int, alias string")
+    low = entities.select(id, F.lower(text).alias("low"))
+    held = low.select(id, F.size(F.split("low", r"\s+")).alias("size"), F.explode(occurrences(spark, words)(F.col("low"))).alias("x"))
+    # the registry is bounded, but may be large: Spark sees its size and chooses
+    hits = held.join(means, F.col("x.term") == F.col("word")).groupBy(id, "at", "term").agg(F.min_by(F.struct("alias", (F.col("x.words") / F.greatest("size", F.lit(1))).alias("share")), "nth").alias("first"))
+    rare = hits.groupBy("at", "term").agg(F.count("*").alias("df")).crossJoin(low.agg(F.count("*").alias("rows")))  # one row on the right
+    scored = hits.join(rare, ["at", "term"]).withColumn("score", F.col("first.share") * F.log(F.col("rows") / F.greatest("df", F.lit(1)))).filter(F.col("score") >= least)
+    early = scored.withColumn("rn", F.row_number().over(Window.partitionBy(id).orderBy("at", "term"))).filter(F.col("rn") <= most)
+    return early.select(id, "term", "first.alias", F.round("score", 3).alias("score"))
 
 
 def same_source_pairs(df: DataFrame, id: str, key: str) -> DataFrame:

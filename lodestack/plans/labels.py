@@ -215,9 +215,9 @@ def text_richer(spark: SparkSession, d: str) -> DataFrame:
 def text_clean_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations without internal keys, descriptions without markup."""
     e = entities(spark, d)
-    raw = F.concat(F.lit("@misc{ , author={"), F.coalesce("author", F.lit("")), F.lit("}, \n title={[F2AI-"), "slug", F.lit("]"), "name", F.lit("}}"))
+    raw = F.concat(F.lit("@misc{ , author={"), F.coalesce("author", F.lit("")), F.lit("}, \n title={[Own-"), "slug", F.lit("]"), "name", F.lit("}}"))
     markup = F.concat(F.lit("---\na: b\n---\n\n<p class='x'>Some words</p> and ![pic](u.png)[a label](http://x.y) https://example.org/"), F.lit("x" * 30), F.lit(" "), "name")
-    return e.select("id", X.clean_citation(raw).alias("citation"), X.clean_description(markup).alias("description"))
+    return e.select("id", X.clean_citation(raw, "own").alias("citation"), X.clean_description(markup).alias("description"))
 
 
 @register("text_paper_refs", given("SELECT id, 'arxiv 2401.' || lpad(CAST(k % 99999 AS VARCHAR), 5, '0') AS text, '2401.' || lpad(CAST(k % 99999 AS VARCHAR), 5, '0') || ',1706.03762' AS papers, 'squad_v2,' || slug AS datasets, CASE WHEN k % 2 = 0 THEN 'org/' || slug ELSE '' END AS base FROM ent", ENT))

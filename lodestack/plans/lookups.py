@@ -134,17 +134,25 @@ def filter_stubs(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", dst.alias("dst")).filter(~Q.concept_stub("dst")).join(known, "dst", "left_semi").select("id", "dst")
 
 
-#: Terms and the words for them.
-_TERMS = {"adapters": ["lora", "qlora"], "quantisation": ["int4", "gguf"], "retrieval": ["rag", "retrieval"], "attention": ["transformer"]}
-_FOUND = " UNION ALL ".join(f"SELECT id, '{t}' AS term, CASE {' '.join(f'''WHEN contains(x, '{w}') THEN '{w}' ''' for w in ws)} END AS alias, x FROM t" for t, ws in _TERMS.items())
+# A registry of the fixed terms, and after them of the words of names and texts, which are terms of their own.
+_FIXED_TERMS = ", ".join(f"({k}, '{t}', [{', '.join(repr(a) for a in aliases)}])" for k, (t, aliases) in enumerate(G.TERMS.items()))
+_TERMS = f"""fixed AS (SELECT * FROM (VALUES {_FIXED_TERMS}) v(pos, term, aliases)), own AS (SELECT DISTINCT unnest(string_split_regex(lower(name), '\\s+')) AS w FROM ent UNION SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) FROM documents),
+ terms AS (SELECT * FROM fixed UNION ALL SELECT 100, 'word ' || w, [w] FROM own WHERE length(w) > 3)"""
 
 
-@register("graph_term_links", given(f"""t AS (SELECT id, lower(name || ' ' || description || ' ' || array_to_string(tags, ' ')) AS x FROM ent), f AS (SELECT * FROM ({_FOUND}) WHERE alias IS NOT NULL), n AS (SELECT count(*) AS n FROM t), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
- s AS (SELECT id, term, alias, len(list_filter(string_split_regex(x, '\\s+'), lambda w: contains(w, alias))) / CAST(greatest(1, len(string_split_regex(x, '\\s+'))) AS DOUBLE) * ln(n / CAST(greatest(1, df) AS DOUBLE)) AS score FROM f JOIN df USING (term), n) SELECT id, term, alias, round(score, 3) AS score FROM s WHERE score >= 0.05E0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) <= 20""", ENT))
+@register("graph_term_links", given(f"""{_TERMS}, t AS (SELECT id, lower(name || ' ' || array_to_string(tags, ' ')) AS x FROM ent), a AS (SELECT pos, term, unnest(aliases) AS alias, unnest(range(len(aliases))) AS nth FROM terms),
+ f AS (SELECT id, pos, term, arg_min(alias, nth) AS alias, any_value(x) AS x FROM t JOIN a ON contains(x, lower(alias)) GROUP BY id, pos, term), n AS (SELECT count(*) AS n FROM t), df AS (SELECT pos, term, count(*) AS df FROM f GROUP BY pos, term),
+ s AS (SELECT id, pos, term, alias, len(list_filter(string_split_regex(x, '\\s+'), lambda w: contains(w, lower(alias)))) / CAST(greatest(1, len(string_split_regex(x, '\\s+'))) AS DOUBLE) * ln(n / CAST(greatest(1, df) AS DOUBLE)) AS score FROM f JOIN df USING (pos, term), n)
+ SELECT id, term, alias, round(score, 3) AS score FROM s WHERE score >= 0.4E0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, term) <= 20""", ENT))
 def graph_term_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links from entities to the terms that their texts speak of, by frequency and rarity; at most twenty an entity."""
-    text = F.concat_ws(" ", "name", "description", F.array_join("tags", " "))
-    return G.term_links(entities(spark, d), "id", text, _TERMS, least=0.05, most=20)
+    """Links from entities to the terms that their texts speak of, by frequency and rarity, from 0.4 on; the first twenty an entity.
+    The registry has the fixed terms and thousands of words."""
+    e = entities(spark, d)
+    fixed = spark.createDataFrame([(k, t, a) for k, (t, a) in enumerate(G.TERMS.items())], "at int, term string, aliases array<string>")
+    split = lambda df, column, pattern: df.select(F.explode(F.split(F.lower(column), pattern)).alias("w"))
+    own = split(e, "name", r"\s+").unionByName(split(read(spark, d, "documents"), "text", "[^a-z]+")).filter(F.length("w") > 3).distinct()
+    terms = fixed.unionByName(own.select(F.lit(100).alias("at"), F.concat(F.lit("word "), "w").alias("term"), F.array("w").alias("aliases")))
+    return G.term_links(e, "id", F.concat_ws(" ", "name", F.array_join("tags", " ")), terms)
 
 
 @register("search_fallback", given("SELECT id, score, score AS relevance FROM ent WHERE type = 'tool' ORDER BY score DESC, id LIMIT 20", ENT))

@@ -59,7 +59,7 @@ def graph_hubs(spark: SparkSession, d: str) -> DataFrame:
     return G.extract_relations(referring(spark, d)).groupBy("dst", "dst_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst", "dst_type").limit(20)
 
 
-_NODE = "CASE " + " ".join(f"WHEN regexp_matches(dst, '^(?:{kinds.replace(' ', '|')})--') THEN '{kind}'" for kind, kinds in G.NODE_TYPES.items()) + " ELSE 'unknown' END"
+_NODE = "CASE " + " ".join(f"WHEN regexp_matches(dst, '^(?:{'|'.join(kinds)})--') THEN '{kind}'" for kind, kinds in G.NODE_TYPES.items()) + " ELSE 'unknown' END"
 
 
 @register("graph_node_types", given(f"{_EDGES}, n AS (SELECT DISTINCT dst FROM edge UNION SELECT src FROM edge) SELECT {_NODE} AS type, count(*) AS n FROM n GROUP BY 1", ENT))
@@ -70,13 +70,13 @@ def graph_node_types(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy(G.node_type(F.col("dst")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@register("graph_profiles", given("e AS (SELECT src, dst, verb, max(conf) AS conf FROM rel GROUP BY ALL), n AS (SELECT k, name, type, source_url FROM ent WHERE score >= 10), r AS (SELECT e.*, n.name, n.type, coalesce(n.source_url, '') AS url, row_number() OVER (PARTITION BY src ORDER BY conf DESC, dst, verb) AS rn, count(*) OVER (PARTITION BY src) AS n FROM e JOIN n ON n.k = e.dst) SELECT src, max(n) AS n, string_agg(verb || ' ' || name || ' ' || type || ' ' || url, ';' ORDER BY rn) AS relations FROM r WHERE rn <= 50 GROUP BY src", ENT, REL))
+@register("graph_profiles", given("e AS (SELECT src, dst, verb, max(conf) AS conf FROM rel GROUP BY ALL), n AS (SELECT k, name, type, source_url FROM ent WHERE score >= 10), r AS (SELECT e.*, n.name, n.type, coalesce(n.source_url, '') AS url, row_number() OVER (PARTITION BY src ORDER BY conf DESC, dst, verb) AS rn, count(*) OVER (PARTITION BY src) AS n FROM e JOIN n ON n.k = e.dst) SELECT src, CAST((rn - 1) // 1000 AS INT) AS chunk, max(n) AS n, string_agg(verb || ' ' || name || ' ' || type || ' ' || url, ';' ORDER BY rn) AS relations FROM r GROUP BY src, chunk", ENT, REL))
 def graph_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles with names, types and addresses of resolved targets; others drop."""
+    """Profiles with names, types and addresses of all resolved targets; others drop."""
     nodes = entities(spark, d).filter("score >= 10").select(F.col("k").alias("id"), "name", "type", "source_url")
     p = G.baked_profiles(G.dedupe_edges(relations(spark, d)), nodes)
     text = F.transform("relations", lambda x: F.concat_ws(" ", x["verb"], x["name"], x["type"], F.coalesce(x["source_url"], F.lit(""))))
-    return p.select("src", "n", F.array_join(text, ";").alias("relations"))
+    return p.select("src", "chunk", "n", F.array_join(text, ";").alias("relations"))
 
 
 _TALK = "'see 2401.0' || CAST(1000 + k % 9 AS VARCHAR(20)) || 'v2 and datasets: squad_v' || CAST(k % 3 AS VARCHAR(20)) || ', more'"
