@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import metadata as M
@@ -15,6 +15,8 @@ from lodestack.operators import search as I
 from lodestack.sources import sinks
 
 MAX_RESULTS = 50
+#: Rows that a search keeps before types and pages.
+CANDIDATES = 200
 MAX_IDS = 25
 #: What each sort orders by, largest first; the rest of the order is the same for all.
 _REST = ("score", "raw_pop")
@@ -32,24 +34,27 @@ class Catalogue:
         self.entities, self.history, self.index = entities, history, index
 
     def build_index(self, path: str) -> None:
-        """Store the words of all entities under path; search() then reads only the parts that a query needs."""
+        """Store the words of all entities under path; search() then reads only the blocks that can hold one of its best."""
         text = F.concat_ws(" ", *(c for c in ("name", "slug", "author", "description") if c in self.entities.columns))
         I.write_index(self.entities, "id", text, "score", path)
         self.index = path
 
-    def _hits(self, rows: DataFrame, wanted: list[str]) -> DataFrame:
+    def _hits(self, wanted: list[str]) -> list[Row]:
+        """The CANDIDATES best rows of all types, the same with and without a stored index."""
         if self.index:
-            return I.search_index(rows.sparkSession, self.index, "id", "score", wanted)
-        text = F.concat_ws(" ", *(c for c in ("name", "slug", "author", "description") if c in rows.columns))
-        return I.search(I.inverted_index(rows, "id", text, "score"), "id", "score", wanted)
+            return I.search_index(self.entities.sparkSession, self.index, "id", "score", wanted, CANDIDATES)[0]
+        text = F.concat_ws(" ", *(c for c in ("name", "slug", "author", "description") if c in self.entities.columns))
+        return I.search(I.inverted_index(self.entities, "id", text, "score"), "id", "score", wanted, CANDIDATES).collect()
 
     def search(self, query: str, type: str | None = None, sort: str = "relevance", limit: int = 20, page: int = 1) -> DataFrame:
-        """The best entities for the words of a query; without one that counts, or where none hits, all of them by score."""
+        """The best entities for the words of a query; without one that counts, or where none hits, all of them by score.
+
+        A type is chosen among the CANDIDATES best of all types, whose statistics count; so a rare type may have fewer rows than there are."""
         if not 1 <= limit <= MAX_RESULTS or page < 1:
             raise ValueError(f"limit must be 1 to {MAX_RESULTS}, page 1 or more")
         wanted = I.query_terms(self.entities.sparkSession, query)
         rows = self.entities if type is None else self.entities.filter(F.col("type") == type)
-        found = self._hits(rows, wanted).collect() if wanted else []  # 200 rows at most
+        found = self._hits(wanted) if wanted else []
         if found:
             rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, f"id {rows.schema['id'].dataType.simpleString()}, relevance double, hits long")), "id")
         else:
@@ -58,6 +63,7 @@ class Catalogue:
         return rows.orderBy(*(F.desc_nulls_last(c) for c in columns if c in rows.columns), "id").offset((page - 1) * limit).limit(limit)
 
     def rank(self, task: str, query: str = "", limit: int = 20) -> DataFrame:
+        """The best entities for a task and words together."""
         return self.search(f"{task} {query}", limit=limit)
 
     def select(self, task: str | None = None, limit: int = 20, **constraints) -> DataFrame:

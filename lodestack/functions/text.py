@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+import unicodedata
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +21,19 @@ STOP_WORDS = [
     "such", "when", "which", "where", "who", "how", "what", "would", "could", "should", "about", "over", "between", "through",
     "after", "before", "during", "under", "above",
 ]
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accented() -> tuple[str, str]:
+    """Lower-case letters that are a letter of a-z or a digit and combining marks, and those letters; by Unicode's canonical decomposition."""
+    marks = range(0x300, 0x370)
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+    plain = {c: d[0] for c, d in parts.items() if d[0].isascii() and d[0].isalnum() and d[0].islower() and len(d) > 1 and all(ord(m) in marks for m in d[1:])}
+    return "".join(plain), "".join(plain.values())
+
+
+ACCENTED, PLAIN = _accented()
+#: Combining marks, which go.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 # The endings of a word, by step. Of a step's endings the longest that fits goes; what its groups hold, or what stands
 # beside it, stays.
@@ -35,42 +50,71 @@ SUFFIX = "^(?:(..+?)(?:ement|ment|ent|ant|ence|ance|ible|able|er|ou)|(.+[st])ion
 DOUBLE_L = "(?<=..l)l$"
 
 
-def _step(words: Column, able: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
-    """Words, those changed whose last letters allow it; most words end a step with that."""
-    return F.transform(words, lambda w: F.when(able(w), change(w)).otherwise(w))
+_PLURAL, _TENSE, _LAST_Y, _SUFFIX, _DOUBLE_L = map(re.compile, (PLURAL, TENSE, LAST_Y, SUFFIX, DOUBLE_L))
+_DERIVED, _FORMED = (re.compile(f"({'|'.join(table)})$") for table in (DERIVED, FORMED))
 
 
-def _swapped(words: Column, table: dict[str, str]) -> Column:
-    """Words with their endings, if the table has them, replaced."""
-    new = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+@lru_cache(maxsize=1 << 18)
+def stem(word: str) -> str:
+    """A word without its endings, step by step; most words' last letters rule a step out."""
+    kept = lambda m: "".join(g for g in m.groups() if g)
+    if word.endswith("s"):
+        word = _PLURAL.sub(kept, word)
+    if word.endswith(("d", "g")):
+        word = _TENSE.sub(kept, word)
+    if word.endswith("y"):
+        word = _LAST_Y.sub("i", word)
+    word = _DERIVED.sub(lambda m: DERIVED[m[1]], word, count=1)
+    word = _FORMED.sub(lambda m: FORMED[m[1]], word, count=1)
+    if word.endswith(("t", "e", "r", "u", "n")):
+        word = _SUFFIX.sub(kept, word)
+    return _DOUBLE_L.sub("", word)
 
-    def one(word: Column) -> Column:
-        ending = F.regexp_extract(word, f"({'|'.join(table)})$", 1)
-        return F.when(ending == "", word).otherwise(F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(ending)), F.try_element_at(new, ending)))
 
-    return _step(words, lambda w: F.substring(w, -2, 2).isin(sorted({e[-2:] for e in table})), one)
+def stems(words: Column) -> Column:
+    """Distinct stems of 2 to 40 characters of an array of words, in order of first use. Of an Arrow batch each different word is stemmed
+    once, and a worker remembers some 262,000 words."""
 
+    @F.arrow_udf("array<string>")
+    def stemmed(words: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        stems = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), stems.take(coded.indices))
 
-def stems(words: Column) -> Column:
-    """Distinct stems of 2 to 40 characters of an array of words, in order of first use; a pass over the array for each step."""
-    ends = lambda letters: lambda w: F.substring(w, -1, 1).isin(list(letters))
-    out = _step(F.array_distinct(words), ends("s"), lambda w: F.regexp_replace(w, PLURAL, "$1$2$3"))
-    out = _step(out, ends("dg"), lambda w: F.regexp_replace(w, TENSE, "$1$2$3"))
-    out = _step(out, ends("y"), lambda w: F.regexp_replace(w, LAST_Y, "i"))
-    out = _swapped(_swapped(out, DERIVED), FORMED)
-    out = _step(out, ends("terun"), lambda w: F.regexp_replace(w, SUFFIX, "$1$2"))
-    out = _step(out, ends("l"), lambda w: F.regexp_replace(w, DOUBLE_L, ""))
-    return F.array_distinct(F.filter(out, lambda w: F.length(w).between(2, 40)))
+    return F.array_distinct(F.filter(stemmed(F.array_distinct(words)), lambda w: F.length(w).between(2, 40)))
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of 2 to 40 letters and digits that are no stop words, accents taken off; repeats stay."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), r"[^a-z0-9\s]", " ")
+    """Lower-case words of 2 to 40 letters and digits that are no stop words, accents and combining marks taken off;
+    repeats stay."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.regexp_replace(F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, ACCENTED + MARKS, PLAIN)).otherwise(low), r"[^a-z0-9\s]", " ")
     return F.filter(F.split(plain, r"\s+"), lambda t: F.length(t).between(2, 40) & ~t.isin(STOP_WORDS))
 
 
+_WORD = re.compile("[a-z0-9]{2,}")
+_MARK = re.compile("[\u0300-\u036f]+")
+_STOP = frozenset(STOP_WORDS)
+
+
+def terms_of(text: str | None) -> list[str]:
+    """The distinct stems of the words of a text."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _MARK.sub("", unicodedata.normalize("NFD", low))
+    found = dict.fromkeys(stem(w) for w in dict.fromkeys(_WORD.findall(low)) if len(w) <= 40 and w not in _STOP)
+    return [t for t in found if 2 <= len(t) <= 40]
+
+
 def terms(text: Column) -> Column:
-    return stems(words(text))
+    """stems(words(text)) in one step."""
+
+    @F.arrow_udf("array<string>")
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([terms_of(t.as_py()) for t in texts], pa.list_(pa.string()))
+
+    return each(text)
 
 
 def replaced(text: Column, rules: Sequence[tuple[str, str]]) -> Column:

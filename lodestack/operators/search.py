@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.scoring import bm25
-from lodestack.functions.text import terms
+from lodestack.functions.text import terms, terms_of
 from lodestack.functions.vectors import cosine
+from lodestack.sources.sinks import numbered
 
 #: Query vectors that are compared with all rows at a time.
 QUERIES = 1024
@@ -21,8 +24,8 @@ MOST_CLUSTERS = 65_536
 
 
 def inverted_index(df: DataFrame, id: str, text, score: str) -> DataFrame:
-    """(term, id, score): a posting for each distinct stem of a row."""
-    return df.select(id, score, F.explode(terms(text)).alias("term"))
+    """(term, id, score): a posting for each distinct stem of a row; a null score is 0."""
+    return df.select(id, F.coalesce(F.col(score), F.lit(0.0)).alias(score), F.explode(terms(text)).alias("term"))
 
 
 def index_statistics(postings: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
@@ -35,42 +38,115 @@ def bucket_of(term: Column) -> Column:
     return F.substring(term, 1, 2)
 
 
+#: Rows of the first level of a stored index, blocks of a level, and rows of which a chunk holds the postings of a term.
+FIRST, GRID, CHUNK_ROWS = 256, 64, 4096
+
+
+def block_of(row: Column) -> tuple[Column, Column]:
+    """(block, chunk in it) of a row by its number in the order of scores. The first level has FIRST rows, and each later one three times all
+    before it; a level has GRID blocks, so the best rows lie in narrow blocks and N rows make about 64 * log4(N / 64) of them."""
+    bits = F.length(F.bin(F.floor(row / FIRST)))
+    level = F.when(row < FIRST, 0).otherwise(F.floor((bits + 1) / 2)).cast("int")
+    start = F.when(level == 0, 0).otherwise(F.pow(F.lit(4.0), level - 1) * FIRST).cast("long")
+    width = F.when(level == 0, FIRST // GRID).otherwise(F.pow(F.lit(4.0), level - 1) * (3 * FIRST // GRID)).cast("long")
+    inside = row - start
+    return (level * GRID + F.floor(inside / width)).cast("int"), F.floor(F.pmod(inside, width) / CHUNK_ROWS).cast("long")
+
+
 def write_index(df: DataFrame, id: str, text, score: str, path: str) -> None:
-    """An index of df under path: postings by bucket, those of a term together and the best first, and the statistics of all of them.
+    """An index of df under path, the postings of each term in blocks of rows of like scores, the best first.
 
-    A bucket of many postings is dealt to several files by id, so a common prefix fills no task."""
+    Rows are numbered by falling score, by ranges, and cut into blocks (block_of). A row of postings/ is a chunk: the ids and scores
+    of a term's rows in a part of a block, in that order; chunks lie by bucket of the term, sorted by term and block. blocks/ has the greatest score and
+    the numbers of postings and chunks of each term and block; terms/ and totals/ have the statistics of all rows. A frequent term is spread over tasks by block."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = inverted_index(df, id, text, score).withColumn("bucket", bucket_of(F.col("term")))
-    few = F.pmod(F.xxhash64(id), F.lit(4))
-    dealt.repartition(parts, "bucket", few).sortWithinPartitions("bucket", "term", F.desc(score), id).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows = numbered(df.select(F.col(id).alias("id"), F.coalesce(F.col(score), F.lit(0.0)).cast("double").alias("score"), terms(text).alias("terms")), [F.desc("score"), F.asc("id")])
+    block, chunk = block_of(F.col("row"))
+    each = rows.select("row", "id", "score", block.alias("block"), chunk.alias("chunk"), F.explode("terms").alias("term"))
+    chunks = each.groupBy("term", "block", "chunk").agg(F.array_sort(F.collect_list(F.struct("row", "id", "score"))).alias("p"))
+    out = chunks.select("term", "block", "chunk", F.size("p").alias("n"), F.get("p", F.lit(0))["score"].alias("most"), F.transform("p", lambda x: x["id"]).alias("ids"), F.transform("p", lambda x: x["score"]).alias("scores"), bucket_of(F.col("term")).alias("bucket"))
+    out.repartition(parts, "bucket", F.pmod(F.xxhash64("term", "block"), F.lit(4))).sortWithinPartitions("bucket", "term", "block", "chunk").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     found = spark.read.parquet(f"{path}/postings")
-    df_, totals = index_statistics(found, id)
-    df_.write.mode("overwrite").parquet(f"{path}/terms")
-    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    blocks = found.groupBy("bucket", "term", "block").agg(F.max("most").alias("most"), F.sum("n").alias("n"), F.count("*").alias("chunks"))
+    blocks.repartition(parts, "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    rows.agg(F.count_if(F.size("terms") > 0).alias("total_docs"), F.avg(F.when(F.size("terms") > 0, F.size("terms"))).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
     """The distinct stems of a query; its stop words don't count."""
-    return list(spark.range(1).select(terms(F.lit(query)).alias("t")).first()["t"])
-
-
-def search_index(spark: SparkSession, path: str, id: str, score: str, wanted: list[str], k: int = 200) -> DataFrame:
-    """search() over a stored index, of which only the buckets of the terms are read."""
-    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin([w[:2] for w in wanted])).drop("bucket")
-    return search(postings, id, score, wanted, k, (spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")))
+    return terms_of(query)
+
+
+class Read(NamedTuple):
+    """How much of the chosen terms' postings a search read."""
+
+    chunks: int
+    of_chunks: int
+    postings: int
+    of_postings: int
+    rounds: int
+
+
+def _blended(score: Column, weight: Column) -> Column:
+    return F.floor((F.floor(score + 0.5) * 0.6 + weight * 40 * 0.4) * 100 + 0.5) / 100
+
+
+def search_index(spark: SparkSession, path: str, id: str, score: str, wanted: list[str], k: int = 200) -> tuple[list[Row], Read]:
+    """The rows of search() from a stored index, and how much of it was read.
+
+    A block's bound is the relevance of a row with the greatest score of each term that the block has. Blocks are read by falling
+    bound, each round twice the postings of the one before, until the k-th best row found is better than the bound of every block left; a row's postings all lie in one
+    block, so what is found is exact. The driver sees the blocks of the terms, some hundreds each whatever the number of rows, and k rows a round."""
+    bucket = F.col("bucket").isin(sorted({w[:2] for w in wanted}))
+    known = {r["term"]: r for r in _weights(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals"), wanted).collect()}
+    seen: dict[int, list] = {}
+    for r in spark.read.parquet(f"{path}/blocks").filter(bucket & F.col("term").isin(wanted)).collect():
+        seen.setdefault(r["block"], []).append(r)
+    blend = lambda r: math.floor((math.floor(r["most"] + 0.5) * 0.6 + known[r["term"]]["weight"] * 40 * 0.4) * 100 + 0.5) / 100
+    bound = {b: round(sum(map(blend, rs)) * (len(rs) / len(wanted) if len(wanted) > 1 else 1.0), 9) + 1e-9 for b, rs in seen.items()}
+    left = sorted(seen, key=lambda b: (-bound[b], b))
+    best: list[Row] = []
+    room, rounds, read, postings_read = 2 * k, 0, 0, 0
+    weights = spark.createDataFrame([(t, r["weight"]) for t, r in known.items()], "term string, weight double")
+    kind = next(f.dataType.elementType.simpleString() for f in spark.read.parquet(f"{path}/postings").schema if f.name == "ids")
+    while left and (len(best) < k or bound[left[0]] >= best[-1]["relevance"]):
+        take, size = [], 0
+        while left and (not take or size < room) and (len(best) < k or bound[left[0]] >= best[-1]["relevance"]):
+            take.append(left.pop(0))
+            size += sum(r["n"] for r in seen[take[-1]])
+        read += sum(r["chunks"] for b in take for r in seen[b])
+        rounds, postings_read = rounds + 1, postings_read + size
+        chunks = spark.read.parquet(f"{path}/postings").filter(bucket & F.col("term").isin(wanted) & F.col("block").isin(take))
+        postings = chunks.select("term", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("term", F.col("p.ids").alias(id), F.col("p.scores").alias(score))
+        found = _relevant(postings, id, score, weights, len(wanted))
+        if best:
+            found = found.unionByName(spark.createDataFrame(best, f"{id} {kind}, relevance double, hits long"))
+        best = found.orderBy(F.desc("relevance"), id).limit(k).collect()
+        room *= 2
+    every = [r for rs in seen.values() for r in rs]
+    return best, Read(read, sum(r["chunks"] for r in every), postings_read, sum(r["n"] for r in every), rounds)
+
+
+def _weights(df: DataFrame, totals: DataFrame, wanted: list[str]) -> DataFrame:
+    """(term, weight) of the wanted terms: a row per term."""
+    return df.filter(F.col("term").isin(wanted)).crossJoin(totals).select("term", bm25(F.col("df"), F.col("total_docs"), F.col("avg_len")).alias("weight"))
+
+
+def _relevant(postings: DataFrame, id: str, score: str, weights: DataFrame, wanted: int) -> DataFrame:
+    """(id, relevance, hits) of all rows that have one of the terms."""
+    per_term = postings.join(F.broadcast(weights), "term")  # a row per term of the query
+    hits = per_term.groupBy(id).agg(F.sum(_blended(F.col(score), F.col("weight"))).alias("sum"), F.count("*").alias("hits"))
+    return hits.select(id, F.round(F.col("sum") * (F.col("hits") / wanted if wanted > 1 else F.lit(1.0)), 9).alias("relevance"), "hits")
 
 
 def search(postings: DataFrame, id: str, score: str, wanted: list[str], k: int = 200, statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, relevance, hits): the k best rows for the terms. A term adds 0.6 of the row's own score and 16 times its BM25, two
     decimals; the sum is scaled by the share of the terms that hit."""
     df, totals = statistics or index_statistics(postings, id)
-    chosen = df.filter(F.col("term").isin(wanted)).crossJoin(totals).withColumn("weight", bm25(F.col("df"), F.col("total_docs"), F.col("avg_len")))  # a row per term
-    per_term = postings.filter(F.col("term").isin(wanted)).join(F.broadcast(chosen.select("term", "weight")), "term")
-    blended = F.floor((F.floor(F.col(score) + 0.5) * 0.6 + F.col("weight") * 40 * 0.4) * 100 + 0.5) / 100
-    hits = per_term.groupBy(id).agg(F.sum(blended).alias("sum"), F.count("*").alias("hits"))
-    ranked = hits.withColumn("relevance", F.col("sum") * (F.col("hits") / len(wanted) if len(wanted) > 1 else F.lit(1.0)))
-    return ranked.orderBy(F.desc("relevance"), id).limit(k).select(id, "relevance", "hits")
+    found = _relevant(postings.filter(F.col("term").isin(wanted)), id, score, _weights(df, totals, wanted), len(wanted))
+    return found.orderBy(F.desc("relevance"), id).limit(k)
 
 
 def best_of_blocks(rows: DataFrame, id: str, column: str, queries: DataFrame, vector: str, distances: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestack.operators import graph as G
 from lodestack.operators import lookups as K
 from lodestack.operators import merge as M
 from lodestack.operators import search as S
-from lodestack.plans.duck import ENT, HIST, given
+from lodestack.plans.duck import ENT, HIST, given, stems, words
 from lodestack.plans.registry import register
 from lodestack.sources import sinks
 from lodestack.sources.catalogue import entities, history, read
@@ -181,10 +181,13 @@ def search_clustered(spark: SparkSession, d: str) -> DataFrame:
 # Verbs ------------------------------------------------------------------------------------------------------------------------
 
 
-@register("verb_rank", given("SELECT id, score FROM ent WHERE type = 'model' AND pipeline_tag = 'summarization' ORDER BY CASE WHEN params_billions > 0 THEN 0 ELSE 1 END, score DESC, id LIMIT 20", ENT))
+_RANKED = stems(words("'summarization chat models with adapters'"))
+
+
+@register("verb_rank", given(f"p AS (SELECT id, score, unnest({stems(words("concat_ws(' ', name, slug, author, description)"))}) AS term FROM ent), tot AS (SELECT count(DISTINCT id) AS n, count(*) / CAST(count(DISTINCT id) AS DOUBLE) AS avg_len FROM p), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT {_RANKED} AS w), h AS (SELECT id, sum(x) * count(*) / (SELECT len(w) FROM q) AS relevance FROM (SELECT p.id, floor((floor(score + 0.5) * 0.6E0 + ln((n - df + 0.5E0) / (df + 0.5E0) + 1) * 2.2E0 / (1 + 1.2E0 * (0.25E0 + 0.75E0 / avg_len)) * 16) * 100 + 0.5) / 100 AS x FROM p JOIN df USING (term), tot, q WHERE list_contains(w, p.term)) GROUP BY id) SELECT id, round(relevance, 6) AS relevance, score FROM h JOIN ent USING (id) ORDER BY round(relevance, 9) DESC, score DESC, id LIMIT 20", ENT))
 def verb_rank(spark: SparkSession, d: str) -> DataFrame:
-    """rank, select: the best models of a task."""
-    return api.Catalogue(entities(spark, d)).select(task="summarization", limit=20).select("id", "score")
+    """rank: the best entities for a task and words."""
+    return api.Catalogue(entities(spark, d)).rank("summarization", "chat models with adapters").select("id", F.round("relevance", 6).alias("relevance"), "score")
 
 
 @register("verb_entity", given("r AS (SELECT unnest(['hf-dataset--brand5--small-widget-1', 'brand2--blue-rod', 'gone--for-good']) AS req, unnest(range(3)) AS pos) SELECT pos, req, CASE WHEN count(e.id) = 0 THEN 404 WHEN max(CASE WHEN e.id = r.req THEN 1 ELSE 0 END) = 1 OR count(e.id) = 1 THEN 200 ELSE 409 END AS status, coalesce(max(CASE WHEN e.id = r.req THEN e.id END), CASE WHEN count(e.id) = 1 THEN min(e.id) END) AS id FROM r LEFT JOIN ent e ON e.id = r.req OR e.slug = r.req GROUP BY pos, req", ENT))

@@ -180,21 +180,36 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return api.Catalogue(entities(spark, d)).search(_ASKED, limit=50).select("id", F.round("relevance", 6).alias("relevance"), "hits", "score")
 
 
-@register("search_index", given(f"{_POSTINGS} SELECT df.term, left(df.term, 2) AS bucket, df, first(p.id ORDER BY p.score DESC, p.id) AS best FROM df JOIN p ON p.term = df.term GROUP BY ALL", ENT))
+@register("search_index", given(f"{_POSTINGS}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS row FROM ent), l AS (SELECT id, row, CASE WHEN row < 256 THEN 0 ELSE 1 + CAST(floor(log2(row // 256) / 2) AS INT) END AS level FROM r), c AS (SELECT id, row, CASE WHEN level = 0 THEN row // 4 ELSE level * 64 + (row - 256 * CAST(pow(4, level - 1) AS BIGINT)) // CAST(12 * pow(4, level - 1) AS BIGINT) END AS block FROM l) SELECT term, left(term, 2) AS bucket, CAST(block AS INT) AS block, count(*) AS n, max(score) AS most, arg_min(p.id, row) AS best FROM p JOIN c USING (id) GROUP BY ALL", ENT))
 def search_index(spark: SparkSession, d: str) -> DataFrame:
-    """The stored index: terms by bucket, with their postings, the best of each term first."""
+    """The stored index: of each term and block of rows of like scores the postings, the best first, with the greatest score."""
     cat = api.Catalogue(entities(spark, d))
     path = sinks.scratch(spark, "index")
     cat.build_index(path)
-    postings = spark.read.parquet(f"{path}/postings")
-    best = postings.groupBy("term", "bucket").agg(F.max_by("id", F.struct("score", F.lit(0))).alias("one"), F.max("score").alias("top"))
-    first = postings.join(best.select("term", F.col("top").alias("score")), ["term", "score"]).groupBy("term", "bucket").agg(F.min("id").alias("best"))
-    return first.join(spark.read.parquet(f"{path}/terms"), "term").select("term", "bucket", "df", "best")
+    first = spark.read.parquet(f"{path}/postings").filter("chunk = 0").select("term", "block", F.get("ids", F.lit(0)).alias("best"))
+    return first.join(spark.read.parquet(f"{path}/blocks"), ["term", "block"]).select("term", "bucket", "block", "n", "most", "best")
+
+
+_TYPED = "best AS (SELECT * FROM h ORDER BY round(relevance, 9) DESC, id LIMIT 200) SELECT id, round(relevance, 6) AS relevance, hits, score FROM best JOIN ent USING (id) WHERE type = '{}' ORDER BY round(best.relevance, 9) DESC, score DESC, id LIMIT {}"
+
+
+@register("search_typed", given(f"{_POSTINGS}, q AS (SELECT {stems(words(repr('blue rods with retrieval')))} AS w), {_HITS}, {_TYPED.format('tool', 50)}", ENT))
+def search_typed(spark: SparkSession, d: str) -> DataFrame:
+    """R3, search: the candidates of a query that are of a type, without a stored index."""
+    return api.Catalogue(entities(spark, d)).search("blue rods with retrieval", type="tool", limit=50).select("id", F.round("relevance", 6).alias("relevance"), "hits", "score")
+
+
+@register("search_typed_stored", given(f"{_POSTINGS}, q AS (SELECT {stems(words(repr('blue rods with retrieval')))} AS w), {_HITS}, {_TYPED.format('tool', 50)}", ENT))
+def search_typed_stored(spark: SparkSession, d: str) -> DataFrame:
+    """R3, search: the rows of search_typed from a stored index."""
+    cat = api.Catalogue(entities(spark, d))
+    cat.build_index(sinks.scratch(spark, "index"))
+    return cat.search("blue rods with retrieval", type="tool", limit=50).select("id", F.round("relevance", 6).alias("relevance"), "hits", "score")
 
 
 @register("search_stored", given(f"{_POSTINGS}, q AS (SELECT {stems(words(repr('blue rods with retrieval')))} AS w), {_HITS}, best AS (SELECT * FROM h ORDER BY round(relevance, 9) DESC, id LIMIT 200) SELECT id, round(relevance, 6) AS relevance, hits, score FROM best JOIN ent USING (id) WHERE type = 'model' ORDER BY round(best.relevance, 9) DESC, score DESC, id LIMIT 10 OFFSET 10", ENT))
 def search_stored(spark: SparkSession, d: str) -> DataFrame:
-    """A query answered from the stored index, of which it reads the buckets of its terms: candidates, rows, type, page."""
+    """A query answered from the stored index, of which it reads the blocks that can hold one of the best: candidates, rows, type, page."""
     path = sinks.scratch(spark, "index")
     cat = api.Catalogue(entities(spark, d))
     cat.build_index(path)
