@@ -271,12 +271,11 @@ def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @register("vector_product_codes")
 def vector_product_codes(spark: SparkSession, d: str) -> DataFrame:
-    """V4, V5: product-quantised codes, candidates by asymmetric distances, the best of them by exact ones."""
-    from lodestack.operators.clusters import pq_encode, pq_search, pq_train
+    """V1, V4, V5: an inverted file over residual product codes; its candidates by asymmetric distances, the best of them by exact ones."""
+    from lodestack.operators import ivf
 
     e = read(spark, d, "embeddings")
-    books = pq_train(e, "vec_id", "embedding", 8)
-    return pq_search(pq_encode(e, "vec_id", "embedding", books), "vec_id", books, _vector_queries(e), 20, e, "embedding")
+    return ivf.indexed(spark, sinks.scratch(spark, "cells"), e, "vec_id", "embedding", _vector_queries(e), 20)
 
 
 _CENTRES = "x AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY label, pos), cen AS (SELECT label, list(x ORDER BY pos) AS e FROM m GROUP BY label), sim AS (SELECT q.vec_id AS query, cen.label, list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), cen.e) / (sqrt(list_sum(list_transform(cen.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS sim FROM embeddings q, cen WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, label) <= 3)"
