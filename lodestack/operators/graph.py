@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lodestack.functions.identity import canonical
 from lodestack.functions.metadata import arxiv_ids
 from lodestack.functions.patterns import MOST_TERMS, occurrences
 from lodestack.functions.text import dataset_refs
+from lodestack.operators.skew import look_up
 from lodestack.sources.sinks import numbered, scratch
 
 # The verb of an edge read from its other end.
@@ -284,23 +286,60 @@ def same_source_pairs(df: DataFrame, id: str, key: str) -> DataFrame:
     return df.join(least, key).filter(F.col(id) > F.col("a")).select("a", F.col(id).alias("b")).distinct()
 
 
-def identity_clusters(pairs: DataFrame, max_passes: int = 40) -> DataFrame:
-    """(id, cluster): the smallest id that can be reached over pairs(a, b). Labels spread and are then looked up in each other, which
-    doubles their reach a pass; raises after max_passes. Each pass is written to the shared folder."""
-    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).filter("x <> y")
-    edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    labels = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label"))
+def check_skew(edges: DataFrame, keys: Sequence[str], parts: int, share: float, least: int) -> None:
+    """Raise if of so many hash partitions of the edges' ends one has over `share` of all; fewer than `least` edges tell nothing."""
+    ends = edges.select(F.explode(F.array(*keys)).alias("k")).groupBy(F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
+    r = ends.agg(F.max_by("part", "n").alias("part"), F.max("n").alias("worst"), F.sum("n").alias("all")).first()
+    if (r["all"] or 0) >= 2 * least and r["worst"] > share * r["all"]:
+        raise RuntimeError(f"PARTITION_SKEW: partition {r['part']} has {r['worst']} of {r['all']} ends, over {share:.0%}")
+
+
+def identity_clusters(pairs: DataFrame, max_passes: int = 60, parts: int = 16, share: float = 0.6, least: int = 64, expect: bool = False) -> DataFrame:
+    """(id, cluster): the smallest id that can be reached over pairs(a, b).
+
+    Each node hooks onto its smallest lesser neighbour; pointers are then followed by doubling, and a pass moves only the nodes that
+    don't point at a root yet. Edges are rewritten onto the roots, and only those between different roots remain for the next round, so what
+    travels shrinks. A hub's edges are joined by broadcast of its row (skew.look_up). Every pass is written to the shared folder.
+
+    Gates, which raise RuntimeError rather than give doubtful clusters: MAX_PASSES_EXCEEDED, PARTITION_SKEW (see check_skew; 64 edges at
+    least) and, where clusters are expected, NON_SINGLETON_FLOOR if no pair has two different ids."""
     keep = _keeper(pairs)
-    edges, labels = keep(edges), keep(labels)
-    for _ in range(max_passes):
-        spread = edges.join(labels.select(F.col("x").alias("y"), F.col("label").alias("of_y")), "y").groupBy("x").agg(F.min("of_y").alias("m"))
-        nearer = labels.join(spread, "x").select("x", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved"))
-        jump = nearer.join(nearer.select(F.col("x").alias("label"), F.col("label").alias("next")), "label", "left")
-        after = keep(jump.select("x", F.least("label", F.coalesce("next", "label")).alias("label"), (F.col("moved") | (F.col("next") < F.col("label"))).alias("moved")))
-        labels = after.select("x", "label")
-        if after.filter("moved").isEmpty():
-            return labels.select(F.col("x").alias("id"), F.col("label").alias("cluster"))
-    raise RuntimeError(f"labels still move after {max_passes} passes")
+    edges = keep(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if not (n_first := edges.count()):
+        if expect:
+            raise RuntimeError("NON_SINGLETON_FLOOR: no cluster has two members")
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("cluster"))
+    check_skew(edges, ["u", "v"], parts, share, least)
+    maps: list[DataFrame] = []
+    passes = 0
+
+    def counted() -> None:
+        nonlocal passes
+        passes += 1
+        if passes > max_passes:
+            raise RuntimeError(f"MAX_PASSES_EXCEEDED: labels still move after {max_passes} passes")
+
+    while n := edges.count():
+        counted()
+        hooks = keep(edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("p")))
+        inner = hooks.select(F.col("x").alias("p"), F.lit(True).alias("inner"))
+        now = keep(look_up(hooks, "p", inner, rows=n).select("x", "p", F.col("inner").isNull().alias("done")))
+        parts_, front = [now.filter("done")], now.filter("not done")
+        while m := front.count():
+            counted()
+            every = reduce(DataFrame.unionByName, [*parts_, front]).select(F.col("x").alias("p"), F.col("p").alias("q"), "done")
+            moved = keep(look_up(front.select("x", "p"), "p", every, "inner", rows=m).select("x", F.col("q").alias("p"), "done"))
+            parts_, front = [*parts_, moved.filter("done")], moved.filter("not done")
+        roots = reduce(DataFrame.unionByName, parts_).select("x", "p")
+        maps.append(roots)
+        one = look_up(edges, "u", roots.select(F.col("x").alias("u"), F.col("p").alias("ru")), "inner", rows=n).select("ru", "v")
+        two = look_up(one, "v", roots.select(F.col("x").alias("v"), F.col("p").alias("rv")), rows=n).select("ru", F.coalesce("rv", "v").alias("rv"))
+        edges = keep(two.filter("ru <> rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct())
+    labels = maps.pop()
+    for earlier in reversed(maps):  # roots of a round are nodes of the next one
+        on = look_up(earlier, "p", labels.select(F.col("x").alias("p"), F.col("p").alias("q")), rows=n_first).select("x", F.coalesce("q", "p").alias("p"))
+        labels = keep(on.unionByName(labels))
+    return labels.select(F.col("x").alias("id"), F.col("p").alias("cluster")).unionByName(labels.select(F.col("p").alias("id"), F.col("p").alias("cluster")).distinct())
 
 
 def _keeper(df: DataFrame):

@@ -50,10 +50,13 @@ def drain(pending: DataFrame, stream: DataFrame, key: str, least: int) -> DataFr
 
 def group_scores(x: str, y: str) -> Column:
     """Of two aliased records of different platforms: 0 if architectures or sizes differ, 1 for equal names, 0.95 or 0.8 for a name that
-    holds the other."""
+    holds the other, 0.85 for one author's names of which the last parts hold one another."""
     a, b = (F.coalesce(F.lower(F.col(f"{s}.architecture")), F.lit("")) for s in (x, y))
     p, q = F.col(f"{x}.params_billions"), F.col(f"{y}.params_billions")
     n, m = F.col(f"{x}.norm"), F.col(f"{y}.norm")
     unlike = ((a != "") & (b != "") & (a != b)) | F.coalesce((p != 0) & (q != 0) & (F.abs(p - q) > 0.1), F.lit(False))
     held = F.contains(n, m) | F.contains(m, n)
-    return F.when(unlike, 0.0).when(n == m, 1.0).when(held & (F.col(f"{x}.author") == F.col(f"{y}.author")), 0.95).when(held, 0.8).otherwise(0.0)
+    last, other = (F.element_at(F.split(c, "/"), -1) for c in (n, m))
+    own = (F.lower(F.col(f"{x}.author")) == F.lower(F.col(f"{y}.author"))) & (F.col(f"{x}.author") != "")
+    by_author = own & (F.contains(last, other) | F.contains(other, last))
+    return F.when(unlike, 0.0).when(n == m, 1.0).when(held & (F.col(f"{x}.author") == F.col(f"{y}.author")), 0.95).when(held, 0.8).when(by_author, 0.85).otherwise(0.0)

@@ -59,8 +59,3 @@ def ledger(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """A refresh ledger(key, refresh_count, has_text, note) after a pass over `new`(key, has_text, note)."""
     both = old.alias("o").join(new.withColumn("_in", F.lit(1)).alias("n"), key, "full_outer")
     return both.select(key, (F.coalesce("o.refresh_count", F.lit(0)) + F.coalesce("n._in", F.lit(0))).alias("refresh_count"), F.greatest(F.coalesce("o.has_text", F.lit(0)), F.coalesce("n.has_text", F.lit(0))).alias("has_text"), F.coalesce("n.note", "o.note").alias("note"))
-
-
-def set_digest(df: DataFrame, column: str) -> DataFrame:
-    """SHA-256 of the distinct values, sorted and joined by line ends, with their number; for sets that fit a row."""
-    return df.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(column))), 256).alias("digest"), F.countDistinct(column).alias("n"))

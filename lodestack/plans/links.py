@@ -233,6 +233,7 @@ _WANTED = "CASE k % 5 WHEN 0 THEN slug WHEN 1 THEN replace(slug, '--', '-') || '
 def join_match_cascade(spark: SparkSession, d: str) -> DataFrame:
     """By canonical name 1.0, by a variant 0.95, by id 1.0, by seven tenths of the words 0.8; the first that hits."""
     from lodestack.functions import labels as L
+    from lodestack.operators.containment import contained
 
     models = entities(spark, d).filter("type = 'model'").select("id", L.canonical_name(F.col("slug")).alias("name"))
     named = models.groupBy("name").agg(F.min("id").alias("hit"))
@@ -240,11 +241,11 @@ def join_match_cascade(spark: SparkSession, d: str) -> DataFrame:
     tried = asked.select("k", F.posexplode(F.concat(F.array("name"), F.array_except(L.benchmark_variants(F.col("want")), F.array("name")))).alias("at", "name"))
     by_name = tried.join(named, "name").groupBy("k").agg(F.min(F.struct("at", "hit")).alias("m")).select("k", F.col("m.hit").alias("a"), F.when(F.col("m.at") == 0, 1.0).otherwise(0.95).alias("a_conf"))
     by_id = asked.select("k", F.col("want").alias("id")).join(models.select("id"), "id").select("k", F.col("id").alias("b"))
-    # words meet the words of names first; a word inside another one is looked up among the distinct words, which are few
+    # words meet the words of names first, by n-grams; then names by their words
     words = F.array_distinct(F.filter(F.split(L.benchmark_key(F.col("want")), "-"), lambda x: F.length(x) > 2))
     wanted = asked.select("k", words.alias("w")).select("k", F.size("w").alias("n"), F.explode("w").alias("word"))
     of_names = named.select("name", "hit", F.explode(F.array_distinct(F.split("name", "-"))).alias("part"))
-    inside = wanted.select("word").distinct().join(of_names.select("part").distinct(), F.contains("part", "word"))
+    inside = contained(wanted, "word", of_names, "part")
     hits = wanted.join(inside, "word").join(of_names, "part").groupBy("k", "n", "name", "hit").agg(F.countDistinct("word").alias("hits")).filter(F.col("hits") >= 0.7 * F.col("n"))
     by_words = hits.groupBy("k").agg(F.min_by("hit", F.struct(-F.col("hits"), F.col("name"))).alias("c"))
     r = asked.select("k").join(by_name, "k", "left").join(by_id, "k", "left").join(by_words, "k", "left")
@@ -276,10 +277,33 @@ def set_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("id").agg(F.max("w").alias("w")).orderBy("id").limit(500)
 
 
-@register("set_digest", given("SELECT sha256(string_agg(author, chr(10) ORDER BY author)) AS digest, count(*) AS n FROM (SELECT DISTINCT author FROM ent WHERE author IS NOT NULL)", ENT))
+_SUMS = "count(*) AS n, sum(CAST('0x' || substr(h, 1, 14) AS BIGINT)) AS low, sum(CAST('0x' || substr(h, 15, 14) AS BIGINT)) AS high"
+
+
+@register("set_digest", given(f"h AS (SELECT DISTINCT md5(author) AS h FROM ent WHERE author IS NOT NULL), s AS (SELECT {_SUMS} FROM h) SELECT sha256(n || ':' || low || ':' || high) AS digest, n FROM s", ENT))
 def set_digest(spark: SparkSession, d: str) -> DataFrame:
-    """One digest of a set."""
-    return M.set_digest(entities(spark, d), "author")
+    """One digest of a set, from sums that can be merged."""
+    from lodestack.operators import digests
+
+    return digests.set_digest(entities(spark, d), "author")
+
+
+@register("set_digest_tree", given(f"h AS (SELECT DISTINCT md5(id) AS h FROM ent), s AS (SELECT substr(h, 1, 2) AS prefix, {_SUMS} FROM h GROUP BY 1) SELECT prefix, n, CAST(low AS VARCHAR) AS low, CAST(high AS VARCHAR) AS high FROM s", ENT))
+def set_digest_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of ranges, put together from those of smaller ranges."""
+    from lodestack.operators import digests
+
+    tree = digests.combined(digests.leaves(entities(spark, d), "id"), 2)
+    return tree.select("prefix", "n", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"))
+
+
+@register("set_difference", given("a AS (SELECT id FROM ent WHERE k % 97 <> 5), b AS (SELECT CASE WHEN k % 89 = 3 THEN id || '-new' ELSE id END AS id FROM ent) SELECT 'left' AS side, id AS value FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT 'right', id FROM (SELECT id FROM b EXCEPT SELECT id FROM a)", ENT))
+def set_difference(spark: SparkSession, d: str) -> DataFrame:
+    """What two versions of a set don't share, found by descending into the ranges whose digests differ."""
+    from lodestack.operators import digests
+
+    e = entities(spark, d)
+    return digests.difference(e.filter("k % 97 <> 5").select("id"), e.select(F.when(F.col("k") % 89 == 3, F.concat("id", F.lit("-new"))).otherwise(F.col("id")).alias("id")), "id")
 
 
 # Identity and graph -----------------------------------------------------------------------------------------------------------

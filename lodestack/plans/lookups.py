@@ -96,6 +96,17 @@ def match_platforms(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), K.group_scores("x", "y").alias("s")).filter("s >= 0.7")
 
 
+@register("match_groups")
+def match_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of records of one model, as a greedy pass by id gives them; iterative, so compared with such a pass in the tests."""
+    from lodestack.operators.groups import platform_groups
+
+    k = F.col("k")
+    norm = F.concat_ws("/", F.lower("author"), F.regexp_replace(F.lower(F.when(k % 3 == 0, F.concat(F.substring_index("slug", "--", -1), F.lit("-chat"))).otherwise(F.substring_index("slug", "--", -1))), "[^a-z0-9]+", "-"))
+    m = entities(spark, d).filter("type = 'model'").select("id", norm.alias("norm"), F.col("author"), F.when(k % 4 > 0, F.col("params_billions")).alias("params_billions"), F.when(k % 10 == 0, "llama").otherwise("").alias("architecture"))
+    return platform_groups(m)
+
+
 @register("match_canonical", given(f"""m AS (SELECT id, {_NORM} AS norm, downloads, source, slug FROM ent WHERE type = 'model') SELECT slug, arg_max(id, (coalesce(downloads, 0), source = 'huggingface', -rk)) AS canonical, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY id) AS rk FROM m) GROUP BY slug HAVING count(*) > 1""", ENT))
 def match_canonical(spark: SparkSession, d: str) -> DataFrame:
     """The canonical record of each group: most downloads, then the main hub, then the first id."""

@@ -61,3 +61,66 @@ def test_term_links_take_the_first_terms_of_the_registry(spark):
     terms = spark.createDataFrame([(1, "T", ["TWO", "one"]), (0, "O", ["one"]), (2, "H", ["three", "x y"])], "at int, term string, aliases array<string>")
     got = Counter(tuple(r) for r in G.term_links(e, "id", F.col("t"), terms, least=0.0, most=1).collect())
     assert got == Counter([("a", "O", "one", 0.347), ("b", "O", "one", 0.693), ("c", "H", "three", 0.693), ("d", "T", "TWO", 0.288)])
+
+
+def plain_components(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def clusters_of(spark, pairs, **how):
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    return {r["id"]: r["cluster"] for r in G.identity_clusters(df, **how).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(rng.choice([80, 220, 600]))]
+    assert clusters_of(spark, pairs) == plain_components(pairs)
+
+
+def test_clusters_of_a_long_chain_and_of_a_hub(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(10**6), 10_000)
+    pairs = list(zip(ids, ids[1:], strict=False))
+    got = clusters_of(spark, pairs)
+    assert len(got) == 10_000 and set(got.values()) == {min(ids)}
+    hub = [(500_000, i) for i in range(100_000)] + [(10**7, 10**7 + 1)]
+    got = clusters_of(spark, hub)
+    assert len(got) == 100_003 and Counter(got.values()) == {0: 100_001, 10**7: 2}
+
+
+def test_gates_of_clusters(spark):
+    chain = [(i, i + 1) for i in range(200)]
+    with pytest.raises(RuntimeError, match="MAX_PASSES_EXCEEDED"):
+        clusters_of(spark, chain, max_passes=3)
+    with pytest.raises(RuntimeError, match="PARTITION_SKEW"):
+        clusters_of(spark, chain, parts=1)
+    assert len(clusters_of(spark, chain[:10], parts=1)) == 11
+    with pytest.raises(RuntimeError, match="NON_SINGLETON_FLOOR"):
+        clusters_of(spark, [(1, 1)], expect=True)
+    assert clusters_of(spark, [(1, 1)]) == {}
+
+
+def test_containment_is_what_all_pairs_give(spark):
+    from lodestack.operators.containment import contained
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    words, texts = [word(rng.randint(1, 6)) for _ in range(300)], [word(rng.randint(0, 9)) for _ in range(200)] + [None]
+    w, t = spark.createDataFrame([(x,) for x in words], "w string"), spark.createDataFrame([(x,) for x in texts], "t string")
+    found = contained(w, "w", t, "t")
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in words for b in texts if b is not None and a in b}
+    assert found.count() == found.distinct().count() and "NestedLoop" not in found._jdf.queryExecution().toString()
