@@ -183,7 +183,7 @@ def humanise(name: Column) -> Column:
 
 def repair_json(text: Column) -> Column:
     """A backslash before a character that JSON doesn't escape is doubled."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def front_matter(text: Column) -> Column:

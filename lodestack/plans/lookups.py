@@ -13,6 +13,7 @@ from lodestack.operators import merge as M
 from lodestack.operators import search as S
 from lodestack.plans.duck import ENT, HIST, given, stems, words
 from lodestack.plans.registry import register
+from lodestack.plans.texts import CENTRES
 from lodestack.sources import sinks
 from lodestack.sources.catalogue import entities, history, read
 
@@ -172,20 +173,16 @@ def search_fallback(spark: SparkSession, d: str) -> DataFrame:
     return api.Catalogue(entities(spark, d)).search("the of zzzqqq", type="tool", limit=20).select("id", "score", "relevance")
 
 
-@register("search_clustered", "WITH x AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY label, pos), cen AS (SELECT label, list(x ORDER BY pos) AS e FROM m GROUP BY label), sim AS (SELECT q.vec_id AS query, cen.label, list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), cen.e) / (sqrt(list_sum(list_transform(cen.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS sim FROM embeddings q, cen WHERE q.vec_id % 50 = 0) SELECT query, e.vec_id, round(0.35E0 * least(99.9E0, sim * 100) + 0.65E0 * (e.vec_id * 7127 % 1000 / 10E0), 4) AS relevance FROM sim JOIN embeddings e USING (label) WHERE e.vec_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY relevance DESC, e.vec_id) <= 30")
+@register("search_clustered", given(f"{CENTRES}, members AS (SELECT v.vec_id, v.label, ent.score FROM embeddings v JOIN ent ON ent.k = v.vec_id), best AS (SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 200) SELECT query, vec_id, round(0.35E0 * least(99.9E0, sim * 100) + 0.65E0 * score, 4) AS relevance FROM near JOIN best USING (label) QUALIFY row_number() OVER (PARTITION BY query ORDER BY relevance DESC, vec_id) <= 30", ENT))
 def search_clustered(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates scored anew with the nearness of their cluster in the place of the semantic factor."""
+    """The best entities of the clusters nearest each query, scored anew with the nearness of their cluster in the place of the semantic factor."""
     from pyspark.sql import Window
 
-    from lodestack.functions.vectors import cosine
-
     e = read(spark, d, "embeddings")
-    cents = S.centroids(e, "embedding", "label")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
-    sims = asked.crossJoin(F.broadcast(cents)).select("query", "label", cosine(F.col("centroid"), F.col("embedding")).alias("sim"))  # a row per cluster on the right
-    found = e.filter("vec_id % 3 = 0").select("vec_id", "label").join(sims, "label")
-    score = 0.35 * F.least(F.lit(99.9), F.col("sim") * 100) + 0.65 * (F.col("vec_id") * 7127 % 1000 / 10.0)
-    rows = found.select("query", "vec_id", F.round(score, 4).alias("relevance"))
+    members = e.select("vec_id", "label").join(entities(spark, d).select(F.col("k").alias("vec_id"), "score"), "vec_id")
+    found = S.cluster_candidates(members, "vec_id", "label", S.centroids(e, "embedding", "label"), asked, "embedding", "score")
+    rows = found.select("query", "vec_id", F.round(0.35 * F.least(F.lit(99.9), F.col("sim") * 100) + 0.65 * F.col("score"), 4).alias("relevance"))
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("relevance"), "vec_id"))).filter("rn <= 30").drop("rn")
 
 

@@ -142,10 +142,12 @@ def text_hosts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@register("text_json_repair", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+@register("text_json_repair", r"SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'C:\q\d' AS path FROM events")
 def text_json_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of a JSON text, after repair of its escapes."""
-    return read(spark, d, "events").select("event_id", F.get_json_object(X.repair_json(F.col("props")), "$.k").cast("long").alias("k"))
+    """Fields of a JSON text, after repair of its escapes; each text has two that JSON doesn't know."""
+    bad = F.concat(F.lit(r'{"path": "C:\q\d", '), F.substring("props", 2, 1 << 30))
+    fixed = X.repair_json(bad)
+    return read(spark, d, "events").select("event_id", F.get_json_object(fixed, "$.k").cast("long").alias("k"), F.get_json_object(fixed, "$.path").alias("path"))
 
 
 @register("text_citations", given("SELECT id, '@misc{' || regexp_replace(id, '[^A-Za-z0-9]+', '_', 'g') || ', title={' || name || '}, author={' || coalesce(author, 'Unknown') || '}, year={' || coalesce(CAST(year(last_modified) AS VARCHAR), 'n.d.') || '}, url={' || coalesce(source_url, '') || '}}' AS citation FROM ent WHERE type = 'paper'", ENT))
@@ -278,10 +280,10 @@ def vector_product_codes(spark: SparkSession, d: str) -> DataFrame:
     return ivf.indexed(spark, sinks.scratch(spark, "cells"), e, "vec_id", "embedding", _vector_queries(e), 20)
 
 
-_CENTRES = "x AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY label, pos), cen AS (SELECT label, list(x ORDER BY pos) AS e FROM m GROUP BY label), sim AS (SELECT q.vec_id AS query, cen.label, list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), cen.e) / (sqrt(list_sum(list_transform(cen.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS sim FROM embeddings q, cen WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, label) <= 3)"
+CENTRES = "x AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY label, pos), cen AS (SELECT label, list(x ORDER BY pos) AS e FROM m GROUP BY label), sim AS (SELECT q.vec_id AS query, cen.label, list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), cen.e) / (sqrt(list_sum(list_transform(cen.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS sim FROM embeddings q, cen WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, label) <= 3)"
 
 
-@register("vector_rerank", f"WITH {_CENTRES}, best AS (SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 200) SELECT query, vec_id, label, round(least(99.9E0, sim * 100), 4) AS s FROM near JOIN best USING (label)")
+@register("vector_rerank", f"WITH {CENTRES}, best AS (SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 200) SELECT query, vec_id, label, round(least(99.9E0, sim * 100), 4) AS s FROM near JOIN best USING (label)")
 def vector_rerank(spark: SparkSession, d: str) -> DataFrame:
     """V6, V7: members of the clusters nearest each query."""
     e = read(spark, d, "embeddings")
@@ -289,13 +291,14 @@ def vector_rerank(spark: SparkSession, d: str) -> DataFrame:
     return S.cluster_candidates(e.select("vec_id", "label"), "vec_id", "label", c, _vector_queries(e), "embedding", "vec_id").select("query", "vec_id", "label", F.round(F.least(F.lit(99.9), F.col("sim") * 100), 4).alias("s"))
 
 
-@register("vector_byte_rerank", f"WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(-128, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT query, vec_id, round(CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN list_dot_product(e, v) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))) ELSE -1 END, 6) AS similarity FROM q JOIN b ON b.vec_id % 10 = q.query // 50 % 10")
+@register("vector_byte_rerank", f"WITH {CENTRES}, best AS (SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 200), b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(-128, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT query, vec_id, round(CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN list_dot_product(q.e, v) / (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))) ELSE -1 END, 6) AS similarity FROM near JOIN best USING (label) JOIN b USING (vec_id) JOIN q USING (query)")
 def vector_byte_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """V9: candidates of each query scored by their vectors of signed bytes, which are stored as base64 text."""
+    """V9: members of the clusters nearest each query scored by their vectors of signed bytes, which are stored as base64 text."""
     e = read(spark, d, "embeddings")
     stored = e.select("vec_id", V.packed_bytes(F.col("embedding")).alias("text"))
-    asked = _vector_queries(e).withColumn("tail", F.expr("query div 50 % 10"))
-    pairs = stored.withColumn("tail", F.col("vec_id") % 10).join(asked, "tail")
+    c = S.centroids(e, "embedding", "label")
+    near = S.cluster_candidates(e.select("vec_id", "label"), "vec_id", "label", c, _vector_queries(e), "embedding", "vec_id").select("query", "vec_id")
+    pairs = near.join(stored, "vec_id").join(_vector_queries(e), "query")
     return pairs.select("query", "vec_id", F.round(V.byte_cosine(F.col("embedding"), F.col("text")), 6).alias("similarity"))
 
 
