@@ -15,6 +15,7 @@ themselves, and Latin letters tell one by their sequence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.textkit import arrow_map, blocks, held_out, lower_letters, mix, slices, table, utf8
+from lodestack.llm.textkit import BLOCK_BYTES, arrow_map, blocks, held_out, lower_letters, mix, slices, table, utf8
 
 ORDERS = (2, 3, 4)
 #: Bound of the training sample, in rows per language (in expectation).
@@ -63,6 +64,19 @@ def _within(off: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.where(np.arange(m) + n <= off[1:][row], row, -1) if m else row
 
 
+def _pieces(data: np.ndarray, off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(i, j, offsets, letters, starts) of blocks of rows [i, j). A row of over `limit` bytes comes in pieces that overlap by less than an
+    n-gram; those n-grams of a piece count that begin before `starts`, so each counts once and the work on a row takes bounded memory."""
+    for i, j in blocks(off, limit):
+        low = lower_letters(data[off[i] : off[j]])
+        if j - i > 1 or len(low) <= limit:
+            yield i, j, off[i : j + 1] - off[i], low, len(low)
+            continue
+        for s in range(0, len(low), limit):
+            part = low[s : s + limit + max(ORDERS) - 1]
+            yield i, j, np.array([0, len(part)]), part, limit if s + limit < len(low) else len(part)
+
+
 def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(lang, text): all training rows of a language that has up to `rows`, and of another one those whose hash falls in the
     fraction that makes up `rows` in expectation. Held-out rows, null languages and null texts never count."""
@@ -88,15 +102,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = 2e-5, slots_
                 seen = {}
             data, off = utf8(b.column("text"))
             langs = b.column("lang").to_pylist()
-            for i, j in blocks(off):
-                o = off[i : j + 1] - off[i]
-                low = lower_letters(data[off[i] : off[j]])
+            for i, j, o, low, starts in _pieces(data, off):
                 names = sorted(set(langs[i:j]))
                 own = np.array([names.index(x) for x in langs[i:j]])
                 for n in orders:
                     h, ok = _grams(low, n)
                     row = _within(o, n, len(low))
                     ok &= row >= 0
+                    ok[starts:] = False
                     for k in range(len(names)):
                         mine = h[ok & (own[np.maximum(row, 0)] == k)] if len(h) else h
                         keys, counts = np.unique(mine, return_counts=True)
@@ -135,15 +148,15 @@ def score_batch(model: Model, column: pa.Array, orders: tuple[int, ...] = ORDERS
     known, seen, ascii_letter = np.zeros((n_rows, n_langs)), np.zeros(n_rows), np.zeros(n_rows, bool)
     few = model.cells.dtype == np.uint8
     bits = (np.arange(256)[:, None] >> np.arange(n_langs)[None, :]) & 1 if few else None
-    for i, j in blocks(off):
-        o, rows = off[i : j + 1] - off[i], j - i
-        low = lower_letters(data[off[i] : off[j]])
+    for i, j, o, low, starts in _pieces(data, off):
+        rows = j - i
         letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122), dtype=np.int32)])
-        ascii_letter[i:j] = letters[o[1:]] > letters[o[:-1]]
+        ascii_letter[i:j] |= letters[o[1:]] > letters[o[:-1]]
         for n in orders:
             h, ok = _grams(low, n)
             row = _within(o, n, len(low))
             ok &= row >= 0
+            ok[starts:] = False
             h, row = h[ok], row[ok]
             if not len(h):
                 continue

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.textkit import arrow_map, blocks, held_out, lower_letters, mix, table, utf8, word_hashes
+from lodestack.llm.textkit import BLOCK_BYTES, arrow_map, blocks, held_out, lower_letters, mix, table, utf8, word_hashes
 
 #: Bound of the training sample, in rows per label.
 PER_CLASS = 4000
@@ -46,6 +46,38 @@ def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray,
     return np.concatenate(rows), (np.concatenate(feats) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def distinct_features(data: np.ndarray, off: np.ndarray, bits: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, j, both) of blocks of rows [i, j): the different pairs of a row of the block and a feature, as row << bits | feature, in order.
+
+    A row of over `limit` bytes is worked on in pieces that end between words and begin two words early, so that each pair and skip-pair lies whole in a
+    piece; only its features, 2**bits at most, are kept from one piece to the next."""
+    for i, j in blocks(off, limit):
+        own = data[off[i] : off[j]]
+        if j - i > 1 or len(own) <= limit:
+            row, feat = features(own, off[i : j + 1] - off[i], bits)
+            yield i, j, np.unique((row << bits) | feat)
+            continue
+        gaps = np.flatnonzero(lower_letters(own) == 32)
+        both, begin, end = np.zeros(0, np.int64), 0, 0
+        while end < len(own):
+            at = np.searchsorted(gaps, end + limit)
+            end = int(gaps[at]) + 1 if at < len(gaps) else len(own)
+            _, feat = features(own[begin:end], np.array([0, end - begin]), bits)
+            both = np.union1d(both, feat)
+            begin = _two_words_back(gaps, end)
+        yield i, j, both
+
+
+def _two_words_back(gaps: np.ndarray, end: int) -> int:
+    """Where the second last word before `end` begins, by the places between words."""
+    for _ in range(2):
+        at = int(np.searchsorted(gaps, end)) - 1
+        while at >= 0 and gaps[at] == end - 1:  # what stands between this word and the next
+            end, at = end - 1, at - 1
+        end = int(gaps[at]) + 1 if at >= 0 else 0
+    return end
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, bits: int) -> DataFrame:
     """(doc_id, features f, label y) of at most per_class rows of either label that are not held out.
 
@@ -58,9 +90,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, bits: int)
     def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = utf8(b.column("text"))
         y = b.column("y")
-        for i, j in blocks(off):
-            row, feat = features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits)
-            both = np.unique((row << bits) | feat)
+        for i, j, both in distinct_features(data, off, bits):
             starts = np.searchsorted(both >> bits, np.arange(j - i + 1))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array((both & ((1 << bits) - 1)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), lists, y.slice(i, j - i)], ["doc_id", "f", "y"])
@@ -117,10 +147,8 @@ def score_column(model: Weights, column: pa.Array) -> np.ndarray:
     data, off = utf8(column)
     bits = int(np.log2(len(model.w)))
     total = np.zeros(len(off) - 1)
-    for i, j in blocks(off):
-        row, feat = features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits)
-        on = model.w[feat] != 0
-        both = np.unique((row[on] << bits) | feat[on])
+    for i, j, both in distinct_features(data, off, bits):
+        both = both[model.w[both & ((1 << bits) - 1)] != 0]
         total[i:j] = np.bincount(both >> bits, weights=model.w[both & ((1 << bits) - 1)], minlength=j - i)
     return 1 / (1 + np.exp(-np.clip(total + model.bias, -60, 60)))
 
