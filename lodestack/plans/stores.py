@@ -15,6 +15,10 @@ from lodestack.sources.catalogue import entities, history, raw_records, read
 _KINDS = "CASE k % 5 WHEN 0 THEN '.parquet' WHEN 1 THEN '.json.zst' WHEN 2 THEN '.json.gz' WHEN 3 THEN '.json' ELSE '.tmp' END"
 
 
+#: Rows of a search shard, of a file of the registry, and lines of a sitemap.
+SHARD_ROWS, REGISTRY_ROWS, SITEMAP_LINES = 5000, 1000, 45_000
+
+
 @register("source_shards", given(f"f AS (SELECT 'base/part-' || CAST(k % 60 AS VARCHAR) || {_KINDS} AS path, k % 60 AS shard, k % 5 AS kind FROM ent) SELECT shard, arg_min(path, kind) AS path FROM f WHERE kind < 4 GROUP BY shard", ENT))
 def source_shards(spark: SparkSession, d: str) -> DataFrame:
     """Of the files of each shard the one of the best kind."""
@@ -102,23 +106,23 @@ def source_parse_report(spark: SparkSession, d: str) -> DataFrame:
     return readers.parse_report(lines, "value", "id string, likes long", "file")
 
 
-@register("sink_core_shards", given("SELECT rn // 500 AS shard, count(*) AS n, min(score) AS least, max(score) AS most FROM (SELECT score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rn FROM ent) GROUP BY 1", ENT))
+@register("sink_core_shards", given("SELECT rn // 5000 AS shard, count(*) AS n, min(score) AS least, max(score) AS most FROM (SELECT score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rn FROM ent) GROUP BY 1", ENT))
 def sink_core_shards(spark: SparkSession, d: str) -> DataFrame:
     """K7, L4: rows in the order of the score in numbered shards, with a manifest; the first shard is the core."""
     rows = sinks.numbered(entities(spark, d).select("id", "score"), [F.desc("score"), F.asc("id")])
     path = sinks.scratch(spark, "core")
-    rows.withColumn("shard", F.floor(F.col("row") / 500)).write.partitionBy("shard").mode("overwrite").parquet(path)
+    rows.withColumn("shard", F.floor(F.col("row") / SHARD_ROWS)).write.partitionBy("shard").mode("overwrite").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
-@register("sink_registry", given("SELECT count(*) AS n, CAST(NULL AS VARCHAR) AS body, CAST(ceil(count(*) / 100E0) AS BIGINT) <= count(*) AS small FROM ent", ENT))
+@register("sink_registry", given("SELECT id, likes, CAST(NULL AS VARCHAR) AS body, true AS small FROM ent", ENT))
 def sink_registry(spark: SparkSession, d: str) -> DataFrame:
-    """K9: a registry without its heavy columns, in files of at most a hundred rows."""
+    """K9: a registry without its heavy columns, in files of at most a thousand rows; here its rows as they are read back."""
     path = sinks.scratch(spark, "registry")
-    entities(spark, d).drop("description").write.option("maxRecordsPerFile", 100).mode("overwrite").json(path)
-    back = spark.read.schema("id string, description string").json(path)
-    files = back.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.max("description").alias("body"))
-    return files.agg(F.sum("n").alias("n"), F.max("body").alias("body"), (F.max("n") <= 100).alias("small"))
+    entities(spark, d).drop("description").write.option("maxRecordsPerFile", REGISTRY_ROWS).mode("overwrite").json(path)
+    back = spark.read.schema("id string, likes long, description string").json(path)
+    files = back.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).agg((F.max("n") <= REGISTRY_ROWS).alias("small"))
+    return back.select("id", "likes", F.col("description").alias("body")).crossJoin(F.broadcast(files))  # one row
 
 
 @register("sink_versions", given("SELECT 3 AS version, count(*) AS n FROM ent WHERE k % 4 = 0 UNION ALL SELECT 4, count(*) FROM ent UNION ALL SELECT 5, count(*) FROM ent WHERE k % 2 = 0", ENT))
@@ -132,15 +136,15 @@ def sink_versions(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.regexp_replace("epoch", "^e", "").cast("int").alias("version")).agg(F.count("*").alias("n"))
 
 
-@register("sink_sitemap", given("SELECT count(*) AS urls, CAST(ceil(count(*) / 40E0) AS BIGINT) <= count(*) AS split, min(priority) AS least FROM (SELECT source_url, max(CASE WHEN score >= 80 THEN '0.9' ELSE '0.5' END) AS priority FROM ent WHERE source_url IS NOT NULL GROUP BY source_url)", ENT))
+@register("sink_sitemap", given("SELECT source_url AS loc, max(CASE WHEN score >= 80 THEN '0.9' ELSE '0.5' END) AS priority, true AS split FROM ent WHERE source_url IS NOT NULL GROUP BY source_url", ENT))
 def sink_sitemap(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses, each once, in files of a fixed number of lines, with an index of the files."""
+    """Addresses, each once, in files of at most 45,000 lines, with an index of the files; here the lines as they are read back."""
     e = entities(spark, d).filter("source_url IS NOT NULL").groupBy("source_url").agg(F.max(F.when(F.col("score") >= 80, "0.9").otherwise("0.5")).alias("priority"))
     lines = e.select(F.concat(F.lit("<url><loc>"), "source_url", F.lit("</loc><priority>"), "priority", F.lit("</priority></url>")).alias("value"))
     path = sinks.scratch(spark, "sitemap")
-    index = sinks.write_in_files(lines, path, 40)
-    least = spark.read.text(path).agg(F.min(F.regexp_extract("value", "<priority>(.*)</priority>", 1)).alias("least"))
-    return index.agg(F.sum("rows").alias("urls"), (F.max("rows") <= 40).alias("split")).crossJoin(F.broadcast(least))  # a row each
+    index = sinks.write_in_files(lines, path, SITEMAP_LINES).agg((F.max("rows") <= SITEMAP_LINES).alias("split"))
+    part = lambda tag: F.regexp_extract("value", f"<{tag}>(.*)</{tag}>", 1)
+    return spark.read.text(path).select(part("loc").alias("loc"), part("priority").alias("priority")).crossJoin(F.broadcast(index))  # one row
 
 
 @register("sink_items", given("SELECT '<item><title>' || replace(replace(name, '&', '&amp;'), '<', '&lt;') || '</title><link>' || coalesce(source_url, '') || '</link><pubDate>' || strftime(last_modified, '%Y-%m-%d') || 'T00:00:00Z</pubDate></item>' AS item FROM ent WHERE last_modified IS NOT NULL ORDER BY last_modified DESC, id LIMIT 50", ENT))

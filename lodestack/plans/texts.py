@@ -53,10 +53,12 @@ def filter_qualified(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).filter((F.col("type") != "model") | F.col("params_billions").isNotNull() | F.arrays_overlap("tags", F.array(F.lit("llama3"), F.lit("bert")))).select("id")
 
 
-@register("filter_sitemap", given("SELECT id FROM ent WHERE length(description) + length(name) > 70 OR score >= 20 OR type = 'paper'", ENT))
+@register("filter_sitemap", given("SELECT id FROM ent LEFT JOIN documents ON doc_id = k WHERE length(coalesce(text, '')) + length(coalesce(description, '')) > 3600 OR score >= 20 OR type = 'paper'", ENT))
 def filter_sitemap(spark: SparkSession, d: str) -> DataFrame:
-    """what is listed."""
-    return entities(spark, d).filter((F.length("description") + F.length("name") > 70) | (F.col("score") >= 20) | (F.col("type") == "paper")).select("id")
+    """what is listed: long texts, good scores, papers."""
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.length("text").alias("size"))
+    size = F.coalesce("size", F.lit(0)) + F.coalesce(F.length("description"), F.lit(0))
+    return entities(spark, d).join(texts, "k", "left").filter((size > 3600) | (F.col("score") >= 20) | (F.col("type") == "paper")).select("id")
 
 
 @register("filter_content_status", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(?:scum|trash)\\b') THEN 'blocked' WHEN regexp_matches(lower(text), '\\b(?:clown|loser)\\b') THEN 'pending' ELSE 'approved' END AS status FROM documents")
@@ -340,10 +342,10 @@ def sink_ndjson(spark: SparkSession, d: str) -> DataFrame:
     return good.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("likes").alias("likes"))
 
 
-@register("sink_search_pages", given("SELECT CAST(floor((row_number() OVER (PARTITION BY type ORDER BY score DESC, id) - 1) / 500) AS INT) AS page, type, id FROM ent", ENT))
+@register("sink_search_pages", given("SELECT CAST(floor((row_number() OVER (PARTITION BY type ORDER BY score DESC, id) - 1) / 5000) AS INT) AS page, type, id FROM ent", ENT))
 def sink_search_pages(spark: SparkSession, d: str) -> DataFrame:
     """Rows in numbered files of a fixed size."""
-    return sinks.numbered_pages(entities(spark, d), ["type"], [F.desc("score"), F.asc("id")], 500).select("page", "type", "id")
+    return sinks.numbered_pages(entities(spark, d), ["type"], [F.desc("score"), F.asc("id")], 5000).select("page", "type", "id")
 
 
 @register("sink_feed", given("SELECT id, last_modified, row_number() OVER (ORDER BY last_modified DESC NULLS LAST, id) AS rn FROM ent ORDER BY rn LIMIT 50", ENT))

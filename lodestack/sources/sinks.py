@@ -67,7 +67,11 @@ def read_ndjson(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def numbered_pages(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
-    return df.withColumn("page", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size).cast("int"))
+    """df with `page`, the number of a row's page of `size` rows within its group; groups are numbered by ranges, so a large one is no single task's."""
+    rows = numbered(df, [*(F.asc(g) for g in group), *order], "_row")
+    starts = rows.groupBy(*group).agg(F.min("_row").alias("_start")).select(*(F.col(g).alias(f"_of_{g}") for g in group), "_start")
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    return rows.join(starts, same).withColumn("page", F.floor((F.col("_row") - F.col("_start")) / size).cast("int")).select(*df.columns, "page")
 
 
 def rss_items(df: DataFrame, title: str, link: str, stamp: str) -> DataFrame:
