@@ -119,3 +119,25 @@ def harvested(url: str, derived: str) -> Column:
 def concept_stub(id: str) -> Column:
     """Ids of concepts and articles, which stand for no entity."""
     return F.col(id).rlike("^(?:knowledge|concept|kb|k)--")
+
+
+def qualified(id: Column, architecture: Column, params: Column, safetensors: Column, gguf: Column) -> Column:
+    """Whether an entity is ranked as a model: records of code hosts need an architecture, a size or weights; those of other sources pass."""
+    repository = id.startswith("gh-") | id.startswith("github-")
+    signal = (F.length(F.coalesce(architecture, F.lit(""))) > 0) | (F.coalesce(params, F.lit(0)) > 0) | F.coalesce(safetensors, F.lit(False)) | F.coalesce(gguf, F.lit(False))
+    return ~F.coalesce(repository, F.lit(False)) | signal
+
+
+def of_page(size: str | None = None, gguf: bool = False, license: str | None = None) -> Column:
+    """The choice of a category page over params_billions, tags, library_name and license: small is under 7 (unknown sizes, too), medium 7 to 13,
+    any other size over 70; licences are commercial or else open, by words in them."""
+    out, params = F.lit(True), F.coalesce("params_billions", F.lit(0))
+    if size:
+        out &= params < 7 if size == "small" else params.between(7, 13) if size == "medium" else params > 70
+    if gguf:
+        out &= F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.contains(F.lower(t), F.lit("gguf"))) | (F.coalesce("library_name", F.lit("")) == "gguf")
+    if license:
+        words = ["mit", "apache"] if license == "commercial" else ["mit", "gpl"]
+        low = F.lower(F.coalesce("license", F.lit("")))
+        out &= F.contains(low, F.lit(words[0])) | F.contains(low, F.lit(words[1]))
+    return out

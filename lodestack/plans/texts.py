@@ -47,10 +47,22 @@ def filter_valid_ids(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).filter(~F.col("type").isin("space") & ~F.col("id").startswith("gh-") & F.col("id").rlike("^[a-z0-9]+-[a-z]+--[a-z0-9.-]+$")).select("id")
 
 
-@register("filter_qualified", given("SELECT id FROM ent WHERE type <> 'model' OR params_billions IS NOT NULL OR list_has_any(tags, ['llama3', 'bert'])", ENT))
+@register("filter_qualified", given("SELECT id FROM ent WHERE NOT (id LIKE 'gh-%' OR id LIKE 'github-%') OR k % 13 = 0 OR params_billions > 0 OR k % 7 = 0 OR has_gguf", ENT))
 def filter_qualified(spark: SparkSession, d: str) -> DataFrame:
-    """models need parameters or a known architecture."""
-    return entities(spark, d).filter((F.col("type") != "model") | F.col("params_billions").isNotNull() | F.arrays_overlap("tags", F.array(F.lit("llama3"), F.lit("bert")))).select("id")
+    """records of code hosts need a sign of a model; others pass."""
+    k = F.col("k")
+    return entities(spark, d).filter(Q.qualified(F.col("id"), F.when(k % 13 == 0, "llama").otherwise(""), F.col("params_billions"), F.when(k % 7 == 0, True), F.col("has_gguf"))).select("id")
+
+
+_PAGES = {"small": ("small", False, None), "medium": ("medium", False, None), "large": ("large", False, None), "gguf": (None, True, None), "commercial": (None, False, "commercial"), "open_small_gguf": ("small", True, "open")}
+
+
+@register("filter_category_page", given("m AS (SELECT id, coalesce(params_billions, 0) AS p, k % 9 = 0 OR k % 11 = 0 AS g, lower(coalesce(license, '')) AS l FROM ent WHERE type = 'model') SELECT id, p < 7 AS small, p BETWEEN 7 AND 13 AS medium, p > 70 AS large, g AS gguf, contains(l, 'mit') OR contains(l, 'apache') AS commercial, p < 7 AND g AND (contains(l, 'mit') OR contains(l, 'gpl')) AS open_small_gguf FROM m", ENT))
+def filter_category_page(spark: SparkSession, d: str) -> DataFrame:
+    """the choices of a category page: size, weights in one file, licence."""
+    k = F.col("k")
+    m = entities(spark, d).filter("type = 'model'").withColumns({"tags": F.when(k % 9 == 0, F.array_append("tags", F.lit("GGUF-q4"))).otherwise(F.col("tags")), "library_name": F.when(k % 11 == 0, "gguf")})
+    return m.select("id", *(Q.of_page(*choice).alias(name) for name, choice in _PAGES.items()))
 
 
 @register("filter_sitemap", given("SELECT id FROM ent LEFT JOIN documents ON doc_id = k WHERE length(coalesce(text, '')) + length(coalesce(description, '')) > 3600 OR score >= 20 OR type = 'paper'", ENT))
