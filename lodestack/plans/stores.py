@@ -136,6 +136,22 @@ def sink_versions(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.regexp_replace("epoch", "^e", "").cast("int").alias("version")).agg(F.count("*").alias("n"))
 
 
+@register("sink_copy_on_write", given("v AS (SELECT 1 AS version, id, score FROM ent WHERE k % 3 < 2 UNION ALL SELECT 2, id, CASE WHEN k % 100 = 7 THEN score + 1 ELSE score END FROM ent WHERE k % 3 < 2 OR k % 100 = 7) SELECT version, count(*) AS n, round(sum(score), 3) AS total, version = 2 AS shares FROM v GROUP BY version", ENT))
+def sink_copy_on_write(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of a hundredth merged into a table; the version before stays readable, and shares the buckets that haven't changed."""
+    from lodestack.sources import versions
+
+    path, e = sinks.scratch(spark, "table"), entities(spark, d)
+    versions.upsert(e.filter("k % 3 < 2").select("id", "score"), path, "id")
+    versions.upsert(e.filter("k % 100 = 7").select("id", (F.col("score") + 1).alias("score")), path, "id")
+    out = None
+    for v in (1, 2):
+        entries = versions.manifest(spark, path, v).agg((F.min("version") < v).alias("shares"))
+        one = versions.read(spark, path, v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total")).crossJoin(F.broadcast(entries))  # a row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("sink_sitemap", given("SELECT source_url AS loc, max(CASE WHEN score >= 80 THEN '0.9' ELSE '0.5' END) AS priority, true AS split FROM ent WHERE source_url IS NOT NULL GROUP BY source_url", ENT))
 def sink_sitemap(spark: SparkSession, d: str) -> DataFrame:
     """Addresses, each once, in files of at most 45,000 lines, with an index of the files; here the lines as they are read back."""

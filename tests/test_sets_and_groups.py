@@ -72,3 +72,23 @@ def test_digests_merge_and_lead_to_what_differs(spark):
     assert not same and compared == [1] and digests.difference(a, a, "v").isEmpty()
     none = a.limit(0)
     assert digests.set_digest(none, "v").first()["n"] == 0 and digests.difference(none, none, "v").isEmpty()
+
+
+def test_versions_share_what_has_not_changed(spark, tmp_path):
+    from lodestack.sources import versions
+
+    path = str(tmp_path / "t")
+    full = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("x"))
+    assert versions.upsert(full, path, "key", 64) == 1 and versions.upsert(full.repartition(3), path, "key", 64) == 1
+    one = versions.read(spark, path)
+    batch = full.filter("x < 3").withColumn("x", F.col("x") + 10_000).unionByName(spark.createDataFrame([("new", 7)], "key string, x long"))
+    assert versions.upsert(batch, path, "key", 64) == 2
+    entries = {r["bucket"]: r["version"] for r in versions.manifest(spark, path).collect()}
+    assert 1 <= sum(v == 2 for v in entries.values()) <= 4 and sum(v == 1 for v in entries.values()) >= 60
+    got = {r["key"]: r["x"] for r in versions.read(spark, path).collect()}
+    assert got == {f"k{i}": i + (10_000 if i < 3 else 0) for i in range(5000)} | {"new": 7}
+    assert {r["key"]: r["x"] for r in one.collect()} == {f"k{i}": i for i in range(5000)}
+    versions.upsert(batch.withColumn("x", F.lit(0).cast("long")), path, "key", 64)
+    assert versions.prune(spark, path, 2) == [1] and versions.read(spark, path, 2).count() == 5001
+    with pytest.raises(ValueError, match="no version"):
+        versions.read(spark, path, 1)
