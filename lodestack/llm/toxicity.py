@@ -46,8 +46,9 @@ def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray,
     return np.concatenate(rows), (np.concatenate(feats) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def distinct_features(data: np.ndarray, off: np.ndarray, bits: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(i, j, both) of blocks of rows [i, j): the different pairs of a row of the block and a feature, as row << bits | feature, in order.
+def distinct_features(data: np.ndarray, off: np.ndarray, bits: int, limit: int = BLOCK_BYTES, on: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, j, both) of blocks of rows [i, j): the different pairs of a row of the block and a feature, as row << bits | feature, in order; of
+    the features that are `on` where that is given.
 
     A row of over `limit` bytes is worked on in pieces that end between words and begin two words early, so that each pair and skip-pair lies whole in a
     piece; only its features, 2**bits at most, are kept from one piece to the next."""
@@ -55,6 +56,9 @@ def distinct_features(data: np.ndarray, off: np.ndarray, bits: int, limit: int =
         own = data[off[i] : off[j]]
         if j - i > 1 or len(own) <= limit:
             row, feat = features(own, off[i : j + 1] - off[i], bits)
+            if on is not None:
+                few = on[feat]
+                row, feat = row[few], feat[few]
             yield i, j, np.unique((row << bits) | feat)
             continue
         gaps = np.flatnonzero(lower_letters(own) == 32)
@@ -63,7 +67,7 @@ def distinct_features(data: np.ndarray, off: np.ndarray, bits: int, limit: int =
             at = np.searchsorted(gaps, end + limit)
             end = int(gaps[at]) + 1 if at < len(gaps) else len(own)
             _, feat = features(own[begin:end], np.array([0, end - begin]), bits)
-            both = np.union1d(both, feat)
+            both = np.union1d(both, feat if on is None else feat[on[feat]])
             begin = _two_words_back(gaps, end)
         yield i, j, both
 
@@ -147,8 +151,7 @@ def score_column(model: Weights, column: pa.Array) -> np.ndarray:
     data, off = utf8(column)
     bits = int(np.log2(len(model.w)))
     total = np.zeros(len(off) - 1)
-    for i, j, both in distinct_features(data, off, bits):
-        both = both[model.w[both & ((1 << bits) - 1)] != 0]
+    for i, j, both in distinct_features(data, off, bits, on=model.w != 0):
         total[i:j] = np.bincount(both >> bits, weights=model.w[both & ((1 << bits) - 1)], minlength=j - i)
     return 1 / (1 + np.exp(-np.clip(total + model.bias, -60, 60)))
 

@@ -28,6 +28,9 @@ def test_features_of_pieces_are_those_of_the_whole():
         data, off = raw("short one", text, "", "another short")
         whole = {(i + int(b >> 12), int(b & 4095)) for i, _, both in toxicity.distinct_features(data, off, 12, 1 << 30) for b in both}
         cut = {(i + int(b >> 12), int(b & 4095)) for i, _, both in toxicity.distinct_features(data, off, 12, 97) for b in both}
+        on = np.arange(4096) % 3 == 0
+        some = {(i + int(b >> 12), int(b & 4095)) for i, _, both in toxicity.distinct_features(data, off, 12, 97, on) for b in both}
+        assert some == {(r, f) for r, f in whole if on[f]}
         assert cut == whole and all((np.diff(both) > 0).all() for _, _, both in toxicity.distinct_features(data, off, 12, 97))
 
 
