@@ -134,6 +134,23 @@ def bibtex(id: Column, title: Column, author: Column, year: Column, url: Column)
     return F.when(~poor, entry)
 
 
+def citation(id: Column, title: Column, ids: Sequence[Column], author: Column, year: Column, url: Column, own_site: str | None = None, note: str | None = None) -> Column:
+    """A citation entry of what is known and nothing else; null for a title that is missing, a placeholder, a hash, or one of the ids.
+
+    Years from 1991 to 2099 count, and addresses of other sites than own_site."""
+    name, place, who = F.trim(title), F.trim(url), F.trim(author)
+    poor = F.coalesce(name == "", F.lit(True)) | name.rlike(r"(?i)^(unknown|untitled|n/?a|none|null|undefined|[0-9a-f]{16,})$")
+    for other in ids:
+        poor = poor | F.coalesce(name == F.trim(other), F.lit(False))
+    outside = place.rlike("(?i)^https?://") if own_site is None else place.rlike("(?i)^https?://") & ~F.contains(F.lower(place), F.lit(own_site.lower()))
+    key = F.substring(F.regexp_replace(F.coalesce(F.nullif(F.trim(id), F.lit("")), name), "[^a-zA-Z0-9]", "_"), 1, 40)
+    field = lambda label, value: F.concat(F.lit(label + "={"), value, F.lit("}"))
+    fields = [field("title", name), F.when(who != "", field("author", who)), F.when((year > 1990) & (year < 2100) & (year == F.floor(year)), field("year", year.cast("int").cast("string"))), F.when(outside, field("url", place))]
+    if note is not None:
+        fields.append(field("note", F.lit(note)))
+    return F.when(~poor, F.concat(F.lit("@misc{"), key, F.lit(","), F.concat_ws(",", *fields), F.lit("}")))
+
+
 def status_class(status: Column) -> Column:
     return F.when(status < 400, "ok").when(status < 500, "client_error").otherwise("server_error")
 

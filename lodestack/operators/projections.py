@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions import metadata as M
 
@@ -18,8 +19,18 @@ TEXTS = {
 NUMBERS = {"downloads": (["downloads"], 0.0), "likes": (["likes"], 0.0), "citations": (["citations"], 0.0), "fni_score": (["fni_score", "fni"], 0.0)}
 #: The columns that relations are read from.
 RELATION_FIELDS = ["tags", "velocity", "base_model", "datasets", "arxiv_refs", "models_used", "sdk", "implementations", "dependencies", "features", "knowledge_tags", "benchmarks", "source_url"]
-#: The columns that a merged record keeps beside those of the slim one.
-KEPT = ["body_content", "params_billions", "context_length", "license_spdx", "meta", "readme", "has_ollama", "has_gguf", "source_url"]
+# The columns that a merged record keeps beside those of the slim one, where a source has them.
+KEPT = [
+    "body_content", "has_fulltext", "relations", "category", "summary", "params_billions", "architecture", "context_length",
+    "is_trending", "trend_7d", "_trend_7d", "source_url", "image_url", "raw_image_url", "canonical_url", "vram_estimate_gb",
+    "vram_fp16_gb", "vram_int8_gb", "vram_int4_gb", "task_categories", "num_rows", "primary_language", "forks", "citation_count",
+    "runtime_hardware", "vocab_size", "num_layers", "hidden_size", "datasets_used", "quick_start", "citation", "has_ollama",
+    "has_gguf", "ollama_compatible", "can_run_local", "hosted_on", "hosted_on_checked_at", "ui_related_mesh", "search_vector",
+    "meta_json", "meta", "fni_metrics", "license_spdx", "source_platform", "benchmarks", "paper_abstract", "mesh_profile",
+    "changelog", "quick_insights", "use_cases", "quantization", "html_readme", "created_at", "display_description", "readme",
+    "base_model", "gguf_variants", "raw_pop", "num_heads", "kv_heads", "moe_experts", "moe_active", "sdk", "running_status",
+    "size_category", "files_count", "modality", "published_year", "published_date",
+]
 #: Where a fact may stand in the JSON text of a record, in order of preference.
 PROMOTED = {
     "num_rows": ["$.rows_count"], "hidden_size": ["$.hidden_size", "$.config.hidden_size", "$.config.n_embd", "$.config.d_model", "$.config.dim"],
@@ -79,46 +90,80 @@ def number(column: Column, default: float | None = 0.0) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column as text: lists joined, structures as JSON; null if df doesn't have it."""
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.ArrayType):
+        plain = not isinstance(kind.elementType, (T.ArrayType, T.StructType, T.MapType))
+        return F.array_join(F.col(name).cast("array<string>"), ", ") if plain else F.to_json(name)
+    return F.to_json(name) if isinstance(kind, (T.StructType, T.MapType)) else F.col(name).cast("string")
+
+
+def first_text(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that is a text of one character or more; null if none is."""
+    return F.coalesce(*(F.nullif(as_text(df, n), F.lit("")) for n in names))
+
+
+def flag(df: DataFrame, name: str) -> Column:
+    """Whether a column holds true, a number other than 0, or a text."""
+    if name not in df.columns:
+        return F.lit(False)
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(F.col(name), F.lit(False))
+    return F.coalesce(F.col(name) != ("" if isinstance(kind, T.StringType) else 0), F.lit(False))
+
+
 def table_row(df: DataFrame) -> DataFrame:
-    """A row of the analytical mirror: texts never null, lists joined, numbers never null, the semantic factor 50 where it isn't known."""
-    text = lambda names, default="": F.coalesce(first_of(df, names, default).cast("string"), F.lit(""))
-    return df.select(
-        text(["id", "slug"]).alias("id"),
-        text(["umid", "id"]).alias("umid"),
-        text(["name", "display_name"]).alias("name"),
-        text(["type", "entity_type"], "model").alias("type"),
-        text(["author"]).alias("author"),
-        F.coalesce(F.array_join("tags", ", "), F.lit("")).alias("tags"),
-        number(first_of(df, ["fni_score", "fni"])).alias("fni_score"),
-        number(first_of(df, ["fni_s"]), 50.0).alias("fni_s"),
-        number(first_of(df, ["fni_a"])).alias("fni_a"),
-        number(first_of(df, ["downloads"])).alias("downloads"),
-        number(first_of(df, ["stars", "likes"])).alias("stars"),
-        number(first_of(df, ["params_billions"])).alias("params_billions"),
-        text(["license", "license_spdx"]).alias("license"),
-        text(["source", "source_platform"]).alias("source"),
-        text(["last_modified", "updated_at"]).alias("last_modified"),
-    )
-
-
-def served_row(df: DataFrame) -> DataFrame:
-    """A row of the served table: what wasn't measured stays null, long lists are cut to 500 characters, flags are derived."""
-    local = F.coalesce(F.col("has_ollama") | F.col("has_gguf"), F.lit(False))
-    licence = first_of(df, ["license", "license_spdx"])
-    small = F.col("params_billions").isNull() | (F.col("params_billions") <= 13)
-    return df.select(
-        "id",
-        F.coalesce("umid", "id").alias("umid"),
-        F.substring(F.array_join("tags", ", "), 1, 500).alias("tags"),
-        number(F.col("fni_score")).alias("fni_score"),
-        number(F.nullif("params_billions", F.lit(0.0)), None).alias("params_billions"),
-        number(F.col("context_length"), None).alias("context_length"),
-        number(F.col("stars"), None).alias("stars"),
-        F.nullif(first_of(df, ["source_url"]), F.lit("")).alias("source_url"),
-        M.license_class(licence).alias("license_type"),
-        local.cast("int").alias("ollama_compatible"),
-        (local & small).cast("int").alias("can_run_local"),
-    )
+    """A row of the analytical mirror, 23 columns: texts never null, lists joined, numbers never null, the semantic factor 50 where it
+    isn't known."""
+    text = lambda *names, default="": F.coalesce(first_text(df, *names), F.lit(default))
+    count = lambda *names: number(first_of(df, names))
+    texts = {"id": text("id", "slug"), "umid": text("umid", "id"), "name": text("name", "display_name"), "type": text("type", "entity_type", default="model"), "author": text("author"), "category": text("category"), "tags": text("tags")}
+    factors = {"fni_score": count("fni_score", "fni"), "fni_s": number(first_of(df, ["fni_s"]), 50.0), **{f: count(f) for f in ("fni_a", "fni_p", "fni_r", "fni_q")}}
+    counts = {"downloads": count("downloads").cast("long"), "stars": count("stars", "likes").cast("int"), "params_billions": count("params_billions", "params"), "context_length": count("context_length").cast("long")}
+    rest = {"license": text("license", "license_spdx"), "pipeline_tag": text("pipeline_tag", "task"), "source": text("source", "source_platform"), "primary_language": text("primary_language"), "last_modified": text("last_modified", "updated_at"), "is_trending": flag(df, "is_trending")}
+    return df.select(*(c.alias(n) for n, c in (texts | factors | counts | rest).items()))
+
+
+#: Characters of a text of a served row; of its instructions.
+LONG, INSTRUCTIONS = 500, 1000
+
+
+def datasets_json(df: DataFrame) -> Column:
+    """The data sets of a record, a list or a text with commas, as a JSON list in lower case."""
+    if "datasets_used" not in df.columns:
+        return F.lit("[]")
+    c = F.col("datasets_used")
+    if not isinstance(df.schema["datasets_used"].dataType, T.ArrayType):
+        c = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.to_json(F.transform(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")), F.lower))
+
+
+def served_row(df: DataFrame, own_site: str | None = None, note: str | None = None) -> DataFrame:
+    """A row of the served table, 71 columns in its order.
+
+    Three kinds: texts that are empty where nothing is known; counts that were not measured, and facts of the last group, null; scores
+    0. Long texts are cut, flags and citation are derived (own_site and note as in metadata.citation). Heavy HTML stays in the bundle."""
+    text = lambda *names, default="": F.coalesce(first_text(df, *names), F.lit(default))
+    measured = lambda name: number(F.nullif(as_text(df, name), F.lit("")), None)
+    score = lambda name: number(as_text(df, name))
+    factor = lambda f: F.coalesce(number(as_text(df, f"fni_{f}"), None), F.get_json_object(as_text(df, "fni_metrics"), f"$.{f}").try_cast("double"), F.lit(0.0))
+    cut = lambda c, n=LONG: F.substring(c, 1, n)
+    local = flag(df, "has_ollama") | flag(df, "has_gguf")
+    params = F.nullif(measured("params_billions"), F.lit(0.0))
+    benchmarks = first_text(df, "benchmarks") if not isinstance(df.schema["benchmarks"].dataType if "benchmarks" in df.columns else None, T.ArrayType) else F.to_json("benchmarks")
+    year = F.coalesce(measured("published_year"), F.year(F.try_to_timestamp(F.coalesce(F.get_json_object(as_text(df, "meta"), "$.published_date"), as_text(df, "published_date")))).cast("double"))
+    cited = M.citation(first_text(df, "id"), first_text(df, "name", "title", "display_name"), [as_text(df, c) for c in ("id", "slug", "umid")], first_text(df, "author"), year, first_text(df, "source_url"), own_site, note)
+    who = {"id": text("id"), "umid": text("umid", "id"), "slug": text("slug"), "name": text("name", "display_name"), "type": text("type", default="model"), "author": text("author"), "summary": description(df), "category": text("category", "primary_category"), "tags": cut(text("tags"))}
+    ranked = {"fni_score": score("fni_score"), "fni_percentile": text("fni_percentile"), **{f"fni_{f}": factor(f) for f in "saprq"}, "raw_pop": score("raw_pop"), "params_billions": params, "architecture": text("architecture"), "context_length": measured("context_length"), "is_trending": flag(df, "is_trending").cast("int"), "stars": measured("stars"), "downloads": measured("downloads"), "last_modified": text("last_modified")}
+    stored = {"bundle_key": text("bundle_key"), "bundle_offset": score("bundle_offset").cast("long"), "bundle_size": score("bundle_size").cast("long"), "trend_7d": text("_trend_7d", "trend_7d"), "license": text("license", "license_spdx"), "source_url": text("source_url"), "pipeline_tag": text("pipeline_tag"), "image_url": text("raw_image_url", "image_url"), "vram_estimate_gb": measured("vram_estimate_gb"), "source": text("source", "source_platform")}
+    facts = {"task_categories": cut(text("task_categories")), "num_rows": measured("num_rows"), "primary_language": text("primary_language"), "forks": measured("forks"), "citation_count": measured("citation_count"), "runtime_hardware": text("runtime_hardware"), **{c: measured(c) for c in ("vocab_size", "num_layers", "hidden_size")}, "datasets_used": cut(datasets_json(df)), "quick_start": cut(text("quick_start"), INSTRUCTIONS), **{c: measured(c) for c in ("vram_fp16_gb", "vram_int8_gb", "vram_int4_gb")}}
+    served = {"readme_html": F.lit(""), "ui_related_mesh": text("ui_related_mesh"), "search_vector": text("search_vector"), "canonical_url": text("canonical_url"), "citation": cut(cited), "has_fulltext": flag(df, "has_fulltext").cast("int"), "ollama_compatible": local.cast("int"), "hosted_on": text("hosted_on", default="[]"), "license_type": M.license_class(first_text(df, "license", "license_spdx")), "can_run_local": (local & (params.isNull() | (params <= 13))).cast("int"), "hosted_on_checked_at": text("hosted_on_checked_at"), "benchmarks": benchmarks}
+    hot = {**{c: measured(c) for c in ("num_heads", "kv_heads", "moe_experts", "moe_active")}, **{c: first_text(df, c) for c in ("sdk", "running_status", "size_category")}, "files_count": measured("files_count"), "modality": first_text(df, "modality"), "published_year": measured("published_year"), "primary_category": first_text(df, "primary_category")}
+    return df.select(*(c.alias(n) for n, c in (who | ranked | stored | facts | served | hot).items()))
 
 
 def bundle(df: DataFrame, body: int = 2048) -> DataFrame:

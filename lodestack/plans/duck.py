@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from lodestack.functions import text as X
-from lodestack.sources.catalogue import ENTITY_COLUMNS, HISTORY_SQL, RAW_COLUMNS, RELATION_COLUMNS, TAGS
+from lodestack.sources.catalogue import ADDED_COLUMNS, ENTITY_COLUMNS, HISTORY_SQL, RAW_COLUMNS, RELATION_COLUMNS, TAGS
 
 ENT = "ent AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in ENTITY_COLUMNS.items()) + f", [{', '.join(TAGS)}] AS tags FROM part)"
 RAW = "raw AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RAW_COLUMNS.items()) + ", tags FROM ent)"
+FULL = "full_records AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in ADDED_COLUMNS.items()) + " FROM raw)"
 REL = "rel AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RELATION_COLUMNS.items()) + " FROM lineitem)"
 HIST = f"hist AS ({HISTORY_SQL})"
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lodestack.functions import metadata as M
 from lodestack.operators import projections as P
 from lodestack.operators import rank as R
-from lodestack.plans.duck import ENT, RAW, given
+from lodestack.plans.duck import ENT, FULL, RAW, given
 from lodestack.plans.registry import register
-from lodestack.sources.catalogue import entities, raw_records
+from lodestack.sources.catalogue import entities, full_records, raw_records
 
 _TEXT = {c: f"coalesce({', '.join(names)}, '{default}')" for c, (names, default) in P.TEXTS.items()}
 _NUM = {c: f"CAST(coalesce({', '.join(names)}, 0) AS DOUBLE)" for c, (names, _) in P.NUMBERS.items()}
@@ -33,10 +33,14 @@ def project_relations(spark: SparkSession, d: str) -> DataFrame:
     return P.for_relations(raw_records(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
 
-@register("project_fusion", given(f"SELECT {_SLIM}, body_content, params_billions, context_length, license_spdx, meta, readme, has_ollama, has_gguf, source_url FROM raw", ENT, RAW))
+# The columns of the record that are kept as they are; those that the tables lack are left out.
+_KEPT = ["body_content", "has_fulltext", "category", "summary", "params_billions", "architecture", "context_length", "is_trending", "trend_7d", "source_url", "image_url", "raw_image_url", "canonical_url", "vram_estimate_gb", "vram_fp16_gb", "vram_int8_gb", "vram_int4_gb", "task_categories", "num_rows", "primary_language", "forks", "citation_count", "runtime_hardware", "vocab_size", "num_layers", "hidden_size", "datasets_used", "quick_start", "has_ollama", "has_gguf", "hosted_on", "hosted_on_checked_at", "ui_related_mesh", "search_vector", "meta", "fni_metrics", "license_spdx", "source_platform", "benchmarks", "created_at", "readme", "base_model", "gguf_variants", "raw_pop", "num_heads", "kv_heads", "moe_experts", "moe_active", "sdk", "running_status", "size_category", "files_count", "modality", "published_year", "published_date"]
+
+
+@register("project_fusion", given(f"SELECT {_SLIM}, {', '.join(_KEPT)} FROM full_records", ENT, RAW, FULL))
 def project_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """The slim record with what later steps fall back on."""
-    return P.for_merging(raw_records(spark, d)).withColumn("tags", F.array_join("tags", ","))
+    """The slim record with all that later steps fall back on."""
+    return P.for_merging(full_records(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
 
 @register("project_descriptions", given(f"SELECT id, {_DESCRIPTION} AS description FROM raw", ENT, RAW))
@@ -56,19 +60,38 @@ def project_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return raw_records(spark, d).filter("k % 2 = 0").select(*_ARTIFACT)
 
 
-@register("project_mirror_rows", given("SELECT id, coalesce(umid, id) AS umid, coalesce(name, display_name, '') AS name, coalesce(type, entity_type, 'model') AS type, coalesce(author, '') AS author, array_to_string(tags, ', ') AS tags, CAST(coalesce(fni_score, fni, 0) AS DOUBLE) AS fni_score, 50E0 AS fni_s, coalesce(fni_a, 0E0) AS fni_a, CAST(coalesce(downloads, 0) AS DOUBLE) AS downloads, CAST(coalesce(stars, likes, 0) AS DOUBLE) AS stars, coalesce(params_billions, 0E0) AS params_billions, coalesce(license, license_spdx, '') AS license, coalesce(source, source_platform, '') AS source, coalesce(last_modified, '') AS last_modified FROM raw", ENT, RAW))
-def project_mirror_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the analytical mirror."""
-    return P.table_row(raw_records(spark, d))
+_OR = lambda *names, none="''": "coalesce(" + ", ".join(f"nullif({n}, '')" for n in names) + f", {none})"
+_MEASURED = lambda name: f"TRY_CAST(nullif(CAST({name} AS VARCHAR), '') AS DOUBLE) AS {name}"
+_MIRROR = f"""id, {_OR("umid", "id")} AS umid, {_OR("name", "display_name")} AS name, {_OR("type", "entity_type", none="'model'")} AS type, {_OR("author")} AS author, {_OR("category")} AS category, array_to_string(tags, ', ') AS tags,
+ coalesce(fni_score, fni, 0E0) AS fni_score, coalesce(fni_s, 50E0) AS fni_s, coalesce(fni_a, 0E0) AS fni_a, coalesce(fni_p, 0E0) AS fni_p, coalesce(fni_r, 0E0) AS fni_r, 0E0 AS fni_q,
+ CAST(coalesce(downloads, 0) AS BIGINT) AS downloads, CAST(coalesce(stars, likes, 0) AS INTEGER) AS stars, coalesce(params_billions, 0E0) AS params_billions, CAST(coalesce(context_length, 0) AS BIGINT) AS context_length,
+ {_OR("license", "license_spdx")} AS license, {_OR("pipeline_tag")} AS pipeline_tag, {_OR("source", "source_platform")} AS source, {_OR("primary_language")} AS primary_language, {_OR("last_modified")} AS last_modified, coalesce(is_trending, false) AS is_trending"""
 
 
-_LICENSED = "CASE WHEN coalesce(license, license_spdx, '') = '' THEN 'unknown' WHEN regexp_matches(lower(coalesce(license, license_spdx)), 'mit|apache-2.0|bsd-2-clause|bsd-3-clause|isc|unlicense|cc0-1.0|wtfpl|zlib|bsl-1.0|openrail') THEN 'permissive' WHEN regexp_matches(lower(coalesce(license, license_spdx)), 'gpl-2.0|gpl-3.0|lgpl-2.1|mpl-2.0') THEN 'copyleft' WHEN regexp_matches(lower(coalesce(license, license_spdx)), 'cc-by-nc|llama2|llama 2') THEN 'non-commercial' ELSE 'unknown' END"
+@register("project_mirror_rows", given(f"SELECT {_MIRROR} FROM full_records", ENT, RAW, FULL))
+def project_mirror_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the analytical mirror, all 23 columns."""
+    return P.table_row(full_records(spark, d))
 
 
-@register("project_served_rows", given(f"SELECT id, coalesce(umid, id) AS umid, left(array_to_string(tags, ', '), 500) AS tags, coalesce(fni_score, 0E0) AS fni_score, nullif(params_billions, 0) AS params_billions, CAST(context_length AS DOUBLE) AS context_length, CAST(stars AS DOUBLE) AS stars, source_url, {_LICENSED} AS license_type, CASE WHEN has_ollama OR has_gguf THEN 1 ELSE 0 END AS ollama_compatible, CASE WHEN (has_ollama OR has_gguf) AND (params_billions IS NULL OR params_billions <= 13) THEN 1 ELSE 0 END AS can_run_local FROM raw", ENT, RAW))
+_LICENSED = "CASE WHEN coalesce(license, license_spdx, '') = '' THEN 'unknown' WHEN regexp_matches(lower(coalesce(license, license_spdx)), 'mit|apache-2.0|bsd-2-clause|bsd-3-clause|isc|unlicense|cc0-1.0|wtfpl|zlib|bsl-1.0|openrail') THEN 'permissive' WHEN regexp_matches(lower(coalesce(license, license_spdx)), 'gpl-2.0|gpl-3.0|lgpl-2.1|mpl-2.0') THEN 'copyleft' WHEN regexp_matches(lower(coalesce(license, license_spdx)), 'cc-by-nc|llama2|llama 2') THEN 'non-commercial' ELSE 'unknown' END"
+_FACTOR = lambda f, own: f"coalesce({own}, TRY_CAST(json_extract_string(fni_metrics, '$.{f}') AS DOUBLE), 0E0) AS fni_{f}"
+_TITLE = "coalesce(name, title, display_name)"
+_YEAR = "coalesce(published_year, year(TRY_CAST(coalesce(json_extract_string(meta, '$.published_date'), published_date) AS DATE)))"
+_CITED = f"CASE WHEN {_TITLE} NOT IN (id, slug, coalesce(umid, '')) THEN left('@misc{{' || left(regexp_replace(id, '[^a-zA-Z0-9]', '_', 'g'), 40) || ',title={{' || {_TITLE} || '}}' || coalesce(',author={{' || author || '}}', '') || CASE WHEN {_YEAR} > 1990 AND {_YEAR} < 2100 THEN ',year={{' || CAST({_YEAR} AS VARCHAR) || '}}' ELSE '' END || CASE WHEN NOT contains(source_url, 'host1.') THEN ',url={{' || source_url || '}}' ELSE '' END || ',note={{Indexed}}}}', 500) END"
+_SERVED = f"""id, {_OR("umid", "id")} AS umid, {_OR("slug")} AS slug, {_OR("name", "display_name")} AS name, {_OR("type", none="'model'")} AS type, {_OR("author")} AS author, {_DESCRIPTION} AS summary, {_OR("category", "primary_category")} AS category, left(array_to_string(tags, ', '), 500) AS tags,
+ coalesce(fni_score, 0E0) AS fni_score, {_OR("fni_percentile")} AS fni_percentile, {_FACTOR("s", "fni_s")}, {_FACTOR("a", "fni_a")}, {_FACTOR("p", "fni_p")}, {_FACTOR("r", "fni_r")}, {_FACTOR("q", "NULL")}, CAST(coalesce(raw_pop, 0) AS DOUBLE) AS raw_pop, nullif(params_billions, 0) AS params_billions, {_OR("architecture")} AS architecture, {_MEASURED("context_length")}, CASE WHEN is_trending THEN 1 ELSE 0 END AS is_trending, {_MEASURED("stars")}, {_MEASURED("downloads")}, {_OR("last_modified")} AS last_modified,
+ bundle_key, CAST(bundle_offset AS BIGINT) AS bundle_offset, CAST(coalesce(bundle_size, 0) AS BIGINT) AS bundle_size, {_OR("trend_7d")} AS trend_7d, {_OR("license", "license_spdx")} AS license, {_OR("source_url")} AS source_url, {_OR("pipeline_tag")} AS pipeline_tag, {_OR("raw_image_url", "image_url")} AS image_url, {_MEASURED("vram_estimate_gb")}, {_OR("source", "source_platform")} AS source,
+ left({_OR("task_categories")}, 500) AS task_categories, {_MEASURED("num_rows")}, {_OR("primary_language")} AS primary_language, {_MEASURED("forks")}, {_MEASURED("citation_count")}, {_OR("runtime_hardware")} AS runtime_hardware, {_MEASURED("vocab_size")}, {_MEASURED("num_layers")}, {_MEASURED("hidden_size")},
+ left('[' || coalesce(nullif(array_to_string(list_transform(list_filter(list_transform(string_split(datasets_used, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: '"' || lower(x) || '"'), ','), ''), '') || ']', 500) AS datasets_used, left({_OR("quick_start")}, 1000) AS quick_start, vram_fp16_gb, vram_int8_gb, vram_int4_gb,
+ '' AS readme_html, {_OR("ui_related_mesh")} AS ui_related_mesh, {_OR("search_vector")} AS search_vector, {_OR("canonical_url")} AS canonical_url, {_CITED} AS citation, CASE WHEN has_fulltext THEN 1 ELSE 0 END AS has_fulltext, CASE WHEN has_ollama OR has_gguf THEN 1 ELSE 0 END AS ollama_compatible, {_OR("hosted_on", none="'[]'")} AS hosted_on, {_LICENSED} AS license_type, CASE WHEN (has_ollama OR has_gguf) AND (params_billions IS NULL OR params_billions <= 13) THEN 1 ELSE 0 END AS can_run_local, {_OR("hosted_on_checked_at")} AS hosted_on_checked_at, benchmarks,
+ {_MEASURED("num_heads")}, {_MEASURED("kv_heads")}, {_MEASURED("moe_experts")}, {_MEASURED("moe_active")}, nullif(sdk, '') AS sdk, running_status, size_category, {_MEASURED("files_count")}, nullif(modality, '') AS modality, {_MEASURED("published_year")}, primary_category"""
+
+
+@register("project_served_rows", given(f"SELECT {_SERVED} FROM full_records", ENT, RAW, FULL))
 def project_served_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the served table, with nulls for what wasn't measured."""
-    return P.served_row(raw_records(spark, d))
+    """Rows of the served table, all 71 columns, with nulls for what wasn't measured and citations of what is known."""
+    return P.served_row(full_records(spark, d), own_site="host1.", note="Indexed")
 
 
 @register("project_bundles", given("SELECT id, CASE WHEN coalesce(type, entity_type, 'model') = 'paper' THEN '' ELSE coalesce(nullif(left(coalesce(body_content, readme, ''), 2048), ''), description, '') END AS readme, coalesce(license, license_spdx, '') AS license, coalesce(source, source_platform, '') AS source, coalesce(params_billions, 0E0) AS params, '[]' AS relations FROM raw", ENT, RAW))

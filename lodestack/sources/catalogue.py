@@ -86,6 +86,61 @@ RAW_COLUMNS: dict[str, str] = {
     "files": "CASE WHEN k % 3 = 0 THEN slug || '-Q4_K_M.gguf,' || slug || '-f16.gguf,README.md,' || slug || '_q8_0.GGUF,' || slug || '-Q9_X.gguf,' || slug || '-Q4_K_M.gguf' WHEN k % 3 = 1 THEN 'model.safetensors' END",
 }
 
+#: What later steps add to a record, beside the raw columns: counts as numbers or texts, some empty, some no numbers.
+ADDED_COLUMNS: dict[str, str] = {
+    "category": "CASE k % 7 WHEN 0 THEN 'misc' WHEN 1 THEN '' WHEN 2 THEN 'vision' END",
+    "architecture": "CASE WHEN k % 5 = 0 THEN 'llama' END",
+    "fni_percentile": "CASE WHEN k % 4 > 0 THEN CAST(k % 100 AS VARCHAR(20)) END",
+    "fni_s": "CASE WHEN k % 3 = 0 THEN k % 60 * 1.0E0 END",
+    "fni_p": "CASE WHEN k % 3 = 1 THEN k % 70 * 1.0E0 END",
+    "fni_r": "CASE WHEN k % 4 = 1 THEN k % 80 * 1.0E0 END",
+    "fni_metrics": "CASE WHEN k % 2 = 1 THEN '{\"s\":' || CAST(k % 31 AS VARCHAR(20)) || ',\"a\":7,\"p\":' || CAST(k % 17 AS VARCHAR(20)) || ',\"q\":2.5}' END",
+    "raw_pop": "CASE WHEN k % 6 > 0 THEN k % 1000 END",
+    "is_trending": "CASE WHEN k % 5 > 0 THEN k % 10 = 3 END",
+    "trend_7d": "CASE WHEN k % 9 = 0 THEN '1,2,3' WHEN k % 9 = 1 THEN '' END",
+    "image_url": "CASE WHEN k % 2 = 0 THEN 'https://img.example.org/' || CAST(k AS VARCHAR(20)) END",
+    "raw_image_url": "CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://raw.example.org/' || CAST(k AS VARCHAR(20)) END",
+    "vram_estimate_gb": "CASE WHEN k % 5 = 0 THEN k % 90 / 4.0E0 END",
+    "task_categories": "CASE k % 8 WHEN 0 THEN repeat('question-answering, ', 40) WHEN 1 THEN 'summarization' END",
+    "num_rows": "CASE k % 5 WHEN 1 THEN CAST(k * 10 AS VARCHAR(20)) WHEN 2 THEN '' WHEN 3 THEN 'many' END",
+    "primary_language": "CASE WHEN k % 3 = 0 THEN 'en' END",
+    "forks": "CASE WHEN k % 5 = 3 THEN k % 300 END",
+    "citation_count": "CASE WHEN k % 5 = 2 THEN k % 900 END",
+    "runtime_hardware": "CASE WHEN k % 5 = 4 THEN 'cpu-basic' END",
+    "vocab_size": "CASE k % 4 WHEN 0 THEN '32000' WHEN 1 THEN 'n/a' WHEN 2 THEN '' END",
+    "num_layers": "CASE WHEN k % 4 = 0 THEN k % 90 END",
+    "hidden_size": "CASE WHEN k % 4 = 0 THEN 64 * (k % 90) END",
+    "datasets_used": "CASE k % 4 WHEN 0 THEN 'Wiki, C4 ,,' WHEN 1 THEN ' ' WHEN 2 THEN repeat('Corpus-of-Texts,', 60) END",
+    "quick_start": "CASE k % 6 WHEN 0 THEN repeat('pip install ' || slug || '; ', 80) WHEN 1 THEN 'run ' || slug END",
+    "vram_fp16_gb": "params_billions * 2",
+    "vram_int8_gb": "params_billions",
+    "vram_int4_gb": "params_billions / 2",
+    "ui_related_mesh": "CASE WHEN k % 7 = 0 THEN '[{\"id\":\"x\"}]' END",
+    "search_vector": "CASE WHEN k % 2 = 0 THEN lower(slug) END",
+    "canonical_url": "CASE WHEN k % 3 > 0 THEN 'https://catalogue.example.org/' || slug END",
+    "has_fulltext": "k % 9 = 2",
+    "hosted_on": "CASE k % 5 WHEN 0 THEN '[\"alpha\"]' WHEN 1 THEN '' END",
+    "hosted_on_checked_at": "CASE WHEN k % 5 = 0 THEN '2024-01-0' || CAST(1 + k % 9 AS VARCHAR(20)) END",
+    "benchmarks": "CASE WHEN k % 6 = 1 THEN '[{\"name\":\"mmlu\",\"score\":' || CAST(k % 100 AS VARCHAR(20)) || '}]' END",
+    "num_heads": "CASE WHEN k % 10 = 0 THEN 8 + k % 56 END",
+    "kv_heads": "CASE WHEN k % 20 = 0 THEN 8 END",
+    "moe_experts": "CASE WHEN k % 30 = 0 THEN 64 END",
+    "moe_active": "CASE WHEN k % 30 = 0 THEN 8 END",
+    "sdk": "CASE k % 5 WHEN 4 THEN 'gradio' WHEN 3 THEN '' END",
+    "running_status": "CASE WHEN k % 10 = 4 THEN 'RUNNING' END",
+    "size_category": "CASE WHEN k % 5 = 1 THEN '10K<n<100K' END",
+    "files_count": "CASE WHEN k % 2 = 1 THEN k % 40 END",
+    "modality": "CASE k % 5 WHEN 1 THEN 'text' WHEN 2 THEN '' END",
+    "published_year": "CASE k % 5 WHEN 2 THEN 2000 + k % 25 WHEN 3 THEN 1800 END",
+    "published_date": "CASE WHEN k % 3 = 1 THEN '2019-0' || CAST(1 + k % 9 AS VARCHAR(20)) || '-11' END",
+    "created_at": "CASE WHEN k % 2 = 0 THEN '2018-01-01' END",
+    "base_model": "CASE WHEN k % 10 = 5 THEN 'base/' || slug END",
+    "gguf_variants": "CASE WHEN k % 6 = 0 THEN 'Q4_K_M,Q8_0' END",
+    "bundle_key": "'bundles/part-' || CAST(k % 64 AS VARCHAR(20))",
+    "bundle_offset": "k * 100",
+    "bundle_size": "CASE WHEN k % 8 > 0 THEN 100 END",
+}
+
 #: Relation columns over `lineitem`: an entity number on either side.
 VERBS = ["CITES", "BASED_ON", "USES", "TRAINED_ON", "EVALUATED_ON", "IMPLEMENTS", "DEP"]
 RELATION_COLUMNS: dict[str, str] = {
@@ -111,6 +166,10 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).selectExpr(*(f"{e} AS {c}" for c, e in RAW_COLUMNS.items()), "tags")
 
 
+def full_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records(spark, sf_dir).selectExpr("*", *(f"{e} AS {c}" for c, e in ADDED_COLUMNS.items()))
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {c}" for c, e in RELATION_COLUMNS.items()))
 
