@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions.identity import stripped
 from lodestack.operators.identify import bare
 from lodestack.operators.merge import first_by
 
@@ -48,6 +49,49 @@ def drain(pending: DataFrame, stream: DataFrame, key: str, least: int) -> DataFr
     return pending.join(long, key).select(key, "id", "n")
 
 
+def drain_files(spark: SparkSession, pending: DataFrame, corpus: str, key: str, least: int, path: str, first: int = 8) -> tuple[DataFrame, int]:
+    """drain() over the numbered files of a corpus(file, key, text, at), written by file: (found, files read).
+
+    Files are read in batches, in order, each twice as large as the one before, so that there are few jobs; reading stops once nothing
+    is pending. Every batch looks for what is still pending only, and the scan gets the range of its keys. Of a pending id the text of
+    the least file counts, then the least `at`. Results of a batch go to `path` as they are found. Rows of pending without a key are never
+    found; two with one key are both found."""
+    table = spark.read.parquet(corpus)
+    last = table.agg(F.max("file")).first()[0]
+    left, at, size, batch = pending.filter(F.col(key).isNotNull()), 0, first, 0
+    empty = pending.select(F.lit(0).alias("batch"), key, "id", F.lit(0).cast("int").alias("file"), F.lit(0).cast("int").alias("n")).limit(0)
+    while last is not None and at <= last:
+        low, high, n = left.agg(F.min(key), F.max(key), F.count("*")).first()
+        if n == 0:
+            break
+        some = table.filter(F.col("file").between(at, at + size - 1) & F.col(key).between(low, high) & (F.length("text") >= least))
+        wanted = some.join(left.select(key).distinct(), key, "left_semi")
+        best = wanted.groupBy(key).agg(F.min_by(F.struct(F.col("file").cast("int").alias("file"), F.length("text").alias("n")), F.struct("file", "at")).alias("b"))
+        left.join(best, key).select(key, "id", "b.*").write.mode("overwrite").parquet(f"{path}/found/batch={batch}")
+        done = spark.read.parquet(f"{path}/found/batch={batch}")
+        left.join(done.select(key).distinct(), key, "left_anti").write.mode("overwrite").parquet(f"{path}/left/{batch}")
+        left = spark.read.parquet(f"{path}/left/{batch}")
+        at, size, batch = at + size, size * 2, batch + 1
+    found = spark.read.parquet(f"{path}/found") if batch else empty
+    return found.select("batch", key, "id", "file", "n"), min(at, (-1 if last is None else last) + 1)
+
+
+def around(nodes: DataFrame, sources: Sequence[DataFrame], default: float = 0.8) -> DataFrame:
+    """(node, other, type, conf, source): relations of each node(node) in several sources(src, dst, type, conf), from either end.
+
+    Ends are compared as identity.stripped() gives them. Of one other end and type the first source counts, within it the surest,
+    then the least names; a relation of a node with itself doesn't count. No type is RELATED, no confidence, or 0, the default one."""
+    edges = None
+    for k, s in enumerate(sources):
+        own = s.select("src", "dst", F.coalesce(F.nullif("type", F.lit("")), F.lit("RELATED")).alias("type"), F.coalesce(F.nullif(F.col("conf").cast("double"), F.lit(0.0)), F.lit(default)).alias("conf"), F.lit(k).alias("source"))
+        edges = own if edges is None else edges.unionByName(own)
+    ends = edges.withColumns({"_s": stripped(F.col("src")), "_d": stripped(F.col("dst"))}).filter("_s <> _d")
+    sides = ends.select(F.col("_s").alias("_n"), F.col("dst").alias("other"), F.col("_d").alias("_o"), "type", "conf", "source")
+    sides = sides.unionByName(ends.select(F.col("_d").alias("_n"), F.col("src").alias("other"), F.col("_s").alias("_o"), "type", "conf", "source"))
+    found = nodes.select("node", stripped(F.col("node")).alias("_n")).join(sides, "_n")
+    return first_by(found, ["node", "_o", "type"], [F.asc("source"), F.desc("conf"), F.asc("other")]).select("node", "other", "type", "conf", "source")
+
+
 def group_scores(x: str, y: str) -> Column:
     """Of two aliased records of different platforms: 0 if architectures or sizes differ, 1 for equal names, 0.95 or 0.8 for a name that
     holds the other, 0.85 for one author's names of which the last parts hold one another."""

@@ -50,6 +50,17 @@ def sum_by_id(df: DataFrame, key: str, sums: Sequence[str], union: Sequence[str]
     return df.groupBy(key).agg(*(F.sum(c).alias(c) for c in sums), *(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in union), *(F.max_by(c, F.struct(F.length(c), F.col(c))).alias(c) for c in longest))
 
 
+def fold(df: DataFrame, key: str, at: Column, greatest: Sequence[str] = (), union: Sequence[str] = ()) -> DataFrame:
+    """Records of one key merged one after another in the order `at`, by the rules of merge_records: the last value that isn't null, the
+    greatest of `greatest`, the set of `union` in order; `folded` counts them. Partly merged before they are shuffled."""
+    kept = [c for c in df.columns if c not in {key, *greatest, *union}]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in kept]
+    most = [F.max(c).alias(c) for c in greatest]
+    one = df.withColumn("_at", at)
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in union]
+    return one.groupBy(key).agg(F.count("*").alias("folded"), *last, *most, *sets)
+
+
 def latest_valid(df: DataFrame, key: str, stamp: str) -> DataFrame:
     """The row of the latest stamp that parses; one without any if none of its key has one."""
     return first_by(df.withColumn("_t", F.try_to_timestamp(stamp)), [key], [F.desc_nulls_last("_t")])

@@ -11,11 +11,11 @@ from lodestack.operators import graph as G
 from lodestack.operators import lookups as K
 from lodestack.operators import merge as M
 from lodestack.operators import search as S
-from lodestack.plans.duck import ENT, HIST, given, stems, words
+from lodestack.plans.duck import ENT, HIST, REL, given, stems, words
 from lodestack.plans.registry import register
 from lodestack.plans.texts import CENTRES
 from lodestack.sources import sinks
-from lodestack.sources.catalogue import entities, history, read
+from lodestack.sources.catalogue import entities, history, read, relations
 
 
 @register("join_hosted_on", given("""h AS (SELECT CASE k % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS p, CASE WHEN k % 2 = 0 THEN upper(replace(slug, '--', '/')) ELSE slug END AS m FROM ent WHERE k % 7 = 0 UNION ALL SELECT 'delta', coalesce(author, 'x') || '/' || name FROM ent WHERE k % 11 = 0),
@@ -116,14 +116,46 @@ def match_canonical(spark: SparkSession, d: str) -> DataFrame:
     return best.select("slug", F.col("id").alias("canonical")).join(m.groupBy("slug").agg(F.count("*").alias("n")).filter("n > 1"), "slug")
 
 
-@register("merge_scrubbed", given("s AS (SELECT CASE WHEN k % 3 = 0 THEN replace(slug, '--', '/') ELSE slug END AS raw, slug, score, likes FROM ent WHERE type = 'model') SELECT 'hf-model--' || slug AS id, count(*) AS folded, max(score) AS score, max(likes) AS likes FROM s GROUP BY 1", ENT))
+@register("merge_scrubbed", given("""s AS (SELECT k, 'hf-model--' || slug AS id, CASE WHEN k % 4 > 0 THEN name END AS name, CASE WHEN k % 3 = 1 THEN license END AS license, score, likes, tags FROM ent WHERE type = 'model'), t AS (SELECT id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT id, unnest(tags) AS tag FROM s) GROUP BY id)
+ SELECT s.id, count(*) AS folded, arg_max(name, k) AS name, arg_max(license, k) AS license, max(score) AS score, max(likes) AS likes, any_value(t.tags) AS tags FROM s JOIN t USING (id) GROUP BY s.id""", ENT))
 def merge_scrubbed(spark: SparkSession, d: str) -> DataFrame:
-    """M3: ids normalised anew, then records of one id folded."""
+    """M3: ids normalised anew, then records of one id folded by the rules of a merge."""
     from lodestack.functions.identity import canonical
 
+    k = F.col("k")
     e = entities(spark, d).filter("type = 'model'")
-    raw = F.when(F.col("k") % 3 == 0, F.replace("slug", F.lit("--"), F.lit("/"))).otherwise(F.col("slug"))
-    return e.withColumn("id", canonical(raw, F.lit("huggingface"), F.lit("model"))).groupBy("id").agg(F.count("*").alias("folded"), F.max("score").alias("score"), F.max("likes").alias("likes"))
+    raw = F.when(k % 3 == 0, F.replace("slug", F.lit("--"), F.lit("/"))).otherwise(F.col("slug"))
+    ids = e.select("k", canonical(raw, F.lit("huggingface"), F.lit("model")).alias("id"), F.when(k % 4 > 0, F.col("name")).alias("name"), F.when(k % 3 == 1, F.col("license")).alias("license"), "score", "likes", "tags")
+    return M.fold(ids, "id", k, greatest=["score", "likes"], union=["tags"]).drop("k").withColumn("tags", F.array_join("tags", ","))
+
+
+@register("join_fulltexts_files", given("q AS (SELECT id, '2401.' || lpad(CAST(k AS VARCHAR), 5, '0') AS paper FROM ent WHERE type = 'paper'), s AS (SELECT '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS paper, min(struct_pack(file := CAST(doc_id % 64 AS INTEGER), doc := doc_id, n := CAST(length(text) AS INTEGER))) AS b FROM documents WHERE length(text) >= 200 GROUP BY 1) SELECT paper, id, b.file AS file, b.n AS n, CASE WHEN b.file < 8 THEN 0 WHEN b.file < 24 THEN 1 WHEN b.file < 56 THEN 2 ELSE 3 END AS batch FROM q JOIN s USING (paper)", ENT))
+def join_fulltexts_files(spark: SparkSession, d: str) -> DataFrame:
+    """As join_fulltexts, from a corpus of numbered files that are read in batches until nothing is pending."""
+    path = sinks.scratch(spark, "corpus")
+    number = lambda c: F.concat(F.lit("2401."), F.lpad(F.col(c).cast("string"), 5, "0"))
+    corpus = read(spark, d, "documents").select(number("doc_id").alias("paper"), "text", F.col("doc_id").alias("at"), (F.col("doc_id") % 64).cast("int").alias("file"))
+    corpus.repartition("file").write.partitionBy("file").parquet(f"{path}/files")
+    pending = entities(spark, d).filter("type = 'paper'").select("id", number("k").alias("paper"))
+    return K.drain_files(spark, pending, f"{path}/files", "paper", 200, path)[0]
+
+
+@register("join_around", given("""a AS (SELECT 'hf-model--' || CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, verb AS type, conf / 100E0 AS conf, 0 AS source FROM rel),
+ b AS (SELECT CAST(src AS VARCHAR), 'HF-Dataset--' || CAST(dst AS VARCHAR), '', CASE WHEN conf % 3 > 0 THEN conf / 50E0 END, 1 FROM rel WHERE conf % 2 = 0),
+ c AS (SELECT id, 'report--' || CAST(k % 10 AS VARCHAR), 'FEATURED_IN', 1E0, 2 FROM ent), e AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
+ n AS (SELECT *, regexp_replace(lower(src), '^(hf-model|hf-dataset|arxiv-paper|gh-tool|hf-space|report)--', '') AS s, regexp_replace(lower(dst), '^(hf-model|hf-dataset|arxiv-paper|gh-tool|hf-space|report)--', '') AS t FROM (SELECT src, dst, coalesce(nullif(type, ''), 'RELATED') AS type, coalesce(nullif(conf, 0), 0.8E0) AS conf, source FROM e)),
+ u AS (SELECT s AS node, dst AS other, t AS o, type, conf, source FROM n WHERE s <> t UNION ALL SELECT t, src, s, type, conf, source FROM n WHERE s <> t)
+ SELECT CAST(node AS BIGINT) AS node, other, type, round(conf, 6) AS conf, source FROM u JOIN (SELECT DISTINCT src AS q FROM rel WHERE src % 50 = 0) ON node = CAST(q AS VARCHAR) QUALIFY row_number() OVER (PARTITION BY node, o, type ORDER BY source, conf DESC, other) = 1""", ENT, REL))
+def join_around(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of several sources around every entity whose number is divisible by 50, from either end, the first source first."""
+    r = relations(spark, d)
+    text = lambda c: F.col(c).cast("string")
+    graph = r.select(F.concat(F.lit("hf-model--"), text("src")).alias("src"), text("dst").alias("dst"), F.col("verb").alias("type"), (F.col("conf") / 100.0).alias("conf"))
+    stated = r.filter("conf % 2 = 0").select(text("src").alias("src"), F.concat(F.lit("HF-Dataset--"), text("dst")).alias("dst"), F.lit("").alias("type"), F.when(F.col("conf") % 3 > 0, F.col("conf") / 50.0).alias("conf"))
+    reports = entities(spark, d).select(F.col("id").alias("src"), F.concat(F.lit("report--"), (F.col("k") % 10).cast("string")).alias("dst"), F.lit("FEATURED_IN").alias("type"), F.lit(1.0).alias("conf"))
+    nodes = r.filter("src % 50 = 0").select(text("src").alias("node")).distinct()
+    found = K.around(nodes, [graph, stated, reports])
+    return found.select(F.col("node").cast("long").alias("node"), "other", "type", F.round("conf", 6).alias("conf"), "source")
 
 
 @register("filter_harvest_urls", given("SELECT id FROM ent WHERE length(source_url) >= 8 AND source_url <> CASE WHEN id LIKE 'gh-%' AND author IS NOT NULL THEN 'https://github.com/' || author || '/' || name ELSE '' END AND k % 3 > 0 UNION ALL SELECT id FROM ent WHERE k % 3 = 0 AND NOT (id LIKE 'gh-%' AND author IS NOT NULL)", ENT))

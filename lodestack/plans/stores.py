@@ -9,7 +9,7 @@ from lodestack.operators import merge as M
 from lodestack.operators import rank as R
 from lodestack.plans.duck import ENT, HIST, RAW, given
 from lodestack.plans.registry import register
-from lodestack.sources import readers, sinks
+from lodestack.sources import pages, readers, sinks
 from lodestack.sources.catalogue import entities, history, raw_records, read
 
 _KINDS = "CASE k % 5 WHEN 0 THEN '.parquet' WHEN 1 THEN '.json.zst' WHEN 2 THEN '.json.gz' WHEN 3 THEN '.json' ELSE '.tmp' END"
@@ -88,6 +88,35 @@ def source_normalised(spark: SparkSession, d: str) -> DataFrame:
     return readers.normalise_source(raw_records(spark, d), aliases, "hub")
 
 
+def _write_pages(spark: SparkSession, d: str, path: str) -> None:
+    """Pages of 500 records; every 97th record has no id, and the page after each seventh is cut short."""
+    k = F.col("k")
+    item = F.to_json(F.struct(F.when(k % 97 > 0, F.col("id")).alias("id"), "name", "author"))
+    page = entities(spark, d).groupBy(F.expr("k div 500").alias("page")).agg(F.concat(F.lit('{"items":['), F.array_join(F.array_sort(F.collect_list(item)), ","), F.when(F.col("page") % 7 == 6, "").otherwise("]}")).alias("value"))
+    page.write.partitionBy("page").text(path)
+
+
+_PAGES = "p AS (SELECT k, k // 500 AS page, id, name, author FROM ent)"
+
+
+@register("source_pages", given(f"{_PAGES} SELECT page, id, name, author FROM p WHERE k % 97 > 0 AND page % 7 < 6", ENT))
+def source_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a paged source, read as a table."""
+    path = sinks.scratch(spark, "pages")
+    _write_pages(spark, d, path)
+    good = pages.read(spark, path).filter("NOT bad").select("page", F.from_json("record", "id string, name string, author string").alias("r"))
+    return good.select("page", "r.*")
+
+
+@register("stream_pages", given(f"{_PAGES} SELECT page, CASE WHEN page % 7 = 6 THEN 1 ELSE count(*) END AS declared, CASE WHEN page % 7 = 6 THEN 0 ELSE count(CASE WHEN k % 97 > 0 THEN 1 END) END AS parsed, CASE WHEN page % 7 = 6 THEN 1 ELSE count(CASE WHEN k % 97 = 0 THEN 1 END) END AS dropped FROM p GROUP BY page", ENT))
+def stream_pages(spark: SparkSession, d: str) -> DataFrame:
+    """S19, A14, 2.14: a paged source as a stream with committed offsets, and what of each page could be parsed."""
+    path = sinks.scratch(spark, "pages")
+    _write_pages(spark, d, f"{path}/in")
+    pages.drain(spark, f"{path}/in", f"{path}/out", f"{path}/progress")
+    return pages.accounts(spark.read.parquet(f"{path}/out"))
+
+
 @register("source_feeds", given("SELECT '2401.' || lpad(CAST(k AS VARCHAR), 5, '0') AS id, 'On A & B ' || name AS title, 'Ann, Bo' AS authors, 'cs.AI, cs.CL' AS categories, DATE '2024-01-01' + CAST(k % 28 AS INT) AS published FROM ent WHERE type = 'paper'", ENT))
 def source_feeds(spark: SparkSession, d: str) -> DataFrame:
     """Entries of Atom feeds."""
