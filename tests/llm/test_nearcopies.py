@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_operators import SCHEMA, awkward, clashing, prose
 
@@ -58,3 +59,47 @@ def test_awkward_rows(spark):
     assert nearcopies.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
     nulls = spark.createDataFrame([(None, prose(random.Random(1), 50), "en", "s", 1)] * 4, SCHEMA)
     assert nearcopies.keep_one(nulls).count() == 1
+
+
+@pytest.mark.parametrize("split", [nearcopies.SPLIT_ROWS, 20])
+def test_candidates_come_from_fingerprints(spark, monkeypatch, split):
+    """Pairs of similarity 0.8, short ones and a large group of near copies meet by keys of their fingerprints; unrelated sets do not."""
+    monkeypatch.setattr(nearcopies, "SPLIT_ROWS", split)
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    sets = []
+    for n in [4] * 50 + [36] * 100 + [270] * 100:  # n of n + n / 8 + n / 8, a similarity of 0.8; 4 of 5
+        both, more = draw(n), n // 8
+        sets += [np.concatenate([both, draw(more)]), np.concatenate([both, draw(more or 1)])]
+    centre = draw(300)
+    sets += [np.concatenate([centre, draw(5)]) for _ in range(300)] + [draw(200) for _ in range(300)]
+    rows = [(k, len(x) < nearcopies.FEW, nearcopies.long_fingerprint(np.sort(x)).view(np.int64).tolist()) for k, x in enumerate(sets)]
+    found = {r["node"]: r["root"] for r in nearcopies.candidates(spark.createDataFrame(rows, "fp long, few boolean, signs array<long>"), 0.8).collect()}
+    assert found == {k: k - k % 2 for k in range(500)} | dict.fromkeys(range(500, 800), 500)
+
+
+@pytest.mark.parametrize("size", [2, 64, nearcopies.SMALL, nearcopies.SMALL + 1, 900])
+def test_links_of_a_key_are_those_of_brute_force(size):
+    """Two keys, groups compared by shifts and query by query: the same components as all pairs within both radii."""
+    rng = np.random.default_rng(size)
+    centres = rng.integers(0, 1 << 64, (5, nearcopies.COMPARED), np.uint64)
+    flips = np.packbits(rng.random((2 * size, 64 * nearcopies.COMPARED)) < 0.12, axis=1, bitorder="little").view(np.uint64)
+    signs = centres[rng.integers(0, 5, 2 * size)] ^ flips
+    key = rng.permutation(np.repeat([7, 9], size))
+    a, b = nearcopies.key_links(key, np.arange(2 * size), signs, 16, 45)
+    up = list(range(2 * size))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(2 * size):
+        apart = np.bitwise_count(signs[i + 1 :] ^ signs[i])
+        for j in i + 1 + np.flatnonzero((key[i + 1 :] == key[i]) & (apart[:, 0] <= 16) & (apart.sum(axis=1, dtype=int) <= 45)):
+            x, y = root(i), root(int(j))
+            up[max(x, y)] = min(x, y)
+    got = list(range(2 * size))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got[x] = y
+    assert got == [root(x) for x in range(2 * size)]
