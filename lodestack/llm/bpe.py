@@ -105,19 +105,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo(dict):
-    """What is kept of keys up to `size` bytes with their values, and of the last `size` bytes before these."""
+    """What is kept of keys, and before that: memos of one pool share its `size` bytes by what is asked of them, and start anew together."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, pool: list[Memo]):
         super().__init__()
-        self.size, self.used, self.old = size, 0, {}
+        self.size, self.used, self.old, self.pool = size, 0, {}, pool
+        pool.append(self)
 
     def keep(self, key: str, value):
         """A key of over LONGEST characters is not kept: it hardly comes again, and a text without spaces is a single one."""
         if len(key) <= LONGEST:
-            self.used += getsizeof(key) + getsizeof(value) + _ENTRY
-            if self.used > self.size:
-                self.old, self.used = dict(self), 0
-                self.clear()
+            cost = getsizeof(key) + getsizeof(value) + _ENTRY
+            if sum([m.used for m in self.pool]) + cost > self.size:
+                for m in self.pool:
+                    m.old, m.used = dict(m), 0
+                    m.clear()
+            self.used += cost
             self[key] = value
         return value
 
@@ -131,11 +134,19 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], memo: int = 100 << 20):
         self.ranks = ranks
-        self.words, self.led, self.first, self.sizes = Memo(memo * 2 // 5), Memo(memo * 2 // 5), Memo(memo // 20), Memo(memo * 3 // 20)
+        pool: list[Memo] = []
+        self.words, self.led, self.first, self.sizes = (Memo(memo, pool) for _ in range(4))
+
+    def _ids(self, piece: str) -> bytes:
+        return self.words.old.get(piece) or np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
 
     def word(self, piece: str) -> bytes:
-        got = self.words.get(piece)
-        return got or self.words.keep(piece, self.words.old.get(piece) or np.array(merge(piece.encode(), self.ranks), "<u4").tobytes())
+        return self.words.get(piece) or self.words.keep(piece, self._ids(piece))
+
+    def size(self, piece: str) -> int:
+        """Tokens of a pre-token."""
+        got = self.sizes.get(piece)
+        return got or self.sizes.keep(piece, self.sizes.old.get(piece) or len(merge(piece.encode(), self.ranks)))
 
     def count(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token."""
@@ -143,12 +154,13 @@ class Encoder:
         if None in got:
             for k, x in enumerate(got):
                 if x is None:
-                    p = pieces[k]
-                    got[k] = self.sizes.get(p) or self.sizes.keep(p, self.sizes.old.get(p) or len(self.word(p)) // 4)
+                    got[k] = self.size(pieces[k])
         return got
 
     def chunk(self, text: str) -> bytes:
-        return b"".join(map(self.word, pre_tokens(text)))
+        """What is one pre-token is kept by the caller, under its own key, and not twice."""
+        pieces = pre_tokens(text)
+        return b"".join(map(self.word, pieces)) if len(pieces) > 1 else b"".join(self.words.get(p) or self._ids(p) for p in pieces)
 
     def encode(self, text: str) -> bytes:
         """A pre-token never reaches over a space that leads a word, so what lies between such spaces is looked up as a whole."""

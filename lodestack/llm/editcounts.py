@@ -97,7 +97,7 @@ class CountTree:
         places = {b: i for i, b in enumerate(bounds)}
         lens: list[int] = []
         counts: list[int] = []
-        pos, word = bounds[k], self.encoder.word
+        pos, size = bounds[k], self.encoder.size
         seen = len(self.leaves[first][0])
         meet = None
         if pos >= len(new) and end == len(old):
@@ -105,7 +105,7 @@ class CountTree:
         for m in _ANY.finditer(new, pos):
             piece = m.group()
             lens.append(len(piece))
-            counts.append(len(word(piece)) // 4)
+            counts.append(size(piece))
             pos = m.end()
             was = pos - shift
             if pos < start + len(replacement) or was < end:

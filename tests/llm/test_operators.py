@@ -509,3 +509,19 @@ def test_texts_without_spaces_are_not_remembered():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
     for memo in (encoder.words, encoder.led, encoder.first):
         assert memo.used <= memo.size and all(len(k) <= bpe.LONGEST for k in [*memo, *memo.old])
+
+
+def test_what_is_remembered_is_kept_once_and_shares_the_bytes(monkeypatch):
+    """Counts alone, or texts alone, have all bytes of the memo: nothing is merged a second time, and one merge tells words and counts."""
+    words = [f"pre{k}token" for k in range(3000)]
+    merged = []
+    plain = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: merged.append(piece) or plain(piece, ranks))
+    ranks = bpe.load_ranks()
+    for work in (lambda e: e.count([" " + w for w in words]), lambda e: e.encode("a " + " ".join(w.replace("0", "x") for w in words))):
+        encoder, _ = bpe.Encoder(ranks, memo=3 << 20), merged.clear()
+        first = work(encoder)
+        n = len(merged)
+        assert work(encoder) == first and len(merged) == n
+        pool = (encoder.words, encoder.led, encoder.first, encoder.sizes)
+        assert sum(m.used for m in pool) <= 3 << 20 and not any(m.old for m in pool)
