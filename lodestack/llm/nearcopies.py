@@ -7,8 +7,9 @@ differ in a share acos(2s / (1 + s)) / pi of them, 0.15 at 0.8, unrelated ones i
 Candidates: 64 bits within 24 leave no keys that must agree, so keys are drawn instead, each of some bits of the fingerprint; as many
 that a pair of similarity `least` shares none in one of 10,000 cases, by calculation. Within a key the first 64 bits are compared
 bit-sliced, as in simhash: bit planes, carry-save counters, abandoned words. What is within their radius, and within that of the first
-192 bits, is a candidate; unrelated sets hardly ever are. Components of candidates are cut into blocks, compared bit-sliced again,
-and what is left there is decided by its exact similarity."""
+192 bits, is a candidate; unrelated sets hardly ever are. What the first few keys link gets a common label, and later keys return links
+between labels only: a set of many near copies is named by a few keys, not again by each. Components of candidates are cut into
+blocks, compared bit-sliced again, and what is left there is decided by its exact similarity."""
 
 from __future__ import annotations
 
@@ -34,6 +35,8 @@ WORDS = 8
 COMPARED = 3
 #: Share of pairs of similarity `least` that may share no key.
 MISS = 1e-4
+#: Keys whose links are followed to labels before the other keys are looked at.
+FIRST = 8
 #: Keys of a fingerprint that are dealt out at a time, bounding the disk, unless all rows with them are few.
 ROUND = 32
 ROUND_ROWS = 4_000_000
@@ -135,13 +138,15 @@ def _alike(signs: np.ndarray, i: np.ndarray, j: np.ndarray, within: int) -> np.n
     return out
 
 
-def _dense(signs: np.ndarray, radius: int, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group that connect all that its pairs connect: rows that are reached leave, so many near copies take one sweep."""
+def _dense(signs: np.ndarray, labels: np.ndarray, radius: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group that connect all that its pairs and labels connect: rows that are reached leave, with all of their label, so
+    many near copies take one sweep."""
     left, right = [], []
     rest, frontier = np.arange(len(signs)), np.zeros(0, np.int64)
     while len(rest):
         if not len(frontier):
-            frontier, rest = rest[:1], rest[1:]
+            own = labels[rest] == labels[rest[0]]
+            frontier, rest = rest[own], rest[~own]
         queries, frontier = frontier[:64], frontier[64:]
         if not len(rest):
             continue
@@ -152,15 +157,20 @@ def _dense(signs: np.ndarray, radius: int, within: int) -> tuple[np.ndarray, np.
         lane, at = np.unique(lane, return_index=True)  # one link reaches a row
         left.append(queries[q[at]])
         right.append(rest[lane])
-        frontier = np.concatenate([frontier, rest[lane]])
-        rest = np.delete(rest, lane)
+        own = np.isin(labels[rest], labels[rest[lane]])
+        frontier, rest = np.concatenate([frontier, rest[own]]), rest[~own]
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def key_links(key: np.ndarray, prints: np.ndarray, signs: np.ndarray, radius: int, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of prints that connect the rows of equal keys that are within `radius` bits in the first word of signs, compared
-    bit-sliced, and within `within` bits in all of them."""
-    order = np.argsort(key, kind="stable")
+def key_links(key: np.ndarray, labels: np.ndarray, signs: np.ndarray, radius: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of labels that connect the rows of equal keys that are within `radius` bits in the first word of signs, compared
+    bit-sliced, and within `within` bits in all of them. Rows of one label are linked already: these links aren't returned, and keys that
+    have no other label aren't looked at."""
+    order = np.lexsort((labels, key))
+    if len(order):
+        first = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+        sizes = np.diff(np.append(first, len(order)))
+        order = order[np.repeat(labels[order[first]] != labels[order[first + sizes - 1]], sizes)]
     key, left, right = key[order], [], []
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(key)))
@@ -176,21 +186,22 @@ def key_links(key: np.ndarray, prints: np.ndarray, signs: np.ndarray, radius: in
         mine = rows[at:end]
         i, j = _shift_pairs(planes(signs[mine, 0]), end - at, last[at:end] - at, radius)
         ok = _alike(signs, mine[i], mine[j], within)
-        left.append(prints[mine[i[ok]]])
-        right.append(prints[mine[j[ok]]])
+        left.append(labels[mine[i[ok]]])
+        right.append(labels[mine[j[ok]]])
         at = end
     for k in np.flatnonzero(sizes > SMALL):
         mine = order[starts[k] : starts[k] + sizes[k]]
-        i, j = _dense(signs[mine], radius, within)
-        left.append(prints[mine[i]])
-        right.append(prints[mine[j]])
+        i, j = _dense(signs[mine], labels[mine], radius, within)
+        left.append(labels[mine[i]])
+        right.append(labels[mine[j]])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return _forest(np.concatenate(left), np.concatenate(right))
 
 
 def _linked_by_keys(own: DataFrame, total: int, width: int, first: int, last: int, least: float) -> DataFrame:
-    """Star edges (a, b) that connect the sets own(fp, few, signs) that are alike and share one of the keys first..last-1."""
+    """Star edges (a, b) of labels that connect the sets own(fp, label, signs) that are alike and share one of the keys first..last-1; an
+    edge may come from several tasks."""
     compared = [f"s{k}" for k in range(COMPARED)]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +214,9 @@ def _linked_by_keys(own: DataFrame, total: int, width: int, first: int, last: in
                 ones = np.unpackbits(signs.view(np.uint8), axis=1, bitorder="little")
                 keys = (ones[:, bits] * weights).sum(axis=2) | (np.arange(first, last, dtype=np.int64) << 40)
                 again = last - first
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), np.repeat(part.column("fp").to_numpy(), again), *(np.repeat(signs[:, k], again) for k in range(COMPARED)))], ["key", "fp", *compared])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(part.column(c).to_numpy(), again) for c in ("fp", "label")), *(np.repeat(signs[:, k], again) for k in range(COMPARED)))], ["key", "fp", "label", *compared])
 
-    rows = own.select("fp", "signs").mapInArrow(keyed, ", ".join(f"{c} long" for c in ["key", "fp", *compared]))
+    rows = own.select("fp", "label", "signs").mapInArrow(keyed, ", ".join(f"{c} long" for c in ["key", "fp", "label", *compared]))
     dealt = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     if total > SPLIT_ROWS:
         large = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ROWS), "large_keys", light=True)
@@ -215,30 +226,34 @@ def _linked_by_keys(own: DataFrame, total: int, width: int, first: int, last: in
             joined = rows.join(large, "key", "left").withColumn("m", m).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
             dealt = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (last - first) // TASK_ROWS))
-    grouped = dealt.select(F.xxhash64("key", "i", "j").alias("key"), "fp", *compared).repartition(tasks, "key")
+    grouped = dealt.select(F.xxhash64("key", "i", "j").alias("key"), "label", *compared).repartition(tasks, "key")
     radius, within = reach(64, least, 5), reach(64 * COMPARED, least, 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy() for c in ("key", "fp", *compared)] for b in batches]
+        parts = [[b.column(c).to_numpy() for c in ("key", "label", *compared)] for b in batches]
         if parts:
-            key, prints, *signs = (np.concatenate(x) for x in zip(*parts, strict=True))
-            x, y = key_links(key, prints, np.stack(signs, axis=1).view(np.uint64), radius, within)
+            key, labels, *signs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            x, y = key_links(key, labels, np.stack(signs, axis=1).view(np.uint64), radius, within)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(run, "a long, b long")
 
 
 def candidates(own: DataFrame, least: float) -> DataFrame:
     """(node, root) of each set of own(fp, few, signs), one row a set, that is linked to another by their fingerprints."""
     total, few = own.agg(F.count("*"), F.count_if("few")).first()
     width, keys = key_shape(total, least)
+    links = lambda *of: materialise(_linked_by_keys(*of, least).distinct(), "alike", light=True)
+    begun = links(own.withColumn("label", F.col("fp")), total, width, 0, min(FIRST, keys))
+    stars = components(begun, "a", "b")
+    labelled = materialise(own.join(stars.select(F.col("node").alias("fp"), F.col("root").alias("label")), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled", light=True)
     rounds = []
-    for sets, n, start in ((own, total, 0), (own.filter("few"), few, keys)):
+    for sets, n, start, end in ((labelled, total, FIRST, keys), (labelled.filter("few"), few, keys, 2 * keys)):
         step = max(ROUND, ROUND_ROWS // max(1, n))
-        rounds += [(sets, n, k, min(k + step, start + keys)) for k in range(start, start + keys, step) if n or not start]
-    found = [materialise(_linked_by_keys(sets, n, width, first, last, least), "alike", light=True) for sets, n, first, last in rounds]
-    joined = components(reduce(DataFrame.union, found), "a", "b")
-    release(*found)
+        rounds += [(sets, n, width, k, min(k + step, end)) for k in range(start, end, step) if n]
+    found = [links(*of) for of in rounds]
+    joined = components(reduce(DataFrame.union, found, stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+    release(begun, labelled, *found)
     return joined
 
 

@@ -103,3 +103,47 @@ def test_links_of_a_key_are_those_of_brute_force(size):
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         got[x] = y
     assert got == [root(x) for x in range(2 * size)]
+
+
+@pytest.mark.parametrize("size", [40, nearcopies.SMALL + 1, 900])
+def test_links_of_labels_join_what_is_not_linked_yet(size):
+    """With labels from earlier links, the edges of labels and those links connect what all pairs do; within a label none is returned."""
+    rng = np.random.default_rng(size)
+    centres = rng.integers(0, 1 << 64, (4, nearcopies.COMPARED), np.uint64)
+    group = rng.integers(0, 4, size)
+    signs = centres[group] ^ np.packbits(rng.random((size, 64 * nearcopies.COMPARED)) < 0.05, axis=1, bitorder="little").view(np.uint64)
+    one = np.zeros(size, np.int64)
+    a, b = nearcopies.key_links(one, np.where(group < 2, 7, 1000 + np.arange(size)), signs, 24, 60)
+    root = np.array([7 if g < 2 else 1000 + np.flatnonzero(group == g)[0] for g in group])
+    want = {1000 + k: int(root[k]) for k in np.flatnonzero(group >= 2).tolist()}
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {x: y for x, y in want.items() if x != y}
+    assert not len(nearcopies.key_links(one, group, signs, 24, 60)[0])
+
+
+def test_a_large_group_is_named_by_few_keys(spark, monkeypatch):
+    """Tasks of all keys return a few links for each of many near copies, not some for each of the keys, and the group stays whole."""
+    frame = type(spark.range(0))
+    made, real = [], frame.mapInArrow
+
+    def counted(df, func, schema, *more, **options):
+        out = real(df, func, schema, *more, **options)
+        if schema == "a long, b long":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 1 << 64, 300, np.uint64)
+    rows = []
+    for k in range(400):
+        one = centre.copy()
+        one[rng.choice(300, 6, replace=False)] = rng.integers(0, 1 << 64, 6, np.uint64)
+        rows.append((k, False, nearcopies.long_fingerprint(np.sort(one)).view(np.int64).tolist()))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        found = {r["node"]: r["root"] for r in nearcopies.candidates(spark.createDataFrame(rows, "fp long, few boolean, signs array<long>"), 0.8).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == dict.fromkeys(range(400), 0)
+    assert 0 < sum(made) <= 9 * 400
