@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 from heapq import heappop, heappush
+from struct import pack
 from sys import getsizeof
 
 import numpy as np
@@ -66,29 +67,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
                 summary |= 1 << leaf
     while summary:
-        leaf = (summary & -summary).bit_length() - 1
+        top = summary & -summary
+        leaf = top.bit_length() - 1
         bits = leaves[leaf]
-        rank = leaf << 8 | (bits & -bits).bit_length() - 1
+        low = bits & -bits
+        rank = leaf << 8 | low.bit_length() - 1
         bucket = buckets[rank]
-        i = bucket[0] if len(bucket) == 1 else heappop(bucket)
-        if len(bucket) == 1 and bucket[0] == i:
+        if len(bucket) == 1:
+            i = bucket[0]
             del buckets[rank]
-            bits &= bits - 1
-            leaves[leaf] = bits
-            if not bits:
-                summary &= summary - 1
+            if bits == low:
+                summary ^= top
+                leaves[leaf] = 0
+            else:
+                leaves[leaf] = bits ^ low
+        else:
+            i = heappop(bucket)
         if waits[i] != rank:
             continue
         j = end[i]
         k = end[i] = end[j]
         waits[j] = -1
-        before[k] = i
-        for at in (before[i], i):  # the pairs that the new token is part of
-            if at < 0:
-                continue
-            middle = end[at]
-            fresh = get(piece[at : end[middle]], -1) if middle < n else -1
-            waits[at] = fresh
+        # the pairs that the new token is part of: with what comes before it, and with what follows
+        if (at := before[i]) >= 0:
+            fresh = waits[at] = get(piece[at:k], -1)
             if fresh >= 0:
                 if fresh in buckets:
                     heappush(buckets[fresh], at)
@@ -97,6 +99,19 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     leaf = fresh >> 8
                     leaves[leaf] = leaves.get(leaf, 0) | 1 << (fresh & 255)
                     summary |= 1 << leaf
+        if k < n:
+            before[k] = i
+            fresh = waits[i] = get(piece[i : end[k]], -1)
+            if fresh >= 0:
+                if fresh in buckets:
+                    heappush(buckets[fresh], i)
+                else:
+                    buckets[fresh] = [i]
+                    leaf = fresh >> 8
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (fresh & 255)
+                    summary |= 1 << leaf
+        else:
+            waits[i] = -1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -138,10 +153,14 @@ class Encoder:
         self.words, self.led, self.first, self.sizes = (Memo(memo, pool) for _ in range(4))
 
     def _ids(self, piece: str) -> bytes:
-        return self.words.old.get(piece) or np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        if known := self.words.old.get(piece) or (piece[0] == " " and self.led.old.get(piece[1:])):
+            return known
+        ids = merge(piece.encode(), self.ranks)
+        return pack(f"<{len(ids)}I", *ids)
 
     def word(self, piece: str) -> bytes:
-        return self.words.get(piece) or self.words.keep(piece, self._ids(piece))
+        """A pre-token that leads with a space is often known as what lies between spaces, where it is cut the same way."""
+        return self.words.get(piece) or (piece[0] == " " and self.led.get(piece[1:])) or self.words.keep(piece, self._ids(piece))
 
     def size(self, piece: str) -> int:
         """Tokens of a pre-token."""

@@ -525,3 +525,22 @@ def test_what_is_remembered_is_kept_once_and_shares_the_bytes(monkeypatch):
         assert work(encoder) == first and len(merged) == n
         pool = (encoder.words, encoder.led, encoder.first, encoder.sizes)
         assert sum(m.used for m in pool) <= 3 << 20 and not any(m.old for m in pool)
+
+
+def test_bpe_merges_a_word_between_spaces_and_before_a_comma_once(monkeypatch):
+    """What is known between spaces is not merged again as a pre-token, and all ids are those of tiktoken."""
+    enc, ranks, merged = encoding(), bpe.load_ranks(), []
+    plain = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: merged.append(piece) or plain(piece, ranks))
+    encoder = bpe.Encoder(ranks)
+    for text in ("a qzxwvut b", "a qzxwvut, b", "so: qzxwvut; qzxwvut's (qzxwvut) qzxwvut42 \n qzxwvut", "it's 's 'sqz don't qz 't  \t x"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+    assert merged.count(b" qzxwvut") == 1
+    rng, small = random.Random(12), bpe.Encoder(ranks, memo=3000)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "qzx", " ", " ", ", ", "'s", "1", "\n", "é", "..."]) for _ in range(rng.randrange(30)))
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+    for n in (2, 3, 7, 40, 300):
+        for _ in range(60):
+            piece = "".join(rng.choice("abeinrst") for _ in range(n))
+            assert plain(piece.encode(), ranks) == enc.encode_ordinary(piece)
