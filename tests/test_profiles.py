@@ -36,7 +36,7 @@ def test_best_by_profile_are_the_best_of_all_pairs(spark, monkeypatch, least):
 
 
 @here
-@pytest.mark.parametrize("name", ["join_rule_similarity", "join_recommend", "join_shared_tags"])
+@pytest.mark.parametrize("name", ["join_rule_similarity", "join_recommend", "join_shared_tags", "join_related"])
 def test_queries_by_profile_in_small_tasks(spark, duck, monkeypatch, name):  # noqa: F811
     monkeypatch.setattr(matching, "PROFILE_QUERIES", 3)
     monkeypatch.setattr(matching, "PROFILE_ROWS", 30)
@@ -44,7 +44,7 @@ def test_queries_by_profile_in_small_tasks(spark, duck, monkeypatch, name):  # n
 
 
 @here
-@pytest.mark.parametrize("name", ["join_rule_similarity", "join_recommend", "join_shared_tags"])
+@pytest.mark.parametrize("name", ["join_rule_similarity", "join_recommend", "join_shared_tags", "join_related"])
 def test_no_join_makes_all_pairs_of_rows(spark, name):
     """All pairs of queries and rows as rows of a plan: that was the time, and the disk of their sorts."""
     from lodestack.plans import registry
