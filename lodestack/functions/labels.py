@@ -245,13 +245,17 @@ def benchmark_key(raw: Column) -> Column:
 
 def benchmark_variants(raw: Column) -> Column:
     """Names under which the entity of a benchmark id may be listed, in order of preference."""
-    base = benchmark_key(raw)
-    dotted = F.regexp_replace(base, r"-(\d+)-(\d+)([^-]*)$", "-$1.$2$3")
-    out = [base, *(F.concat(base, F.lit(x)) for x in ("-instruct", "-chat", "-base")), F.when(dotted != base, dotted), F.when(dotted != base, F.concat(dotted, F.lit("-instruct")))]
-    for own, other in FAMILY_PREFIXES.items():
-        variant = F.when(base.startswith(own), F.concat(F.lit(other), F.substring(base, F.lit(len(own) + 1), F.length(base))))
-        out += [variant, F.concat(variant, F.lit("-instruct"))]
-    return F.array_distinct(F.array_compact(F.array(*out)))
+
+    def forms(base: Column) -> Column:
+        dotted = F.regexp_replace(base, r"-(\d+)-(\d+)([^-]*)$", "-$1.$2$3")
+        out = [base, *(F.concat(base, F.lit(x)) for x in ("-instruct", "-chat", "-base")), F.when(dotted != base, dotted), F.when(dotted != base, F.concat(dotted, F.lit("-instruct")))]
+        for own, other in FAMILY_PREFIXES.items():
+            variant = F.when(base.startswith(own), F.concat(F.lit(other), F.substring(base, F.lit(len(own) + 1), F.length(base))))
+            out += [variant, F.concat(variant, F.lit("-instruct"))]
+        return F.array(*out)
+
+    # a lambda's argument is evaluated once, not once for each form
+    return F.array_distinct(F.array_compact(F.transform(F.array(benchmark_key(raw)), forms)[0]))
 
 
 def canonical_name(raw: Column) -> Column:
