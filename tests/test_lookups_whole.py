@@ -30,3 +30,12 @@ def test_keys_of_hosts_are_not_broadcast(spark):
     hosts = spark.createDataFrame([("p", "A/B"), ("o", "a--b"), ("q", "z")], "provider string, model string")
     found = K.hosted_on(entities, hosts)
     assert [tuple(r) for r in found.collect()] == [("hf-model--a--b", ["o", "p"])]
+
+
+def test_requests_meet_slugs_after_these_are_counted(spark):
+    entities = spark.createDataFrame([(f"hf-model--s-{i}", "model", "s") for i in range(30)] + [("s", "paper", "other"), ("t", "tool", "t"), ("hf-space--u", "space", "v")], "id string, type string, slug string")
+    requests = spark.createDataFrame([(1, "s", None), (2, "hf-model--S", None), (3, "t", None), (4, "hf-space--u", "tool"), (5, "none", None), (6, "hf-model--s", "paper"), (7, "v", None), (8, "t", "paper")], "req_no int, req string, route string")
+    found = I.matched(requests, entities)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["req_no"]: tuple(r)[1:] for r in found.collect()}
+    assert got == {1: ("FOUND", "s", 25), 2: ("AMBIGUOUS", None, 25), 3: ("FOUND", "t", 1), 4: ("NOT_FOUND", None, 1), 5: ("NOT_FOUND", None, 0), 6: ("NOT_FOUND", None, 25), 7: ("FOUND", "hf-space--u", 1), 8: ("NOT_FOUND", None, 1)}
