@@ -74,10 +74,10 @@ def join_demos(spark: SparkSession, d: str) -> DataFrame:
 
 @register("join_fulltexts", given("q AS (SELECT id, '2401.' || lpad(CAST(k AS VARCHAR), 5, '0') AS paper FROM ent WHERE type = 'paper'), s AS (SELECT '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS paper, length(text) AS n FROM documents WHERE length(text) >= 200) SELECT paper, id, n FROM q JOIN s USING (paper)", ENT))
 def join_fulltexts(spark: SparkSession, d: str) -> DataFrame:
-    """Pending papers and the first long text that an outer corpus has of each."""
+    """Pending papers and the long texts that an outer corpus has of each; numbers of over five digits are cut, so a paper may have several."""
     number = lambda c: F.concat(F.lit("2401."), F.lpad(F.col(c).cast("string"), 5, "0"))
     pending = entities(spark, d).filter("type = 'paper'").select("id", number("k").alias("paper"))
-    corpus = read(spark, d, "documents").select(number("doc_id").alias("paper"), "text", F.col("doc_id").alias("at"))
+    corpus = read(spark, d, "documents").select(number("doc_id").alias("paper"), "text")
     return K.drain(pending, corpus, "paper", 200).withColumn("n", F.col("n").cast("long"))
 
 

@@ -39,3 +39,9 @@ def test_requests_meet_slugs_after_these_are_counted(spark):
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {r["req_no"]: tuple(r)[1:] for r in found.collect()}
     assert got == {1: ("FOUND", "s", 25), 2: ("AMBIGUOUS", None, 25), 3: ("FOUND", "t", 1), 4: ("NOT_FOUND", None, 1), 5: ("NOT_FOUND", None, 0), 6: ("NOT_FOUND", None, 25), 7: ("FOUND", "hf-space--u", 1), 8: ("NOT_FOUND", None, 1)}
+
+
+def test_all_long_texts_of_a_paper_are_found(spark):
+    pending = spark.createDataFrame([("p", "i"), ("p", "j"), ("q", "k"), (None, "l")], "paper string, id string")
+    corpus = spark.createDataFrame([("p", "abcd"), ("p", "abcde"), ("p", "a"), ("r", "abcd"), (None, "abcd")], "paper string, text string")
+    assert sorted(map(tuple, K.drain(pending, corpus, "paper", 4).collect())) == [("p", "i", 4), ("p", "i", 5), ("p", "j", 4), ("p", "j", 5)]
