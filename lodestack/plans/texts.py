@@ -202,7 +202,8 @@ def search_index(spark: SparkSession, d: str) -> DataFrame:
     cat = api.Catalogue(entities(spark, d))
     path = sinks.scratch(spark, "index")
     cat.build_index(path)
-    first = spark.read.parquet(f"{path}/postings").filter("chunk = 0").select("term", "block", F.get("ids", F.lit(0)).alias("best"))
+    # the first chunk that a term has in a block; a rare one may have none in the first chunk of a wide block
+    first = spark.read.parquet(f"{path}/postings").groupBy("term", "block").agg(F.min_by(F.get("ids", F.lit(0)), "chunk").alias("best"))
     return first.join(spark.read.parquet(f"{path}/blocks"), ["term", "block"]).select("term", "bucket", "block", "n", "most", "best")
 
 

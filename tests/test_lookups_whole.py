@@ -45,3 +45,9 @@ def test_all_long_texts_of_a_paper_are_found(spark):
     pending = spark.createDataFrame([("p", "i"), ("p", "j"), ("q", "k"), (None, "l")], "paper string, id string")
     corpus = spark.createDataFrame([("p", "abcd"), ("p", "abcde"), ("p", "a"), ("r", "abcd"), (None, "abcd")], "paper string, text string")
     assert sorted(map(tuple, K.drain(pending, corpus, "paper", 4).collect())) == [("p", "i", 4), ("p", "i", 5), ("p", "j", 4), ("p", "j", 5)]
+
+
+@here
+def test_terms_without_a_row_in_the_first_chunk_of_a_block(spark, duck, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(S, "CHUNK_ROWS", 1)
+    same_rows(spark, duck, "search_index")
