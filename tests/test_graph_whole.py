@@ -1,5 +1,6 @@
 """Terms by one automaton and whole neighbourhoods, against plain Python."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -124,3 +125,15 @@ def test_containment_is_what_all_pairs_give(spark):
     found = contained(w, "w", t, "t")
     assert {tuple(r) for r in found.collect()} == {(a, b) for a in words for b in texts if b is not None and a in b}
     assert found.count() == found.distinct().count() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_term_links_take_registries_beyond_one_automaton(spark):
+    from lodestack.functions.patterns import MOST_TERMS
+
+    many = spark.range(MOST_TERMS + 1).select(F.lit(1).alias("at"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"), F.array(F.concat(F.lit("zq"), F.col("id").cast("string"), F.lit("_"))).alias("aliases"))
+    few = spark.createDataFrame([(0, "first", ["No Such", "red  ", "RED"]), (2, "pair", ["red bolt", "bolt"])], "at int, term string, aliases array<string>")
+    e = spark.createDataFrame([("a", "Red bolt zq7_ x"), ("b", "Red bolt zq7_ x"), ("c", "plain"), ("d", None), ("e", "ared red")], "id string, t string")
+    got = sorted((r["id"], r["term"], r["alias"], r["score"]) for r in G.term_links(e, "id", F.col("t"), few.unionByName(many), least=0.0).collect())
+    share = [round(x, 3) for x in (0.25 * math.log(5 / 3), 0.25 * math.log(5 / 2), 1.0 * math.log(5 / 3))]
+    both = [("first", "RED", share[0]), ("pair", "red bolt", 0.0), ("t7", "zq7_", share[1])]
+    assert got == sorted([(i, *x) for i in "ab" for x in both] + [("e", "first", "RED", share[2])])
