@@ -1,16 +1,20 @@
-"""Tables in versions that share what hasn't changed: rows in buckets by key, a manifest a version, only changed buckets written."""
+"""Tables in versions that share what hasn't changed: rows in buckets by ranges of keys, a manifest a version, only changed buckets written."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.sources.sinks import _fs
 
 #: Buckets of a new table: a manifest has as many rows.
 BUCKETS = 256
+#: Keys of a sample for each bound, and rows and multiple of the mean beyond which a bucket is cut.
+SAMPLE, CUT_ROWS, CUT_TIMES = 100, 100_000, 4
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
@@ -47,28 +51,73 @@ def _digests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.concat_ws("-", *sums).alias("digest"))
 
 
+def _bounds(rows: DataFrame, key: str, n: int, buckets: int) -> list:
+    """Keys that cut n rows into about so many ranges of like size, by a sample of SAMPLE a range."""
+    step = max(1, n // (SAMPLE * buckets))
+    keys = sorted(r[0] for r in rows.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(step)) == 0)).select(key).collect())
+    return sorted({keys[k * len(keys) // buckets] for k in range(1, buckets)}) if keys else []
+
+
+def _bucket(key: str, table: list[tuple]) -> Column:
+    """The bucket of a key by table (least key, bucket), in order; keys before the first one, and null, are in bucket 0."""
+    lows = np.empty(len(table), object)
+    lows[:] = [low for low, _ in table]
+    numbers = np.array([0, *(b for _, b in table)])
+
+    @F.pandas_udf("int")
+    def find(keys: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        out = np.zeros(len(keys), np.int32)
+        out[known] = numbers[np.searchsorted(lows, keys.to_numpy(object)[known], "right")]
+        return pd.Series(out)
+
+    return find(F.col(key))
+
+
+def _table(spark: SparkSession, path: str, version: int) -> list[tuple]:
+    fs, root = _fs(spark, f"{path}/bounds")
+    found = max(v for v in (int(s.getPath().getName()[1:]) for s in fs.listStatus(root)) if v <= version)
+    return [tuple(r) for r in spark.read.parquet(f"{path}/bounds/v{found}").orderBy("low").collect()]  # a row a bucket
+
+
 def upsert(batch: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
     """Write a version in which the rows of batch, one a key, replace those of their keys, and return its number; the last one's if nothing changes.
 
-    Only the buckets of the batch's keys are read, and of these only those are written whose rows differ from what is there. The manifest is
-    written last, so that a run that is lost leaves the last version as it is. The first batch makes the table, and fixes its columns."""
+    Buckets are ranges of keys, so a batch of keys that lie together touches few of them however large the table is. Only the buckets of the
+    batch's keys are read, and of these only those are written whose rows differ from what is there; one that outgrows the others by far is
+    cut. The manifest is written last, so that a run that is lost leaves the last version as it is. The first batch makes the table, and
+    fixes its columns and ranges."""
     spark = batch.sparkSession
     known = _numbers(spark, path)
     version = (known[-1] if known else 0) + 1
-    at = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    new = batch.withColumn("bucket", at)
     folder = f"{path}/data/v{version}"
     if not known:
         batch.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
         before = spark.createDataFrame([], "bucket int, version int, n long, digest string")
-        merged = new
+        table = [(low, k + 1) for k, low in enumerate(_bounds(batch, key, batch.count(), buckets))]
+        merged = batch.withColumn("bucket", _bucket(key, table))
     else:
-        before = manifest(spark, path)
+        before, table = manifest(spark, path), _table(spark, path, known[-1])
+        new = batch.withColumn("bucket", _bucket(key, table))
         touched = new.select("bucket").distinct()
-        old = read(spark, path).withColumn("bucket", at).join(F.broadcast(touched), "bucket", "left_semi")  # a row a bucket
+        old = read(spark, path).withColumn("bucket", _bucket(key, table)).join(F.broadcast(touched), "bucket", "left_semi")  # a row a bucket
         merged = old.join(new.select(key), key, "left_anti").select(*new.columns).unionByName(new.select(*new.columns))
+    kind = merged.schema
     merged.write.mode("overwrite").parquet(f"{folder}/merged")
-    merged = spark.read.schema(merged.schema).parquet(f"{folder}/merged")
+    merged = spark.read.schema(kind).parquet(f"{folder}/merged")
+    sizes = {r["bucket"]: r["n"] for r in before.select("bucket", "n").collect()} | {r["bucket"]: r["count"] for r in merged.groupBy("bucket").count().collect()}  # a row a bucket
+    mean = sum(sizes.values()) / max(1, len(sizes))
+    cut, last = list(table), max([0, *(b for _, b in table)])
+    for b, n in sorted(sizes.items()):
+        if n > max(CUT_ROWS, CUT_TIMES * mean):
+            inner = [low for low in _bounds(merged.filter(F.col("bucket") == b), key, n, int(n // max(mean, CUT_ROWS / CUT_TIMES))) if (low, b) not in table]
+            cut += [(low, last + k + 1) for k, low in enumerate(inner)]
+            last += len(inner)
+    cut.sort()
+    if cut != table or not known:
+        spark.createDataFrame(cut, f"low {batch.schema[key].dataType.simpleString()}, bucket int").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds/v{version}")
+    if cut != table:
+        merged = merged.withColumn("bucket", _bucket(key, cut))
     found = _digests(merged)
     changed = found.join(before.select("bucket", F.col("digest").alias("was")), "bucket", "left").filter("was IS NULL OR was <> digest").drop("was")
     changed.write.mode("overwrite").parquet(f"{folder}/changed")

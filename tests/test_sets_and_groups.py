@@ -92,3 +92,23 @@ def test_versions_share_what_has_not_changed(spark, tmp_path):
     assert versions.prune(spark, path, 2) == [1] and versions.read(spark, path, 2).count() == 5001
     with pytest.raises(ValueError, match="no version"):
         versions.read(spark, path, 1)
+
+
+def test_versions_of_many_rows_share_what_has_not_changed(spark, tmp_path, monkeypatch):
+    from lodestack.sources import versions
+
+    path = str(tmp_path / "t")
+    full = spark.range(60_000).select(F.format_string("k%06d", "id").alias("key"), "id")
+    assert versions.upsert(full, path, "key") == 1
+    assert versions.upsert(full.filter("id BETWEEN 20000 AND 22000").withColumn("id", -F.col("id")), path, "key") == 2
+    entries = {r["bucket"]: r["version"] for r in versions.manifest(spark, path).collect()}
+    assert 3 <= sum(v == 2 for v in entries.values()) <= 24 and len(entries) == 256
+    # keys behind the last bound don't make a bucket without end
+    monkeypatch.setattr(versions, "CUT_ROWS", 1000)
+    assert versions.upsert(spark.range(60_000, 70_000).select(F.format_string("k%06d", "id").alias("key"), "id"), path, "key") == 3
+    sizes = {r["bucket"]: r["n"] for r in versions.manifest(spark, path).collect()}
+    assert sum(sizes.values()) == 70_000 and len(sizes) > 256 and max(sizes.values()) < 2000
+    assert versions.upsert(spark.createDataFrame([("k069999", 5)], "key string, id long"), path, "key") == 4
+    got = {r["key"]: r["id"] for r in versions.read(spark, path).collect()}
+    assert got == {f"k{i:06d}": 5 if i == 69_999 else -i if 20_000 <= i <= 22_000 else i for i in range(70_000)}
+    assert versions.read(spark, path, 1).count() == 60_000
