@@ -51,3 +51,9 @@ def test_all_long_texts_of_a_paper_are_found(spark):
 def test_terms_without_a_row_in_the_first_chunk_of_a_block(spark, duck, monkeypatch):  # noqa: F811
     monkeypatch.setattr(S, "CHUNK_ROWS", 1)
     same_rows(spark, duck, "search_index")
+
+
+@here
+def test_matches_are_scored_before_profiles_meet_their_members(spark):
+    plan = registry.queries()["match_score"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein") > plan.index("Join")
