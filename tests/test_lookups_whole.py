@@ -57,3 +57,9 @@ def test_terms_without_a_row_in_the_first_chunk_of_a_block(spark, duck, monkeypa
 def test_matches_are_scored_before_profiles_meet_their_members(spark):
     plan = registry.queries()["match_score"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("levenshtein") > plan.index("Join")
+
+
+@here
+def test_relations_are_read_once_around_nodes(spark):
+    plan = registry.queries()["join_around"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4
